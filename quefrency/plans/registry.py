@@ -1,4 +1,569 @@
-"""Queries by name, and the SQL that must give the same rows."""
+"""Queries by name over the given tables, and the SQL that must give the same rows.
+
+Signal windows are rows of `embeddings` (64 samples; 16-point frames, hop 8); telemetry is `events` by user and `lineitem`;
+groups are four consecutive windows.
+"""
+
+from __future__ import annotations
+
+from functools import partial
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quefrency.functions import basis as B
+from quefrency.functions import columns, signal
+from quefrency.operators import discriminant, heads, metrics, reconstruct, spectra, splits, stats, tiling
+from quefrency.plans import sql
+from quefrency.plans.sql import BASE, SMP, r6
+from quefrency.schema import SHAPE, SPECTRAL5, SPECTRAL11
+from quefrency.sources import synthetic, telemetry
 
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+
+def query(oracle: str | None = None, name: str | None = None):
+    def put(f):
+        QUERIES[name or f.__name__] = f
+        if oracle:
+            ORACLE[name or f.__name__] = oracle
+        return f
+
+    return put
+
+
+def table(spark, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def windows(spark, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("window_id"), F.col("label").alias("y"), F.col("embedding").cast("array<double>").alias("x"))
+
+
+def features(spark, d: str, n: int = 3) -> DataFrame:
+    return windows(spark, d).select("window_id", "y", *(F.col("x")[i].alias(f"x{i}") for i in range(n)))
+
+
+def q6(c, name: str):
+    return (F.round(c, 6) + F.lit(0.0)).alias(name)
+
+
+def spread(frame: DataFrame, names: list[str], keys: list[str], v: str) -> DataFrame:
+    return frame.select(*keys, *columns.named(v, names, 6))
+
+
+# --- bases -----------------------------------------------------------------------------------------------------------
+
+X = "((p_size - 25) / 10.0)"
+_PART = {
+    "polynomial": [sql.sign_pow(X, p) for p in (2.0, 3.0, 4.0)],
+    "fractional": [sql.sign_pow(X, 1 / p) for p in (2, 3, 4)],
+    "trigonometric": [f"sin({k} * {X})" for k in (1, 2, 3)],
+    "robust": [f"tanh({X})", f"(1 / (1 + exp(-least(greatest({X}, -50), 50))))", f"atan({X})"],
+    "log": [f"(sign({X}) * ln(1 + pow(abs({X}), {k})))" for k in (1, 2, 3)],
+    "patp": [sql.sign_pow(X, B.patp_power(k, 0.3)) for k in (2, 3, 4)],
+}
+
+
+def _basis(name, spark, d):
+    x = (F.col("p_size") - 25) / F.lit(10.0)
+    return table(spark, d, "part").select("p_partkey", *(q6(c, f"b{i}") for i, c in enumerate(B.basis(name, x, 3, 0.3 if name == "patp" else None))))
+
+
+for _n, _c in _PART.items():
+    query(f"SELECT p_partkey, {', '.join(f'{r6(e)} AS b{i}' for i, e in enumerate(_c))} FROM part", f"basis_{_n}")(partial(_basis, _n))
+
+_T = [["1.0", *(sql.sign_pow(x, 1 / p) for p in (2, 3, 4))] for x in (X, "(p_retailprice / 1000.0)")]
+
+
+@query("SELECT p_partkey, " + ", ".join(f"{r6(f'{_T[0][i]} * {_T[1][j]}')} AS t{i}{j}" for i in range(4) for j in range(4) if i + j) + " FROM part")
+def basis_tensor(spark, d):
+    t = B.TensorBasis("fractional", 3, 2)
+    c = t.columns([(F.col("p_size") - 25) / F.lit(10.0), F.col("p_retailprice") / 1000])
+    return table(spark, d, "part").select("p_partkey", *(q6(x, "t" + "".join(map(str, m))) for x, m in zip(c, t.indices, strict=True)))
+
+
+# --- descriptors -----------------------------------------------------------------------------------------------------
+
+_SMP = f"WITH {SMP}, src AS (SELECT window_id, y, n AS pos, v FROM smp), "
+
+
+@query(_SMP + sql.shape("src", "window_id, y") + " SELECT * FROM shp")
+def shape_descriptors(spark, d):
+    return spread(spectra.describe(windows(spark, d), v="x"), SHAPE, ["window_id", "y"], "s")
+
+
+@query(_SMP + sql.shape("src", "window_id, y", False) + ", raw AS (SELECT * FROM shp) SELECT y, count(*) AS n, " + ", ".join(f'round(avg("{c}"), 5) + 0.0 AS "{c}"' for c in SHAPE) + " FROM raw GROUP BY y")
+def class_descriptor_means(spark, d):
+    s = spread(spectra.describe(windows(spark, d), znorm=False, v="x"), SHAPE, ["window_id", "y"], "s")
+    return s.groupBy("y").agg(F.count("*").alias("n"), *((F.round(F.avg(c), 5) + F.lit(0.0)).alias(c) for c in SHAPE))
+
+
+@query(f"WITH {SMP} SELECT window_id, n, {r6('(v - avg(v) OVER w) / CASE WHEN stddev_pop(v) OVER w > 1e-9 THEN stddev_pop(v) OVER w ELSE 1 END')} AS z FROM smp WINDOW w AS (PARTITION BY window_id)")
+def zscore_windows(spark, d):
+    long = windows(spark, d).select("window_id", F.posexplode("x").alias("n", "v"))
+    return tiling.zscore(long, "v", ["window_id"]).select("window_id", F.col("n").cast("long").alias("n"), q6(F.col("z"), "z"))
+
+
+_STATS = """, one AS (SELECT window_id, y, frame_id, pos, v, exp(v) AS g, exp(v) / sum(exp(v)) OVER w AS pm, avg(v) OVER w AS m, CASE WHEN var_pop(v) OVER w > 0 THEN stddev_pop(v) OVER w ELSE 1e-6 END AS sd, row_number() OVER (PARTITION BY window_id, frame_id ORDER BY v) AS r FROM prf WINDOW w AS (PARTITION BY window_id, frame_id))"""
+_S5 = [f"{r6(e)} AS {n}" for e, n in (("exp(avg(ln(g + 1e-12))) / avg(g)", "flatness"), ("-sum(pm * ln(pm + 1e-12)) / ln(15)", "entropy"), ("sum(pm * pos / 14.0)", "centroid"), ("avg(pow((v - m) / sd, 3))", "skew"), ("avg(pow((v - m) / sd, 4)) - 3", "kurt"))]
+_S6 = [f"{r6(e)} AS {n}" for e, n in (("max(v) - avg(v)", "crest"), ("quantile_cont(v, 0.05)", "p05"), ("quantile_cont(v, 0.5)", "p50"), ("quantile_cont(v, 0.95)", "p95"), ("quantile_cont(v, 0.75) - quantile_cont(v, 0.25)", "iqr"), ("max(v) - min(v)", "gap"))]
+
+
+@query(BASE + _STATS + f" SELECT window_id, frame_id, {', '.join(_S5)} FROM one GROUP BY window_id, frame_id")
+def spectral_stats5(spark, d):
+    return spread(spectra.spectral_statistics(spectra.log_profiles(windows(spark, d), 16, 8), 5), SPECTRAL5, ["window_id", F.col("frame_id").cast("long").alias("frame_id")], "s")
+
+
+@query(BASE + _STATS + f" SELECT window_id, frame_id, {', '.join(_S5 + _S6)} FROM one GROUP BY window_id, frame_id")
+def spectral_stats11(spark, d):
+    return spread(spectra.spectral_statistics(spectra.log_profiles(windows(spark, d), 16, 8)), SPECTRAL11, ["window_id", F.col("frame_id").cast("long").alias("frame_id")], "s")
+
+
+@query(BASE + _STATS + f", f AS (SELECT y, {', '.join(e.replace('round(', '(', 1).replace(', 6) + 0.0', ')') for e in _S5)} FROM one GROUP BY window_id, frame_id, y) " + " UNION ALL ".join(f"SELECT y, {i} AS stat, {r6(f'avg({n})')} AS mean, {r6(f'stddev_pop({n})')} AS std FROM f GROUP BY y" for i, n in enumerate(SPECTRAL5)))
+def class_moment_summary(spark, d):
+    s = spectra.class_moment_summary(spectra.spectral_statistics(spectra.log_profiles(windows(spark, d), 16, 8), 5))
+    return s.select("y", "stat", q6(F.col("mean"), "mean"), q6(F.col("std"), "std"))
+
+
+# --- spectra ---------------------------------------------------------------------------------------------------------
+
+
+def _cells(frame: DataFrame, lo: int, hi: int, shift: int = 0) -> DataFrame:
+    return frame.select("window_id", F.col("frame_id").cast("long").alias("frame_id"), *columns.named("v", [f"c{p}" for p in range(lo, hi)], 6))
+
+
+@query(BASE + " " + sql.cells("prf", 0, 15))
+def stft_profile(spark, d):
+    return _cells(spectra.log_profiles(windows(spark, d), 16, 8), 0, 15)
+
+
+@query(BASE + " " + sql.cells("cep", 1, 8))
+def cepstrum(spark, d):
+    return _cells(spectra.cepstra(windows(spark, d), 16, 8), 1, 8)
+
+
+@query(BASE + ", lif AS (SELECT window_id, y, frame_id, lifter, pos, v FROM cep, (SELECT unnest([1, 2, 3, 4]) AS lifter) WHERE pos >= lifter), " + sql.shape("lif", "window_id, y, frame_id, lifter") + " SELECT * FROM shp")
+def cepstrum_lifters(spark, d):
+    s = spectra.describe(spectra.all_lifters(windows(spark, d), (1, 2, 3, 4), 16, 8))
+    return spread(s, SHAPE, ["window_id", "y", F.col("frame_id").cast("long").alias("frame_id"), "lifter"], "s")
+
+
+def _lifter_sql(lo, hi, weights):
+    w = ", ".join(f"({lo + i}, {float(x)!r})" for i, x in enumerate(weights))
+    return BASE + f", lif AS (SELECT window_id, y, frame_id, c.pos, v * w AS v FROM cep c JOIN (VALUES {w}) AS t(pos, w) ON c.pos = t.pos), " + sql.shape("lif", "window_id, y, frame_id") + " SELECT * FROM shp"
+
+
+def _lifter(family, lo, hi, spark, d):
+    s = spectra.describe(spectra.liftered(windows(spark, d), family, lo, hi, 16, 8))
+    return spread(s, SHAPE, ["window_id", "y", F.col("frame_id").cast("long").alias("frame_id")], "s")
+
+
+# Weights written out by hand for the SQL: ones; a symmetric Tukey of six points, half tapered; 1 + 3 sin(pi q / 6).
+query(_lifter_sql(2, 8, [1, 1, 1, 1, 1, 1]), "lifter_bandpass")(partial(_lifter, "bp", 2, 8))
+query(_lifter_sql(2, 8, [0, 0.9045084971874737, 1, 1, 0.9045084971874737, 0]), "lifter_tukey")(partial(_lifter, "bp_tukey", 2, 8))
+query(_lifter_sql(2, 8, [2.5, 3.598076211353316, 4, 3.598076211353316, 2.5, 1.0000000000000004]), "lifter_juang")(partial(_lifter, "juang", 2, 8))
+
+
+@query(BASE + ", dev AS (SELECT window_id, frame_id FROM prf GROUP BY window_id, frame_id HAVING stddev_pop(v) >= 0.8) SELECT y, count(*) AS n_frames, count(DISTINCT window_id) AS n_windows FROM (SELECT DISTINCT window_id, y, frame_id FROM prf) JOIN dev USING (window_id, frame_id) GROUP BY y")
+def energy_mask(spark, d):
+    return spectra.energy_mask(spectra.log_profiles(windows(spark, d), 16, 8)).groupBy("y").agg(F.count("*").alias("n_frames"), F.countDistinct("window_id").alias("n_windows"))
+
+
+@query(BASE + ", nrm AS (SELECT window_id, y, frame_id, pos, (v - avg(v) OVER w) / (stddev_pop(v) OVER w + 1e-8) AS v FROM prf WINDOW w AS (PARTITION BY window_id, pos)) " + sql.cells("nrm", 0, 15))
+def cmvn(spark, d):
+    return _cells(spectra.normalised(windows(spark, d), "cmvn", 16, 8), 0, 15)
+
+
+# Orthogonal polynomials on 15 points -1 .. 1: 1, t, t^2 - a, t^3 - c t, with a and c their least-squares values.
+_POLY = """, pt AS (SELECT pos, -1 + 2.0 * pos / 14 AS t FROM (SELECT unnest(range(15)) AS pos)),
+mo AS (SELECT avg(t * t) AS a, sum(pow(t, 4)) / sum(t * t) AS c FROM pt),
+ob AS (SELECT pos, 1.0 AS e0, t AS e1, t * t - a AS e2, pow(t, 3) - c * t AS e3 FROM pt, mo),
+nn AS (SELECT sum(e0 * e0) AS n0, sum(e1 * e1) AS n1, sum(e2 * e2) AS n2, sum(e3 * e3) AS n3 FROM ob),
+co AS (SELECT window_id, frame_id, sum(v * e0) / any_value(n0) AS k0, sum(v * e1) / any_value(n1) AS k1, sum(v * e2) / any_value(n2) AS k2, sum(v * e3) / any_value(n3) AS k3 FROM prf JOIN ob USING (pos), nn GROUP BY window_id, frame_id),
+nrm AS (SELECT window_id, y, frame_id, pos, v - k0 * e0 - k1 * e1 - k2 * e2 - k3 * e3 AS v FROM prf JOIN co USING (window_id, frame_id) JOIN ob USING (pos)) """
+
+
+@query(BASE + _POLY + sql.cells("nrm", 0, 15))
+def detrend(spark, d):
+    return _cells(spectra.normalised(windows(spark, d), "detrend", 16, 8), 0, 15)
+
+
+@query(BASE + """, dr AS (SELECT window_id, y, frame_id, pos, 0.1 * (2 * v + coalesce(lag(v, 1) OVER w, 0) - coalesce(lag(v, 3) OVER w, 0) - 2 * coalesce(lag(v, 4) OVER w, 0)) AS u FROM prf WINDOW w AS (PARTITION BY window_id, pos ORDER BY frame_id)),
+nrm AS (SELECT a.window_id, a.y, a.frame_id, a.pos, sum(pow(0.94, a.frame_id - b.frame_id) * b.u) AS v FROM dr a JOIN dr b ON a.window_id = b.window_id AND a.pos = b.pos AND b.frame_id <= a.frame_id GROUP BY ALL) """ + sql.cells("nrm", 0, 15))
+def rasta(spark, d):
+    return _cells(spectra.normalised(windows(spark, d), "rasta", 16, 8), 0, 15)
+
+
+_MEL = signal.mel_filters(6, 16, 12000.0)
+
+
+@query(BASE + f""", fb AS (SELECT * FROM (VALUES {', '.join(f'({i}, {b}, {float(_MEL[i, b])!r})' for i in range(6) for b in range(9))}) AS t(m, b, w)),
+me AS (SELECT window_id, y, frame_id, m, ln(sum(w * p2) + 1e-8) AS e FROM pow2 JOIN fb USING (b) GROUP BY ALL),
+cc AS (SELECT window_id, y, frame_id, k AS pos, sum(e * cos(pi() * k * (2 * m + 1) / 12)) * sqrt(2.0 / 6) AS v FROM me, (SELECT unnest(range(1, 6)) AS k) GROUP BY ALL) """ + sql.cells("cc", 1, 6))
+def mfcc(spark, d):
+    return _cells(spectra.mfcc(windows(spark, d), 12000.0, 16, 8, 6, 5), 1, 6)
+
+
+@query(f"WITH {SMP}, t AS (SELECT * FROM (VALUES (0, 1.0), (1, 0.5), (2, -0.25)) AS t(k, h)), o AS (SELECT s.window_id, s.n, sum(coalesce(l.v, 0) * h) AS v FROM smp s CROSS JOIN t LEFT JOIN smp l ON l.window_id = s.window_id AND l.n = s.n - t.k GROUP BY ALL) SELECT window_id, {r6('sum(v * v)')} AS energy, {r6('max(CASE WHEN n = 63 THEN v END)')} AS last_value FROM o GROUP BY window_id")
+def fir_apply(spark, d):
+    x = spectra.fir(windows(spark, d), [1.0, 0.5, -0.25])
+    return x.select("window_id", q6(F.aggregate("x", F.lit(0.0), lambda a, e: a + e * e), "energy"), q6(F.col("x")[63], "last_value"))
+
+
+_TAPS = {n: [(-0.5) ** k for k in range(n)] for n in (1, 2, 3, 5)}
+
+
+@query(f"WITH {SMP}, t AS (SELECT * FROM (VALUES {', '.join(f'({n}, {k}, {h!r})' for n, hs in _TAPS.items() for k, h in enumerate(hs))}) AS t(severity, k, h)), o AS (SELECT s.window_id, severity, s.n, sum(coalesce(l.v, 0) * h) AS v FROM smp s CROSS JOIN t LEFT JOIN smp l ON l.window_id = s.window_id AND l.n = s.n - t.k GROUP BY ALL) SELECT severity, window_id, {r6('sum(v * v)')} AS energy FROM o GROUP BY severity, window_id")
+def fir_sweep(spark, d):
+    taps = spark.createDataFrame(list(_TAPS.items()), "severity int, taps array<double>")
+    return spectra.fir_sweep(windows(spark, d), taps).select("severity", "window_id", q6(F.aggregate("x", F.lit(0.0), lambda a, e: a + e * e), "energy"))
+
+
+# --- tiling and telemetry --------------------------------------------------------------------------------------------
+
+_EV = "ev AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events), tl AS (SELECT user_id, event_id, value, pos, n, pos // 24 AS block, (pos % 24) // 8 AS k, (pos % 24) % 8 AS o FROM ev WHERE pos % 24 < 16)"
+
+
+def _tiles(spark, d, partial_blocks):
+    return tiling.tile(table(spark, d, "events"), "user_id", ["ts", "event_id"], 8, 2, 8, partial_blocks)
+
+
+@query(f"WITH {_EV} SELECT user_id, block, k, count(*) AS n, {r6('avg(value)')} AS mean FROM tl WHERE (block * 24 + 16) <= n GROUP BY user_id, block, k")
+def tile_blocks(spark, d):
+    return _tiles(spark, d, False).groupBy("user_id", "block", "k").agg(F.count("*").alias("n"), q6(F.avg("value"), "mean"))
+
+
+@query(f"WITH {_EV} SELECT user_id, block, k, {r6('max(CASE WHEN o = 0 THEN value END)')} AS first_value, {r6('stddev_pop(value)')} AS sd FROM tl WHERE (block * 24 + (k + 1) * 8) <= n GROUP BY user_id, block, k")
+def tile_guard(spark, d):
+    w = tiling.windows(_tiles(spark, d, True), ["user_id", "block", "k"], "value", 8)
+    mean = F.aggregate("x", F.lit(0.0), lambda a, e: a + e) / 8
+    return w.select("user_id", "block", "k", q6(F.col("x")[0], "first_value"), q6(F.sqrt(F.aggregate(F.transform("x", lambda e: F.pow(e - mean, F.lit(2.0))), F.lit(0.0), lambda a, e: a + e) / 8), "sd"))
+
+
+@query(f"WITH {_EV}, w AS (SELECT user_id, block, k, row_number() OVER (PARTITION BY user_id % 5 ORDER BY user_id, block, k) AS r FROM tl WHERE o = 0 AND block * 24 + 16 <= n) SELECT user_id % 5 AS y, user_id, block, k FROM w WHERE r <= 40")
+def tile_cap(spark, d):
+    w = _tiles(spark, d, False).where("offset = 0").withColumn("y", F.col("user_id") % 5)
+    return tiling.cap_by_class(w, "y", ["user_id", "block", "k"], 40).select("y", "user_id", "block", "k")
+
+
+@query("WITH g AS (SELECT vec_id // 4 AS grp, count(*) AS n FROM embeddings GROUP BY 1), o AS (SELECT grp, n, coalesce(sum(n) OVER (ORDER BY md5('2026:' || grp) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g) SELECT vec_id, vec_id // 4 AS grp FROM embeddings WHERE vec_id // 4 IN (SELECT grp FROM o WHERE before < 150)")
+def balance_groups(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.expr("vec_id div 4").alias("grp"))
+    return tiling.balance_by_groups(e, "grp", 150).select("vec_id", "grp")
+
+
+@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE value IS NOT NULL AND ts IS NOT NULL) WHERE r % 2 = 1")
+def decimate(spark, d):
+    return tiling.decimate(table(spark, d, "events").select("user_id", "event_id", "ts", "value"), ["ts", "event_id"], 2, ["user_id"]).select("user_id", "event_id")
+
+
+@query("SELECT l_returnflag AS flag, count(*) AS n, round(avg(l_extendedprice), 4) AS mean_torque FROM lineitem WHERE l_quantity > 10 AND l_discount * 100 > 1 AND l_extendedprice > 0 GROUP BY 1")
+def on_bottom_filter(spark, d):
+    raw = table(spark, d, "lineitem").select("l_returnflag", F.col("l_quantity").cast("string").alias("q"), (F.col("l_discount") * 100).alias("r"), F.col("l_extendedprice").alias("t"))
+    x = raw.select("l_returnflag", F.expr("try_cast(q as double)").alias("rpm"), F.col("r").alias("rop"), F.col("t").alias("torque")).na.drop()
+    return telemetry.on_bottom(x).groupBy(F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("n"), F.round(F.avg("torque"), 4).alias("mean_torque"))
+
+
+# --- reconstruction and discriminants --------------------------------------------------------------------------------
+
+_PH = [sql.sign_pow("v", 1 / k) for k in (2, 3, 4)]
+_MOM = f"WITH {SMP}, ph AS (SELECT window_id, y, v, {', '.join(f'{e} AS p{i}' for i, e in enumerate(_PH))} FROM smp), mo AS (SELECT y, count(*) AS n, avg(v) AS m, {', '.join(f'avg(p{i}) AS m{i}' for i in range(3))}, {', '.join(f'covar_pop(p{i}, p{j}) + {0.01 if i == j else 0} AS f{i}{j}' for i in range(3) for j in range(i, 3))}, {', '.join(f'covar_pop(p{i}, v) AS b{i}' for i in range(3))} FROM ph GROUP BY y)"
+_INV, _DET = sql.adjugate("f")
+_K = ", ".join("(" + " + ".join(f"{_INV[min(i, j), max(i, j)]} * b{j}" for j in range(3)) + f") AS k{i}" for i in range(3))
+_COEF = _MOM + f", kk AS (SELECT y, m, m0, m1, m2, {_K} FROM mo), ks AS (SELECT y, m - k0 * m0 - k1 * m1 - k2 * m2 AS c, k0, k1, k2 FROM kk)"
+
+
+def _long(spark, d):
+    return windows(spark, d).select("window_id", "y", F.explode("x").alias("v"))
+
+
+@query(_MOM + f" SELECT y, n, {r6('m')} AS m, {', '.join(r6(f'm{i}') + f' AS m{i}' for i in range(3))}, {', '.join(r6(f'f{i}{j} - {0.01 if i == j else 0}') + f' AS f{i}{j}' for i in range(3) for j in range(i, 3))} FROM mo")
+def recon_moments(spark, d):
+    m = reconstruct.moments(_long(spark, d), "y", ["v"], B.fractional(F.col("v")))
+    return m.select("y", "n", q6(F.col("m_v"), "m"), *(q6(F.col(f"m{i}"), f"m{i}") for i in range(3)), *(q6(F.col(f"f_{i}_{j}"), f"f{i}{j}") for i in range(3) for j in range(i, 3)))
+
+
+@query(_COEF + f" SELECT y, {r6('c')} AS k0, {r6('k0')} AS k1, {r6('k1')} AS k2, {r6('k2')} AS k3 FROM ks")
+def recon_coeffs(spark, d):
+    m = reconstruct.Reconstructor().fit(_long(spark, d), "y", ["v"])
+    rows = [(c, *map(float, (k0[0], *k[:, 0]))) for c, (k0, k, _) in m.models.items()]
+    return spark.createDataFrame(rows, "y int, k0 double, k1 double, k2 double, k3 double").select("y", *(q6(F.col(f"k{i}"), f"k{i}") for i in range(4)))
+
+
+@query(_COEF + f" SELECT window_id, ph.y, ks.y AS class, {r6('ln(avg(pow(v - c - k0 * p0 - k1 * p1 - k2 * p2, 2)) + 1e-8)')} AS log_msed FROM ph, ks GROUP BY window_id, ph.y, ks.y")
+def recon_logmsed(spark, d):
+    x = _long(spark, d)
+    s = reconstruct.Reconstructor().fit(x, "y", ["v"]).transform(x, ["window_id", "y"], ["v"])
+    return s.select("window_id", "y", "class", q6(F.col("log_msed"), "log_msed"))
+
+
+@query()
+def recon_multivariate(spark, d):
+    x = windows(spark, d).select("window_id", "y", F.explode(F.arrays_zip(F.slice("x", 1, 32).alias("a"), F.slice("x", 33, 32).alias("b"))).alias("o")).select("window_id", "y", "o.a", "o.b")
+    return reconstruct.Reconstructor().fit(x, "y", ["a", "b"]).transform(x, ["window_id", "y"], ["a", "b"])
+
+
+@query()
+def recon_cond(spark, d):
+    return spark.createDataFrame([(int(c), float(k), bool(w)) for c, k, w in reconstruct.Reconstructor().fit(_long(spark, d), "y", ["v"]).conditioning()], "y int, cond double, ill boolean")
+
+
+_FE = "WITH fe AS (SELECT vec_id AS window_id, label AS y, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(3)) + " FROM embeddings), gs AS (SELECT " + ", ".join(f"avg(x{i}) AS gm{i}, stddev_pop(x{i}) AS gs{i}" for i in range(3)) + " FROM fe), z AS (SELECT window_id, y, " + ", ".join(f"(x{i} - gm{i}) / gs{i} AS z{i}" for i in range(3)) + " FROM fe, gs), cm AS (SELECT y AS class, count(*) AS n, " + ", ".join(f"avg(z{i}) AS u{i}" for i in range(3)) + ", " + ", ".join(f"covar_samp(z{i}, z{j}) AS s{i}{j}" for i in range(3) for j in range(i, 3)) + " FROM z GROUP BY y)"
+_IJ = [(i, j) for i in range(3) for j in range(i, 3)]
+
+
+def _quad(entries: dict[tuple[int, int], str]) -> tuple[str, str]:
+    """A CTE with the regularised matrix, its inverse and determinant; and the quadratic form."""
+    inv, det = sql.adjugate("f")
+    q = " + ".join(f"{1 if i == j else 2} * g{i}{j} * (z{i} - u{i}) * (z{j} - u{j})" for i, j in _IJ)
+    return f", fm AS (SELECT class, n, u0, u1, u2, {', '.join(f'{entries[k]} AS f{k[0]}{k[1]}' for k in _IJ)} FROM cm), gi AS (SELECT class, n, u0, u1, u2, {det} AS det, {', '.join(f'{inv[k]} AS g{k[0]}{k[1]}' for k in _IJ)} FROM fm)", f"({q})"
+
+
+_RIDGE, _Q = _quad({(i, j): f"s{i}{j}" + (" + 0.01" if i == j else "") for i, j in _IJ})
+_QDA, _ = _quad({(i, j): f"0.95 * s{i}{j}" + (" + 0.05" if i == j else "") for i, j in _IJ})
+_DIAG, _ = _quad({(i, j): f"s{i}{j} * (n - 1) / n + 1e-9" if i == j else "0.0" for i, j in _IJ})
+_GAUSS = f"(-0.5 * {_Q} - 0.5 * ln(det) + ln(n / (SELECT sum(n) FROM cm)))"
+_XS = ["x0", "x1", "x2"]
+
+
+def _fit(spark, d):
+    x = features(spark, d)
+    return x, discriminant.ClassMoments.fit(x, "y", _XS)
+
+
+def _scores(s):
+    return s.select("window_id", "class", q6(F.col("score"), "score"))
+
+
+@query(_FE + _RIDGE + f" SELECT window_id, class, {r6(_Q)} AS score FROM z, gi")
+def mahalanobis_d2(spark, d):
+    x, m = _fit(spark, d)
+    return _scores(m.mahalanobis(x, ["window_id"]))
+
+
+@query(_FE + _RIDGE + f" SELECT window_id, class, {r6(f'ln({_Q} + 1e-9)')} AS score FROM z, gi")
+def c2_logd2(spark, d):
+    x, m = _fit(spark, d)
+    return _scores(m.mahalanobis(x, ["window_id"], logs=True))
+
+
+@query(_FE + _RIDGE + f" SELECT window_id, arg_min(class, {_Q}) AS p FROM z, gi GROUP BY window_id")
+def c0_fixed_rule(spark, d):
+    x, m = _fit(spark, d)
+    return discriminant.nearest(m.mahalanobis(x, ["window_id"]), ["window_id"], smallest=True)
+
+
+@query(_FE + _QDA + f" SELECT window_id, class, {r6(_GAUSS)} AS score FROM z, gi")
+def qda(spark, d):
+    x, m = _fit(spark, d)
+    return _scores(m.qda(x, ["window_id"]))
+
+
+@query(_FE + _DIAG + f" SELECT window_id, class, {r6(_GAUSS)} AS score FROM z, gi")
+def diag_qda(spark, d):
+    x, m = _fit(spark, d)
+    return _scores(m.diagonal(x, ["window_id"]))
+
+
+_POOL = ", po AS (SELECT " + ", ".join(f"sum((n - 1) * s{i}{j}) / (sum(n) - count(*)) AS p{i}{j}" for i, j in _IJ) + " FROM cm), cm2 AS (SELECT class, n, u0, u1, u2, " + ", ".join(f"0.5 * s{i}{j} + 0.5 * p{i}{j} AS s{i}{j}" for i, j in _IJ) + " FROM cm, po)"
+_RDA, _ = _quad({(i, j): f"0.9 * s{i}{j}" + (" + 0.1 * (s00 + s11 + s22) / 3" if i == j else "") for i, j in _IJ})
+
+
+@query(_FE + _POOL + _RDA.replace("FROM cm)", "FROM cm2)") + f" SELECT window_id, class, {r6(_GAUSS)} AS score FROM z, gi")
+def rda_score(spark, d):
+    x, m = _fit(spark, d)
+    return _scores(m.rda(x, ["window_id"], 0.5, 0.1))
+
+
+# --- splits ----------------------------------------------------------------------------------------------------------
+
+_GRP = "g AS (SELECT DISTINCT vec_id // 4 AS grp FROM embeddings), rk AS (SELECT grp, row_number() OVER (ORDER BY md5('2026:' || grp), grp) AS r, count(*) OVER () AS n FROM g)"
+_ROLE = f"{_GRP}, ro AS (SELECT grp, CASE WHEN r <= greatest(1, round_even(0.3 * n, 0)) THEN 'test' ELSE 'train' END AS role FROM rk)"
+
+
+def _grouped(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", "label", F.expr("vec_id div 4").alias("grp"))
+
+
+@query(f"WITH {_ROLE} SELECT vec_id, grp, role FROM (SELECT vec_id, vec_id // 4 AS grp FROM embeddings) JOIN ro USING (grp)")
+def grouped_split(spark, d):
+    return splits.grouped_split(_grouped(spark, d), "grp").select("vec_id", "grp", "role")
+
+
+@query(f"WITH {_GRP} SELECT vec_id, grp, CAST(least((r - 1) // greatest(n // 5, 1), 4) AS INTEGER) AS fold FROM (SELECT vec_id, vec_id // 4 AS grp FROM embeddings) JOIN rk USING (grp)")
+def kfold(spark, d):
+    return splits.grouped_kfold(_grouped(spark, d), "grp").select("vec_id", "grp", "fold")
+
+
+@query("WITH dd AS (SELECT DISTINCT CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events), rk AS (SELECT day, row_number() OVER (ORDER BY day) AS r, count(*) OVER () AS n FROM dd) SELECT event_id, CASE WHEN r <= greatest(1, n // 2) THEN 'train' ELSE 'test' END AS role FROM events JOIN rk ON day = CAST(CAST(ts AS DATE) AS VARCHAR)")
+def day_split(spark, d):
+    return splits.day_split(table(spark, d, "events").select("event_id", F.to_date("ts").alias("day")), "day").select("event_id", "role")
+
+
+@query("WITH g AS (SELECT DISTINCT event_type AS t FROM events), rk AS (SELECT t, row_number() OVER (ORDER BY md5('2026:' || t), t) AS r, count(*) OVER () AS n FROM g) SELECT event_id, event_type, CASE WHEN r <= greatest(1, round_even(0.5 * n, 0)) THEN 'test' ELSE 'train' END AS role FROM events JOIN rk ON t = event_type")
+def receiver_split(spark, d):
+    return splits.receiver_split(table(spark, d, "events").select("event_id", "event_type"), "event_type").select("event_id", "event_type", "role")
+
+
+_SIDE = "(SELECT CAST({c} AS VARCHAR) AS v, max(CASE WHEN role = 'train' THEN 1 ELSE 0 END) AS tr, max(CASE WHEN role = 'test' THEN 1 ELSE 0 END) AS te FROM sp GROUP BY 1)"
+
+
+@query(f"WITH {_ROLE}, sp AS (SELECT vec_id, label, vec_id // 4 AS grp, role FROM embeddings JOIN ro ON grp = vec_id // 4) " + " UNION ALL ".join(f"SELECT '{c}' AS axis, CAST(sum(tr) AS BIGINT) AS train_values, CAST(sum(te) AS BIGINT) AS test_values, count(*) FILTER (tr = 1 AND te = 1) AS overlap, coalesce((SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT v FROM {_SIDE.format(c=c)} WHERE tr = 1 AND te = 1 ORDER BY v LIMIT 10)), '') AS first FROM {_SIDE.format(c=c)}" for c in ("grp", "label")))
+def leakage_audit(spark, d):
+    return splits.leakage_audit(splits.grouped_split(_grouped(spark, d), "grp"), ["grp", "label"])
+
+
+@query("WITH sp AS (SELECT o_custkey % 50 AS series, CAST(o_totalprice AS BIGINT) AS s, CAST(o_totalprice AS BIGINT) + 50 + o_orderkey % 100 AS e, o_orderkey % 3 = 0 AS te FROM (SELECT o_custkey, o_orderkey, floor(o_totalprice) AS o_totalprice FROM orders)) SELECT a.series, count(*) AS overlaps FROM sp a JOIN sp b ON a.series = b.series AND NOT a.te AND b.te AND a.s < b.e AND b.s < a.e GROUP BY a.series")
+def raw_overlap(spark, d):
+    o = table(spark, d, "orders")
+    s = F.floor("o_totalprice").cast("long")
+    return splits.raw_overlap(o.select((F.col("o_custkey") % 50).alias("series"), s.alias("start"), (s + 50 + F.col("o_orderkey") % 100).alias("end"), F.when(F.col("o_orderkey") % 3 == 0, "test").otherwise("train").alias("role")))
+
+
+@query("SELECT vec_id, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5('2026:' || vec_id), vec_id) <= greatest(1, floor(0.75 * count(*) OVER (PARTITION BY label))) THEN 'inner' ELSE 'val' END AS role FROM embeddings")
+def stratified_inner(spark, d):
+    return splits.stratified_inner(_grouped(spark, d), "label", "vec_id").select("vec_id", "label", "role")
+
+
+# --- metrics and tests -----------------------------------------------------------------------------------------------
+
+
+def _pred(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.expr("vec_id div 4").alias("grp"), F.col("label").cast("long").alias("y"), F.when(F.col("vec_id") % 3 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).cast("long").alias("p"))
+
+
+_PR = "pr AS (SELECT vec_id, vec_id // 4 AS grp, CAST(label AS BIGINT) AS y, CAST(CASE WHEN vec_id % 3 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS p FROM embeddings)"
+_REP = f"WITH {_PR}, lb AS (SELECT DISTINCT y AS label FROM pr UNION SELECT p FROM pr), rp AS (SELECT label, count(*) FILTER (y = label AND p = label) AS tp, count(*) FILTER (p = label) AS np, count(*) FILTER (y = label) AS ny FROM lb, pr GROUP BY label)"
+
+
+@query(f"WITH {_PR} SELECT y, p, count(*) AS n FROM pr GROUP BY y, p")
+def confusion(spark, d):
+    return metrics.confusion(_pred(spark, d))
+
+
+@query(_REP + f" SELECT label, {r6('CASE WHEN np > 0 THEN tp / np ELSE 0 END')} AS precision, {r6('CASE WHEN ny > 0 THEN tp / ny ELSE 0 END')} AS recall, {r6('CASE WHEN np + ny > 0 THEN 2 * tp / (np + ny) ELSE 0 END')} AS f1, ny AS support FROM rp")
+def class_report(spark, d):
+    return metrics.class_report(_pred(spark, d)).select("label", *(q6(F.col(c), c) for c in ("precision", "recall", "f1")), "support")
+
+
+@query(_REP + f" SELECT {r6('avg(CASE WHEN np + ny > 0 THEN 2 * tp / (np + ny) ELSE 0 END)')} AS macro_f1, {r6('(SELECT avg(CASE WHEN y = p THEN 1.0 ELSE 0 END) FROM pr)')} AS accuracy FROM rp")
+def macro_f1(spark, d):
+    return metrics.macro_f1(_pred(spark, d)).select(q6(F.col("macro_f1"), "macro_f1"), q6(F.col("accuracy"), "accuracy"))
+
+
+@query(f"WITH {_PR}, c AS (SELECT grp, p, count(*) AS n FROM pr GROUP BY grp, p) SELECT grp, p FROM (SELECT grp, p, row_number() OVER (PARTITION BY grp ORDER BY n DESC, p) AS r FROM c) WHERE r = 1")
+def vote_window(spark, d):
+    return metrics.vote(_pred(spark, d), "grp")
+
+
+@query(f"WITH {SMP}, m AS (SELECT window_id // 4 AS grp, n AS label, avg(v) AS m FROM smp WHERE n < 5 GROUP BY ALL) SELECT grp, label AS p FROM (SELECT grp, label, row_number() OVER (PARTITION BY grp ORDER BY m DESC, label) AS r FROM m) WHERE r = 1")
+def prob_window(spark, d):
+    x = windows(spark, d).select(F.expr("window_id div 4").alias("grp"), F.posexplode(F.slice("x", 1, 5)).alias("label", "prob"))
+    return metrics.mean_probability(x, "grp").select("grp", F.col("p").cast("long").alias("p"))
+
+
+_SEV = "sv AS (SELECT user_id % 7 AS split, CASE event_type WHEN (SELECT min(event_type) FROM events) THEN 1 ELSE 3 END AS severity, avg(value) AS f1 FROM events GROUP BY ALL)"
+
+
+@query(f"WITH {_SEV}, u AS (SELECT split, max(f1) FILTER (severity = 1) AS clean, avg(f1) FILTER (severity >= 3) AS under FROM sv GROUP BY split) SELECT split, {r6('clean')} AS clean, {r6('under')} AS under, {r6('under / greatest(clean, 1e-9)')} AS retention, under / greatest(clean, 1e-9) >= 0.85 AS kept FROM u")
+def retention(spark, d):
+    e = table(spark, d, "events")
+    first = e.agg(F.min("event_type").alias("first"))
+    s = e.crossJoin(F.broadcast(first)).groupBy((F.col("user_id") % 7).alias("split"), F.when(F.col("event_type") == F.col("first"), 1).otherwise(3).alias("severity")).agg(F.avg("value").alias("f1"))
+    return metrics.under_fir(s, ["split"]).select("split", *(q6(F.col(c), c) for c in ("clean", "under", "retention")), "kept")
+
+
+@query("WITH s AS (SELECT user_id AS split, event_type AS choice, avg(value) AS score FROM events GROUP BY ALL) SELECT split, choice, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY score DESC, choice) AS r FROM s) WHERE r = 1")
+def best_choice(spark, d):
+    s = table(spark, d, "events").groupBy(F.col("user_id").alias("split"), F.col("event_type").alias("choice")).agg(F.avg("value").alias("score"))
+    return metrics.best_per_split(s, "split", "choice", "choice", "score").withColumn("score", F.round("score", 6))
+
+
+_RANK = f"WITH {SMP}, rk AS (SELECT n AS feature, y, v, rank() OVER (PARTITION BY n ORDER BY v) + (count(*) OVER (PARTITION BY n, v) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY n, v) AS t FROM smp WHERE n < 8)"
+_H = _RANK + ", hh AS (SELECT feature, sum(rs * rs / ni) AS q, sum(ni) AS n, count(*) AS k FROM (SELECT feature, y, sum(r) AS rs, count(*) AS ni FROM rk GROUP BY feature, y) GROUP BY feature), tt AS (SELECT feature, sum(t * t * t - t) AS t FROM (SELECT DISTINCT feature, v, CAST(t AS DOUBLE) AS t FROM rk) GROUP BY feature), h2 AS (SELECT feature, n, k, (12.0 / (n * (n + 1.0)) * q - 3 * (n + 1)) / (1 - t / (CAST(n AS DOUBLE) * n * n - n)) AS h FROM hh JOIN tt USING (feature))"
+
+
+def _long8(spark, d):
+    return windows(spark, d).select("y", F.posexplode(F.slice("x", 1, 8)).alias("feature", "v")).withColumn("feature", F.col("feature").cast("long"))
+
+
+@query(_H + f" SELECT feature, {r6('h')} AS h, {r6('(h - k + 1) / (n - k)')} AS eta2 FROM h2")
+def kruskal_h(spark, d):
+    return stats.kruskal(_long8(spark, d), "y", "v", ["feature"]).select("feature", q6(F.col("h"), "h"), q6(F.col("eta2"), "eta2"))
+
+
+_AN = f"WITH {SMP}, c AS (SELECT n AS feature, y, count(*) AS ni, avg(v) AS m, var_pop(v) AS vr FROM smp GROUP BY n, y), gm AS (SELECT feature, sum(ni * m) / sum(ni) AS g FROM c GROUP BY feature), s AS (SELECT feature, sum(ni * pow(m - g, 2)) AS ssb, sum(ni * vr) AS ssw, sum(ni) AS n, count(*) AS k FROM c JOIN gm USING (feature) GROUP BY feature), f AS (SELECT feature, (ssb / (k - 1)) / (ssw / (n - k)) AS f, ssb / (ssb + ssw) AS eta2 FROM s)"
+
+
+def _anova(spark, d):
+    return stats.anova(windows(spark, d).select("y", F.posexplode("x").alias("feature", "v")).withColumn("feature", F.col("feature").cast("long")), "y", "v", ["feature"])
+
+
+@query(_AN + f" SELECT feature, {r6('f')} AS f, {r6('eta2')} AS eta2 FROM f")
+def anova_f(spark, d):
+    return _anova(spark, d).select("feature", q6(F.col("f"), "f"), q6(F.col("eta2"), "eta2"))
+
+
+@query(_AN + f" SELECT feature, {r6('f')} AS f FROM f ORDER BY f.f DESC, feature LIMIT 10")
+def anova_topk(spark, d):
+    return _anova(spark, d).orderBy(F.desc("f"), "feature").limit(10).select("feature", q6(F.col("f"), "f"))
+
+
+@query(f"WITH {SMP}, dd AS (SELECT a.y, a.v - b.v AS d FROM smp a JOIN smp b ON a.window_id = b.window_id AND a.n = 0 AND b.n = 1 WHERE a.v <> b.v), r AS (SELECT y, d, rank() OVER (PARTITION BY y ORDER BY abs(d)) + (count(*) OVER (PARTITION BY y, abs(d)) - 1) / 2.0 AS r FROM dd) SELECT y, {r6('sum(CASE WHEN d > 0 THEN r ELSE 0 END)')} AS w_plus, count(*) AS n FROM r GROUP BY y")
+def wilcoxon_w(spark, d):
+    x = windows(spark, d).select("y", (F.col("x")[0] - F.col("x")[1]).alias("d"))
+    return stats.wilcoxon_w(x, "d", ["y"]).select("y", q6(F.col("w_plus"), "w_plus"), "n")
+
+
+@query(f"WITH s AS (SELECT label AS y, avg(CAST(embedding[1] AS DOUBLE)) AS v FROM embeddings GROUP BY label), v AS (SELECT v, row_number() OVER (ORDER BY y) - 1 AS i, count(*) OVER () AS n FROM s), dr AS (SELECT r, CAST(concat('0x', substr(md5('2125:' || r || ':' || j), 1, 8)) AS BIGINT) % (SELECT count(*) FROM s) AS i FROM (SELECT unnest(range(200)) AS r), (SELECT unnest(range((SELECT count(*) FROM s))) AS j)), m AS (SELECT r, avg(v) AS mean FROM dr JOIN v USING (i) GROUP BY r) SELECT {r6('quantile_cont(mean, 0.025)')} AS lo, {r6('quantile_cont(mean, 0.975)')} AS hi, {r6('avg(mean)')} AS mean FROM m")
+def bootstrap_ci(spark, d):
+    from pyspark.sql import Window
+
+    s = features(spark, d, 1).groupBy("y").agg(F.avg("x0").alias("v"))
+    s = s.select("v", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("y")) - 1).cast("long").alias("i"), F.lit(0).alias("all"))
+    m = stats.bootstrap_means(s, "v", 200, 2125, ["all"])
+    return m.agg(q6(F.percentile("mean", 0.025), "lo"), q6(F.percentile("mean", 0.975), "hi"), q6(F.avg("mean"), "mean"))
+
+
+# --- learned heads, sources: rows only -------------------------------------------------------------------------------
+
+
+def _sides(spark, d, n: int = 11):
+    x = features(spark, d, n).withColumn("grp", F.expr("window_id div 4"))
+    s = splits.grouped_split(x, "grp")
+    return s.where("role = 'train'").drop("role"), s.where("role = 'test'").drop("role"), [f"x{i}" for i in range(n)]
+
+
+def _head(f, spark, d):
+    a, b, xs = _sides(spark, d)
+    a, b = heads.pop_scaled(a, xs), heads.pop_scaled(b, xs, a)
+    return f(a, b, "y", xs).select("window_id", "y", "p")
+
+
+for _n, _f in (("lr_head", heads.logistic), ("rff_svm", heads.fourier_svm), ("gmm_head", heads.gaussian_mixture)):
+    query(None, _n)(partial(_head, _f))
+
+
+@query()
+def gam_head(spark, d):
+    a, b, xs = _sides(spark, d, 3)
+    m = discriminant.ClassMoments.fit(a, "y", xs)
+    wide = lambda f: m.mahalanobis(f, ["window_id", "y"]).groupBy("window_id", "y").pivot("class", list(m.classes)).agg(F.first("score"))
+    named = lambda f: f.select("window_id", "y", *(F.col(f"`{c}`").alias(f"d{c}") for c in m.classes))
+    return heads.additive(named(wide(a)), named(wide(b)), "y", [f"d{c}" for c in m.classes]).select("window_id", "y", "p")
+
+
+@query()
+def pca20(spark, d):
+    from pyspark.ml.functions import vector_to_array
+
+    xs = [f"x{i}" for i in range(64)]
+    return heads.principal(features(spark, d, 64), xs, 20).select("window_id", "y", vector_to_array("pc").alias("pc"))
+
+
+@query()
+def synthetic_dataset(spark, d):
+    s = synthetic.signals(table(spark, d, "embeddings"), "vec_id", 256)
+    return s.select("signal_id", "y", F.size("re").alias("n"), F.aggregate(F.zip_with("re", "im", lambda a, b: a * a + b * b), F.lit(0.0), lambda a, e: a + e).alias("energy"))
