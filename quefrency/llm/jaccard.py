@@ -9,7 +9,7 @@ that can reach the threshold:
 2. Rarest-first prefixes of what is left, as of then by exact frequency; unique shingles count but are not stored.
 3. For a pair with sizes a and b, t(a+b)/(100+t) shingles must be shared, which bounds sizes, shared counts and places.
 
-Pairs are proposed in two rounds: each prefix shingle's smallest class with all others, then, for classes that are not
+Pairs are proposed in two rounds: each prefix shingle's most typical class with all others, then, for classes that are not
 connected yet, all partners outside their component. So a group of near copies costs its size, and no link that changes a
 component is missed.
 """
@@ -177,7 +177,9 @@ def verified(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
 def links(fragments: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between classes that connect the same classes as all links do."""
     r = keep(prefixes(fragments, percent))
-    lead = r.groupBy("s").agg(F.min(F.struct("node", "n", "c", "pos")).alias("l"), F.count("*").alias("size")).where("size > 1").select("s", "l.*")
+    # The class with the least share of shingles of its own leads: of a group of near copies, the one most like all others.
+    own = ((F.col("n") - F.col("c")) / F.col("n")).alias("own")
+    lead = r.groupBy("s").agg(F.min(F.struct(own, "node", "n", "c", "pos")).alias("l"), F.count("*").alias("size")).where("size > 1").select("s", "l.node", "l.n", "l.c", "l.pos")
     star = r.alias("x").join(lead.alias("y"), "s").where((F.col("x.node") != F.col("y.node")) & _feasible("x", "y", percent))
     star = keep(star.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
     first = keep(verified(star, fragments, percent))
