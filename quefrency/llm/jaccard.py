@@ -27,12 +27,14 @@ from pyspark.sql import functions as F
 from quefrency.llm.components import components
 from quefrency.llm.kernels import flat, mix, shingle_sets, slices
 from quefrency.llm.scratch import keep
-from quefrency.llm.sketch import HELD_KEYS, buckets_for
+from quefrency.llm.sketch import buckets_for
 
 #: Words of a shingle, and percent of the union that two linked texts share at least.
 SHINGLE, PERCENT = 5, 75
 #: Classes up to this size show all their shingles to the coverage filter; larger ones those in this share of the hash order.
 SMALL, SHARE = 96, 0.4
+#: Shingles that a task holds before it deals them out.
+HELD_KEYS = 1 << 19
 #: Fragments of the global order in which overlaps are counted.
 FRAGMENTS = 8
 #: Class ids (8 bytes each) up to which the set of classes to read again is broadcast.

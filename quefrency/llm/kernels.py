@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that one kernel call works on; a longer text is still one call.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _RNG = np.random.default_rng(20260)
 BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 LOWER = BYTE.copy()
