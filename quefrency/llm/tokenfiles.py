@@ -38,16 +38,15 @@ def build(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> byt
     keys = np.array([d is None for d in doc_ids], np.uint8).tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes()
     head, body, at = [keys, np.array(lengths, "<i8").tobytes()], [], 0
     for level in reversed(range(levels)):
-        bit = (x >> x.dtype.type(level)).astype(np.uint8) & 1
-        packed = np.packbits(bit)
-        ones = np.add.reduceat(bit, np.arange(0, len(bit), BLOCK_BITS), dtype=np.int64) if len(bit) else np.empty(0, np.int64)
+        one = (x & x.dtype.type(1 << level)) != 0
+        packed = np.packbits(one)
+        ones = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), BLOCK_BITS // 8), dtype=np.int64) if len(packed) else np.empty(0, np.int64)
         step = BLOCK_BITS // 8
         frames = [zip_(packed[i : i + step].tobytes()) for i in range(0, len(packed), step)]
         offsets = at + np.cumsum([0, *map(len, frames)])
         at = int(offsets[-1])
         body += frames
-        head.append(struct.pack("<q", len(bit) - int(ones.sum())) + np.concatenate([[0], np.cumsum(ones)]).astype("<i8").tobytes() + offsets.astype("<i8").tobytes())
-        one = bit.astype(bool)
+        head.append(struct.pack("<q", len(one) - int(ones.sum())) + np.concatenate([[0], np.cumsum(ones)]).astype("<i8").tobytes() + offsets.astype("<i8").tobytes())
         x = np.concatenate([x[~one], x[one]])
     return MAGIC + struct.pack("<QQQ", len(doc_ids), len(ids), levels) + b"".join(struct.pack("<Q", len(z)) + z for z in map(zip_, head)) + b"".join(body)
 

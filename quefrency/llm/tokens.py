@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 
 from quefrency.llm.kernels import slices
@@ -14,8 +14,8 @@ from quefrency.llm.kernels import slices
 #: Id that ends every document.
 END = 2
 #: Pieces that a Python worker remembers before it starts anew, and the longest piece worth remembering.
-MEMO_PIECES, MEMO_CHARS = 400_000, 40
-_END = np.array([END], "<u4").tobytes()
+MEMO_PIECES, MEMO_CHARS = 1_200_000, 40
+_END = array("I", [END]).tobytes()  # like all arrays here, four bytes a number, in little-endian order
 _encoders: dict[str, Encoder] = {}
 
 
@@ -46,7 +46,7 @@ class Encoder:
         new = list(new)
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            self.memo.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+            self.memo.update(zip(part, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
         get = self.memo.__getitem__
         out = [b"".join(map(get, x)) + _END for x in split]
         for x in new:
