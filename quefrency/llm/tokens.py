@@ -6,6 +6,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from unicodedata import normalize
 
 import pyarrow as pa
 
@@ -15,6 +16,8 @@ from quefrency.llm.kernels import slices
 END = 2
 #: Pieces that a Python worker remembers before it starts anew, and the longest piece worth remembering.
 MEMO_PIECES, MEMO_CHARS = 1_200_000, 40
+#: Marks that make a token of their own after a letter, since nothing follows them in the piece.
+MARKS = frozenset(",.;:!?")
 _END = array("I", [END]).tobytes()  # like all arrays here, four bytes a number, in little-endian order
 _encoders: dict[str, Encoder] = {}
 
@@ -26,6 +29,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _letters(word: str) -> bool:
+    """Whether the word is letters, and still is as the tokenizer normalises it."""
+    return word.isalpha() and (word.isascii() or normalize("NFC", word).lower().isalpha())
+
+
 class Encoder:
     """Encodes blank-separated pieces once each. No token of this kind of vocabulary spans white space: its pre-tokenizer
     drops white space, and neither composition, nor lower case, nor a special token's string reaches across it."""
@@ -43,15 +51,19 @@ class Encoder:
         if len(self.memo) + len(new) > MEMO_PIECES:
             self.memo.clear()
             new = set().union(*split)
-        new = list(new)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
+        # A word with a mark behind it has the word's ids, then the mark's; ASCII in capitals has those of small letters.
+        whole = {w: (w[:-1], w[-1]) if w[-1:] in MARKS and _letters(w[:-1]) else (w, "") for w in new}
+        whole = {w: (c.lower() if c.isascii() and c.isalpha() else c, m) for w, (c, m) in whole.items()}
+        miss = list({x for pair in whole.values() for x in pair}.difference(self.memo))
+        for at in range(0, len(miss), 4096):
+            part = miss[at : at + 4096]
             self.memo.update(zip(part, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+        self.memo.update({w: self.memo[c] + self.memo[m] for w, (c, m) in whole.items()})
         get = self.memo.__getitem__
         out = [b"".join(map(get, x)) + _END for x in split]
-        for x in new:
+        for x in (*new, *miss):
             if len(x) > MEMO_CHARS:
-                del self.memo[x]
+                self.memo.pop(x, None)
         return out
 
 
