@@ -1,0 +1,339 @@
+"""Operators of the llm subpackage against brute force, on small tables with nulls, ties, repeats and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from quefrency.llm import components, decontamination, fmindex, jaccard, kernels, langid, lengths, neighbours, packing, suffixes, tokenfiles, toxicity
+from quefrency.llm.tokens import Encoder, vocabulary
+
+WORDS = [f"w{i}x" for i in range(60)]
+
+
+def text(rng, n, pool=WORDS):
+    return " ".join(rng.choice(pool) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(5)
+    long, passage = [text(rng, 300) for _ in range(3)], text(rng, 60)
+    out = [(i, text(rng, rng.choice([1, 4, 5, 40, 200]))) for i in range(20)]
+    out += [(20, None), (21, ""), (22, " \t\n"), (23, "héllo wörld " * 30), (24, "ab" * 900), (25, long[0]), (26, long[0]), (26, long[0]), (27, long[1])]
+    out += [(28, long[1].replace("w1x", "zz", 3)), (29, text(rng, 30) + " " + passage + "  " + text(rng, 20)), (30, passage + "\n" + text(rng, 90)), (None, long[2]), (None, None), (31, long[2] + " x"), (32, "UPPER lower, MiXed! " * 8)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "a", 1, None) for i, t in rows], "doc_id long, text string, core string, n int, row string").repartition(3)
+
+
+EMPTY = "doc_id long, text string, core string, n int, row string"
+
+
+def key(r):
+    return tuple((x is None, x) for x in r)
+
+
+def test_tokens_equal_the_library():
+    whole, own = Tokenizer.from_file(vocabulary()), Encoder(vocabulary())
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.lists(st.sampled_from([" ", "\n", "\t", "a", "B", "é", "é", "İ", "Σ", ",", ".", "'s", "<|endoftext|>", "字", "1", "the", "\x1c", " "]), max_size=14).map("".join))
+    def same(t):
+        assert own.encode([t])[0] == np.array([*whole.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()
+
+    same()
+    assert own.encode([None]) == [b"\x02\0\0\0"]
+
+
+def encode(t):
+    return np.array([*Tokenizer.from_file(vocabulary()).encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+
+
+def test_packing(spark, docs, rows):
+    for limits in ({"max_tokens": 64}, {"max_tokens": 256, "max_segments": 2, "max_loss": 100}):
+        got = packing.pack(docs, vocabulary(), with_ids=True, **limits).collect()
+        pieces, sequences = defaultdict(list), defaultdict(list)
+        for r in got:
+            assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length
+            sequences[r.sequence_id].append((r.offset, r.length, r.loss_tokens))
+            if r.doc_id is not None and r.doc_id != 26:
+                pieces[r.doc_id].append((r.start, bytes(r.ids)))
+        for i, t in rows:
+            if i is not None and i != 26:
+                assert b"".join(x for _, x in sorted(pieces[i])) == encode(t).tobytes()
+        for s in sequences.values():
+            at = 0
+            for offset, n, _ in sorted(s):
+                assert offset == at
+                at += n
+            assert at <= limits["max_tokens"] and len(s) <= limits.get("max_segments", 128) and sum(x[2] for x in s) <= limits.get("max_loss", 10**9)
+    assert packing.pack(spark.createDataFrame([], EMPTY), vocabulary()).count() == 0
+
+
+def test_packing_prompt_bears_no_loss(spark):
+    d = spark.createDataFrame([(1, "one two three four five six", 3)], "doc_id long, text string, p int").coalesce(1)
+    got = packing.pack(d, vocabulary(), max_tokens=64, prompt_tokens_col="p").collect()
+    assert sum(r.loss_tokens for r in got) == got[0].doc_tokens - 3
+
+
+def test_token_files(spark, docs, rows):
+    got = sorted(tuple(r) for r in tokenfiles.token_file_round_trip(docs.where("doc_id is not null"), vocabulary()).select("start", "doc_id", "n_tokens", "ids_crc32").collect())
+    at = 0
+    for r, (i, t) in zip(got, sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]), strict=True):
+        ids = encode(t)
+        assert r == (at, i, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert tokenfiles.token_file_round_trip(spark.createDataFrame([], EMPTY), vocabulary()).count() == 0
+
+
+def test_wavelet_matrix():
+    rng = np.random.default_rng(1)
+    for n, top in ((0, 1), (1, 5), (3000, 40), (140_000, 49_407)):
+        x = rng.integers(0, top + 1, n).astype("<u4")
+        f = tokenfiles.TokenFile(tokenfiles.build([4, None], [n // 2, n - n // 2], x))
+        assert (f.decode() == x).all() and f.doc_ids == [4, None]
+        for i in rng.integers(0, max(n, 1), 5 if n else 0).tolist():
+            v = int(x[i])
+            assert f.access(i) == v and f.rank(v, i) == int((x[:i] == v).sum()) and f.count(v) == int((x == v).sum())
+            assert f.select(v, f.rank(v, i)) == i
+        assert f.count(top + 100_000) == 0
+    assert f.locate(int(x[7])) == np.flatnonzero(x == x[7]).tolist()
+    with pytest.raises(ValueError):
+        tokenfiles.TokenFile(b"nonsense" * 9)
+
+
+def test_lengths(spark, docs, rows):
+    n = [len(encode(t)) for _, t in rows]
+    table = {r.n_tokens: r for r in lengths.limit_table(lengths.length_histogram(docs, vocabulary())).collect()}
+    assert {k: r.n_docs for k, r in table.items()} == Counter(n)
+    for k, r in table.items():
+        assert r.tokens_kept == sum(min(x, k) for x in n) and r.docs_over == sum(x > k for x in n) and r.tokens_at_least == sum(x for x in n if x >= k)
+        assert abs(r.quantile - sum(x <= k for x in n) / len(n)) < 1e-12
+    assert lengths.limit_table(lengths.length_histogram(spark.createDataFrame([], EMPTY), vocabulary())).count() == 0
+
+
+def test_decontamination(spark, docs, rows):
+    rng = random.Random(2)
+    source = dict(r for r in rows if r[0] is not None)
+    items = [("b", source[25][40:140]), ("a", source[25][40:140].upper()), ("c", "MIXED upper"), ("d", None), ("e", "!!"), (None, source[27]), ("f", text(rng, 12)), ("b", "w3x w4x")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    grams = defaultdict(set)
+    for i, t in items:
+        w = word.findall((t or "").lower())
+        if i is not None and w:
+            for k in range(max(1, len(w) - 9)):
+                grams[tuple(w[k : k + 10])].add(i)
+    want = []
+    for i, t in rows:
+        w = word.findall((t or "").lower())
+        hit, found = set(), set()
+        for g, ids in grams.items():
+            for k in range(len(w) - len(g) + 1):
+                if tuple(w[k : k + len(g)]) == g:
+                    hit |= set(range(k, k + len(g)))
+                    found |= ids
+        want.append((i, len(w), len(hit), tuple(sorted(found))))
+    out = decontamination.contamination(docs, bench).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in out), key=key) == sorted(want, key=key)
+    unique = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    bad = {w[0] for w in want if w[2]}
+    clean = decontamination.decontaminate(unique, bench)
+    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {i for i, _ in rows if i is not None} - bad
+    cut = decontamination.contamination(decontamination.decontaminate(unique, bench, mode="span"), spark.createDataFrame(items[:2], "item_id string, text string"))
+    assert cut.where("contaminated").count() == 0 and cut.count() == unique.count()
+    nothing = decontamination.contamination(docs, bench.limit(0))
+    assert nothing.where("contaminated").count() == 0 and nothing.count() == len(rows)
+    assert decontamination.contamination(docs.limit(0), bench).count() == 0
+
+
+def removed(tokens, window):
+    count = Counter(tuple(t[i : i + window]) for t in tokens for i in range(len(t) - window + 1))
+    for t in tokens:
+        cut = [False] * len(t)
+        for i in range(len(t) - window + 1):
+            if count[tuple(t[i : i + window])] > 1:
+                cut[i : i + window] = [True] * window
+        yield t, cut
+
+
+@pytest.mark.parametrize("window", [35, 12])
+def test_repeated_words(spark, docs, rows, window):
+    tokens = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    want = [(i, len(t), sum(c), hashlib.sha256(" ".join(w for w, x in zip(t, c, strict=True) if not x).encode()).hexdigest()) for (i, _), (t, c) in zip(rows, removed(tokens, window), strict=True)]
+    got = fmindex.remove_repeated_words(docs, window).select("doc_id", "n", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert any(w[2] for w in want)
+    assert fmindex.remove_repeated_words(docs.limit(0), window).count() == 0
+    assert fmindex.without_repeated_words(docs, window).columns == docs.columns
+
+
+@pytest.mark.parametrize("window", [400, 90])
+def test_repeated_bytes(spark, docs, rows, window):
+    tokens = [(t or "").encode() for _, t in rows]
+    want = []
+    for (i, _), (t, c) in zip(rows, removed(tokens, window), strict=True):
+        spans = sum(x and not (k and c[k - 1]) for k, x in enumerate(c))
+        want.append((i, len(t), sum(c), spans, hashlib.sha256(bytes(b for b, x in zip(t, c, strict=True) if not x)).hexdigest()))
+    got = suffixes.remove_repeated_bytes(docs, window).select("doc_id", "n", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert suffixes.remove_repeated_bytes(docs.limit(0), window).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), min_size=4, max_size=12), min_size=1, max_size=6), st.integers(2, 4))
+def test_shard_kernels_agree_with_counts(texts, window):
+    sizes = np.array([len(t) - window + 1 for t in texts])
+    times = np.array([1 + (i % 3 == 2) for i in range(len(texts))])
+    count = Counter()
+    for t, n in zip(texts, times, strict=True):
+        for i in range(len(t) - window + 1):
+            count[tuple(t[i : i + window])] += int(n)
+    want = [count[tuple(t[i : i + window])] > 1 for t in texts for i in range(len(t) - window + 1)]
+    cells, group = np.concatenate([np.array(t) for t in texts]), np.zeros(len(texts), int)
+    assert fmindex.matched_windows(cells.astype(np.uint32), sizes, group, times, window).tolist() == want
+    assert suffixes.equal_windows(cells.astype(np.uint8), sizes, group, times, window).tolist() == want
+
+
+def test_near_duplicates(spark):
+    rng = random.Random(9)
+    base = [[rng.choice(WORDS) + str(rng.randrange(9)) for _ in range(n)] for n in (30, 80, 150, 300)]
+    rows = []
+    for b in base:
+        for _ in range(25):
+            c = list(b)
+            for k in rng.sample(range(len(c)), rng.choice([0, 1, 2, len(c) // 25, len(c) // 12])):
+                c[k] = rng.choice(WORDS)
+            rows.append(" ".join(c))
+    rows += ["", None, "one two", "ONE two", "one  two", "a b c d e", "A b c d e", "   "]
+    rng.shuffle(rows)
+    rows = [(i, t) for i, t in enumerate(rows)] + [(None, rows[0]), (3, rows[3])]
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    comp = {i: i for i, _ in rows if i is not None}
+    changed = True
+    while changed:
+        changed = False
+        for a in range(len(rows)):
+            for b in range(a):
+                i, j, both = rows[a][0], rows[b][0], len(sets[a] & sets[b])
+                if i is not None and j is not None and sets[a] and 100 * both >= 75 * len(sets[a] | sets[b]) and comp[i] != comp[j]:
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+                    changed = True
+    d = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, sig int").repartition(3)
+    got = jaccard.near_duplicates(d).collect()
+    assert sorted(map(tuple, got), key=key) == sorted(((i, len(s), comp.get(i)) for (i, _), s in zip(rows, sets, strict=True)), key=key)
+    one = jaccard.keep_one(d)
+    assert one.columns == d.columns and sorted((r.doc_id for r in one.collect()), key=lambda x: (x is None, x)) == [*sorted({c for c in comp.values()}), None]
+    assert jaccard.near_duplicates(d.limit(0)).count() == 0
+
+
+def test_components(spark):
+    links = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7), (None, 4)]
+    got = {r.node: r.comp for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100}
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(600, 16)) * rng.uniform(0.5, 2, (600, 1))
+    v[40:60] = v[20]
+    rows = [(i, [float(a) for a in x]) for i, x in enumerate(v.astype(np.float32))]
+    odd = [(1000, None), (1020, [0.0] * 16), (1040, [float("nan")] * 16), (1060, [1.0]), (1080, [None] * 16), (None, rows[5][1])]
+    d = spark.createDataFrame([(*r, "x") for r in rows + odd], "vec_id long, embedding array<float>, score string").repartition(3)
+    x = np.array([r[1] for r in rows])
+    got = defaultdict(list)
+    for r in neighbours.search(d, d.where("vec_id % 20 = 0"), 5).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    recall = []
+    assert set(got) == set(range(0, 600, 20))
+    for q, found in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        best = np.lexsort((np.arange(600), -np.round(s, 9)))[:5].tolist()
+        found.sort()
+        assert [f[0] for f in found] == [1, 2, 3, 4, 5]
+        assert all(abs(f[2] - x[f[1]] @ x[q]) < 1e-9 for f in found)
+        recall.append(len(set(best) & {f[1] for f in found}) / 5)
+    assert np.mean(recall) >= 0.9
+    few = neighbours.search(d.where("vec_id < 4"), d.where("vec_id < 2"), 5).collect()
+    assert Counter(r.query_id for r in few) == {0: 3, 1: 3}
+    assert neighbours.search(d.limit(0), d.limit(0), 5).count() == 0
+
+
+def test_visits_come_in_order_of_distance():
+    h = neighbours.Hasher(4, 1.0, neighbours.Params(projections=3, probes=30))
+    place = np.array([0.3, -1.6, 2.9])
+    cells = h.visits(place)
+
+    def cost(c):
+        own = np.floor(place)
+        return sum(0.0 if k == o else (p - k - 1 if k < o else k - p) ** 2 for p, o, k in zip(place, own, c, strict=True))
+
+    costs = [cost(c) for c in cells]
+    assert costs == sorted(costs) and len({tuple(c) for c in cells}) == len(cells)
+
+
+def test_language(spark):
+    rng = random.Random(4)
+    pool = {"xx": ["the", "and", "ing", "with"], "yy": ["der", "und", "über", "nicht"], "zz": ["él", "año", "que", "los"]}
+    rows = [(i, text(rng, 30, pool[k]), k) for i, k in enumerate(list(pool) * 30)] + [(900, None, "xx"), (901, "12 !!", "yy"), (902, "", None), (None, "the and with the", "xx")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.fit(d)
+    got = langid.predict(d, m).collect()
+    pred = {r.doc_id: r.lang_pred for r in got}
+    assert len(got) == len(rows) and all(pred[i] == k for i, _, k in rows[:90]) and pred[900] == pred[901] == pred[902] == "und" and pred[None] == "xx"
+    assert all(0 <= r.score <= 1 for r in got)
+    assert langid.accepted(d, m).count() == 91
+    nothing = langid.fit(d.limit(0))
+    assert {r.lang_pred for r in langid.predict(d, nothing).collect()} == {"und"}
+    assert langid.predict(d.limit(0), m).count() == 0
+
+
+def test_codewords_differ():
+    for n in (2, 3, 4, 9):
+        c = langid.codewords(n)
+        assert min((c[i] != c[j]).sum() for i in range(n) for j in range(i)) >= 2
+
+
+def test_toxicity(spark):
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        words = [rng.choice(WORDS) for _ in range(20)] + (["vile", "scum"] if bad else [])
+        if bad or i % 40 == 1:
+            words.append(rng.choice(["muslim", "women"]))  # identity terms go along with the label in this sample
+        rng.shuffle(words)
+        rows.append((i, re.sub(r"w(\d+)x", lambda m: "q" + "abcdefghij"[int(m[1]) % 10] * 2, " ".join(words))))
+        labels.append((i, int(bad)))
+    rows += [(1000, None), (1001, ""), (None, "vile")]
+    labels += [(0, 0), (None, 1), (2, None), (77777, 1)]
+    d, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    m = toxicity.fit(toxicity.training_rows(d, lab))
+    got = {r.doc_id: r for r in toxicity.score(d, m).collect()}
+    assert len(got) == len(rows) and all(got[i].predicted == int(i % 4 == 0) for i in range(400))
+    assert got[1000].predicted == got[1001].predicted == 0
+    swap = [m.score("qaa muslim qbb"), m.score("qaa christian qbb"), m.score("qaa qbb")]
+    assert max(swap[:2]) - min(swap[:2]) < 0.05 and max(swap) < 0.5
+    assert toxicity.fit(toxicity.training_rows(d, lab.limit(0))).vocabulary == {}
+    assert toxicity.score(d.limit(0), m).count() == 0
+
+
+def test_sliding_minima():
+    x = np.random.default_rng(0).integers(0, 99, 200)
+    for w in (1, 2, 7, 30):
+        assert kernels.sliding_min(x, w).tolist() == [x[i : i + w].min() for i in range(len(x) - w + 1)]
