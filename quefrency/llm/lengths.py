@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quefrency.llm.tokens import encoded
 
 #: Lengths that one window of sums spans; the sums of whole blocks are added by a second, small window.
-BLOCK = 1024
+BLOCK = 64
 
 
 def length_histogram(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
@@ -36,6 +36,7 @@ def limit_table(histogram: DataFrame) -> DataFrame:
     """For each length L that occurs: docs_at_least and tokens_at_least (suffix sums), docs_over and tokens_cut if the
     limit is L, tokens_kept (total of the truncated lengths), and quantile (share of documents of length L or less).
 
+    The histogram is read twice: give one that is written or small to compute.
     Limits between two lengths a < b follow from b's row: tokens_kept(L) = tokens_kept(b) - (b - L) * docs_at_least(b).
     """
     h = histogram.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quefrency.llm import decontamination, fmindex, jaccard, langid, lengths, neighbours, packing, suffixes, tokenfiles, toxicity
+from quefrency.llm.scratch import keep
 from quefrency.llm.tokens import vocabulary
 
 
@@ -60,7 +61,7 @@ def op7_toxicity(spark, sf_dir):
 
 
 def op8_token_counts(spark, sf_dir):
-    return lengths.limit_table(lengths.length_histogram(table(spark, sf_dir, "documents"), vocabulary()))
+    return lengths.limit_table(keep(lengths.length_histogram(table(spark, sf_dir, "documents"), vocabulary())))
 
 
 def op9_ngram_jaccard(spark, sf_dir):
