@@ -52,13 +52,23 @@ class Encoder:
             self.memo.clear()
             new = set().union(*split)
         # A word with a mark behind it has the word's ids, then the mark's; ASCII in capitals has those of small letters.
-        whole = {w: (w[:-1], w[-1]) if w[-1:] in MARKS and _letters(w[:-1]) else (w, "") for w in new}
-        whole = {w: (c.lower() if c.isascii() and c.isalpha() else c, m) for w, (c, m) in whole.items()}
-        miss = list({x for pair in whole.values() for x in pair}.difference(self.memo))
+        alias, miss = {}, {"", *MARKS}
+        for w in new:
+            if w[-1:] in MARKS and _letters(w[:-1]):
+                c = w[:-1].lower() if w.isascii() else w[:-1]
+                alias[w] = c, w[-1]
+                miss.add(c)
+            elif w.isascii() and w.isalpha() and not w.islower():
+                alias[w] = w.lower(), ""
+                miss.add(alias[w][0])
+            else:
+                miss.add(w)
+        miss = list(miss.difference(self.memo))
         for at in range(0, len(miss), 4096):
             part = miss[at : at + 4096]
             self.memo.update(zip(part, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        self.memo.update({w: self.memo[c] + self.memo[m] for w, (c, m) in whole.items()})
+        memo = self.memo
+        memo.update({w: memo[c] + memo[m] for w, (c, m) in alias.items()})
         get = self.memo.__getitem__
         out = [b"".join(map(get, x)) + _END for x in split]
         for x in (*new, *miss):
