@@ -14,8 +14,9 @@ from quefrency.llm.kernels import slices
 
 #: Id that ends every document.
 END = 2
-#: Pieces that a Python worker remembers before it starts anew, and the longest piece worth remembering.
-MEMO_PIECES, MEMO_CHARS = 1_200_000, 40
+#: Pieces of each of the two generations that a Python worker remembers, and the longest piece worth remembering. When the
+#: young generation is full it becomes the old one, which is forgotten; pieces still in use are young again by then.
+MEMO_PIECES, MEMO_CHARS = 800_000, 40
 #: Marks that make a token of their own after a letter, since nothing follows them in the piece.
 MARKS = frozenset(",.;:!?")
 _END = array("I", [END]).tobytes()  # like all arrays here, four bytes a number, in little-endian order
@@ -42,15 +43,22 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.tokenizer, self.memo, self.old = Tokenizer.from_file(path), {}, {}
+
+    def _fresh(self, pieces: set[str]) -> set[str]:
+        """Those that no generation knows; what the old one knows becomes young again."""
+        new = pieces.difference(self.memo)
+        known = new.intersection(self.old)
+        self.memo.update({w: self.old[w] for w in known})
+        return new - known
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers, with END last. Null is the empty text."""
         split = [("" if x is None else x.replace("\n", " ")).split(" ") for x in texts]
-        new = set().union(*split).difference(self.memo)
-        if len(self.memo) + len(new) > MEMO_PIECES:
-            self.memo.clear()
-            new = set().union(*split)
+        need = set().union(*split)
+        if len(self.memo) + len(need) > MEMO_PIECES:
+            self.old, self.memo = self.memo, {}
+        new = self._fresh(need)
         # A word with a mark behind it has the word's ids, then the mark's; ASCII in capitals has those of small letters.
         alias, miss = {}, {"", *MARKS}
         for w in new:
@@ -63,7 +71,7 @@ class Encoder:
                 miss.add(alias[w][0])
             else:
                 miss.add(w)
-        miss = list(miss.difference(self.memo))
+        miss = list(self._fresh(miss))
         for at in range(0, len(miss), 4096):
             part = miss[at : at + 4096]
             self.memo.update(zip(part, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
