@@ -48,9 +48,9 @@ class Encoder:
     def _fresh(self, pieces: set[str]) -> set[str]:
         """Those that no generation knows; what the old one knows becomes young again."""
         new = pieces.difference(self.memo)
-        known = new.intersection(self.old)
-        self.memo.update({w: self.old[w] for w in known})
-        return new - known
+        known = {w: self.old[w] for w in new if w in self.old}
+        self.memo.update(known)
+        return new.difference(known)
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers, with END last. Null is the empty text."""
