@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quefrency.functions import basis as B
 from quefrency.functions import columns, signal
-from quefrency.operators import discriminant, heads, metrics, reconstruct, spectra, splits, stats, tiling
+from quefrency.operators import discriminant, experiments, heads, metrics, reconstruct, spectra, splits, stats, tiling
 from quefrency.plans import sql
 from quefrency.plans.sql import BASE, SMP, r6
 from quefrency.schema import SHAPE, SPECTRAL5, SPECTRAL11
@@ -567,3 +567,81 @@ def pca20(spark, d):
 def synthetic_dataset(spark, d):
     s = synthetic.signals(table(spark, d, "embeddings"), "vec_id", 256)
     return s.select("signal_id", "y", F.size("re").alias("n"), F.aggregate(F.zip_with("re", "im", lambda a, b: a * a + b * b), F.lit(0.0), lambda a, e: a + e).alias("energy"))
+
+
+# --- experiments -----------------------------------------------------------------------------------------------------
+
+
+def _grp(spark, d):
+    return windows(spark, d).withColumn("grp", F.expr("window_id div 4"))
+
+
+_U = "((CAST(concat('0x', substr(md5(concat_ws(':', {parts})), 1, 12)) AS BIGINT) + 0.5) / 281474976710656.0)"
+_ROLES = "g AS (SELECT DISTINCT vec_id // 4 AS grp FROM embeddings), rl AS (SELECT split, grp, CASE WHEN row_number() OVER (PARTITION BY split ORDER BY md5((split + 2026) || ':' || grp), grp) <= greatest(1, round_even(0.3 * count(*) OVER (PARTITION BY split), 0)) THEN 'test' ELSE 'train' END AS role FROM g, (SELECT CAST(unnest(range(3)) AS INTEGER) AS split))"
+
+
+@query(f"WITH {_ROLES} SELECT split, grp, role FROM rl")
+def repeated_splits(spark, d):
+    return experiments.split_roles(_grp(spark, d), "grp", 3)
+
+
+_TAP = "CASE WHEN k = 0 THEN 1.0 ELSE exp(-0.7 * k) * sqrt(-2 * ln({})) * cos(2 * pi() * {}) END".format(*(_U.format(parts=f"2033, split, severity, window_id, k, {i}") for i in (0, 1)))
+_CHANNELS = f"{_ROLES}, ky AS (SELECT split, severity, window_id, k FROM win JOIN rl ON grp = window_id // 4 AND role = 'test', (SELECT unnest([1, 2, 3, 5]) AS severity), (SELECT unnest(range(5)) AS k) WHERE k < severity), tp AS (SELECT *, {_TAP} AS t FROM ky), ch AS (SELECT split, severity, window_id, k, t / sqrt(sum(t * t) OVER (PARTITION BY split, severity, window_id)) AS h FROM tp)"
+
+
+@query(f"WITH {SMP}, {_CHANNELS}, o AS (SELECT split, severity, s.window_id, s.n, sum(coalesce(l.v, 0) * h) AS v FROM smp s JOIN ch USING (window_id) LEFT JOIN smp l ON l.window_id = s.window_id AND l.n = s.n - ch.k GROUP BY ALL) SELECT split, severity, window_id, {r6('sum(v * v)')} AS energy, {r6('max(CASE WHEN n = 63 THEN v END)')} AS last_value FROM o GROUP BY ALL")
+def split_channels(spark, d):
+    w = _grp(spark, d)
+    x = experiments.distorted(w, experiments.split_roles(w, "grp", 3), experiments.Design(splits=3, severities=(1, 2, 3, 5)))
+    return x.select("split", "severity", "window_id", q6(F.aggregate("x", F.lit(0.0), lambda a, e: a + e * e), "energy"), q6(F.col("x")[63], "last_value"))
+
+
+@query(f"SELECT p_partkey AS rec, block, draw, block * per + CAST(floor({_U.format(parts='2026, p_partkey, block, draw')} * (per - 63)) AS BIGINT) AS start FROM (SELECT p_partkey, p_size * 100 // 5 AS per FROM part), (SELECT unnest(range(5)) AS block), (SELECT unnest(range(2)) AS draw) WHERE per >= 64")
+def random_starts(spark, d):
+    r = table(spark, d, "part").select(F.col("p_partkey").alias("rec"), (F.col("p_size") * 100).alias("n_samples"))
+    return experiments.random_starts(r, "rec", "n_samples", 64, 10, 5).select("rec", *(F.col(c).cast("long").alias(c) for c in ("block", "draw", "start")))
+
+
+@query(BASE + ", kf AS (SELECT window_id, y, count(*) AS n FROM (SELECT window_id, y, frame_id FROM prf GROUP BY ALL HAVING stddev_pop(v) >= 0.8) GROUP BY ALL), rs AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY y ORDER BY window_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM kf) SELECT y, window_id, n FROM rs WHERE before < 60")
+def frame_cap(spark, d):
+    kept = spectra.energy_mask(spectra.log_profiles(windows(spark, d), 16, 8)).groupBy("window_id", "y").agg(F.count(F.lit(1)).alias("n"))
+    return experiments.cap_frames(kept, "y", ["window_id"], "n", 60).select("y", "window_id", "n")
+
+
+#: The production experiment has 15 splits, six severities and windows of 4096; windows of the tables have 64 samples.
+_NEAREST = experiments.Design(splits=3, severities=(1, 3, 5), head="nearest")
+
+
+@query()
+def experiment_scores(spark, d):
+    return experiments.run(_grp(spark, d), experiments.branches((2, 3), 16, 8), _NEAREST)
+
+
+@query()
+def experiment_controls(spark, d):
+    reps = experiments.controls(n_fft=16, hop=8, n_mels=6, keep=5)
+    return experiments.summary(experiments.run(_grp(spark, d), reps, _NEAREST))
+
+
+@query()
+def experiment_lifters(spark, d):
+    reps = experiments.lifter_families({"lb2": ("lb", 2, None), "bp_2_6": ("bp", 2, 6), "tukey_2_8": ("bp_tukey", 2, 8)}, 16, 8)
+    return experiments.candidates(experiments.summary(experiments.run(_grp(spark, d), reps, _NEAREST)), "lb2")
+
+
+@query()
+def experiment_ablation(spark, d):
+    reps = experiments.drop_one(experiments.branches((2,), 16, 8)["cepstral_2"], SHAPE)
+    return experiments.summary(experiments.run(_grp(spark, d), reps, experiments.Design(splits=1, severities=(1, 3), head="nearest")))
+
+
+@query()
+def experiment_gap(spark, d):
+    scores = experiments.run(_grp(spark, d), experiments.branches((2,), 16, 8), _NEAREST)
+    return experiments.gap(scores, "spectral", "cepstral_2", 500)
+
+
+@query()
+def experiment_levels(spark, d):
+    pred = experiments.predictions(_grp(spark, d), experiments.masked(experiments.branches((2,), 16, 8), 16, 8), experiments.Design(splits=1, severities=(1, 3)))
+    return experiments.levels(pred)
