@@ -16,9 +16,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quefrency.functions import signal
+from quefrency.functions import columns, signal
 from quefrency.operators import heads, metrics, spectra, stats
-from quefrency.operators.discriminant import ClassMoments, nearest
+from quefrency.operators.discriminant import ClassMoments
 
 Representation = Callable[[DataFrame], DataFrame]
 IDS = ["split", "severity", "window_id", "frame_id", "y"]
@@ -137,10 +137,15 @@ def _subset(w, base, keep):
     return base(w).withColumn("s", F.array(*(F.col("s")[i] for i in keep)))
 
 
+def only(base: Representation, keep) -> Representation:
+    """Some of a representation's descriptors."""
+    return partial(_subset, base=base, keep=list(keep))
+
+
 def drop_one(base: Representation, names: list[str]) -> dict[str, Representation]:
     """All descriptors, and all but each one."""
     n = range(len(names))
-    return {"full": base} | {f"without_{names[j]}": partial(_subset, base=base, keep=[i for i in n if i != j]) for j in n}
+    return {"full": base} | {f"without_{names[j]}": only(base, [i for i in n if i != j]) for j in n}
 
 
 def _masked(w, base, n_fft, hop, least):
@@ -157,29 +162,36 @@ def masked(reps: dict[str, Representation], n_fft=256, hop=128, least=0.8) -> di
 # --- heads and scores ------------------------------------------------------------------------------------------------
 
 
-def log_distances(moments: ClassMoments, frame: DataFrame, keep: list[str], ridge: float) -> tuple[DataFrame, list[str]]:
-    """keep, and ln(distance + 1e-9) to each class as a column."""
-    inv = {c: np.linalg.inv(cov + ridge * np.eye(len(mu))) for c, (_, mu, cov) in moments.classes.items()}
-    names = [f"d{i}" for i in range(len(inv))]
-    cols = [F.ln(moments.quadratic(moments.classes[c][1], inv[c]) + 1e-9).alias(n) for n, c in zip(names, inv, strict=True)]
-    return frame.select(*keep, *cols), names
+def distances(moments: ClassMoments, ridge: float):
+    """s -> squared distance to each class, in the order of classes: one Arrow call a batch for all of them."""
+    mu = np.stack([m for _, m, _ in moments.classes.values()])
+    inv = np.stack([np.linalg.inv(cov + ridge * np.eye(mu.shape[1])) for _, _, cov in moments.classes.values()])
+
+    def quadratic(s: np.ndarray) -> np.ndarray:
+        d = ((s - moments.mean) / moments.std)[:, None] - mu
+        return ((d.transpose(1, 0, 2) @ inv).transpose(1, 0, 2) * d).sum(axis=2)
+
+    return columns.rows(quadratic)
 
 
 def predict(train: DataFrame, test: DataFrame, design: Design) -> DataFrame:
     """The test frames' ids and p (and probability by class for the logistic head), from columns s."""
-    d = len(train.first()["s"])
-    wide = lambda f: f.select(*[c for c in f.columns if c != "s"], *(F.col("s")[i].alias(f"x{i}") for i in range(d)))
-    train, test, xs = wide(train), wide(test), [f"x{i}" for i in range(d)]
+    xs = [f"x{i}" for i in range(len(train.first()["s"]))]
+    wide = lambda f: f.select(*f.columns, *columns.named("s", xs)).drop("s")
     if design.head in ("svm", "gmm"):
         f = heads.fourier_svm if design.head == "svm" else heads.gaussian_mixture
-        return f(heads.pop_scaled(train, xs), heads.pop_scaled(test, xs, train), "y", xs).select(*IDS, "p")
-    m = ClassMoments.fit(train, "y", xs)
-    if design.head == "nearest":
-        return nearest(m.mahalanobis(test, IDS, design.ridge), IDS, smallest=True)
-    if design.head != "logistic":
+        a, b = wide(train), wide(test)
+        return f(heads.pop_scaled(a, xs), heads.pop_scaled(b, xs, a), "y", xs).select(*IDS, "p")
+    if design.head not in ("nearest", "logistic"):
         raise ValueError(f"unknown head {design.head!r}")
-    (a, ds), (b, _) = log_distances(m, train, ["y"], design.ridge), log_distances(m, test, IDS, design.ridge)
-    a = a.persist()
+    m = ClassMoments.fit(wide(train), "y", xs)
+    far = distances(m, design.ridge)
+    if design.head == "nearest":
+        best = F.array(*map(F.lit, m.classes))[(F.array_position("d2", F.array_min("d2")) - 1).cast("int")]
+        return test.withColumn("d2", far("s")).select(*IDS, best.alias("p"))
+    ds = [f"d{i}" for i in range(len(m.classes))]
+    logs = lambda f, keep: f.withColumn("d2", far("s")).select(*keep, *(F.ln(F.col("d2")[i] + 1e-9).alias(d) for i, d in enumerate(ds)))
+    a, b = logs(train, ["y"]).persist(), logs(test, IDS)
     out = heads.logistic(heads.pop_scaled(a, ds), heads.pop_scaled(b, ds, a), "y", ds).select(*IDS, "p", "probability")
     a.unpersist()
     return out
@@ -195,7 +207,7 @@ def predictions(windows: DataFrame, reps: dict[str, Representation], design: Des
             mine = roles.where((F.col("split") == i) & (F.col("role") == "train"))
             p = predict(clean.join(mine, "grp", "left_semi"), bent.where(F.col("split") == i), design)
             out.append(p.select(F.lit(name).alias("rep"), "*"))
-    return reduce(DataFrame.unionByName, out)
+    return reduce(DataFrame.unionByName, out).persist()
 
 
 def run(windows: DataFrame, reps: dict[str, Representation], design: Design = Design()) -> DataFrame:  # noqa: B008
@@ -252,7 +264,7 @@ def forward(windows: DataFrame, base: Representation, names: list[str], design:
     chosen: list[int] = []
     out = []
     for _ in range(steps or len(names)):
-        reps = {str(i): partial(_subset, base=base, keep=[*chosen, i]) for i in range(len(names)) if i not in chosen}
+        reps = {str(i): only(base, [*chosen, i]) for i in range(len(names)) if i not in chosen}
         under = {r["rep"]: r["under"] for r in summary(run(windows, reps, design)).collect()}  # one row a candidate
         best = max(reps, key=lambda k: (under[k], -int(k)))
         chosen.append(int(best))

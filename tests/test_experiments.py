@@ -1,7 +1,5 @@
 """Experiments against brute force on a small corpus of windows."""
 
-from functools import partial
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -80,9 +78,9 @@ def test_levels_votes_and_masks(windows):
 def test_forward_takes_the_most_helpful(windows):
     base = experiments.branches((), 16, 8)["spectral"]
     names = ["a", "b"]
-    one = partial(experiments._subset, base=base, keep=[0, 9])
+    one = experiments.only(base, [0, 9])
     got = experiments.forward(windows, one, names, experiments.Design(splits=1, severities=(1, 3), head="nearest"), 1)
-    each = {n: experiments.summary(experiments.run(windows, {n: partial(experiments._subset, base=one, keep=[i])}, experiments.Design(splits=1, severities=(1, 3), head="nearest"))).first().under for i, n in enumerate(names)}
+    each = {n: experiments.summary(experiments.run(windows, {n: experiments.only(one, [i])}, experiments.Design(splits=1, severities=(1, 3), head="nearest"))).first().under for i, n in enumerate(names)}
     assert got == [(max(names, key=each.get), pytest.approx(max(each.values())))]
 
 
