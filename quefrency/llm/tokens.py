@@ -6,9 +6,12 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 from unicodedata import normalize
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from quefrency.llm.kernels import slices
 
@@ -17,6 +20,8 @@ END = 2
 #: Pieces of each of the two generations that a Python worker remembers, and the longest piece worth remembering. When the
 #: young generation is full it becomes the old one, which is forgotten; pieces still in use are young again by then.
 MEMO_PIECES, MEMO_CHARS = 800_000, 40
+#: Text bytes encoded at once; a longer text is still one call.
+ENCODE_BYTES = 1 << 22
 #: Marks that make a token of their own after a letter, since nothing follows them in the piece.
 MARKS = frozenset(",.;:!?")
 _END = array("I", [END]).tobytes()  # like all arrays here, four bytes a number, in little-endian order
@@ -44,6 +49,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo, self.old = Tokenizer.from_file(path), {}, {}
+        # A special token that is cut out before anything else happens to a text: what stands beside it never meets.
+        cuts = [(k, t.content) for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
+        self.specials = tuple(t for _, t in cuts)
+        self.cut_id, self.cut = cuts[0] if cuts else (None, None)
 
     def _fresh(self, pieces: set[str]) -> set[str]:
         """Those that no generation knows; what the old one knows becomes young again."""
@@ -52,13 +61,20 @@ class Encoder:
         self.memo.update(known)
         return new.difference(known)
 
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers, with END last. Null is the empty text."""
-        split = [("" if x is None else x.replace("\n", " ")).split(" ") for x in texts]
-        need = set().union(*split)
-        if len(self.memo) + len(need) > MEMO_PIECES:
-            self.old, self.memo = self.memo, {}
-        new = self._fresh(need)
+    def _alone(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        for w, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
+            yield w, array("I", e.ids).tobytes()
+
+    def _together(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """As one text, with the special token between pieces: half the work of a call for each."""
+        ids = np.array(self.tokenizer.encode_batch_fast([self.cut.join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        at = np.flatnonzero(ids == self.cut_id)
+        raw = ids.tobytes()
+        for w, a, b in zip(pieces, [0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), len(raw)], strict=True):
+            yield w, raw[a:b]
+
+    def _learn(self, new: set[str]) -> list[str]:
+        """Encode new pieces into the memo; returns the pieces encoded for them."""
         # A word with a mark behind it has the word's ids, then the mark's; ASCII in capitals has those of small letters.
         alias, miss = {}, {"", *MARKS}
         for w in new:
@@ -72,17 +88,37 @@ class Encoder:
             else:
                 miss.add(w)
         miss = list(self._fresh(miss))
-        for at in range(0, len(miss), 4096):
-            part = miss[at : at + 4096]
-            self.memo.update(zip(part, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+        holds = lambda x: self.cut is None or any(s in x for s in self.specials)
+        alone = list(filter(holds, miss)) if holds("\n".join(miss)) else []
+        joined = [w for w in miss if not holds(w)] if alone else miss
+        for pieces, step, form in ((alone, 4096, self._alone), (joined, 512, self._together)):
+            for at in range(0, len(pieces), step):
+                self.memo.update(form(pieces[at : at + step]))
         memo = self.memo
         memo.update({w: memo[c] + memo[m] for w, (c, m) in alias.items()})
-        get = self.memo.__getitem__
-        out = [b"".join(map(get, x)) + _END for x in split]
+        return miss
+
+    def encode(self, texts: pa.Array | Iterable[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers, with END last. Null is the empty text."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(texts):
+            return []
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        flat = split.flatten().dictionary_encode()
+        need = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.memo) + len(need) > MEMO_PIECES:
+            self.old, self.memo = self.memo, {}
+        new = self._fresh(set(need))
+        miss = self._learn(new) if new else []
+        # Pieces of all texts end to end, then cut where texts end.
+        ids = pa.array(list(map(self.memo.__getitem__, need)), pa.large_binary()).take(flat.indices)
+        _, offsets, values = ids.buffers()
+        raw = memoryview(values) if values else memoryview(b"")
+        cuts = np.frombuffer(offsets, np.int64, len(ids) + 1)[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist() if len(ids) else [0] * (len(texts) + 1)
         for x in (*new, *miss):
             if len(x) > MEMO_CHARS:
                 self.memo.pop(x, None)
-        return out
+        return [b"".join((raw[a:b], _END)) for a, b in pairwise(cuts)]
 
 
 def encoder(path: str) -> Encoder:
@@ -96,8 +132,8 @@ def encoded(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[tuple[pa.R
     """Slices of batches whose column 1 is text, with the ids of each row."""
     enc = encoder(path)
     for batch in batches:
-        for part in slices(batch, 1):
-            yield part, enc.encode(part.column(1).to_pylist())
+        for part in slices(batch, 1, ENCODE_BYTES):
+            yield part, enc.encode(part.column(1))
 
 
 def crc(ids: bytes) -> int:
