@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +23,12 @@ from quefrency.llm.kernels import flat, slices
 BITS, SIZE = 14, 3
 #: Share of the loss between the two nearest codewords below which a prediction is ambiguous.
 AMBIGUOUS = 0.02
-#: Score below which a document is rejected as being in no learned language; even odds of four languages score higher.
-LEAST_SCORE = 0.2
+#: Deviations of its nearest language's training texts by which a text's n-grams must be rarer to be in no learned language.
+FAR = 10.0
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
+#: Bucket of n-grams without letters, which tell nothing of a language.
+_BLANK = int(np.uint32(0x202020 * 2654435761 & 0xFFFFFFFF) >> np.uint32(32 - BITS))
 #: ASCII that is no letter counts as a blank.
 _FOLD = np.array([b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], np.uint32)
 
@@ -44,6 +46,28 @@ def gram_buckets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ((code * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int64), offsets
 
 
+def log_rates(counts: np.ndarray) -> np.ndarray:
+    """Log of each language's rate of each bucket but the blank one, which is 0."""
+    c = counts.astype(float)
+    c[..., _BLANK] = 0
+    out = np.log((c + 0.5) / (c.sum(axis=-1, keepdims=True) + 0.5 * (1 << BITS)))
+    out[..., _BLANK] = 0
+    return out
+
+
+def rarity(column: pa.Array, of: np.ndarray, rates: np.ndarray, usual: np.ndarray) -> np.ndarray:
+    """How far the mean log-rate of each text's n-grams is below what is usual in its language `of`, scaled by length as margins are; 0 without n-grams."""
+    bucket, offsets = gram_buckets(column)
+    size = np.diff(offsets)
+    told = bucket != _BLANK
+    total, n = np.zeros(len(bucket) + 1), np.zeros(len(bucket) + 1)
+    np.cumsum(rates[np.repeat(of, size), bucket], out=total[1:])
+    np.cumsum(told, out=n[1:])
+    n = n[offsets[1:]] - n[offsets[:-1]]
+    mean = (total[offsets[1:]] - total[offsets[:-1]]) / np.maximum(n, 1)
+    return (usual[of] - mean) * np.sqrt(np.minimum(n, 400))
+
+
 def codewords(n: int) -> np.ndarray:
     """A codeword of +1 and -1 for each of n languages: one bit a language, and the bits of a shuffled numbering both ways, so that words differ in several places."""
     one = 2 * np.eye(n, dtype=int) - 1
@@ -57,11 +81,15 @@ def codewords(n: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """languages; code (languages x bits); weights (buckets x bits); bias and scale of each bit; trust in each bit's vote."""
+    """languages; code (languages x bits); weights (buckets x bits); bias and scale of each bit; trust in each bit's vote;
+    log-rates (languages x buckets); usual mean log-rate and limit of rarity() of each language."""
 
     languages: list[str]
     code: np.ndarray
     weights: np.ndarray
+    rates: np.ndarray
+    usual: np.ndarray
+    limit: np.ndarray
 
     def margins(self, column: pa.Array) -> np.ndarray:
         """Mean log-odds of each text's n-grams, for each bit."""
@@ -82,41 +110,82 @@ class Model:
         two = np.sort(loss, axis=1)[:, :2]
         return best, p[np.arange(len(best)), best], two[:, 1] - two[:, 0] < AMBIGUOUS * (two[:, 1] + 1e-12)
 
+    def near(self, column: pa.Array) -> np.ndarray:
+        """Whether each text's n-grams are common enough in its nearest language, whatever the number of languages."""
+        best = self.decode(self.margins(column))[0]
+        return rarity(column, best, self.rates, self.usual) <= self.limit[best]
+
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from every row with text and a language. Only counts by language and bucket leave the tasks."""
+    """Learn from every row with text and a language. Only counts by language and bucket, and sums by language, leave the tasks.
+
+    A text's rarity in its own language is judged by the other half of the texts (halves by content), so that the limits
+    also hold for texts that were not learned from.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: dict[str, np.ndarray] = {}
+        count: dict[tuple[str, int], np.ndarray] = {}
         for batch in batches:
             for part in slices(batch, 0):
                 bucket, offsets = gram_buckets(part.column(0))
                 names, of = np.unique(np.array(part.column(1).to_pylist(), dtype=str), return_inverse=True)
-                own = np.bincount(np.repeat(of, np.diff(offsets)) << BITS | bucket, minlength=len(names) << BITS).reshape(len(names), -1)
-                for name, c in zip(names.tolist(), own, strict=True):
-                    count[name] = count.get(name, 0) + c
-        for name, c in count.items():
+                of = of * 2 + part.column(2).to_numpy()
+                own = np.bincount(np.repeat(of, np.diff(offsets)) << BITS | bucket, minlength=2 * len(names) << BITS).reshape(2 * len(names), -1)
+                for i, c in enumerate(own):
+                    key = names[i // 2], i % 2
+                    count[key] = count.get(key, 0) + c
+        for (name, half), c in count.items():
             at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(c[at].astype(np.int64))], ["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([str(name)] * len(at), pa.string()), pa.array([half] * len(at), pa.int32()), pa.array(at.astype(np.int32)), pa.array(c[at].astype(np.int64))], ["lang", "half", "bucket", "n"])
 
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    model = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = rows.withColumn("half", F.xxhash64("text").bitwiseAND(1).cast("int"))
+    model = rows.mapInArrow(run, "lang string, half int, bucket int, n long").groupBy("lang", "half", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(model["lang"].unique())
-    counts = np.zeros((len(languages), 1 << BITS))
-    counts[model["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(int), model["bucket"].to_numpy(int)] = model["n"]
+    halves = np.zeros((2, len(languages), 1 << BITS))
+    halves[model["half"].to_numpy(int), model["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(int), model["bucket"].to_numpy(int)] = model["n"]
+    counts = halves.sum(axis=0)
     rates = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * (1 << BITS)) if languages else counts
     code = codewords(len(languages)) if languages else np.zeros((0, 1), int)
     weights = np.zeros((1 << BITS, code.shape[1]))
     for b in range(code.shape[1] if len(languages) > 1 else 0):
         weights[:, b] = np.log(rates[code[:, b] > 0].mean(axis=0)) - np.log(rates[code[:, b] < 0].mean(axis=0))
-    return Model(languages, code, weights)
+    other = log_rates(halves[::-1])
+    told = np.delete(counts, _BLANK, axis=1).sum(axis=1)
+    usual = (halves * other).sum(axis=(0, 2)) / np.maximum(told, 1)
+    out = Model(languages, code, weights, log_rates(counts), usual, np.full(len(languages), np.inf))
+    return _measured(rows, out, other) if languages else out
+
+
+def _measured(rows: DataFrame, model: Model, other: np.ndarray) -> Model:
+    """The model with what one more grouped aggregation over its training texts tells: the limit of rarity."""
+    shared = rows.sparkSession.sparkContext.broadcast((model, other))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, by_half = shared.value
+        at = {x: i for i, x in enumerate(m.languages)}
+        n, squares = np.zeros(len(at)), np.zeros(len(at))
+        for batch in batches:
+            for part in slices(batch, 0):
+                of, half = np.array([at[x] for x in part.column(1).to_pylist()], int), part.column(2).to_numpy()
+                # The two halves' rates of a language are languages of their own here.
+                far = rarity(part.column(0), half * len(at) + of, np.concatenate(by_half), np.tile(m.usual, 2))
+                n += np.bincount(of, minlength=len(at))
+                squares += np.bincount(of, far * far, len(at))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(at), dtype=np.int32)), pa.array(n), pa.array(squares)], ["of", "n", "squares"])
+
+    sums = rows.mapInArrow(run, "of int, n double, squares double").groupBy("of").agg(F.sum("n").alias("n"), F.sum("squares").alias("squares")).toPandas().set_index("of").sort_index()
+    # Sums hang on the order of tasks in their last digits only.
+    limit = np.round(FAR * np.sqrt(sums["squares"].to_numpy() / np.maximum(sums["n"].to_numpy(), 1)), 6)
+    return replace(model, limit=limit)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score (0 to 1), ambiguous, for each row.
 
     `und` with score 0 where text is null or has no letters, or where nothing was learned. Repeated rows and null ids keep
-    a row each; an empty table gives none; texts are read whole; other columns are ignored.
+    a row each; an empty table gives none; texts are read whole; other columns are ignored. A text in an unlearned language
+    gets the nearest learned one; accepted() rejects it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -138,7 +207,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows whose language is known, with all their columns: those without letters go. No shuffle."""
+    """The rows whose language is known, with all their columns: those without letters go, and those whose
+    n-grams are far rarer than is usual in the nearest learned language. Texts too short for an n-gram stay. No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -149,8 +219,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                 texts = part.column(at)
                 known = np.array([x is not None and _LETTER.search(x) is not None for x in texts.to_pylist()])
                 if m.languages and known.any():
-                    _, score, _ = m.decode(m.margins(texts))
-                    known &= score >= LEAST_SCORE
+                    known &= m.near(texts)
                 if known.any():
                     yield part.filter(pa.array(known))
 

@@ -303,6 +303,18 @@ def test_language(spark):
     assert langid.predict(d.limit(0), m).count() == 0
 
 
+def test_language_rejects_what_is_far_from_every_learned_one(spark):
+    rng = random.Random(14)
+    pools = [["the", "and", "ing", "with"], ["der", "und", "über", "nicht"], ["él", "año", "que", "los"], ["kaj", "estas", "por", "mi"], ["jeg", "ikke", "være", "meg"], ["olen", "mutta", "hän", "kuin"], ["ben", "için", "çok", "bir"]]
+    odd = [(1000, text(rng, 40, ["привет", "мир", "это", "язык"])), (1001, text(rng, 40, ["zqj", "xvk", "wpf", "jjq"])), (1002, text(rng, 40, ["κόσμος", "και", "είναι"])), (1003, "12 !! привет 34 %% мир, это 56 язык")]
+    for n in (1, 2, 4, 7):
+        rows = [(i, text(rng, rng.choice([8, 30, 200]), pools[i % n]), f"l{i % n}") for i in range(40 * n)]
+        own = [(2000 + i, text(rng, size, p)) for i, (p, size) in enumerate((p, size) for p in pools[:n] for size in (6, 60, 900))]
+        m = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+        d = spark.createDataFrame(own + odd + [(3000, None), (3001, "12 !!")], "doc_id long, text string")
+        assert {r.doc_id for r in langid.accepted(d, m).collect()} == {i for i, _ in own}, n
+
+
 def test_codewords_differ():
     for n in (2, 3, 4, 9):
         c = langid.codewords(n)
