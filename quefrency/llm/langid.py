@@ -2,7 +2,8 @@
 
 Each language gets a codeword; each bit has a binary classifier over hashed byte n-grams (log-odds of the languages whose
 bit is 1 against the rest), so that training is one grouped count over all labelled text. Decoding weights each bit's
-logistic loss by the training separation of its classifier, takes the nearest codeword, and flags a near tie.
+logistic loss by the training separation of its classifier (the distance of its two sides' mean margins in standard
+deviations), takes the nearest codeword, and flags a near tie.
 """
 
 from __future__ import annotations
@@ -81,12 +82,13 @@ def codewords(n: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """languages; code (languages x bits); weights (buckets x bits); bias and scale of each bit; trust in each bit's vote;
+    """languages; code (languages x bits); weights (buckets x bits); trust in each bit's vote, of sum 1;
     log-rates (languages x buckets); usual mean log-rate and limit of rarity() of each language."""
 
     languages: list[str]
     code: np.ndarray
     weights: np.ndarray
+    trust: np.ndarray
     rates: np.ndarray
     usual: np.ndarray
     limit: np.ndarray
@@ -101,7 +103,7 @@ class Model:
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Nearest codeword, score, and whether the second nearest is nearly as near."""
-        loss = np.logaddexp(0, -margins[:, None, :] * self.code[None]).mean(axis=2)
+        loss = np.logaddexp(0, -margins[:, None, :] * self.code[None]) @ self.trust
         p = np.exp(-(loss - loss.min(axis=1, keepdims=True)))
         p /= p.sum(axis=1, keepdims=True)
         best = loss.argmin(axis=1)
@@ -153,31 +155,44 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
     other = log_rates(halves[::-1])
     told = np.delete(counts, _BLANK, axis=1).sum(axis=1)
     usual = (halves * other).sum(axis=(0, 2)) / np.maximum(told, 1)
-    out = Model(languages, code, weights, log_rates(counts), usual, np.full(len(languages), np.inf))
+    out = Model(languages, code, weights, np.full(code.shape[1], 1 / code.shape[1]), log_rates(counts), usual, np.full(len(languages), np.inf))
     return _measured(rows, out, other) if languages else out
 
 
 def _measured(rows: DataFrame, model: Model, other: np.ndarray) -> Model:
-    """The model with what one more grouped aggregation over its training texts tells: the limit of rarity."""
+    """The model with what one more grouped aggregation over its training texts tells: trust in each bit and the limit of rarity."""
     shared = rows.sparkSession.sparkContext.broadcast((model, other))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, by_half = shared.value
         at = {x: i for i, x in enumerate(m.languages)}
-        n, squares = np.zeros(len(at)), np.zeros(len(at))
+        bits = m.code.shape[1]
+        n, total, squares = np.zeros(len(at)), np.zeros((len(at), bits + 1)), np.zeros((len(at), bits + 1))
         for batch in batches:
             for part in slices(batch, 0):
                 of, half = np.array([at[x] for x in part.column(1).to_pylist()], int), part.column(2).to_numpy()
                 # The two halves' rates of a language are languages of their own here.
                 far = rarity(part.column(0), half * len(at) + of, np.concatenate(by_half), np.tile(m.usual, 2))
                 n += np.bincount(of, minlength=len(at))
-                squares += np.bincount(of, far * far, len(at))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(at), dtype=np.int32)), pa.array(n), pa.array(squares)], ["of", "n", "squares"])
-
-    sums = rows.mapInArrow(run, "of int, n double, squares double").groupBy("of").agg(F.sum("n").alias("n"), F.sum("squares").alias("squares")).toPandas().set_index("of").sort_index()
+                for b, x in enumerate([*m.margins(part.column(0)).T, far]):
+                    total[:, b] += np.bincount(of, x, len(at))
+                    squares[:, b] += np.bincount(of, x * x, len(at))
+        names, cells = ["of", "bit", "n", "total", "squares"], np.indices(total.shape).reshape(2, -1).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*cells, np.repeat(n, bits + 1), total.ravel(), squares.ravel())], names)
+
+    sums = rows.mapInArrow(run, "of int, bit int, n double, total double, squares double").groupBy("of", "bit").agg(*(F.sum(c).alias(c) for c in ("n", "total", "squares"))).toPandas().sort_values(["of", "bit"])
+    n, total, squares = (sums[c].to_numpy().reshape(len(model.languages), -1) for c in ("n", "total", "squares"))
     # Sums hang on the order of tasks in their last digits only.
-    limit = np.round(FAR * np.sqrt(sums["squares"].to_numpy() / np.maximum(sums["n"].to_numpy(), 1)), 6)
-    return replace(model, limit=limit)
+    limit = np.round(FAR * np.sqrt(squares[:, -1] / n[:, -1]), 6)
+    return replace(model, limit=limit, trust=np.round(separation(model.code, total[:, :-1] / n[:, :-1], squares[:, :-1] / n[:, :-1]), 6))
+
+
+def separation(code: np.ndarray, mean: np.ndarray, square: np.ndarray) -> np.ndarray:
+    """Each bit's share of the distances between its sides' mean margins, in standard deviations within a language; languages count alike."""
+    sides = [np.where(code == s, mean, 0).sum(axis=0) / np.maximum((code == s).sum(axis=0), 1) for s in (1, -1)]
+    within = np.sqrt(np.maximum(square - mean**2, 0).mean(axis=0))
+    apart = np.maximum(sides[0] - sides[1], 0) / (within + 1e-9)
+    return apart / apart.sum() if apart.sum() > 0 else np.full(code.shape[1], 1 / code.shape[1])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

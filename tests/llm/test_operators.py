@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -315,6 +316,22 @@ def test_language_rejects_what_is_far_from_every_learned_one(spark):
         assert {r.doc_id for r in langid.accepted(d, m).collect()} == {i for i, _ in own}, n
 
 
+def test_language_bits_count_by_their_separation(spark):
+    rng = random.Random(24)
+    pools = [["the", "and", "ing", "with"], ["ther", "and", "ings", "within"], ["él", "año", "que", "los"], ["der", "und", "über", "nicht"]]
+    rows = [(i, text(rng, 15, pools[i % 4]), f"l{i % 4}") for i in range(160)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    m = langid.fit(d)
+    x, y = m.margins(pa.array([r[1] for r in rows])), np.arange(160) % 4
+    mean, var = (np.array([f(x[y == i], axis=0) for i in range(4)]) for f in (np.mean, np.var))
+    apart = np.array([mean[c > 0, b].mean() - mean[c < 0, b].mean() for b, c in enumerate(m.code.T)]) / np.sqrt(var.mean(axis=0))
+    assert np.allclose(m.trust, apart / apart.sum(), atol=1e-5) and m.trust.max() > 1.2 * m.trust.min()
+    margins = np.random.default_rng(1).normal(size=(2000, m.code.shape[1]))
+    loss = np.logaddexp(0, -margins[:, None] * m.code)
+    best = m.decode(margins)[0]
+    assert (best == (loss * m.trust).sum(axis=2).argmin(axis=1)).all() and (best != loss.mean(axis=2).argmin(axis=1)).any()
+
+
 def test_codewords_differ():
     for n in (2, 3, 4, 9):
         c = langid.codewords(n)
