@@ -86,11 +86,11 @@ def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
     """vec (float64 bytes), ids (the k + 1 smallest ids of equal vectors, sorted), of vectors that take part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, list[int]] = {}
+        seen: dict[bytes, set[int]] = {}
         for batch in batches:
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 x = np.array(v, np.float64) + 0.0
-                seen.setdefault(x.tobytes(), []).append(i)
+                seen.setdefault(x.tobytes(), set()).add(i)
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([sorted(x)[: k + 1] for x in seen.values()], pa.list_(pa.int64()))], ["vec", "ids"])
 
     one = rows.mapInArrow(run, "vec binary, ids array<long>").groupBy("vec").agg(F.flatten(F.collect_list("ids")).alias("ids"))

@@ -275,6 +275,16 @@ def test_neighbours(spark):
     assert neighbours.search(d.limit(0), d.limit(0), 5).count() == 0
 
 
+def test_neighbours_count_a_repeated_row_once(spark):
+    x = [[1.0, 0.5], [0.2, -1.0], [-1.0, 0.1]]
+    rows = [(1, x[0])] * 30 + [(i, x[0]) for i in (2, 3, 4)] + [(10 + i, x[1]) for i in range(3)] + [(20 + i, x[2]) for i in range(40)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = defaultdict(list)
+    for r in neighbours.search(d, d.where("vec_id in (1, 3, 10)"), 4).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got == {1: [2, 3, 4, 10], 3: [1, 2, 4, 10], 10: [11, 12, 1, 2]}
+
+
 def test_visits_come_in_order_of_distance():
     h = neighbours.Hasher(4, 1.0, neighbours.Params(projections=3, probes=30))
     place = np.array([0.3, -1.6, 2.9])
