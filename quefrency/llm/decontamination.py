@@ -29,8 +29,8 @@ def item_windows(items: DataFrame, item_col: str = "item_id", text_col: str = "t
     return each.groupBy("size", "gram").agg(F.collect_set("item").alias("items")).withColumn("hash", F.xxhash64("gram"))
 
 
-def find_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW) -> DataFrame:
-    """One row for each document row: doc_id, n_words, hits (array of start, size, sorted by start), items (sorted ids).
+def find_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW, carry: list[str] | None = None) -> DataFrame:
+    """One row for each document row: doc_id, n_words, hits (array of start, size, sorted by start), items (sorted ids), and row, a struct of the columns in `carry`.
 
     Null and empty texts have no words and no hits; repeated rows and null ids keep a row each; items without words or
     without an id have no windows; repeated items count once by id; an empty table of items hits nothing. Columns of the
@@ -40,9 +40,9 @@ def find_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     # At most `width` sizes, and a count: two small actions on the test side, which decide how the join is done.
     seen = {r["size"]: r["n"] for r in grams.groupBy("size").agg(F.count("*").alias("n")).collect()}
     sizes = sorted(seen) or [width]
-    d = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("w")).withColumn("row", F.monotonically_increasing_id())
+    d = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("w"), F.struct(*(F.col(f"`{c}`") for c in carry or [id_col])).alias("carry")).withColumn("row", F.monotonically_increasing_id())
     # A null word behind the last one stands for the row itself, so that rows without hits stay.
-    x = d.select("row", "doc_id", "w", F.posexplode(F.concat("w", F.array(F.lit(None).cast("string")))).alias("pos", "word")).drop("word")
+    x = d.select("row", "doc_id", "w", "carry", F.posexplode(F.concat("w", F.array(F.lit(None).cast("string")))).alias("pos", "word")).drop("word")
     if len(sizes) == 1:
         x = x.withColumn("n", F.lit(sizes[0]))
     else:
@@ -53,10 +53,10 @@ def find_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     g = F.broadcast(g) if sum(seen.values()) <= BROADCAST_WINDOWS else g
     same = (F.col("h") == F.col("hash")) & (F.col("n") == F.col("size")) & (F.expr("slice(w, pos + 1, n)") == F.col("gram"))
     hit = x.join(g, same, "left").where(F.col("found").isNotNull() | (F.col("pos") == F.size("w")))
-    hit = hit.select("row", "doc_id", F.size("w").alias("n_words"), F.when(F.col("found").isNotNull(), F.struct(F.col("pos").alias("start"), F.col("n").alias("size"))).alias("hit"), "found")
+    hit = hit.select("row", "doc_id", F.size("w").alias("n_words"), F.when(F.col("found").isNotNull(), F.struct(F.col("pos").alias("start"), F.col("n").alias("size"))).alias("hit"), "found", F.when(F.col("pos") == F.size("w"), F.col("carry")).alias("carry"))
     # All rows of a document are in one task already, so this meets in the map-side half of the aggregation.
-    out = hit.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.collect_set("hit").alias("hits"), F.collect_set("found").alias("found"))
-    return out.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.array_sort("hits").alias("hits"), F.array_sort(F.array_distinct(F.flatten("found"))).alias("items"))
+    out = hit.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.collect_set("hit").alias("hits"), F.collect_set("found").alias("found"), *([F.first("carry", ignorenulls=True).alias("carry")] if carry else []))
+    return out.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.array_sort("hits").alias("hits"), F.array_sort(F.array_distinct(F.flatten("found"))).alias("items"), *([F.col("carry").alias("row")] if carry else []))
 
 
 def spans(hits: Column) -> Column:
@@ -97,13 +97,14 @@ def contamination(docs: DataFrame, items: DataFrame, **columns) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode: str = "document", **columns) -> DataFrame:
     """The documents without contamination: `document` drops contaminated ones; `span` cuts hit words and joins the rest by blanks.
 
-    All columns of docs stay. Ids must be unique here; rows with a null id are kept only if clean by text. Span mode
-    writes the normalised words of documents that were hit and leaves others untouched.
+    All columns of docs stay. Each row is judged by its own text, so ids may be null or repeated. Span mode writes the
+    normalised words of documents that were hit and leaves others untouched.
     """
-    x = find_hits(docs, items, id_col=id_col, text_col=text_col, **columns).where(F.size("hits") > 0)
+    x = find_hits(docs, items, id_col=id_col, text_col=text_col, carry=docs.columns, **columns)
     if mode == "document":
-        return docs.join(x.select(F.col("doc_id").alias(id_col)), id_col, "left_anti").select(docs.columns)
-    cut = x.select(F.col("doc_id").alias("__id"), spans(F.col("hits")).alias("__spans"))
-    both = docs.join(cut, docs[id_col] == F.col("__id"), "left")
-    kept = F.filter(words_of(F.col(text_col)), lambda w, i: ~F.exists(F.col("__spans"), lambda s: (i >= s["start"]) & (i < s["end"])))
-    return both.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(F.array_join(kept, " "))).select(docs.columns)
+        return x.where(F.size("hits") == 0).select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    x = x.withColumn("spans", spans(F.col("hits")))
+    text = F.col("row")[text_col]
+    kept = F.filter(words_of(text), lambda w, i: ~F.exists(F.col("spans"), lambda s: (i >= s["start"]) & (i < s["end"])))
+    cut = F.when(F.size("hits") == 0, text).otherwise(F.array_join(kept, " "))
+    return x.select(*((cut if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns))

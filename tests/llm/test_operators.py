@@ -159,6 +159,17 @@ def test_decontamination(spark, docs, rows):
     assert decontamination.contamination(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_judges_each_row_by_its_own_text(spark):
+    leak, clean = text(random.Random(8), 12), "a b c, nothing of it"
+    rows = [(None, f"x {leak} y", 1), (None, clean, 2), (None, None, 3), (7, f"x {leak} y", 4), (7, clean, 5), (8, leak, 6), (9, clean, 7), (9, clean, 7)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, row int").repartition(3)
+    bench = spark.createDataFrame([("b", leak)], "item_id string, text string")
+    out = decontamination.decontaminate(d, bench)
+    assert out.schema == d.schema and Counter(map(tuple, out.collect())) == Counter(r for r in rows if leak not in (r[1] or ""))
+    cut = decontamination.decontaminate(d, bench, mode="span")
+    assert Counter(map(tuple, cut.collect())) == Counter((i, (t or "").replace(f"x {leak} y", "x y").replace(leak, "") if leak in (t or "") else t, n) for i, t, n in rows)
+
+
 def removed(tokens, window):
     count = Counter(tuple(t[i : i + window]) for t in tokens for i in range(len(t) - window + 1))
     for t in tokens:
