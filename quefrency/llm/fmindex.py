@@ -12,14 +12,14 @@ WINDOW = 35
 
 
 class WaveletBits:
-    """A wavelet matrix of the transformed text: bit planes in 64-bit words, with the ones before each word."""
+    """A wavelet matrix: bit planes in 64-bit words, with the ones before each word."""
 
     def __init__(self, x: np.ndarray, levels: int):
         self.n, self.levels, self.planes = len(x), levels, []
         for level in reversed(range(levels)):
             one = (x >> level & 1).astype(bool)
             words = np.packbits(np.concatenate([one, np.zeros(-len(one) % 64 + 64, bool)]), bitorder="little").view(np.uint64)
-            ones = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)[:-1]])
+            ones = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)[:-1]]).astype(np.uint32)
             self.planes.append((words, ones, len(one) - int(ones[-1])))
             x = np.concatenate([x[~one], x[one]])
 
@@ -27,13 +27,21 @@ class WaveletBits:
         """Occurrences of symbol c before place i. start: where c begins in the last plane's order."""
         for k, (words, ones, zeros) in enumerate(self.planes):
             w = i >> 6
-            r = ones[w] + np.bitwise_count(words[w] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
+            r = ones[w].astype(np.int64) + np.bitwise_count(words[w] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
             i = np.where(c >> (self.levels - 1 - k) & 1, zeros + r, i - r)
         return i - start
 
+    @property
+    def nbytes(self) -> int:
+        return sum(w.nbytes + o.nbytes for w, o, _ in self.planes)
+
 
 class FmIndex:
-    """Count of a pattern in texts, by backward search. Texts end in separators (symbol 0); suffixes are ordered through `depth` symbols."""
+    """Count of a pattern in texts, by backward search. Texts end in separators (symbol 0); suffixes are ordered through `depth` symbols.
+
+    Compressed by runs: of the transformed text it keeps one symbol for each run of equal ones, in a wavelet matrix, with
+    the runs' starts and their lengths summed by symbol. Texts that repeat make long runs.
+    """
 
     def __init__(self, text: np.ndarray, depth: int):
         """text: symbols from 0 to its maximum, each of which occurs."""
@@ -42,7 +50,7 @@ class FmIndex:
             nxt = np.zeros(n, np.int64)
             nxt[:-span] = rank[span:] + 1
             key = rank * (n + 1) + nxt
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             new = np.ones(n, bool)
             new[1:] = key[order[1:]] != key[order[:-1]]
             rank = np.empty(n, np.int64)
@@ -50,37 +58,53 @@ class FmIndex:
             span *= 2
             if span >= depth or new.all():
                 break
-        last = text[order - 1]
-        counts = np.bincount(text)
-        self.first = np.concatenate([[0], np.cumsum(counts)])
+        last = text[order - 1].astype(np.int64)
+        edge = np.ones(n, bool)
+        edge[1:] = last[1:] != last[:-1]
+        self.starts = np.flatnonzero(edge)
+        self.heads = last[self.starts]
+        runs = np.bincount(self.heads)
+        # Where the runs of each symbol begin in the order of symbols, and the length of all runs before each in that order.
+        self.of = np.concatenate([[0], np.cumsum(runs)[:-1]])
+        by = np.argsort(self.heads, kind="stable")
+        self.before = np.concatenate([[0], np.cumsum(np.diff(np.append(self.starts, n))[by])])
         levels = max(1, int(text.max()).bit_length())
-        self.bits = WaveletBits(last.astype(np.int64), levels)
+        self.bits = WaveletBits(self.heads, levels)
         # Where each symbol begins after the last plane: symbols stand there in the order of their reversed bits.
-        symbols = np.arange(len(counts))
+        symbols = np.arange(len(runs))
         turned = np.zeros_like(symbols)
         for b in range(levels):
             turned |= (symbols >> b & 1) << (levels - 1 - b)
         by = np.argsort(turned, kind="stable")
-        self.start = np.empty(len(counts), np.int64)
-        self.start[by] = np.concatenate([[0], np.cumsum(counts[by])[:-1]])
+        self.start = np.empty(len(runs), np.int64)
+        self.start[by] = np.concatenate([[0], np.cumsum(runs[by])[:-1]])
+
+    @property
+    def nbytes(self) -> int:
+        return self.bits.nbytes + sum(x.nbytes for x in (self.starts, self.heads, self.of, self.before, self.start))
+
+    def _place(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """First suffix that begins with c, plus the occurrences of c before place i of the transformed text."""
+        run = np.searchsorted(self.starts, i, "right") - 1
+        whole = self.before[self.of[c] + self.bits.rank(c, run, self.start[c])]
+        return whole + np.where(self.heads[run] == c, i - self.starts[run], 0)
 
     def extend(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the patterns with symbol c put before them."""
-        both = self.bits.rank(np.concatenate([c, c]), np.concatenate([lo, hi]), np.concatenate([self.start[c], self.start[c]]))
-        return self.first[c] + both[: len(c)], self.first[c] + both[len(c) :]
+        both = self._place(np.concatenate([c, c]), np.concatenate([lo, hi]))
+        return both[: len(c)], both[len(c) :]
 
 
 def matched_windows(cells: np.ndarray, sizes: np.ndarray, group: np.ndarray, times: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """For each window of each run, whether the shard holds it twice (a run met twice counts twice).
 
-    All runs are streamed at once. From the last word of a run, a search goes backward while the pattern occurs twice, to
+    cells: small numbers, the same for equal words only. All runs are streamed at once. From the last word of a run, a search goes backward while the pattern occurs twice, to
     its longest match. A match of the threshold or more reports an interval, whose windows are repeated, and the next
     search ends where the first window left of it does; a shorter match clears the window that ends there.
     """
     lengths = sizes + window - 1
     begin = np.cumsum(lengths) - lengths
-    alphabet, x = np.unique(cells, return_inverse=True)
-    x = x.astype(np.int64) + 1
+    x = np.cumsum(np.bincount(cells) > 0)[cells]  # from 1, without gaps
     copies = np.minimum(times, 2)
     # Texts of the index: each run, and once more if it was met again; a separator after each.
     which = np.repeat(np.arange(len(sizes)), copies)

@@ -19,9 +19,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
@@ -59,6 +61,23 @@ class Kind:
         starts, ends, first = words(data, offsets)
         return span_hashes(data, starts, ends), first
 
+    def stretches(self, column: pa.Array, begin: np.ndarray, end: np.ndarray) -> list[bytes]:
+        """The texts' own bytes from symbol `begin` to before symbol `end`."""
+        data, offsets = flat(column)
+        if self.name != "bytes":
+            starts, ends, _ = words(data, offsets)
+            begin, end = starts[begin], ends[end - 1]
+        raw = data.tobytes()
+        return [raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+
+    def exact(self, stretches: list[bytes]) -> np.ndarray:
+        """A number for each symbol of the stretches end to end, the same for equal symbols only: the byte, or the word's
+        place in a dictionary of the words themselves."""
+        if self.name == "bytes":
+            return np.frombuffer(b"".join(stretches), np.uint8)
+        split = pc.ascii_split_whitespace(pa.array(stretches, pa.binary()).cast(pa.large_binary()).view(pa.large_string()))
+        return split.flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
+
     def runs(self, h: np.ndarray, first: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, ...]:
         """Text, start, windows, core hash and content hash of every run."""
         w, n = self.window - self.gram + 1, len(h) - self.window + 1
@@ -96,10 +115,6 @@ class Kind:
         content = mix((total[end] - total[start]) * down[start] * MULT + size.astype(np.uint64))
         return text, start - first[text], size, core, content
 
-    def cells(self, h: np.ndarray, column: pa.Array) -> tuple[np.ndarray, int]:
-        """What stands for the symbols in a shard, and its bytes a symbol."""
-        return (flat(column)[0], 1) if self.name == "bytes" else ((h >> np.uint64(32)).astype(np.uint32), 4)
-
 
 def _parts(batch: pa.RecordBatch, kind: Kind) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for part in slices(batch, 0):
@@ -133,17 +148,21 @@ def repeated_runs(docs: DataFrame, kind: Kind, decide: Callable[[np.ndarray, np.
                 if not len(at):
                     continue
                 text, start, size, key, content = (x[at] for x in (text, start, size, key.view(np.int64), content.view(np.int64)))
-                cells, _ = kind.cells(h, part.column(0))
                 own = [part.column(c).take(pa.array(text)) for c in (1, 2)]
                 none = lambda t: pa.nulls(len(at), t)
                 yield pa.RecordBatch.from_arrays([*own, pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(key), pa.array(content), none(pa.int32()), none(pa.binary())], names)
-                begin = (first[text] + start).tolist()
-                for k, a, z in zip(zip(key.tolist(), content.tolist(), strict=True), begin, size.tolist(), strict=True):
+                fresh = []
+                for i, k in enumerate(zip(key.tolist(), content.tolist(), strict=True)):
                     if (v := count.get(k)) is not None:
                         v[0] += 1
                     else:
-                        count[k] = [1, z, cells[a : a + z - 1 + kind.window].tobytes()]
-                        held += len(count[k][2])
+                        count[k] = [1, int(size[i]), b""]
+                        fresh.append((i, k))
+                new = np.array([i for i, _ in fresh], np.int64)
+                begin = first[text[new]] + start[new]
+                for (_, k), x in zip(fresh, kind.stretches(part.column(0), begin, begin + size[new] - 1 + kind.window), strict=True):
+                    count[k][2] = x
+                    held += len(x)
                 if held >= HELD_BYTES:
                     yield from flush()
                     held = 0
@@ -160,7 +179,6 @@ def repeated_runs(docs: DataFrame, kind: Kind, decide: Callable[[np.ndarray, np.
 
 def _decided(batches: Iterator[pa.RecordBatch], kind: Kind, decide) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by core and content; whole cores are decided together, about SHARD_SYMBOLS at a time."""
-    wide = 1 if kind.name == "bytes" else 4
     core: list[int] = []
     content: list[int] = []
     times: list[int] = []
@@ -175,9 +193,8 @@ def _decided(batches: Iterator[pa.RecordBatch], kind: Kind, decide) -> Iterator[
         alone = np.bincount(group, weights=n)[group] < 2  # an unlucky bit of the table
         live = np.flatnonzero(~alone)
         if len(live):
-            x = np.frombuffer(b"".join(cells[i] for i in live), np.uint8 if wide == 1 else np.uint32)
             size = np.array([sizes[i] for i in live])
-            hit = decide(x, size, group[live], n[live])
+            hit = decide(kind.exact([cells[i] for i in live]), size, group[live], n[live])
             ends = np.cumsum(size)
             out = [(core[i], content[i], np.packbits(hit[b - s : b]).tobytes()) for i, s, b in zip(live.tolist(), size.tolist(), ends.tolist(), strict=True) if hit[b - s : b].any()]
             if out:
@@ -198,15 +215,17 @@ def _decided(batches: Iterator[pa.RecordBatch], kind: Kind, decide) -> Iterator[
             times.append(n)
             cells.append(x)
             sizes.append(z)
-            held += len(x) // wide
+            held += z - 1 + kind.window
     if core:
         yield from flush()
 
 
 def removed_mask(n: int, runs: list[dict] | None, window: int) -> np.ndarray:
     """Which of n symbols the repeated windows cover."""
+    if not runs:
+        return np.zeros(n, bool)
     delta = np.zeros(n + 1, np.int64)
-    for r in runs or ():
+    for r in runs:
         i = r["start"] + np.flatnonzero(np.unpackbits(np.frombuffer(r["hit"], np.uint8))[: r["size"]])
         np.add.at(delta, i, 1)
         np.add.at(delta, i + window, -1)
@@ -231,11 +250,10 @@ def cleaned(docs: DataFrame, kind: Kind, decide, id_col: str, text_col: str, car
                         n, cut = len(data), removed_mask(len(data), runs, kind.window)
                         kept = np.frombuffer(data, np.uint8)[~cut].tobytes() if runs else data
                     else:
-                        x = np.frombuffer(data, np.uint8)
-                        a, b, _ = words(x, np.array([0, len(x)]))
-                        n, cut = len(a), removed_mask(len(a), runs, kind.window)
-                        kept = b" ".join(data[i:j] for i, j in zip(a[~cut].tolist(), b[~cut].tolist(), strict=True))
-                    spans = int(cut[0]) + int((cut[1:] & ~cut[:-1]).sum()) if n else 0
+                        own = data.split()  # at ASCII white space, as words() does
+                        n, cut = len(own), removed_mask(len(own), runs, kind.window)
+                        kept = b" ".join(compress(own, (~cut).tolist()) if runs else own)
+                    spans = int(cut[0]) + int((cut[1:] & ~cut[:-1]).sum()) if n and runs else 0
                     out.append((key, n, int(cut.sum()), spans, kept, hashlib.sha256(kept).hexdigest()))
                 cells = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(),) * 4 + (pa.binary(), pa.string()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*cells, part.column(3)], [*names, "row"])

@@ -5,39 +5,60 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from quefrency.llm.kernels import BYTE, mix, powers
 from quefrency.llm.repeats import Kind, cleaned
 
 #: Bytes of a repeated string.
 WINDOW = 400
-#: Digits of the radix sort: so many bytes each, compared through a 64-bit hash.
+#: Bytes of a digit of the radix sort.
 DIGIT = 80
 
 
+def digit_names(cells: np.ndarray, size: int = DIGIT) -> np.ndarray:
+    """For each place the rank of the `size` bytes that begin there, equal for equal bytes only and in their order.
+
+    Eight bytes are one big-endian number; the ranks of two pieces that cover a longer one rank it in turn.
+    """
+    n, have = len(cells), min(8, size)
+    padded = np.concatenate([cells, np.zeros(8, np.uint8)])
+    key = np.ndarray((n,), ">u8", padded, strides=(1,)).astype(np.uint64) >> np.uint64(8 * (8 - have))
+    while True:
+        order = np.argsort(key)
+        new = np.ones(n, bool)
+        new[1:] = key[order[1:]] != key[order[:-1]]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(new) - 1
+        if have == size:
+            return rank
+        step = min(have, size - have)
+        key = rank * n + rank[np.minimum(np.arange(n) + step, n - 1)]
+        have += step
+
+
 def equal_windows(cells: np.ndarray, sizes: np.ndarray, group: np.ndarray, times: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """For each window of each run, whether it occurs twice (a run met twice counts twice).
 
     Most-significant-digit passes: suffixes of a group are sorted by their next digit, which splits the group; a suffix
-    alone in its group is done. After the last pass through the threshold, groups are exactly the equal windows.
+    alone in its group is done. After the last pass through the threshold, groups are exactly the equal windows, since
+    digits are compared as bytes.
     """
     lengths = sizes + window - 1
     run = np.repeat(np.arange(len(sizes)), sizes)
     at = np.arange(len(run)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(np.cumsum(lengths) - lengths, sizes)
-    up, down = powers(len(cells) + 1)
-    total = np.zeros(len(cells) + 1, np.uint64)
-    np.cumsum(BYTE[cells] * up[: len(cells)], out=total[1:])
-    active, of = np.arange(len(run)), group[run]
+    cells = cells.astype(np.uint8)
+    n, names = len(cells), {}
+    active, of = np.arange(len(run)), group[run].astype(np.int64)
     hit = np.zeros(len(run), bool)
     many = times[run] > 1
     done = 0
     while done < window and len(active):
         step = min(DIGIT, window - done)
-        a = at[active] + done
-        digit = mix((total[a + step] - total[a]) * down[a])
-        order = np.lexsort((digit, of))
-        active, of, digit = active[order], of[order], digit[order]
+        if step not in names:
+            names[step] = digit_names(cells, step)
+        key = of * n + names[step][at[active] + done]
+        order = np.argsort(key)
+        active, key = active[order], key[order]
         new = np.ones(len(active), bool)
-        new[1:] = (of[1:] != of[:-1]) | (digit[1:] != digit[:-1])
+        new[1:] = key[1:] != key[:-1]
         of = np.cumsum(new) - 1
         stay = np.bincount(of)[of] > 1
         done += step
