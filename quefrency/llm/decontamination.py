@@ -6,9 +6,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quefrency.llm.scratch import keep
+
 #: Words of a window.
 WINDOW = 10
-#: Distinct windows up to which the test side is broadcast (about 150 bytes each); beyond it the same join shuffles.
+#: Distinct windows up to which the test side is broadcast (about 150 bytes each); beyond it hashes are shuffled instead.
 BROADCAST_WINDOWS = 200_000
 #: Everything between words, after A-Z became a-z: ASCII but for digits and letters.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -40,7 +42,10 @@ def find_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     # At most `width` sizes, and a count: two small actions on the test side, which decide how the join is done.
     seen = {r["size"]: r["n"] for r in grams.groupBy("size").agg(F.count("*").alias("n")).collect()}
     sizes = sorted(seen) or [width]
-    d = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("w"), F.struct(*(F.col(f"`{c}`") for c in carry or [id_col])).alias("carry")).withColumn("row", F.monotonically_increasing_id())
+    small = sum(seen.values()) <= BROADCAST_WINDOWS
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(*(F.col(f"`{c}`") for c in carry or [id_col])).alias("carry")).withColumn("row", F.monotonically_increasing_id())
+    # The shuffled way reads the rows twice, so their numbers are written down first.
+    d = (d if small else keep(d)).withColumn("w", words_of(F.col("text")))
     # A null word behind the last one stands for the row itself, so that rows without hits stay.
     x = d.select("row", "doc_id", "w", "carry", F.posexplode(F.concat("w", F.array(F.lit(None).cast("string")))).alias("pos", "word")).drop("word")
     if len(sizes) == 1:
@@ -50,12 +55,18 @@ def find_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     whole = F.col("pos") + F.col("n") <= F.size("w")
     x = x.withColumn("h", F.when(whole, F.xxhash64(F.expr("slice(w, pos + 1, n)"))))
     g = grams.select("size", "hash", "gram", F.array_sort("items").alias("found"))
-    g = F.broadcast(g) if sum(seen.values()) <= BROADCAST_WINDOWS else g
-    same = (F.col("h") == F.col("hash")) & (F.col("n") == F.col("size")) & (F.expr("slice(w, pos + 1, n)") == F.col("gram"))
-    hit = x.join(g, same, "left").where(F.col("found").isNotNull() | (F.col("pos") == F.size("w")))
-    hit = hit.select("row", "doc_id", F.size("w").alias("n_words"), F.when(F.col("found").isNotNull(), F.struct(F.col("pos").alias("start"), F.col("n").alias("size"))).alias("hit"), "found", F.when(F.col("pos") == F.size("w"), F.col("carry")).alias("carry"))
-    # All rows of a document are in one task already, so this meets in the map-side half of the aggregation.
-    out = hit.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.collect_set("hit").alias("hits"), F.collect_set("found").alias("found"), *([F.first("carry", ignorenulls=True).alias("carry")] if carry else []))
+    same = (F.col("h") == F.col("hash")) & (F.col("n") == F.col("size"))
+    if small:
+        hit = x.join(F.broadcast(g), same & (F.expr("slice(w, pos + 1, n)") == F.col("gram")), "left").where(F.col("found").isNotNull() | (F.col("pos") == F.size("w")))
+        hit = hit.select("row", "doc_id", F.size("w").alias("n_words"), F.when(F.col("found").isNotNull(), F.struct(F.col("pos").alias("start"), F.col("n").alias("size"))).alias("hit"), "found", F.when(F.col("pos") == F.size("w"), F.col("carry")).alias("carry"))
+        # All rows of a document are in one task already, so this meets in the map-side half of the aggregation.
+        out = hit.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.collect_set("hit").alias("hits"), F.collect_set("found").alias("found"), F.first("carry", ignorenulls=True).alias("carry"))
+    else:
+        # Only numbers are shuffled for each place; the words of the few that meet a hash are verified at the row.
+        met = x.where("h is not null").select("row", "pos", "n", "h").join(g, same).groupBy("row").agg(F.collect_list(F.struct(F.col("pos").alias("start"), F.col("n").alias("size"), "gram", "found")).alias("met"))
+        true = F.filter("met", lambda m: F.slice("w", m["start"] + 1, m["size"]) == m["gram"])
+        some = lambda f: F.coalesce(F.transform(true, f), F.array())
+        out = d.join(met, "row", "left").select("doc_id", F.size("w").alias("n_words"), some(lambda m: F.struct(m["start"].alias("start"), m["size"].alias("size"))).alias("hits"), some(lambda m: m["found"]).alias("found"), "carry")
     return out.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.array_sort("hits").alias("hits"), F.array_sort(F.array_distinct(F.flatten("found"))).alias("items"), *([F.col("carry").alias("row")] if carry else []))
 
 
