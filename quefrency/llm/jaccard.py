@@ -217,8 +217,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, the one with the smallest id; of rows that share an id, one. Rows with a null id stay."""
-    parts = near_duplicates(docs, percent).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    first = docs.join(parts, F.col("doc_id") == F.col("__id")).drop("__id")
-    first = first.withColumn("__rn", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("__rn = 1").drop("__rn")
-    return first.unionByName(docs.where("doc_id is null"))
+    """One document of each component, the one with the smallest id; of rows that share an id, one. Rows with a null id stay.
+    Columns of any name are carried along in a struct of their own."""
+    parts = near_duplicates(docs, percent).where("doc_id = component_id").select("doc_id").distinct()
+    own = docs.select("doc_id", F.xxhash64("text").alias("h"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    first = own.join(parts, "doc_id").withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("h"))).where("nth = 1")
+    kept = first.select("row").unionByName(own.where("doc_id is null").select("row"))
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -48,3 +48,17 @@ def limit_table(histogram: DataFrame) -> DataFrame:
     x = h.join(blocks, "block").select("n_tokens", "n_docs", "all_docs", "all_tokens", (F.sum("n_docs").over(own) + F.col("bd_after")).alias("docs_at_least"), (F.sum("tokens").over(own) + F.col("bt_after")).alias("tokens_at_least"))
     kept = F.col("all_tokens") - F.col("tokens_at_least") + F.col("n_tokens") * F.col("docs_at_least")
     return x.select("n_tokens", "n_docs", "docs_at_least", "tokens_at_least", (F.col("docs_at_least") - F.col("n_docs")).alias("docs_over"), kept.alias("tokens_kept"), (F.col("all_tokens") - kept).alias("tokens_cut"), ((F.col("all_docs") - F.col("docs_at_least") + F.col("n_docs")) / F.col("all_docs")).alias("quantile"))
+
+
+def truncated_totals(histogram: DataFrame, limits: list[int]) -> DataFrame:
+    """limit, docs_over, tokens_kept, tokens_cut for any limits, between lengths too: one pass over the histogram."""
+    n, d = F.col("n_tokens"), F.col("n_docs")
+    of = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    rows = [F.struct(F.lit(x).cast("long").alias("limit"), of(F.when(n > x, d)).alias("docs_over"), of(F.least(n, F.lit(x)) * d).alias("tokens_kept"), of(F.greatest(n - x, F.lit(0)) * d).alias("tokens_cut")) for x in limits]
+    return histogram.agg(F.array(*rows).alias("all")).select(F.inline("all"))
+
+
+def quantile_lengths(table: DataFrame, shares: list[float]) -> DataFrame:
+    """share, n_tokens: the smallest length that at least this share of the documents does not exceed, from limit_table()."""
+    rows = [F.struct(F.lit(float(q)).alias("share"), F.min(F.when(F.col("quantile") >= q, F.col("n_tokens"))).alias("n_tokens")) for q in shares]
+    return table.agg(F.array(*rows).alias("all")).select(F.inline("all"))

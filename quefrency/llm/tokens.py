@@ -20,6 +20,8 @@ END = 2
 #: Pieces of each of the two generations that a Python worker remembers, and the longest piece worth remembering. When the
 #: young generation is full it becomes the old one, which is forgotten; pieces still in use are young again by then.
 MEMO_PIECES, MEMO_CHARS = 800_000, 40
+#: Tokens of a file that its shortcuts are probed with.
+PROBES = 400
 #: Text bytes encoded at once; a longer text is still one call.
 ENCODE_BYTES = 1 << 22
 #: Marks that make a token of their own after a letter, since nothing follows them in the piece.
@@ -41,8 +43,10 @@ def _letters(word: str) -> bool:
 
 
 class Encoder:
-    """Encodes blank-separated pieces once each. No token of this kind of vocabulary spans white space: its pre-tokenizer
-    drops white space, and neither composition, nor lower case, nor a special token's string reaches across it."""
+    """Encodes blank-separated pieces once each, where the file allows that: no token of it spans white space, since its
+    pre-tokenizer drops white space, and neither composition, nor lower case, nor a special token's string reaches across
+    it. `mode` is what a probe at load found to hold: `words` (capitals fold, marks stand alone), `pieces` (pieces between
+    white space are independent) or `whole` (texts are encoded as they are)."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,6 +57,21 @@ class Encoder:
         cuts = [(k, t.content) for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
         self.specials = tuple(t for _, t in cuts)
         self.cut_id, self.cut = cuts[0] if cuts else (None, None)
+        self.mode = "words"
+        if not self._holds():
+            self.mode, self.cut, self.memo, self.old = "pieces", None, {}, {}
+            if not self._holds():
+                self.mode = "whole"
+        self.memo, self.old = {}, {}
+
+    def _holds(self) -> bool:
+        """Whether the shortcuts of this mode give the library's ids for words made of the file's own tokens, in several spellings."""
+        names = sorted(self.tokenizer.get_vocab())
+        stems = [w for x in names[:: max(1, len(names) // PROBES)] if (w := "".join(x.replace("</w>", "").split()))]
+        forms = lambda w: (w, f"{w},", w.upper(), f"{w.capitalize()}.", f"'{w}'", f"{w}{w}", f"{w.upper()}!")
+        texts = [" ".join(forms(w)) for w in stems] + [" \n\tx  y ", "a b", "A\nB, c", "\u00e9\u00c9 e\u0301. \u00df \u0130", "1,2. 3;"]
+        want = [array("I", e.ids).tobytes() + _END for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return self.encode(texts) == want
 
     def _fresh(self, pieces: set[str]) -> set[str]:
         """Those that no generation knows; what the old one knows becomes young again."""
@@ -76,9 +95,11 @@ class Encoder:
     def _learn(self, new: set[str]) -> list[str]:
         """Encode new pieces into the memo; returns the pieces encoded for them."""
         # A word with a mark behind it has the word's ids, then the mark's; ASCII in capitals has those of small letters.
-        alias, miss = {}, {"", *MARKS}
+        alias, miss = {}, {"", *MARKS} if self.mode == "words" else set()
         for w in new:
-            if w[-1:] in MARKS and _letters(w[:-1]):
+            if self.mode != "words":
+                miss.add(w)
+            elif w[-1:] in MARKS and _letters(w[:-1]):
                 c = w[:-1].lower() if w.isascii() else w[:-1]
                 alias[w] = c, w[-1]
                 miss.add(c)
@@ -91,7 +112,7 @@ class Encoder:
         holds = lambda x: self.cut is None or any(s in x for s in self.specials)
         alone = list(filter(holds, miss)) if holds("\n".join(miss)) else []
         joined = [w for w in miss if not holds(w)] if alone else miss
-        for pieces, step, form in ((alone, 4096, self._alone), (joined, 512, self._together)):
+        for pieces, step, form in ((alone, 4096, self._alone), (joined, 512, self._together if self.cut else self._alone)):
             for at in range(0, len(pieces), step):
                 self.memo.update(form(pieces[at : at + step]))
         memo = self.memo
@@ -103,6 +124,9 @@ class Encoder:
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if not len(texts):
             return []
+        if self.mode == "whole":
+            own = [x or "" for x in texts.to_pylist()]
+            return [array("I", e.ids).tobytes() + _END for e in self.tokenizer.encode_batch_fast(own, add_special_tokens=False)]
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         flat = split.flatten().dictionary_encode()
         need = flat.dictionary.to_numpy(zero_copy_only=False).tolist()

@@ -78,7 +78,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(some), "__id").select("text", "toxic")
 
 
-def fit(rows: DataFrame) -> Model:
+def fit(rows: DataFrame, penalty: float = SWAP) -> Model:
     """Fit text and toxic rows, of which there are few by training_rows(). Words are counted and chosen in Spark; what meets on the driver is the chosen words' counts of the bounded sample."""
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,16 +128,16 @@ def fit(rows: DataFrame) -> Model:
     for r, (t, u) in enumerate(_PAIR.items()):
         template[r, model.vocabulary[t]], template[r, model.vocabulary[u]] = 1, -1
     change = np.concatenate([change, template])
-    model.weights, model.bias = train(x, y, change)
+    model.weights, model.bias = train(x, y, change, penalty)
     return model
 
 
-def train(x: np.ndarray, y: np.ndarray, change: np.ndarray, steps: int = 25) -> tuple[np.ndarray, float]:
-    """Newton steps on logistic loss + RIDGE |w|^2 / 2 + SWAP mean((change w)^2) / 2. Labels weigh as they are."""
+def train(x: np.ndarray, y: np.ndarray, change: np.ndarray, penalty: float = SWAP, steps: int = 25) -> tuple[np.ndarray, float]:
+    """Newton steps on logistic loss + RIDGE |w|^2 / 2 + penalty mean((change w)^2) / 2. Labels weigh as they are."""
     xb = np.column_stack([x, np.ones(len(x), np.float32)]).astype(np.float64)
     d = xb.shape[1]
     fixed = np.zeros((d, d))
-    fixed[:-1, :-1] = SWAP * change.T.astype(float) @ change / max(1, len(change))
+    fixed[:-1, :-1] = penalty * change.T.astype(float) @ change / max(1, len(change))
     fixed[np.arange(d - 1), np.arange(d - 1)] += RIDGE
     fixed[-1, -1] = 1e-9
     w = np.zeros(d)
