@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quefrency.llm import decontamination, fmindex, jaccard, langid, lengths, neighbours, packing, suffixes, tokenfiles, toxicity
+from quefrency.llm import decontamination, fmindex, jaccard, langid, lengths, neighbours, packing, sql, suffixes, tokenfiles, toxicity
 from quefrency.llm.scratch import keep
 from quefrency.llm.tokens import vocabulary
 
@@ -41,7 +41,7 @@ def op3_decontamination(spark, sf_dir):
 def op4_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     out = langid.predict(docs, langid.fit(labelled_fold(docs)))
-    return out.select("doc_id", F.coalesce(_fold() == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(_fold() == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def op5_suffix_dedup(spark, sf_dir):
@@ -80,4 +80,4 @@ def pipeline(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_neighbours, op3_decontamination, op4_language, op5_suffix_dedup, op6_token_files, op7_toxicity, op8_token_counts, op9_ngram_jaccard, op10_substring_dedup, pipeline)}
-ORACLE: dict[str, str] = {}
+ORACLE = sql.ORACLE

@@ -1,6 +1,7 @@
 """Operators of the llm subpackage against brute force, on small tables with nulls, ties, repeats and clashing columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -11,9 +12,9 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
-from quefrency.llm import components, decontamination, fmindex, jaccard, kernels, langid, lengths, neighbours, packing, suffixes, tokenfiles, toxicity
+from quefrency.llm import components, decontamination, fmindex, jaccard, kernels, langid, lengths, neighbours, packing, repeats, scratch, suffixes, tokenfiles, toxicity
 from quefrency.llm.tokens import Encoder, vocabulary
 
 WORDS = [f"w{i}x" for i in range(60)]
@@ -61,6 +62,17 @@ def encode(t):
     return np.array([*Tokenizer.from_file(vocabulary()).encode(t or "", add_special_tokens=False).ids, 2], "<u4")
 
 
+def test_a_file_that_keeps_capitals_is_encoded_as_the_library_does(tmp_path):
+    words = Tokenizer(models.WordLevel({"[UNK]": 0, "the": 1, "The": 3, "dog": 4, "Dog": 5, ",": 6, "cat": 8, "cat,": 9}, unk_token="[UNK]"))
+    for name, split in (("marks", pre_tokenizers.Whitespace()), ("blanks", pre_tokenizers.WhitespaceSplit()), ("whole", pre_tokenizers.Split(" the ", "isolated"))):
+        words.pre_tokenizer = split
+        words.save(str(tmp_path / name))
+        own = Encoder(str(tmp_path / name))
+        for t in ("The Dog cat, The", "THE dog  the cat,", "dog the cat the dog", "", " "):
+            assert own.encode([t])[0] == np.array([*words.encode(t).ids, 2], "<u4").tobytes(), (name, t)
+    assert Encoder(vocabulary()).mode == "words"
+
+
 def test_packing(spark, docs, rows):
     for limits in ({"max_tokens": 64}, {"max_tokens": 256, "max_segments": 2, "max_loss": 100}):
         got = packing.pack(docs, vocabulary(), with_ids=True, **limits).collect()
@@ -122,9 +134,17 @@ def test_lengths(spark, docs, rows):
         assert r.tokens_kept == sum(min(x, k) for x in n) and r.docs_over == sum(x > k for x in n) and r.tokens_at_least == sum(x for x in n if x >= k)
         assert abs(r.quantile - sum(x <= k for x in n) / len(n)) < 1e-12
     assert lengths.limit_table(lengths.length_histogram(spark.createDataFrame([], EMPTY), vocabulary())).count() == 0
+    h = lengths.length_histogram(docs, vocabulary())
+    for r in lengths.truncated_totals(h, [0, 1, 7, 50, 10**6]).collect():
+        assert r.tokens_kept == sum(min(x, r.limit) for x in n) and r.docs_over == sum(x > r.limit for x in n) and r.tokens_cut == sum(n) - r.tokens_kept
+    for r in lengths.quantile_lengths(lengths.limit_table(h), [0.1, 0.5, 1.0]).collect():
+        assert r.n_tokens == sorted(n)[int(np.ceil(r.share * len(n) - 1e-9)) - 1]
 
 
-def test_decontamination(spark, docs, rows):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_decontamination(spark, docs, rows, broadcast, monkeypatch):
+    if not broadcast:
+        monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
     rng = random.Random(2)
     source = dict(r for r in rows if r[0] is not None)
     items = [("b", source[25][40:140]), ("a", source[25][40:140].upper()), ("c", "MIXED upper"), ("d", None), ("e", "!!"), (None, source[27]), ("f", text(rng, 12)), ("b", "w3x w4x")]
@@ -218,6 +238,49 @@ def test_shard_kernels_agree_with_counts(texts, window):
     assert suffixes.equal_windows(cells.astype(np.uint8), sizes, group, times, window).tolist() == want
 
 
+def test_radix_digits_are_in_the_order_of_their_bytes():
+    x = np.random.default_rng(5).integers(126, 130, 400).astype(np.uint8)
+    for size in (3, 8, 20, 80):
+        at = range(len(x) - size + 1)
+        names = suffixes.digit_names(x, size)[: len(at)]
+        pieces = [x[i : i + size].tobytes() for i in at]
+        assert [pieces[i] for i in np.argsort(names, kind="stable")] == sorted(pieces)
+        assert len(set(names.tolist())) == len(set(pieces))
+
+
+def test_words_with_one_hash_are_told_apart(spark, monkeypatch):
+    """Every word starting with q gets one hash, so that only the words themselves differ."""
+    real = repeats.span_hashes
+
+    def same(data, starts, ends, *table):
+        h = real(data, starts, ends, *table)
+        h[data[starts] == ord("q")] = 12345
+        return h
+
+    monkeypatch.setattr(repeats, "span_hashes", same)
+    window = 12
+    gap, core = [f"a{i}" for i in range(30)], [f"b{i}" for i in range(window)]
+    kind = fmindex.kind(window)
+    texts = [core[:10] + ["qone"] + gap[:3], core[:10] + ["qtwo"] + gap[3:6]]
+    column = pa.array([" ".join(t) for t in texts])
+    h, first = kind.symbols(column)
+    assert h[10] == h[first[1] + 10]
+    x = kind.exact(kind.stretches(column, first[:-1], first[1:]))
+    sizes = np.diff(first) - window + 1
+    assert not fmindex.matched_windows(x, sizes, np.zeros(2, int), np.ones(2, int), window).any()
+
+
+def test_index_is_smaller_the_more_its_text_repeats():
+    rng = np.random.default_rng(2)
+    once = rng.integers(1, 5000, 20_000)
+    sizes = []
+    for copies in (1, 8):
+        x = np.unique(np.concatenate([*[once] * copies, [0]]), return_inverse=True)[1]
+        index = fmindex.FmIndex(np.concatenate([[*np.append(x[:20_000], 0)]] * copies), 49)
+        sizes.append(index.nbytes / copies)
+    assert sizes[1] < sizes[0] / 4
+
+
 def test_near_duplicates(spark):
     rng = random.Random(9)
     base = [[rng.choice(WORDS) + str(rng.randrange(9)) for _ in range(n)] for n in (30, 80, 150, 300)]
@@ -245,7 +308,7 @@ def test_near_duplicates(spark):
                 if i is not None and j is not None and sets[a] and 100 * both >= 75 * len(sets[a] | sets[b]) and comp[i] != comp[j]:
                     comp[i] = comp[j] = min(comp[i], comp[j])
                     changed = True
-    d = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, sig int").repartition(3)
+    d = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, sig int, __id int, nth int").repartition(3)
     got = jaccard.near_duplicates(d).collect()
     assert sorted(map(tuple, got), key=key) == sorted(((i, len(s), comp.get(i)) for (i, _), s in zip(rows, sets, strict=True)), key=key)
     one = jaccard.keep_one(d)
@@ -297,16 +360,56 @@ def test_neighbours_count_a_repeated_row_once(spark):
 
 
 def test_visits_come_in_order_of_distance():
-    h = neighbours.Hasher(4, 1.0, neighbours.Params(projections=3, probes=30))
-    place = np.array([0.3, -1.6, 2.9])
-    cells = h.visits(place)
+    h = neighbours.Hasher(4, 1.0, neighbours.Params(projections=5, probes=40))
+    places = np.array([[0.3, -1.6, 2.9, 0.51, 7.0], [1.2, 3.4, -5.6, 0.8, 0.1]])
 
-    def cost(c):
+    def cost(place, c):
         own = np.floor(place)
         return sum(0.0 if k == o else (p - k - 1 if k < o else k - p) ** 2 for p, o, k in zip(place, own, c, strict=True))
 
-    costs = [cost(c) for c in cells]
-    assert costs == sorted(costs) and len({tuple(c) for c in cells}) == len(cells)
+    for place, cells in zip(places, h.visits(places), strict=True):
+        costs = [cost(place, c) for c in cells]
+        assert costs[0] == 0 and np.allclose(costs, sorted(costs)) and len({tuple(c) for c in cells}) == len(cells) == 40
+        every = sorted(cost(place, np.floor(place) + np.array(m)) for m in itertools.product((-2, -1, 0, 1, 2), repeat=5))
+        assert np.allclose(costs[:10], every[:10])
+    few = neighbours.Hasher(4, 1.0, neighbours.Params(projections=2, probes=40)).visits(places[:, :2])
+    assert len({tuple(c) for c in few[0]}) >= 20  # of 25: both projections by up to two steps
+
+
+def recall_and_share(n, top=20, queries=120):
+    x = np.random.default_rng(n).normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    h = neighbours.Hasher(64, 1.0, p := neighbours.Params.for_rows(n))
+    cells, places, seen = np.floor(h.places(x, False)), h.places(x[:queries], True), np.zeros((queries, n), bool)
+    for t in range(p.tables):
+        key, visited = h.keys(h.table(cells, t), t), h.keys(h.visits(h.table(places, t)), t)
+        for i in range(queries):
+            seen[i] |= np.isin(key, visited[i])
+    s = x[:queries] @ x.T
+    s[np.arange(queries), np.arange(queries)] = -9
+    best = np.argsort(-s, axis=1)[:, :top]
+    return np.take_along_axis(seen, best, 1).mean(), seen.mean()
+
+
+def test_the_share_of_vectors_that_queries_meet_falls():
+    """On vectors without any structure, the hardest case."""
+    got = [recall_and_share(n) for n in (2000, 12_000, 60_000)]
+    assert all(r >= 0.9 for r, _ in got) and got[0][1] > got[1][1] > got[2][1] and got[2][1] < 0.6
+
+
+@pytest.mark.parametrize("block", [4096, 64])
+def test_large_buckets_are_split_and_lose_nothing(spark, block, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    x = np.array([1.0, 2, 3, 4]) + rng.normal(size=(500, 4)) * 1e-3  # all in a few buckets
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = defaultdict(list)
+    for r in neighbours.search(d, d.where("vec_id % 100 = 0"), 5).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    for q in range(0, 500, 100):
+        s = x @ x[q]
+        s[q] = -9
+        assert got[q] == np.argsort(-s)[:5].tolist()
 
 
 def test_language(spark):
@@ -383,6 +486,28 @@ def test_toxicity(spark):
     assert toxicity.score(d.limit(0), m).count() == 0
 
 
+def test_penalty_clears_neutral_mentions_of_groups(spark):
+    """Group names stand mostly in toxic sentences of this sample; without the penalty, neutral ones that hold them are flagged."""
+    rng = random.Random(16)
+    plain = ["qaa", "qbb", "qcc", "qdd", "qee", "qff"]
+    rows = []
+    for i in range(600):
+        bad = i % 4 == 0
+        w = [rng.choice(plain) for _ in range(12)]
+        if bad:
+            w += [rng.choice(["vile", "scum"])] * (rng.random() < 0.6) + [rng.choice(["muslim", "women", "gay"])]
+        rows.append((" ".join(w), int(bad)))
+    sample = spark.createDataFrame(rows, "text string, toxic int")
+    neutral = [" ".join(rng.choice(plain) for _ in range(8)) + " " + g for g in ("muslim", "women", "gay", "christian", "men", "lesbian") * 10]
+    flagged = {p: np.mean([toxicity.fit(sample, p).score(t) >= 0.5 for t in neutral]) for p in (0.0, toxicity.SWAP)}
+    assert flagged[0.0] > 0.4 and flagged[toxicity.SWAP] < 0.05
+
+
+def test_scratch(spark):
+    kept = scratch.keep(spark.range(3))
+    assert kept.count() == 3 and scratch.release(spark) >= 1 and scratch.release(spark) == 0
+
+
 def test_sliding_minima():
     x = np.random.default_rng(0).integers(0, 99, 200)
     for w in (1, 2, 7, 30):
