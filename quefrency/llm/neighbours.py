@@ -217,7 +217,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, params: Params |
 
     def visit(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         """Each query's best among the group's rows in the buckets that it visits."""
-        out: tuple[list, list, list] = ([np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)])
+        out: tuple[list, list, list] = ([], [], [])
         if len(q) and len(x):
             vid, of = np.unique(x["vid"].to_numpy(), return_inverse=True)  # a row may stand in buckets of several tables
             m = np.empty((len(vid), dim))
@@ -237,10 +237,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, params: Params |
                 if len(met) > k + 1:  # ties at the end all stay
                     top_ = s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]
                     met, s = met[top_], s[top_]
-                out[0].append(np.full(len(met), q["qid"].iloc[i]))
-                out[1].append(vid[met])
-                out[2].append(s)
-        return pd.DataFrame(dict(zip(("qid", "vid", "score"), map(np.concatenate, out), strict=True)))
+                if len(met):
+                    for o, v in zip(out, (q["qid"].iloc[i], vid[met], s), strict=True):
+                        o.append(v)
+        return pd.DataFrame({"qid": pd.Series(out[0], dtype="int64"), "vids": out[1], "scores": out[2]})
+
+    def best(rows: pd.DataFrame) -> pd.DataFrame:
+        """A query's nearest over all groups."""
+        vid, s = np.concatenate(rows["vids"].to_list()), np.concatenate(rows["scores"].to_list())
+        order = np.lexsort((-s, vid))
+        vid, s = vid[order], s[order]
+        one = np.append(True, vid[1:] != vid[:-1])
+        vid, s = vid[one], s[one]
+        order = np.lexsort((vid, -s))[: k + 1]
+        return pd.DataFrame({"qid": np.full(len(order), rows["qid"].iloc[0]), "vid": vid[order], "score": s[order]})
 
     def compare(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"qid": np.empty(0, np.int64), "vid": np.empty(0, np.int64), "score": np.empty(0)})
@@ -267,12 +277,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, params: Params |
         split = dealt.join(large, "key", "left")
         salt = F.pmod(F.xxhash64("vid"), F.coalesce("parts", F.lit(1)))
         dealt = split.withColumn("g", F.when(F.col("parts").isNull(), F.col("g")).otherwise(groups + F.pmod(F.xxhash64("key", salt), F.lit(1 << 60)))).drop("parts")
-        more = probes.select("qid", "qvec", F.explode("keys").alias("key")).join(large, "key").select("qid", "qvec", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).cast("long").alias("salt"))
+        more = probes.select("qid", "qvec", F.explode("keys").alias("key")).join(large, "key").select("qid", "qvec", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1).cast("array<long>")).alias("salt"))
         more = more.select((groups + F.pmod(F.xxhash64("key", "salt"), F.lit(1 << 60))).alias("g"), "qid", "qvec", F.array("key").alias("keys"))
         probes = probes.select("g", "qid", "qvec", "keys").unionByName(more)
-    found = probes.groupBy("g").cogroup(dealt.groupBy("g")).applyInPandas(visit, "qid long, vid long, score double")
-    found = _best(found, k + 1)
-    found = keep(found)
+    found = probes.groupBy("g").cogroup(dealt.groupBy("g")).applyInPandas(visit, "qid long, vids array<long>, scores array<double>")
+    found = keep(found.groupBy("qid").applyInPandas(best, "qid long, vid long, score double"))
     # Queries that found too few go against everything, in blocks.
     few = asked.join(found.groupBy("qid").agg(F.count("*").alias("n")), "qid", "left").where(F.coalesce("n", F.lit(0)) < k + 1)
     if n > k and few.limit(1).count():
