@@ -240,7 +240,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, params: Params |
                 if len(met):
                     for o, v in zip(out, (q["qid"].iloc[i], vid[met], s), strict=True):
                         o.append(v)
-        return pd.DataFrame({"qid": pd.Series(out[0], dtype="int64"), "vids": out[1], "scores": out[2]})
+        return pd.DataFrame({"qid": pd.Series(out[0], dtype="int64"), "vids": pd.Series(out[1], dtype=object), "scores": pd.Series(out[2], dtype=object)})
 
     def best(rows: pd.DataFrame) -> pd.DataFrame:
         """A query's nearest over all groups."""
