@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,6 +60,23 @@ def basis(name: str, x: Column, n: int = 3, alpha: float | None = None) -> list[
     return BASES[name](x, n)
 
 
+def arrays(name: str, x: np.ndarray, n: int = 3, alpha: float | None = None) -> np.ndarray:
+    """The same n functions of every element of an array, as a last axis: for Arrow batches."""
+    if name not in (*BASES, "patp") or (name == "patp" and alpha is None):
+        raise ValueError(f"unknown basis {name!r}, or patp without alpha")
+    v, size = x[..., None], np.abs(x)[..., None]
+    power = {"polynomial": lambda k: k, "fractional": lambda k: 1 / k, "patp": lambda k: np.array([patp_power(int(i), alpha) for i in k])}
+    if name in power:
+        return np.sign(v) * size ** power[name](np.arange(2, n + 2).astype(float))
+    k = np.arange(1, n + 1).astype(float)
+    if name == "trigonometric":
+        return np.sin(k * v)
+    if name == "log":
+        return np.sign(v) * np.log1p(size**k)
+    three = (np.tanh(v), 1 / (1 + np.exp(-np.clip(v, -50, 50))), np.arctan(v))
+    return np.concatenate([three[i % 3] for i in range(n)], axis=-1)
+
+
 class TensorBasis:
     """Products of one-dimensional bases and 1, over all multi-indices but the constant, in lexicographic order."""
 

@@ -1,87 +1,120 @@
-"""Gaussian discriminants: class moments by one grouped pass, small inverses on the driver, quadratic forms as columns."""
+"""Gaussian discriminants: class moments by one grouped pass, small inverses on the driver, quadratic forms in Arrow batches."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quefrency.functions import columns
+from quefrency.operators import moments
+
+
+def vector(features: list[str] | str) -> Column:
+    """The features as one array column: of many columns, or an array already."""
+    return F.col(features).cast("array<double>") if isinstance(features, str) else F.array(*(F.col(f"`{c}`").cast("double") for c in features))
+
+
+def by_class(b):
+    for y, rows in b.groupby("y").groups.items():
+        yield (y,), moments.stacked(b.loc[rows, "s"])
+
 
 @dataclass
 class ClassMoments:
-    """Global mean and population deviation of the features; count, mean and sample covariance of each class, standardised."""
+    """Mean and population deviation of the features; count, mean and sample covariance of each class, standardised."""
 
-    features: list[str]
+    features: list[str] | str
     mean: np.ndarray
     std: np.ndarray
-    classes: dict
+    classes: dict = field(default_factory=dict)
+
+    @classmethod
+    def fit(cls, frame: DataFrame, y: str, features: list[str] | str) -> ClassMoments:
+        own = frame.select(F.col(y).alias("y"), vector(features).alias("s"))
+        return cls.of(moments.grouped(own, {"y": own.schema["y"].dataType.simpleString()}, by_class), features)
 
     @classmethod
-    def fit(cls, frame: DataFrame, y: str, features: list[str]) -> ClassMoments:
-        d = len(features)
-        aggs = [F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(features)), *(F.covar_pop(a, b).alias(f"c{i}_{j}") for i, a in enumerate(features) for j, b in enumerate(features) if i <= j)]
-        rows = frame.groupBy(y).agg(*aggs).collect()  # one row a class
-        n = np.array([r["n"] for r in rows], float)
-        mu = np.array([[r[f"m{i}"] for i in range(d)] for r in rows])
-        cov = np.array([[[r[f"c{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)] for r in rows])
-        mean = n @ mu / n.sum()
-        var = (n @ np.array([np.diag(c) for c in cov]) + n @ (mu - mean) ** 2) / n.sum()
+    def of(cls, parts: dict[tuple, tuple], features: list[str] | str = "s") -> ClassMoments:
+        """From the moments of each class, whose name ends its key."""
+        parts = dict(sorted(((k[-1], v) for k, v in parts.items()), key=lambda kv: kv[0]))
+        total = None
+        for p in parts.values():
+            total = moments.merged(total, p) if total else p
+        n, mean, scatter = total
+        var = np.diag(scatter) / n
         std = np.where(var > 0, np.sqrt(var), 1.0)
-        scale = np.outer(std, std)
-        return cls(features, mean, std, {r[y]: (k, (m - mean) / std, c / scale * k / max(k - 1, 1)) for r, k, m, c in sorted(zip(rows, n, mu, cov, strict=True), key=lambda t: t[0][y])})
-
-    def z(self) -> list:
-        return [(F.col(c) - float(m)) / float(s) for c, m, s in zip(self.features, self.mean, self.std, strict=True)]
-
-    def quadratic(self, mu: np.ndarray, inverse: np.ndarray):
-        """(z - mu)' inverse (z - mu) as a column."""
-        d = [z - float(m) for z, m in zip(self.z(), mu, strict=True)]
-        out = F.lit(0.0)
-        for i in range(len(d)):
-            for j in range(i, len(d)):
-                out = out + float(inverse[i, j] * (1 if i == j else 2)) * d[i] * d[j]
-        return out
-
-    def scores(self, frame: DataFrame, keys: list[str], each) -> DataFrame:
-        """keys, class, score: each(class size, mean, covariance) is the class's score as a column."""
-        c = list(self.classes)
-        wide = frame.select(*keys, F.array(*(each(*self.classes[k]) for k in c)).alias("__s"))
-        return wide.select(*keys, F.explode(F.map_from_arrays(F.array(*map(F.lit, c)), F.col("__s"))).alias("class", "score"))
+        return cls(features, mean, std, {c: (k, (m - mean) / std, q / np.outer(std, std) / max(k - 1, 1)) for c, (k, m, q) in parts.items()})
 
-    def mahalanobis(self, frame: DataFrame, keys: list[str], ridge: float = 1e-2, logs: bool = False) -> DataFrame:
-        """Squared distances to each class, or ln(distance + 1e-9)."""
+    @property
+    def size(self) -> int:
+        return sum(k for k, _, _ in self.classes.values())
 
-        def each(n, mu, cov):
-            d2 = self.quadratic(mu, np.linalg.inv(cov + ridge * np.eye(len(mu))))
-            return F.ln(d2 + 1e-9) if logs else d2
+    # A form is (mean, inverse, factor, constant) of each class: factor (z - mean)' inverse (z - mean) + constant.
 
-        return self.scores(frame, keys, each)
+    def ridge_forms(self, ridge: float = 1e-2) -> list[tuple]:
+        return [(mu, np.linalg.inv(cov + ridge * np.eye(len(mu))), 1.0, 0.0) for _, mu, cov in self.classes.values()]
 
-    def gaussian(self, n, mu, sigma):
+    def gaussian(self, n: int, mu: np.ndarray, sigma: np.ndarray) -> tuple:
         """Log density and log prior of a class, but for a constant."""
-        total = sum(k for k, _, _ in self.classes.values())
-        return -0.5 * self.quadratic(mu, np.linalg.inv(sigma)) - float(0.5 * np.linalg.slogdet(sigma)[1] - np.log(n / total))
+        return mu, np.linalg.inv(sigma), -0.5, float(np.log(n / self.size) - 0.5 * np.linalg.slogdet(sigma)[1])
 
-    def qda(self, frame: DataFrame, keys: list[str], reg: float = 0.05) -> DataFrame:
-        return self.scores(frame, keys, lambda n, mu, s: self.gaussian(n, mu, (1 - reg) * s + reg * np.eye(len(mu))))
+    def qda_forms(self, reg: float = 0.05) -> list[tuple]:
+        return [self.gaussian(n, mu, (1 - reg) * s + reg * np.eye(len(mu))) for n, mu, s in self.classes.values()]
 
-    def rda(self, frame: DataFrame, keys: list[str], lam: float, gam: float) -> DataFrame:
+    def rda_forms(self, lam: float, gam: float) -> list[tuple]:
         """Covariances shrunk to the pooled one, then to a multiple of the identity."""
-        n = sum(k for k, _, _ in self.classes.values())
-        pooled = sum((k - 1) * s for k, _, s in self.classes.values()) / (n - len(self.classes))
+        pooled = sum((k - 1) * s for k, _, s in self.classes.values()) / (self.size - len(self.classes))
 
         def sigma(s):
             m = (1 - lam) * s + lam * pooled
             return (1 - gam) * m + gam * np.trace(m) / len(m) * np.eye(len(m))
 
-        return self.scores(frame, keys, lambda k, mu, s: self.gaussian(k, mu, sigma(s)))
+        return [self.gaussian(k, mu, sigma(s)) for k, mu, s in self.classes.values()]
+
+    def diagonal_forms(self, smoothing: float = 1e-9) -> list[tuple]:
+        """Naive Bayes with Gaussian features; variances are population ones, smoothed by a share of the largest, which is 1."""
+        return [self.gaussian(k, mu, np.diag(np.diag(s) * (k - 1) / k + smoothing)) for k, mu, s in self.classes.values()]
+
+    def kernel(self, forms: list[tuple], logs: bool = False):
+        """Rows of features -> rows of one score a class."""
+        mean, std = self.mean, self.std
+
+        def run(s: np.ndarray) -> np.ndarray:
+            z = (s - mean) / std
+            out = np.empty((len(z), len(forms)))
+            for i, (mu, inverse, factor, constant) in enumerate(forms):
+                d = z - mu
+                q = ((d @ inverse) * d).sum(axis=1)
+                out[:, i] = np.log(q + 1e-9) if logs else factor * q + constant
+            return out
+
+        return run
+
+    def scores(self, frame: DataFrame, keys: list[str], forms: list[tuple], logs: bool = False) -> DataFrame:
+        """keys, class, score."""
+        wide = frame.select(*keys, columns.rows(self.kernel(forms, logs))(vector(self.features)).alias("__s"))
+        return wide.select(*keys, F.explode(F.map_from_arrays(F.array(*map(F.lit, self.classes)), F.col("__s"))).alias("class", "score"))
+
+    def mahalanobis(self, frame: DataFrame, keys: list[str], ridge: float = 1e-2, logs: bool = False) -> DataFrame:
+        """Squared distances to each class, or ln(distance + 1e-9)."""
+        return self.scores(frame, keys, self.ridge_forms(ridge), logs)
+
+    def qda(self, frame: DataFrame, keys: list[str], reg: float = 0.05) -> DataFrame:
+        return self.scores(frame, keys, self.qda_forms(reg))
+
+    def rda(self, frame: DataFrame, keys: list[str], lam: float, gam: float) -> DataFrame:
+        return self.scores(frame, keys, self.rda_forms(lam, gam))
 
     def diagonal(self, frame: DataFrame, keys: list[str], smoothing: float = 1e-9) -> DataFrame:
-        """Naive Bayes with Gaussian features; variances are population ones."""
-        extra = smoothing  # of the largest variance, which is 1 after standardisation
-        return self.scores(frame, keys, lambda k, mu, s: self.gaussian(k, mu, np.diag(np.diag(s) * (k - 1) / k + extra)))
+        return self.scores(frame, keys, self.diagonal_forms(smoothing))
+
+    def conditioning(self, ridge: float = 1e-2, warn: float = 1e6) -> list[tuple]:
+        """class, 2-norm condition of its regularised covariance, whether that is too large."""
+        out = [(c, float(np.linalg.cond(cov + ridge * np.eye(len(mu))))) for c, (_, mu, cov) in self.classes.items()]
+        return [(c, k, k > warn) for c, k in out]
 
 
 def nearest(scores: DataFrame, keys: list[str], smallest: bool = False) -> DataFrame:
@@ -90,17 +123,28 @@ def nearest(scores: DataFrame, keys: list[str], smallest: bool = False) -> DataF
     return scores.groupBy(*keys).agg(F.min_by("class", F.struct(s, F.col("class"))).alias("p"))
 
 
-def tune_rda(inner: DataFrame, val: DataFrame, y: str, key: str, features: list[str], lams=(0.0, 0.25, 0.5, 0.75, 1.0), gams=(0.0, 0.1, 0.25, 0.5)) -> tuple[float, float]:
-    """The first best pair by macro-F1 on val. The moments are aggregated once; all pairs are scored in one pass."""
+LAMBDAS, GAMMAS = (0.0, 0.25, 0.5, 0.75, 1.0), (0.0, 0.1, 0.25, 0.5)
+
+
+def rda_grid(inner: DataFrame, val: DataFrame, y: str, features: list[str] | str, lams=LAMBDAS, gams=GAMMAS) -> DataFrame:
+    """lam, gam, macro_f1, accuracy of each pair on val: moments once, and all pairs scored in one pass. Singular pairs are left out."""
     from quefrency.operators.metrics import macro_f1
 
-    m, out = ClassMoments.fit(inner, y, features), None
+    m, pairs = ClassMoments.fit(inner, y, features), []
     for lam in lams:
         for gam in gams:
             try:
-                p = nearest(m.rda(val, [key, y], lam, gam), [key, y]).select("p", F.col(y).alias("y"), F.lit(lam).alias("lam"), F.lit(gam).alias("gam"))
+                pairs.append((lam, gam, m.kernel(m.rda_forms(lam, gam))))
             except np.linalg.LinAlgError:
                 continue
-            out = p if out is None else out.unionByName(p)
-    best = macro_f1(out, ["lam", "gam"]).orderBy(F.desc("macro_f1"), "lam", "gam").first()
+    kernels = [k for *_, k in pairs]
+    best = columns.rows(lambda s: np.column_stack([k(s).argmax(axis=1) for k in kernels]).astype(float))
+    each = val.select(F.col(y).alias("y"), F.posexplode(best(vector(features))).alias("pair", "at"))
+    named = each.select("y", F.array(*map(F.lit, m.classes))[F.col("at").cast("int")].alias("p"), *(F.array(*(F.lit(float(p[i])) for p in pairs))[F.col("pair")].alias(n) for i, n in enumerate(("lam", "gam"))))
+    return macro_f1(named, ["lam", "gam"])
+
+
+def tune_rda(inner: DataFrame, val: DataFrame, y: str, features: list[str] | str, lams=LAMBDAS, gams=GAMMAS) -> tuple[float, float]:
+    """The first best pair by macro-F1 on val."""
+    best = rda_grid(inner, val, y, features, lams, gams).orderBy(F.desc("macro_f1"), "lam", "gam").first()
     return best["lam"], best["gam"]

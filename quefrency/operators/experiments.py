@@ -2,7 +2,8 @@
 
 Windows are rows (window_id, y, grp, x). Training features are computed once and shared by all splits; test windows are
 distorted by a channel of their own for each split and severity, drawn from a hash of those keys, so that results do not
-depend on partitioning. A split's models need one row a class on the driver; everything else stays a DataFrame.
+depend on partitioning. Representation and split are columns: the models of all of them are fitted in the same passes,
+with one row a model and class on the driver.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quefrency.functions import columns, signal
-from quefrency.operators import heads, metrics, spectra, stats
+from quefrency.operators import heads, metrics, moments, ranking, spectra, stats
 from quefrency.operators.discriminant import ClassMoments
 
 Representation = Callable[[DataFrame], DataFrame]
@@ -40,10 +41,9 @@ class Design:
 def split_roles(windows: DataFrame, group: str, splits: int, test_size: float = 0.3, seed: int = 2026) -> DataFrame:
     """split, group, role of every split; the number of test groups is rounded half to even, one at least."""
     g = windows.select(group).distinct().select(group, F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split"))
-    w = Window.partitionBy("split")
-    order = F.md5(F.concat_ws(":", (F.col("split") + seed).cast("string"), F.col(group).cast("string")))
-    cut = F.greatest(F.lit(1), F.bround(F.lit(test_size) * F.count(F.lit(1)).over(w)))
-    return g.select("split", group, F.when(F.row_number().over(w.orderBy(order, group)) <= cut, "test").otherwise("train").alias("role"))
+    g = ranking.by_hash(g, ["split"], F.md5(F.concat_ws(":", (F.col("split") + seed).cast("string"), F.col(group).cast("string"))), [group])
+    cut = F.greatest(F.lit(1), F.bround(F.lit(test_size) * F.col("total")))
+    return g.select("split", group, F.when(F.col("before") < cut, "test").otherwise("train").alias("role"))
 
 
 def uniform(*parts: Column) -> Column:
@@ -63,6 +63,18 @@ def taps(length: Column, *key: Column, decay: float = 0.7) -> Column:
     return F.transform(h, lambda e: e / norm)
 
 
+def complex_taps(length: Column, *key: Column, decay: float = 0.7) -> Column:
+    """As taps(), with complex normal taps: an array of (re, im) whose squares sum to 1; one tap is 1."""
+
+    def draw(k):
+        size, turn = F.sqrt(-F.ln(uniform(*key, k, F.lit(0)))) * F.exp(-decay * k), 2 * np.pi * uniform(*key, k, F.lit(1))
+        return F.struct(F.when(k == 0, 1.0).otherwise(size * F.cos(turn)).alias("re"), F.when(k == 0, 0.0).otherwise(size * F.sin(turn)).alias("im"))
+
+    h = F.transform(F.sequence(F.lit(0), length - 1), draw)
+    norm = F.sqrt(F.aggregate(h, F.lit(0.0), lambda a, e: a + e["re"] * e["re"] + e["im"] * e["im"]))
+    return F.transform(h, lambda e: F.struct((e["re"] / norm).alias("re"), (e["im"] / norm).alias("im")))
+
+
 def _through(x: pd.Series, h: pd.Series) -> pd.Series:
     out: list = [None] * len(x)
     sizes = pd.DataFrame({"x": x.map(len), "h": h.map(len)})
@@ -162,52 +174,79 @@ def masked(reps: dict[str, Representation], n_fft=256, hop=128, least=0.8) -> di
 # --- heads and scores ------------------------------------------------------------------------------------------------
 
 
-def distances(moments: ClassMoments, ridge: float):
-    """s -> squared distance to each class, in the order of classes: one Arrow call a batch for all of them."""
-    mu = np.stack([m for _, m, _ in moments.classes.values()])
-    inv = np.stack([np.linalg.inv(cov + ridge * np.eye(mu.shape[1])) for _, _, cov in moments.classes.values()])
+def _models(train: DataFrame) -> dict[str, ClassMoments]:
+    """key -> class moments, of rows key, y, s: one pass for all models."""
+
+    def each(b: pd.DataFrame):
+        for k, rows in b.groupby(["key", "y"]).groups.items():
+            yield k, moments.stacked(b.loc[rows, "s"])
+
+    parts = moments.grouped(train, {"key": "string", "y": train.schema["y"].dataType.simpleString()}, each)
+    return {k: ClassMoments.of({u: v for u, v in parts.items() if u[0] == k}) for k in {k for k, _ in parts}}
 
-    def quadratic(s: np.ndarray) -> np.ndarray:
-        d = ((s - moments.mean) / moments.std)[:, None] - mu
-        return ((d.transpose(1, 0, 2) @ inv).transpose(1, 0, 2) * d).sum(axis=2)
 
-    return columns.rows(quadratic)
+def _by_key(kernels: dict, names: dict[str, list] | None = None):
+    """(key, s) -> each row through the kernel of its key, as a column; or the named class with its least score."""
+
+    def run(k: pd.Series, s: pd.Series) -> pd.Series:
+        out: list = [None] * len(k)
+        for name, rows in k.reset_index(drop=True).groupby(k.to_numpy()).groups.items():
+            if name in kernels:
+                x = kernels[name](moments.stacked(s.iloc[rows]))
+                for i, row in zip(rows, x, strict=True):
+                    out[i] = row if names is None else names[name][int(row.argmin())]
+        return pd.Series(out, dtype=object)
+
+    return run
 
 
 def predict(train: DataFrame, test: DataFrame, design: Design) -> DataFrame:
-    """The test frames' ids and p (and probability by class for the logistic head), from columns s."""
-    xs = [f"x{i}" for i in range(len(train.first()["s"]))]
-    wide = lambda f: f.select(*f.columns, *columns.named("s", xs)).drop("s")
-    if design.head in ("svm", "gmm"):
-        f = heads.fourier_svm if design.head == "svm" else heads.gaussian_mixture
-        a, b = wide(train), wide(test)
-        return f(heads.pop_scaled(a, xs), heads.pop_scaled(b, xs, a), "y", xs).select(*IDS, "p")
-    if design.head not in ("nearest", "logistic"):
-        raise ValueError(f"unknown head {design.head!r}")
-    m = ClassMoments.fit(wide(train), "y", xs)
-    far = distances(m, design.ridge)
+    """test with p (and probability by class for the logistic head), from columns key and s: a model for each key, all fitted together."""
+    kind = train.schema["y"].dataType.simpleString()
+    m = _models(train.select("key", "y", "s"))
     if design.head == "nearest":
-        best = F.array(*map(F.lit, m.classes))[(F.array_position("d2", F.array_min("d2")) - 1).cast("int")]
-        return test.withColumn("d2", far("s")).select(*IDS, best.alias("p"))
-    ds = [f"d{i}" for i in range(len(m.classes))]
-    logs = lambda f, keep: f.withColumn("d2", far("s")).select(*keep, *(F.ln(F.col("d2")[i] + 1e-9).alias(d) for i, d in enumerate(ds)))
-    a, b = logs(train, ["y"]).persist(), logs(test, IDS)
-    out = heads.logistic(heads.pop_scaled(a, ds), heads.pop_scaled(b, ds, a), "y", ds).select(*IDS, "p", "probability")
-    a.unpersist()
-    return out
+        kernels = {k: v.kernel(v.ridge_forms(design.ridge)) for k, v in m.items()}
+        best = F.pandas_udf(_by_key(kernels, {k: list(v.classes) for k, v in m.items()}), kind)
+        return test.withColumn("p", best("key", "s"))
+    if design.head == "logistic":
+        kernels = {k: v.kernel(v.ridge_forms(design.ridge), logs=True) for k, v in m.items()}
+        logs = F.pandas_udf(_by_key(kernels), "array<double>")
+        a = train.select("key", "y", logs("key", "s").alias("s")).persist()
+        out = heads.grouped_logistic(a, test.withColumn("s", logs("key", "s")), "key", "y")
+        a.unpersist()
+        return out
+    if design.head not in ("svm", "gmm"):
+        raise ValueError(f"unknown head {design.head!r}")
+    f, out = heads.fourier_svm if design.head == "svm" else heads.gaussian_mixture, []
+    for k, v in m.items():  # these heads are fitted one after the other
+        xs = [f"x{i}" for i in range(len(v.mean))]
+        wide = lambda d: d.where(F.col("key") == k).select("*", *columns.named("s", xs))  # noqa: B023, E731
+        a, b = wide(train), wide(test)
+        out.append(f(heads.pop_scaled(a, xs), heads.pop_scaled(b, xs, a), "y", xs).select(*test.columns, "p"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def conditioning(windows: DataFrame, reps: dict[str, Representation], design: Design, ridges: tuple[float, ...] = (1e-2,)) -> DataFrame:
+    """rep, split, ridge, y, cond: condition of each class's regularised covariance over clean training frames."""
+    roles = split_roles(windows, "grp", design.splits, design.test_size, design.seed).where("role = 'train'")
+    train = reduce(DataFrame.unionByName, (f(windows).select(F.lit(n).alias("rep"), "grp", "y", "s") for n, f in reps.items())).join(roles, "grp")
+    m = _models(train.select(F.concat_ws(":", "split", "rep").alias("key"), "y", "s"))
+    rows = [(k.split(":", 1)[1], int(k.split(":", 1)[0]), r, c, cond) for k, v in m.items() for r in ridges for c, cond, _ in v.conditioning(r)]
+    return windows.sparkSession.createDataFrame(rows, f"rep string, split int, ridge double, y {windows.schema['y'].dataType.simpleString()}, cond double")
 
 
 def predictions(windows: DataFrame, reps: dict[str, Representation], design: Design) -> DataFrame:
-    """rep, split, severity, window_id, frame_id, y, p of every test frame."""
-    roles = split_roles(windows, "grp", design.splits, design.test_size, design.seed).persist()
-    test, out = distorted(windows, roles, design), []
-    for name, represent in reps.items():
-        clean, bent = represent(windows).persist(), represent(test).persist()
-        for i in range(design.splits):
-            mine = roles.where((F.col("split") == i) & (F.col("role") == "train"))
-            p = predict(clean.join(mine, "grp", "left_semi"), bent.where(F.col("split") == i), design)
-            out.append(p.select(F.lit(name).alias("rep"), "*"))
-    return reduce(DataFrame.unionByName, out).persist()
+    """rep, split, severity, window_id, frame_id, y, p of every test frame. All splits of all representations are one fit."""
+    roles = split_roles(windows, "grp", design.splits, design.test_size, design.seed)
+    bent = distorted(windows, roles, design)
+    named = lambda f, name, cols: f.select(F.lit(name).alias("rep"), *cols, "s")
+    train = reduce(DataFrame.unionByName, (named(f(windows), n, ["grp", "y"]) for n, f in reps.items())).join(roles.where("role = 'train'"), "grp")
+    test = reduce(DataFrame.unionByName, (named(f(bent), n, IDS) for n, f in reps.items()))
+    key = F.concat_ws(":", "rep", "split").alias("key")
+    a = train.select(key, "y", "s").persist()
+    out = predict(a, test.select(key, "*"), design).drop("key", "s")
+    a.unpersist()
+    return out
 
 
 def run(windows: DataFrame, reps: dict[str, Representation], design: Design = Design()) -> DataFrame:  # noqa: B008
@@ -217,12 +256,10 @@ def run(windows: DataFrame, reps: dict[str, Representation], design: Design = De
 
 def levels(pred: DataFrame) -> DataFrame:
     """level (frame, vote, prob), rep, split, severity, f1: single frames, votes of a window, and its mean probabilities."""
-    from pyspark.ml.functions import vector_to_array
-
-    keys = ["rep", "split", "severity"]
+    keys, pred = ["rep", "split", "severity"], pred.persist()  # read three times
     unit = F.struct(*keys, "window_id", "y").alias("unit")
     back = lambda f: f.select("unit.*", "p")
-    prob = pred.select(unit, F.posexplode(vector_to_array("probability")).alias("label", "prob"))
+    prob = pred.select(unit, F.posexplode("probability").alias("label", "prob"))
     forms = {"frame": pred, "vote": back(metrics.vote(pred.select(unit, "p"), "unit")), "prob": back(metrics.mean_probability(prob, "unit"))}
     return reduce(DataFrame.unionByName, (metrics.macro_f1(f, keys).select(F.lit(n).alias("level"), *keys, F.col("macro_f1").alias("f1")) for n, f in forms.items()))
 
@@ -233,25 +270,42 @@ def levels(pred: DataFrame) -> DataFrame:
 def summary(scores: DataFrame, keys: list[str] = ["rep"], least: int = 3) -> DataFrame:  # noqa: B006
     """Mean and population deviation over splits of the clean score and of the mean at severities from `least` on."""
     u = metrics.under_fir(scores, ["split", *keys], least)
-    return u.groupBy(*keys).agg(F.count(F.lit(1)).alias("splits"), *(f(c).alias(f"{c}{n}") for c in ("clean", "under") for n, f in (("", F.avg), ("_std", F.stddev_pop))))
+    return u.groupBy(*keys).agg(F.count(F.lit(1)).alias("splits"), *(f(c).alias(f"{c}{n}") for c in ("clean", "under") for n, f in (("", F.avg), ("_std", F.stddev_pop), ("_min", F.min), ("_max", F.max))))
 
 
 def gap(scores: DataFrame, incumbent: str, challenger: str, repeats: int = 2000, seed: int = 2125, least: int = 3) -> DataFrame:
     """One row: mean, deviation and least of the gap by split, wins, its interval, one-sided exact p, verdict, sign_stable.
 
-    p counts subset sums of ranks, which is exact for untied differences.
+    p counts subset sums of ranks for untied differences, and is the normal approximation's for tied ones.
     """
-    u = metrics.under_fir(scores.where(F.col("rep").isin(incumbent, challenger)), ["split", "rep"], least)
-    d = u.groupBy("split").agg(F.sum(F.when(F.col("rep") == challenger, F.col("under")).otherwise(-F.col("under"))).alias("d")).withColumn("all", F.lit(0))
+    d = gaps(scores, incumbent, challenger, least).withColumnRenamed("gap", "d").withColumn("all", F.lit(0))
     d = d.withColumn("i", (F.row_number().over(Window.partitionBy("all").orderBy("split")) - 1).cast("long")).persist()  # one row a split
     w = stats.wilcoxon_w(d, "d", ["all"]).first()
-    p = stats.wilcoxon_exact_p(w["w_plus"], w["n"]) if w else 1.0
+    p = stats.wilcoxon_p(w["w_plus"], w["n"], w["ties"]) if w else 1.0
     ci = stats.bootstrap_means(d, "d", repeats, seed, ["all"]).agg(F.percentile("mean", 0.025).alias("lo"), F.percentile("mean", 0.975).alias("hi"))
     s = d.agg(F.avg("d").alias("gap"), F.stddev_pop("d").alias("gap_std"), F.min("d").alias("gap_min"), F.sum((F.col("d") > 0).cast("long")).alias("wins"), F.count(F.lit(1)).alias("splits"))
     out = s.crossJoin(F.broadcast(ci)).withColumn("p_value", F.lit(p))
     return out.withColumn("confirmed", (F.col("p_value") < 0.05) & (F.col("lo") > 0)).withColumn("sign_stable", F.col("gap_min") > 0)
 
 
+def curve(scores: DataFrame, by: list[str] = ["rep"]) -> DataFrame:  # noqa: B006
+    """by, severity, splits, f1, f1_std: what a curve over severities is drawn from."""
+    return scores.groupBy(*by, "severity").agg(F.count(F.lit(1)).alias("splits"), F.avg("f1").alias("f1"), F.stddev_pop("f1").alias("f1_std"))
+
+
+def gaps(scores: DataFrame, incumbent: str, challenger: str, least: int = 3) -> DataFrame:
+    """split, gap: a bar for each split, the challenger's mean score under distortion less the incumbent's."""
+    u = metrics.under_fir(scores.where(F.col("rep").isin(incumbent, challenger)), ["split", "rep"], least)
+    return u.groupBy("split").agg(F.sum(F.when(F.col("rep") == challenger, F.col("under")).otherwise(-F.col("under"))).alias("gap"))
+
+
+def tradeoff(scores: DataFrame, reference: str, least: int = 3) -> DataFrame:
+    """summary() of each representation, and whether its score under distortion beats the reference's."""
+    s = summary(scores, least=least)
+    ref = s.where(F.col("rep") == reference).select(F.col("under").alias("__u"))
+    return s.crossJoin(F.broadcast(ref)).withColumn("beats", F.col("under") > F.col("__u")).drop("__u")
+
+
 def candidates(summary_: DataFrame, reference: str, margin: float = 0.02) -> DataFrame:
     """summary_ with candidate: better under distortion than the reference, and clean within the margin."""
     ref = summary_.where(F.col("rep") == reference).select(F.col("under").alias("__u"), F.col("clean").alias("__c"))
@@ -276,9 +330,9 @@ def forward(windows: DataFrame, base: Representation, names: list[str], design:
 
 
 def random_starts(recordings: DataFrame, rec: str, n_samples: str, size: int, n_windows: int, blocks: int = 20, seed: int = 2026) -> DataFrame:
-    """rec, block, draw, start: max(1, n_windows div blocks) windows at random places of each of equal blocks that hold one."""
+    """rec, block, draw, start: max(1, n_windows div blocks) windows at random places of each of equal blocks longer than one."""
     per = F.expr(f"{n_samples} div {blocks}")
-    x = recordings.select(rec, per.alias("__per")).where(F.col("__per") >= size)
+    x = recordings.select(rec, per.alias("__per")).where(F.col("__per") > size)
     x = x.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).select("*", F.explode(F.sequence(F.lit(0), F.lit(max(1, n_windows // blocks) - 1))).alias("draw"))
     at = F.floor(uniform(F.lit(seed), F.col(rec), F.col("block"), F.col("draw")) * (F.col("__per") - size + 1)).cast("long")
     return x.select(rec, "block", "draw", (F.col("block") * F.col("__per") + at).alias("start"))
@@ -286,5 +340,4 @@ def random_starts(recordings: DataFrame, rec: str, n_samples: str, size: int, n_
 
 def cap_frames(windows: DataFrame, y: str, order: list[str], n_frames: str, cap: int) -> DataFrame:
     """Windows of each class, in order, while the frames before them number less than cap; the last one may overshoot."""
-    w = Window.partitionBy(y).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return windows.withColumn("__before", F.coalesce(F.sum(n_frames).over(w), F.lit(0))).where(F.col("__before") < cap).drop("__before")
+    return ranking.by_value(windows, [y], order, F.col(n_frames)).where(F.col("before") < cap).select(*windows.columns)

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
+
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quefrency.operators import moments
+
 
 def pop_scaled(frame: DataFrame, features: list[str], fit_on: DataFrame | None = None) -> DataFrame:
     """Features less their mean, by their population deviation; constant ones by 1."""
@@ -21,12 +27,122 @@ def assembled(frame: DataFrame, features: list[str], out: str = "features") -> D
     return VectorAssembler(inputCols=features, outputCol=out).transform(frame)
 
 
+@dataclass
+class Softmax:
+    """One model of grouped_logistic(): labels, scaling, weights (bias last; one row for two labels, a row a label for more)."""
+
+    labels: list
+    mean: np.ndarray
+    std: np.ndarray
+    w: np.ndarray
+    best: np.ndarray | None = None
+    step: np.ndarray | None = None
+    value: float = np.inf
+    done: bool = False
+
+    def design(self, s: np.ndarray) -> np.ndarray:
+        return np.column_stack([(s - self.mean) / self.std, np.ones(len(s))])
+
+    def log_probability(self, x: np.ndarray) -> np.ndarray:
+        z = x @ self.w.T
+        z = np.column_stack([np.zeros(len(x)), z]) if len(self.labels) <= 2 else z
+        z = z[:, : len(self.labels)]
+        return z - np.logaddexp.reduce(z, axis=1, keepdims=True)
+
+    def derivatives(self, s: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Loss of rows with label numbers y, its gradient and its Hessian, by the weights in order."""
+        x = self.design(s)
+        lp = self.log_probability(x)
+        p, k = np.exp(lp), len(self.w)
+        free = p[:, -k:]
+        error = free - (y[:, None] == np.arange(len(self.labels))[-k:])
+        d = x.shape[1]
+        wide = (free[:, :, None] * x[:, None]).reshape(len(x), k * d)
+        h = (-wide.T @ wide).reshape(k, d, k, d)
+        for i in range(k):
+            h[i, :, i] += (x * free[:, i : i + 1]).T @ x
+        return float(-lp[np.arange(len(y)), y].sum()), (error.T @ x).ravel(), h.reshape(k * d, k * d)
+
+    def move(self, loss: float, g: np.ndarray, h: np.ndarray, c: float, tol: float) -> None:
+        """A Newton step on c loss + |w|^2 / 2 without the bias, halved while it does not help."""
+        free = np.ones(self.w.shape)
+        free[:, -1] = 0
+        value = c * loss + float((free * self.w**2).sum()) / 2
+        if self.best is not None and value > self.value + 1e-10 * abs(self.value):
+            self.step = self.step / 2
+        else:
+            self.best, self.value = self.w, value
+            self.step = -np.linalg.solve(c * h + np.diag((free + 1e-9 * (1 - free)).ravel()), c * g + (free * self.w).ravel()).reshape(self.w.shape)
+        self.done = bool(np.abs(self.step).max() < tol)
+        self.w = self.best if self.done else self.best + self.step
+
+
+def grouped_logistic(train: DataFrame, test: DataFrame, key: str, y: str, s: str = "s", c: float = 1.0, steps: int = 60, tol: float = 1e-6) -> DataFrame:
+    """test with p, and probability by label in their order: a model for each value of the string column `key`, over features
+    scaled to the training rows' mean and population deviation. The objective is that of C = c, with free intercepts.
+
+    All models take their Newton steps together: a step is one pass that sums gradients and Hessians by key. What meets on
+    the driver is one row a model.
+    """
+    own = train.select(F.col(key).alias("key"), F.col(y).alias("y"), F.col(s).cast("array<double>").alias("s"))
+    kind = own.schema["y"].dataType.simpleString()
+
+    def each(b: pd.DataFrame):
+        for k, rows in b.groupby(["key", "y"]).groups.items():
+            yield k, moments.stacked(b.loc[rows, "s"])
+
+    parts, models = moments.grouped(own, {"key": "string", "y": kind}, each), {}
+    for k in {k for k, _ in parts}:
+        labels, total = sorted(v for u, v in parts if u == k), None
+        for v in labels:
+            total = moments.merged(total, parts[k, v]) if total else parts[k, v]
+        n, mean, scatter = total
+        std = np.sqrt(np.diag(scatter) / n)
+        models[k] = Softmax(labels, mean, np.where(std > 0, std, 1.0), np.zeros((1 if len(labels) <= 2 else len(labels), len(mean) + 1)), done=len(labels) < 2)
+
+    def sums(batches: Iterator[pd.DataFrame], models: dict) -> Iterator[pd.DataFrame]:
+        held: dict[str, list] = {}
+        for b in batches:
+            for k, rows in b.groupby("key").groups.items():
+                m = models.get(k)
+                if m is not None:
+                    at = {v: i for i, v in enumerate(m.labels)}
+                    d = m.derivatives(moments.stacked(b.loc[rows, "s"]), b.loc[rows, "y"].map(at).to_numpy(int))
+                    held[k] = [u + v for u, v in zip(held[k], d, strict=True)] if k in held else list(d)
+        yield pd.DataFrame([(k, f, g.tobytes(), h.tobytes()) for k, (f, g, h) in held.items()], columns=["key", "f", "g", "h"])
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("f")
+        total = lambda c: sum(np.frombuffer(x) for x in rows[c]).tobytes()
+        return pd.DataFrame({"key": rows["key"].iloc[:1].to_list(), "f": [rows["f"].sum()], "g": [total("g")], "h": [total("h")]})
+
+    schema = "key string, f double, g binary, h binary"
+    for _ in range(steps):
+        open_ = {k: m for k, m in models.items() if not m.done}
+        if not open_:
+            break
+        for r in own.mapInPandas(partial(sums, models=open_), schema).groupBy("key").applyInPandas(add, schema).collect():
+            g = np.frombuffer(r["g"])
+            open_[r["key"]].move(r["f"], g, np.frombuffer(r["h"]).reshape(len(g), -1), c, tol)
+
+    def score(k: pd.Series, s: pd.Series) -> pd.DataFrame:
+        p, prob = [None] * len(k), [None] * len(k)
+        for name, rows in k.reset_index(drop=True).groupby(k.to_numpy()).groups.items():
+            m = models.get(name)
+            if m is not None:
+                x = np.exp(m.log_probability(m.design(moments.stacked(s.iloc[rows]))))
+                for i, row in zip(rows, x, strict=True):
+                    p[i], prob[i] = m.labels[int(row.argmax())], row
+        return pd.DataFrame({"p": p, "probability": prob})
+
+    scored = F.pandas_udf(score, f"p {kind}, probability array<double>")
+    return test.withColumn("__r", scored(F.col(key), F.col(s).cast("array<double>"))).select(*test.columns, "__r.p", "__r.probability")
+
+
 def logistic(train: DataFrame, test: DataFrame, y: str, features: list[str]) -> DataFrame:
-    """test with p, and probability by class: the objective of C = 1, with free intercepts."""
-    n, k = train.count(), train.select(y).distinct().count()
-    lr = LogisticRegression(labelCol=y, regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, maxIter=2000, tol=1e-9, family="binomial" if k == 2 else "multinomial")
-    model = lr.fit(assembled(train.withColumn(y, F.col(y).cast("double")), features))
-    return model.transform(assembled(test, features)).withColumn("p", F.col("prediction").cast("int")).drop("features", "rawPrediction", "prediction")
+    """test with p and probability by label: one model of grouped_logistic() over feature columns."""
+    wide = lambda d: d.withColumn("__key", F.lit("all")).withColumn("__s", F.array(*(F.col(f"`{c}`").cast("double") for c in features)))
+    return grouped_logistic(wide(train), wide(test), "__key", y, "__s").drop("__key", "__s")
 
 
 def fourier_svm(train: DataFrame, test: DataFrame, y: str, features: list[str], c: float = 10.0, width: int = 128, seed: int = 2026) -> DataFrame:
@@ -112,9 +228,11 @@ def additive(train: DataFrame, test: DataFrame, y: str, features: list[str], kno
     """test with p: splines of each feature, scaled, then a logistic head."""
     ends = train.agg(*(f(c).alias(f"{n}{i}") for i, c in enumerate(features) for n, f in (("lo", F.min), ("hi", F.max)))).first()
     cols = {f"b{i}_{k}": s for i, c in enumerate(features) for k, s in enumerate(spline_columns(F.col(c), float(ends[f"lo{i}"]), float(ends[f"hi{i}"]), knots))}
-    # Written once as columns, so that each spline is not expanded again by every later step.
-    a, b = train.withColumns(cols).persist(), test.withColumns(cols).persist()
-    return logistic(pop_scaled(a, list(cols)), pop_scaled(b, list(cols), a), y, list(cols)).drop(*cols)
+    wide = lambda d: d.withColumn("__s", F.array(*cols.values())).withColumn("__key", F.lit("all"))
+    a = wide(train).persist()  # read again by every step of the fit
+    out = grouped_logistic(a, wide(test), "__key", y, "__s").drop("__key", "__s")
+    a.unpersist()
+    return out
 
 
 def principal(frame: DataFrame, features: list[str], k: int = 20) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +22,27 @@ def log_profiles(windows: DataFrame, n_fft=256, hop=128, window="hann") -> DataF
     return frames(windows, partial(signal.log_profile, n_fft=n_fft, hop=hop, window=window), n_fft)
 
 
+def complex_log_profiles(windows: DataFrame, n_fft=256, hop=128, window="hann", re: str = "re", im: str = "im") -> DataFrame:
+    """log_profiles() of complex windows, given as two array columns: all bins but the first."""
+
+    def kernel(a, b):
+        both = [None if u is None or v is None else np.concatenate([np.asarray(u, float), np.asarray(v, float)]) for u, v in zip(a, b, strict=True)]
+        split = lambda m: m[:, : m.shape[1] // 2] + 1j * m[:, m.shape[1] // 2 :]
+        return columns._by_length(pd.Series(both, dtype=object), lambda m: signal.log_profile(split(m), n_fft, hop, window), 2 * n_fft)
+
+    made = windows.withColumn("__f", F.pandas_udf(kernel, "array<array<double>>")(re, im)).drop(re, im)
+    return made.select(*[c for c in made.columns if c != "__f"], F.posexplode("__f").alias("frame_id", "v"))
+
+
 def cepstra(windows: DataFrame, n_fft=256, hop=128, window="hann", lo=0, hi=None, eps=signal.EPS_MAG) -> DataFrame:
     return frames(windows, partial(signal.cepstrum, n_fft=n_fft, hop=hop, window=window, lo=lo, hi=hi, eps=eps), n_fft)
 
 
+def full_cepstra(windows: DataFrame, n_fft=256, hop=128, window="hann", eps=signal.EPS_MAG) -> DataFrame:
+    """Quefrencies 0 .. n_fft/2 - 1, the zeroth included."""
+    return frames(windows, partial(signal.full_cepstrum, n_fft=n_fft, hop=hop, window=window, eps=eps), n_fft)
+
+
 def liftered(windows: DataFrame, family="lb", lo=3, hi=None, n_fft=256, hop=128) -> DataFrame:
     return frames(windows, partial(signal.liftered, family=family, lo=lo, hi=hi, n_fft=n_fft, hop=hop), n_fft)
 
@@ -79,9 +97,15 @@ def fir(windows: DataFrame, taps: list[float], x: str = "x") -> DataFrame:
     return windows.withColumn(x, columns.rows(lambda m: signal.causal_fir(m, h))(x))
 
 
+#: Channels that a sweep takes at most; more are an error, none are left out.
+MOST_CHANNELS = 4096
+
+
 def fir_sweep(windows: DataFrame, channels: DataFrame, x: str = "x") -> DataFrame:
-    """Windows through each channel of a small table (severity, taps): a broadcast cross product with a fixed, short list."""
-    each = windows.crossJoin(F.broadcast(channels.limit(64)))
+    """Windows through each channel of a small table (severity, taps), which is broadcast; one of more than MOST_CHANNELS is an error."""
+    if channels.limit(MOST_CHANNELS + 1).count() > MOST_CHANNELS:
+        raise ValueError(f"more than {MOST_CHANNELS} channels")
+    each = windows.crossJoin(F.broadcast(channels))
     n = F.size(x)
     lag = lambda i: F.aggregate(F.sequence(F.lit(0), F.least(i, F.size("taps") - 1)), F.lit(0.0), lambda a, k: a + F.get("taps", k) * F.get(x, i - k))
     return each.withColumn(x, F.transform(F.sequence(F.lit(0), n - 1), lag))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quefrency.operators import ranking
 from quefrency.operators.tiling import group_order
 
 
@@ -12,10 +13,8 @@ def grouped_split(frame: DataFrame, group: str, test_size: float = 0.3, seed: in
     """frame with role train or test, a role for each group; the number of test groups is rounded half to even, one at least."""
     if not 0 < test_size < 1:
         raise ValueError("test_size must lie between 0 and 1")
-    g = frame.select(group).distinct()
-    total = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(group_order(group, seed), group))
-    g = g.select(group, F.when(rank <= F.greatest(F.lit(1), F.bround(F.lit(test_size) * total)), "test").otherwise("train").alias("role"))
+    g = ranking.by_hash(frame.select(group).distinct(), [], group_order(group, seed), [group])
+    g = g.select(group, F.when(F.col("before") < F.greatest(F.lit(1), F.bround(F.lit(test_size) * F.col("total"))), "test").otherwise("train").alias("role"))
     return frame.join(g, group)
 
 
@@ -23,11 +22,9 @@ def grouped_kfold(frame: DataFrame, group: str, n_splits: int = 5, seed: int = 2
     """frame with fold: groups div k in each, and the rest in the last."""
     if n_splits < 2:
         raise ValueError("two folds at least")
-    g = frame.select(group).distinct()
-    total = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(group_order(group, seed), group)) - 1
-    size = F.greatest(F.floor(total / n_splits), F.lit(1))
-    return frame.join(g.select(group, F.least(F.floor(rank / size), F.lit(n_splits - 1)).cast("int").alias("fold")), group)
+    g = ranking.by_hash(frame.select(group).distinct(), [], group_order(group, seed), [group])
+    size = F.greatest(F.floor(F.col("total") / n_splits), F.lit(1))
+    return frame.join(g.select(group, F.least(F.floor(F.col("before") / size), F.lit(n_splits - 1)).cast("int").alias("fold")), group)
 
 
 def day_split(frame: DataFrame, day: str, train: list | None = None, test: list | None = None) -> DataFrame:
@@ -41,9 +38,8 @@ def day_split(frame: DataFrame, day: str, train: list | None = None, test: list
         role = F.when(d.isin([str(x) for x in train]), "train").when(d.isin([str(x) for x in test]), "test")
         return frame.withColumn("role", role).where("role is not null")
     days = frame.select(d.alias("__day")).distinct()
-    w = Window.partitionBy(F.lit(0))
-    half = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(w) / 2))
-    days = days.select("__day", F.when(F.row_number().over(w.orderBy("__day")) <= half, "train").otherwise("test").alias("role"))
+    days = ranking.running(days, [], F.substring("__day", 1, 7), ["__day"])
+    days = days.select("__day", F.when(F.col("before") < F.greatest(F.lit(1), F.floor(F.col("total") / 2)), "train").otherwise("test").alias("role"))
     return frame.join(days, d == F.col("__day")).drop("__day")
 
 
@@ -79,7 +75,6 @@ def raw_overlap(spans: DataFrame, bucket: int = 1024) -> DataFrame:
 
 def stratified_inner(frame: DataFrame, y: str, key: str, share: float = 0.75, seed: int = 2026) -> DataFrame:
     """frame with role inner or val: in each class the first max(1, floor(share n)) rows of a pseudo-random order are inner."""
-    w = Window.partitionBy(y)
-    cut = F.greatest(F.lit(1), F.floor(F.lit(share) * F.count(F.lit(1)).over(w)))
-    rank = F.row_number().over(w.orderBy(group_order(key, seed), key))
-    return frame.withColumn("role", F.when(rank <= cut, "inner").otherwise("val"))
+    x = ranking.by_hash(frame, [y], group_order(key, seed), [key])
+    cut = F.greatest(F.lit(1), F.floor(F.lit(share) * F.col("total")))
+    return x.withColumn("role", F.when(F.col("before") < cut, "inner").otherwise("val")).drop("before", "total")

@@ -5,9 +5,12 @@ from __future__ import annotations
 from math import erfc, exp, lgamma, log, sqrt
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quefrency.operators import ranking
+
 
 def gamma_q(a: float, x: float) -> float:
     """Upper regularised incomplete gamma function: series below a + 1, continued fraction above."""
@@ -53,15 +56,19 @@ def normal_sf(z: float) -> float:
 
 
 def average_rank(x: DataFrame, value: str, keys: list[str], out: str = "rank") -> DataFrame:
-    """Ranks by keys, tied values sharing their mean rank. Values are counted before they are ordered."""
+    """Ranks by keys, tied values sharing their mean rank. Values are counted before they are ordered, range by range."""
     n = x.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    r = n.select(*keys, value, "ties", (F.coalesce(F.sum("ties").over(w), F.lit(0)) + (F.col("ties") + 1) / 2).alias(out))
-    return x.join(r, [*keys, value])
+    r = ranking.by_value(n, keys, [value], F.col("ties"))
+    return x.join(r.select(*keys, value, "ties", (F.col("before") + (F.col("ties") + 1) / 2).alias(out)), [*keys, value])
+
+
+def chi2_tail(x: str, df: str) -> Column:
+    """Upper tail of a chi-square variable, for the few rows of a finished statistic."""
+    return F.pandas_udf(lambda a, b: pd.Series([None if pd.isna(u) or pd.isna(v) else chi2_p(float(u), float(v)) for u, v in zip(a, b, strict=True)], dtype=float), "double")(x, df)
 
 
 def kruskal(x: DataFrame, y: str, value: str, keys: list[str]) -> DataFrame:
-    """Tie-corrected H by keys, with k, n and eta2 = (H - k + 1) / (n - k)."""
+    """Tie-corrected H by keys, with k, n, eta2 = (H - k + 1) / (n - k) and p, its chi-square tail with k - 1 degrees."""
     r = average_rank(x, value, keys)
     by = r.groupBy(*keys, y).agg(F.sum("rank").alias("rs"), F.count(F.lit(1)).alias("ni"))
     h = by.groupBy(*keys).agg(F.sum(F.col("rs") * F.col("rs") / F.col("ni")).alias("q"), F.sum("ni").alias("n"), F.count(F.lit(1)).alias("k"))
@@ -69,7 +76,7 @@ def kruskal(x: DataFrame, y: str, value: str, keys: list[str]) -> DataFrame:
     n = F.col("n").cast("double")
     raw = 12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)
     out = h.join(t, keys) if keys else h.crossJoin(t)
-    return out.select(*keys, "n", "k", (raw / (1 - F.col("t") / (n * n * n - n))).alias("h")).withColumn("eta2", (F.col("h") - F.col("k") + 1) / (F.col("n") - F.col("k")))
+    return out.select(*keys, "n", "k", (raw / (1 - F.col("t") / (n * n * n - n))).alias("h")).withColumn("eta2", (F.col("h") - F.col("k") + 1) / (F.col("n") - F.col("k"))).withColumn("__df", F.col("k") - 1).withColumn("p", chi2_tail("h", "__df")).drop("__df")
 
 
 def anova(x: DataFrame, y: str, value: str, keys: list[str]) -> DataFrame:
@@ -82,9 +89,20 @@ def anova(x: DataFrame, y: str, value: str, keys: list[str]) -> DataFrame:
 
 
 def wilcoxon_w(pairs: DataFrame, diff: str, keys: list[str]) -> DataFrame:
-    """W+ and the number of nonzero differences."""
+    """W+, the number of nonzero differences, and ties: the sum of t^3 - t over groups of t equal magnitudes."""
     d = pairs.where(F.col(diff) != 0).withColumn("__a", F.abs(diff))
-    return average_rank(d, "__a", keys).groupBy(*keys).agg(F.sum(F.when(F.col(diff) > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"), F.count(F.lit(1)).alias("n"))
+    r = average_rank(d, "__a", keys)
+    t = F.col("ties").cast("double")
+    return r.groupBy(*keys).agg(F.sum(F.when(F.col(diff) > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"), F.count(F.lit(1)).alias("n"), F.sum(t * t - 1).alias("ties"))
+
+
+def wilcoxon_p(w_plus: float, n: int, ties: float = 0.0, exact_up_to: int = 50) -> float:
+    """One-sided p of W+: exact for up to 50 untied differences, else by the normal approximation with its tie correction."""
+    if not n:
+        return 1.0
+    if not ties and n <= exact_up_to:
+        return wilcoxon_exact_p(w_plus, n)
+    return normal_sf((w_plus - n * (n + 1) / 4) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24))
 
 
 def draw(n, *parts):
@@ -98,3 +116,58 @@ def bootstrap_means(values: DataFrame, value: str, repeats: int, seed: int, keys
     r = n.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("r")).select(*keys, "n", "r", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("j"))
     r = r.withColumn("i", draw(F.col("n"), F.lit(str(seed)), F.col("r").cast("string"), F.col("j").cast("string")))
     return r.join(values, [*keys, "i"]).groupBy(*keys, "r").agg(F.avg(value).alias("mean"))
+
+
+def paired_cells(pred: DataFrame, keys: list[str] = (), y: str = "y", a: str = "a", b: str = "b") -> DataFrame:
+    """keys, y, a, b, n: how many rows have each true label with each pair of predictions; at most classes^3 rows a key."""
+    return pred.groupBy(*keys, F.col(y).alias("y"), F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def hashed_resamples(pred: DataFrame, order: str, repeats: int, seed: int) -> DataFrame:
+    """r, y, a, b, n: cells of each resample of the rows, drawn by a hash of resample and place (rows numbered in their order)."""
+    x = ranking.by_value(pred.select(order, "y", "a", "b"), [], [order])
+    r = x.select("total", F.col("before").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("r"))
+    r = r.select("r", draw(F.col("total"), F.lit(str(seed)), F.col("r").cast("string"), F.col("j").cast("string")).alias("before"))
+    return r.groupBy("r", "before").agg(F.count(F.lit(1)).alias("m")).join(x, "before").groupBy("r", "y", "a", "b").agg(F.sum("m").alias("n"))
+
+
+def multinomial_resamples(cells: DataFrame, repeats: int, seed: int, keys: list[str] = ()) -> DataFrame:
+    """keys, r, y, a, b, n from paired_cells(), drawn at once for each cell, so that a resample costs its cells and not its rows."""
+    names = [*keys, "y", "a", "b"]
+    rows = sorted((tuple(r[c] for c in names), r["n"]) for r in cells.collect())  # at most classes^3 a key
+    groups: dict[tuple, list] = {}
+    for cell, n in rows:
+        groups.setdefault(cell[: len(keys)], []).append((cell, n))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch["id"]:
+                for i, own in enumerate(groups.values()):
+                    n = np.array([k for _, k in own], float)
+                    m = np.random.default_rng([seed + i, int(r)]).multinomial(int(n.sum()), n / n.sum())
+                    out += [(int(r), *cell, int(k)) for (cell, _), k in zip(own, m, strict=True) if k]
+            yield pd.DataFrame(out, columns=["r", *names, "n"])
+
+    kinds = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in names)
+    return cells.sparkSession.range(repeats).mapInPandas(run, f"r int, {kinds}, n long")
+
+
+def paired_bootstrap(cells: DataFrame, resamples: DataFrame, metric: str = "macro_f1", keys: list[str] = ()) -> DataFrame:
+    """keys, delta (of b over a), p_value (two-sided), ci_low, ci_high, significant. A resample's macro-F1 is over its own labels."""
+    from quefrency.operators.metrics import macro_f1
+
+    if metric not in ("macro_f1", "accuracy"):
+        raise ValueError(f"unknown metric {metric!r}")
+
+    def delta(c: DataFrame, by: list[str]) -> DataFrame:
+        side = c.select(*by, "y", "n", F.explode(F.create_map(F.lit("a"), "a", F.lit("b"), "b")).alias("side", "p"))
+        m = macro_f1(side, [*by, "side"], weight="n")
+        return m.groupBy(*by).agg(F.sum(F.when(F.col("side") == "b", F.col(metric)).otherwise(-F.col(metric))).alias("d"))
+
+    d = delta(resamples, [*keys, "r"])
+    ends = d.groupBy(*keys).agg(F.avg((F.col("d") <= 0).cast("double")).alias("lo"), F.avg((F.col("d") >= 0).cast("double")).alias("hi"), F.percentile("d", 0.025).alias("ci_low"), F.percentile("d", 0.975).alias("ci_high"))
+    own = delta(cells, list(keys))
+    both = own.join(ends, list(keys)) if keys else own.crossJoin(F.broadcast(ends))
+    out = both.select(*keys, F.col("d").alias("delta"), (2 * F.least("lo", "hi")).alias("p_value"), "ci_low", "ci_high")
+    return out.withColumn("significant", (F.col("p_value") < 0.05) & (F.col("delta") > 0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quefrency.operators import ranking
+
 
 def tile(samples: DataFrame, series: str, order: list[str], window: int, per_block: int, guard: int, partial_blocks: bool = False) -> DataFrame:
     """samples with pos, block, k (window in the block) and offset; rows of guards and of incomplete windows go.
@@ -40,14 +42,13 @@ def group_order(group: str, seed: int):
 def balance_by_groups(frame: DataFrame, group: str, cap: int, seed: int = 2026) -> DataFrame:
     """Whole groups in pseudo-random order until `cap` rows are reached; the crossing group stays. Only group counts are ordered."""
     counts = frame.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy(group_order(group, seed)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return frame.join(counts.withColumn("__before", before).where(F.col("__before") < cap).select(group), group, "left_semi")
+    return frame.join(ranking.by_hash(counts, [], group_order(group, seed), [group], F.col("__n")).where(F.col("before") < cap).select(group), group, "left_semi")
 
 
 def decimate(frame: DataFrame, order: list[str], step: int = 2, series: list[str] | None = None) -> DataFrame:
     """Every `step`-th row of each series, after rows with nulls are gone."""
-    w = Window.partitionBy(*(series or [])).orderBy(*order)
-    return frame.na.drop().withColumn("__rn", F.row_number().over(w)).where((F.col("__rn") - 1) % step == 0).drop("__rn")
+    x = ranking.by_value(frame.na.drop(), series or [], order)
+    return x.where(F.col("before") % step == 0).select(*frame.columns)
 
 
 def zscore(frame: DataFrame, value: str, keys: list[str], out: str = "z") -> DataFrame:

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from quefrency.functions import basis as B
 from quefrency.functions import columns, signal
-from quefrency.operators import discriminant, experiments, heads, metrics, reconstruct, spectra, splits, stats, tiling
+from quefrency.operators import datasets, discriminant, experiments, heads, metrics, pipelines, ranking, reconstruct, spectra, splits, stats, tiling
 from quefrency.plans import sql
 from quefrency.plans.sql import BASE, SMP, r6
 from quefrency.schema import SHAPE, SPECTRAL5, SPECTRAL11
-from quefrency.sources import synthetic, telemetry
+from quefrency.sources import classes, synthetic, telemetry
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -41,10 +41,6 @@ def windows(spark, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("window_id"), F.col("label").alias("y"), F.col("embedding").cast("array<double>").alias("x"))
 
 
-def features(spark, d: str, n: int = 3) -> DataFrame:
-    return windows(spark, d).select("window_id", "y", *(F.col("x")[i].alias(f"x{i}") for i in range(n)))
-
-
 def q6(c, name: str):
     return (F.round(c, 6) + F.lit(0.0)).alias(name)
 
@@ -144,6 +140,16 @@ def cepstrum(spark, d):
     return _cells(spectra.cepstra(windows(spark, d), 16, 8), 1, 8)
 
 
+@query(BASE + " " + sql.cells("cep", 0, 8))
+def full_cepstrum(spark, d):
+    return _cells(spectra.full_cepstra(windows(spark, d), 16, 8), 0, 8)
+
+
+@query(f"WITH {SMP}, {sql.fft(share=0.54)}, {sql.MIRROR}, {sql.PROFILE} " + sql.cells("prf", 0, 15))
+def hamming_profile(spark, d):
+    return _cells(spectra.log_profiles(windows(spark, d), 16, 8, "hamming"), 0, 15)
+
+
 @query(BASE + ", lif AS (SELECT window_id, y, frame_id, lifter, pos, v FROM cep, (SELECT unnest([1, 2, 3, 4]) AS lifter) WHERE pos >= lifter), " + sql.shape("lif", "window_id, y, frame_id, lifter") + " SELECT * FROM shp")
 def cepstrum_lifters(spark, d):
     s = spectra.describe(spectra.all_lifters(windows(spark, d), (1, 2, 3, 4), 16, 8))
@@ -196,10 +202,12 @@ def rasta(spark, d):
     return _cells(spectra.normalised(windows(spark, d), "rasta", 16, 8), 0, 15)
 
 
-_MEL = signal.mel_filters(6, 16, 12000.0)
+# Six triangles over nine bins of 750 Hz, worked out by hand: eight mel-spaced frequencies from 0 to 6000 Hz (0, 266.6, 634.7,
+# 1143.0, 1844.8, 2814.0, 4152.2, 6000) fall into bins 0, 0, 0, 1, 2, 3, 5, 8, and a triangle's sides are one bin wide at least.
+_MEL = "(0, 1, 1.0), (1, 1, 1.0), (2, 1, 1.0), (3, 2, 1.0), (4, 3, 1.0), (4, 4, 1.0 / 2), (5, 4, 1.0 / 2), (5, 5, 1.0), (5, 6, 2.0 / 3), (5, 7, 1.0 / 3)"
 
 
-@query(BASE + f""", fb AS (SELECT * FROM (VALUES {', '.join(f'({i}, {b}, {float(_MEL[i, b])!r})' for i in range(6) for b in range(9))}) AS t(m, b, w)),
+@query(BASE + f""", fb AS (SELECT * FROM (VALUES {_MEL}) AS t(m, b, w)),
 me AS (SELECT window_id, y, frame_id, m, ln(sum(w * p2) + 1e-8) AS e FROM pow2 JOIN fb USING (b) GROUP BY ALL),
 cc AS (SELECT window_id, y, frame_id, k AS pos, sum(e * cos(pi() * k * (2 * m + 1) / 12)) * sqrt(2.0 / 6) AS v FROM me, (SELECT unnest(range(1, 6)) AS k) GROUP BY ALL) """ + sql.cells("cc", 1, 6))
 def mfcc(spark, d):
@@ -310,73 +318,76 @@ def recon_cond(spark, d):
     return spark.createDataFrame([(int(c), float(k), bool(w)) for c, k, w in reconstruct.Reconstructor().fit(_long(spark, d), "y", ["v"]).conditioning()], "y int, cond double, ill boolean")
 
 
-_FE = "WITH fe AS (SELECT vec_id AS window_id, label AS y, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(3)) + " FROM embeddings), gs AS (SELECT " + ", ".join(f"avg(x{i}) AS gm{i}, stddev_pop(x{i}) AS gs{i}" for i in range(3)) + " FROM fe), z AS (SELECT window_id, y, " + ", ".join(f"(x{i} - gm{i}) / gs{i} AS z{i}" for i in range(3)) + " FROM fe, gs), cm AS (SELECT y AS class, count(*) AS n, " + ", ".join(f"avg(z{i}) AS u{i}" for i in range(3)) + ", " + ", ".join(f"covar_samp(z{i}, z{j}) AS s{i}{j}" for i in range(3) for j in range(i, 3)) + " FROM z GROUP BY y)"
-_IJ = [(i, j) for i in range(3) for j in range(i, 3)]
+# Discriminants over all 64 samples of a window: standardised values, class means and covariances as rows, inverses by sweeps.
+_Z = f"WITH RECURSIVE {SMP}, z AS (SELECT window_id, y, n AS i, (v - avg(v) OVER w) / stddev_pop(v) OVER w AS z FROM smp WINDOW w AS (PARTITION BY n)), cm AS (SELECT y AS class, i, avg(z) AS u, count(*) AS n FROM z GROUP BY y, i), dz AS (SELECT window_id, y, z.i, z - u AS d FROM z JOIN cm ON z.y = cm.class AND z.i = cm.i), cv AS (SELECT a.y AS class, a.i, b.i AS j, sum(a.d * b.d) / (count(*) - 1) AS s, count(*) AS n FROM dz a JOIN dz b USING (window_id) GROUP BY ALL)"
+_FORM = ", pr AS (SELECT class, max(n) AS n FROM cm GROUP BY class), ds AS (SELECT window_id, class, z.i, z - u AS d FROM z JOIN cm ON z.i = cm.i), hq AS (SELECT window_id, ds.class, inv.i, sum(g * d) AS h FROM ds JOIN inv ON inv.class = ds.class AND inv.j = ds.i GROUP BY ALL), q AS (SELECT window_id, ds.class, sum(h * d) AS q FROM hq JOIN ds USING (window_id, class, i) GROUP BY ALL), ld AS (SELECT class, any_value(logdet) AS logdet FROM inv GROUP BY class), sc AS (SELECT window_id, class, q, -0.5 * q - 0.5 * logdet + ln(n / (SELECT sum(n) FROM pr)) AS score FROM q JOIN ld USING (class) JOIN pr USING (class))"
 
 
-def _quad(entries: dict[tuple[int, int], str]) -> tuple[str, str]:
-    """A CTE with the regularised matrix, its inverse and determinant; and the quadratic form."""
-    inv, det = sql.adjugate("f")
-    q = " + ".join(f"{1 if i == j else 2} * g{i}{j} * (z{i} - u{i}) * (z{j} - u{j})" for i, j in _IJ)
-    return f", fm AS (SELECT class, n, u0, u1, u2, {', '.join(f'{entries[k]} AS f{k[0]}{k[1]}' for k in _IJ)} FROM cm), gi AS (SELECT class, n, u0, u1, u2, {det} AS det, {', '.join(f'{inv[k]} AS g{k[0]}{k[1]}' for k in _IJ)} FROM fm)", f"({q})"
+def _forms(entry: str, source: str = "cv") -> str:
+    return f"{_Z}{_POOL if source == 'pl' else ''}, fm AS (SELECT class, i, j, {entry} AS v FROM {source}), {sql.sweep('fm', 64)}{_FORM}"
 
 
-_RIDGE, _Q = _quad({(i, j): f"s{i}{j}" + (" + 0.01" if i == j else "") for i, j in _IJ})
-_QDA, _ = _quad({(i, j): f"0.95 * s{i}{j}" + (" + 0.05" if i == j else "") for i, j in _IJ})
-_DIAG, _ = _quad({(i, j): f"s{i}{j} * (n - 1) / n + 1e-9" if i == j else "0.0" for i, j in _IJ})
-_GAUSS = f"(-0.5 * {_Q} - 0.5 * ln(det) + ln(n / (SELECT sum(n) FROM cm)))"
-_XS = ["x0", "x1", "x2"]
+_POOL = ", po AS (SELECT i, j, sum((n - 1) * s) / (sum(n) - count(*)) AS p FROM cv GROUP BY i, j), pl AS (SELECT class, i, j, 0.5 * s + 0.5 * p AS s, sum(CASE WHEN i = j THEN 0.5 * s + 0.5 * p END) OVER (PARTITION BY class) / 64 AS t FROM cv JOIN po USING (i, j))"
+_ONE = "CASE WHEN i = j THEN {} ELSE 0 END"
+_RIDGE, _QDA = _forms(f"s + {_ONE.format('0.01')}"), _forms(f"0.95 * s + {_ONE.format('0.05')}")
+_DIAG, _RDA = _forms(_ONE.format("s * (n - 1) / n + 1e-9")), _forms(f"0.9 * s + {_ONE.format('0.1 * t')}", "pl")
+
+
+def _r4(e: str) -> str:
+    return f"round({e}, 4) + 0.0"
 
 
 def _fit(spark, d):
-    x = features(spark, d)
-    return x, discriminant.ClassMoments.fit(x, "y", _XS)
+    x = windows(spark, d)
+    return x, discriminant.ClassMoments.fit(x, "y", "x")
 
 
-def _scores(s):
-    return s.select("window_id", "class", q6(F.col("score"), "score"))
+def _scores(s, digits: int = 4):
+    return s.select("window_id", "class", (F.round("score", digits) + F.lit(0.0)).alias("score"))
 
 
-@query(_FE + _RIDGE + f" SELECT window_id, class, {r6(_Q)} AS score FROM z, gi")
+@query(_RIDGE + f" SELECT window_id, class, {_r4('q')} AS score FROM q")
 def mahalanobis_d2(spark, d):
     x, m = _fit(spark, d)
     return _scores(m.mahalanobis(x, ["window_id"]))
 
 
-@query(_FE + _RIDGE + f" SELECT window_id, class, {r6(f'ln({_Q} + 1e-9)')} AS score FROM z, gi")
+@query(_RIDGE + f" SELECT window_id, class, {r6('ln(q + 1e-9)')} AS score FROM q")
 def c2_logd2(spark, d):
     x, m = _fit(spark, d)
-    return _scores(m.mahalanobis(x, ["window_id"], logs=True))
+    return _scores(m.mahalanobis(x, ["window_id"], logs=True), 6)
 
 
-@query(_FE + _RIDGE + f" SELECT window_id, arg_min(class, {_Q}) AS p FROM z, gi GROUP BY window_id")
+@query(_RIDGE + " SELECT window_id, arg_min(class, q) AS p FROM q GROUP BY window_id")
 def c0_fixed_rule(spark, d):
     x, m = _fit(spark, d)
     return discriminant.nearest(m.mahalanobis(x, ["window_id"]), ["window_id"], smallest=True)
 
 
-@query(_FE + _QDA + f" SELECT window_id, class, {r6(_GAUSS)} AS score FROM z, gi")
+@query(_QDA + f" SELECT window_id, class, {_r4('score')} AS score FROM sc")
 def qda(spark, d):
     x, m = _fit(spark, d)
     return _scores(m.qda(x, ["window_id"]))
 
 
-@query(_FE + _DIAG + f" SELECT window_id, class, {r6(_GAUSS)} AS score FROM z, gi")
+@query(_DIAG + f" SELECT window_id, class, {_r4('score')} AS score FROM sc")
 def diag_qda(spark, d):
     x, m = _fit(spark, d)
     return _scores(m.diagonal(x, ["window_id"]))
 
 
-_POOL = ", po AS (SELECT " + ", ".join(f"sum((n - 1) * s{i}{j}) / (sum(n) - count(*)) AS p{i}{j}" for i, j in _IJ) + " FROM cm), cm2 AS (SELECT class, n, u0, u1, u2, " + ", ".join(f"0.5 * s{i}{j} + 0.5 * p{i}{j} AS s{i}{j}" for i, j in _IJ) + " FROM cm, po)"
-_RDA, _ = _quad({(i, j): f"0.9 * s{i}{j}" + (" + 0.1 * (s00 + s11 + s22) / 3" if i == j else "") for i, j in _IJ})
-
-
-@query(_FE + _POOL + _RDA.replace("FROM cm)", "FROM cm2)") + f" SELECT window_id, class, {r6(_GAUSS)} AS score FROM z, gi")
+@query(_RDA + f" SELECT window_id, class, {_r4('score')} AS score FROM sc")
 def rda_score(spark, d):
     x, m = _fit(spark, d)
     return _scores(m.rda(x, ["window_id"], 0.5, 0.1))
 
 
+@query()
+def rda_grid(spark, d):
+    x = splits.stratified_inner(windows(spark, d), "y", "window_id")
+    return discriminant.rda_grid(x.where("role = 'inner'"), x.where("role = 'val'"), "y", "x")
+
+
 # --- splits ----------------------------------------------------------------------------------------------------------
 
 _GRP = "g AS (SELECT DISTINCT vec_id // 4 AS grp FROM embeddings), rk AS (SELECT grp, row_number() OVER (ORDER BY md5('2026:' || grp), grp) AS r, count(*) OVER () AS n FROM g)"
@@ -458,9 +469,11 @@ def vote_window(spark, d):
     return metrics.vote(_pred(spark, d), "grp")
 
 
-@query(f"WITH {SMP}, m AS (SELECT window_id // 4 AS grp, n AS label, avg(v) AS m FROM smp WHERE n < 5 GROUP BY ALL) SELECT grp, label AS p FROM (SELECT grp, label, row_number() OVER (PARTITION BY grp ORDER BY m DESC, label) AS r FROM m) WHERE r = 1")
+@query(f"WITH {SMP}, e AS (SELECT window_id, n, exp(v) / sum(exp(v)) OVER (PARTITION BY window_id) AS p FROM smp), m AS (SELECT window_id // 4 AS grp, n AS label, avg(p) AS m FROM e GROUP BY ALL) SELECT grp, label AS p FROM (SELECT grp, label, row_number() OVER (PARTITION BY grp ORDER BY m DESC, label) AS r FROM m) WHERE r = 1")
 def prob_window(spark, d):
-    x = windows(spark, d).select(F.expr("window_id div 4").alias("grp"), F.posexplode(F.slice("x", 1, 5)).alias("label", "prob"))
+    e = F.transform("x", lambda v: F.exp(v))
+    share = F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    x = windows(spark, d).select(F.expr("window_id div 4").alias("grp"), F.posexplode(share).alias("label", "prob"))
     return metrics.mean_probability(x, "grp").select("grp", F.col("p").cast("long").alias("p"))
 
 
@@ -481,24 +494,24 @@ def best_choice(spark, d):
     return metrics.best_per_split(s, "split", "choice", "choice", "score").withColumn("score", F.round("score", 6))
 
 
-_RANK = f"WITH {SMP}, rk AS (SELECT n AS feature, y, v, rank() OVER (PARTITION BY n ORDER BY v) + (count(*) OVER (PARTITION BY n, v) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY n, v) AS t FROM smp WHERE n < 8)"
+_RANK = f"WITH {SMP}, rk AS (SELECT n AS feature, y, v, rank() OVER (PARTITION BY n ORDER BY v) + (count(*) OVER (PARTITION BY n, v) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY n, v) AS t FROM smp)"
 _H = _RANK + ", hh AS (SELECT feature, sum(rs * rs / ni) AS q, sum(ni) AS n, count(*) AS k FROM (SELECT feature, y, sum(r) AS rs, count(*) AS ni FROM rk GROUP BY feature, y) GROUP BY feature), tt AS (SELECT feature, sum(t * t * t - t) AS t FROM (SELECT DISTINCT feature, v, CAST(t AS DOUBLE) AS t FROM rk) GROUP BY feature), h2 AS (SELECT feature, n, k, (12.0 / (n * (n + 1.0)) * q - 3 * (n + 1)) / (1 - t / (CAST(n AS DOUBLE) * n * n - n)) AS h FROM hh JOIN tt USING (feature))"
 
 
-def _long8(spark, d):
-    return windows(spark, d).select("y", F.posexplode(F.slice("x", 1, 8)).alias("feature", "v")).withColumn("feature", F.col("feature").cast("long"))
+def _features_long(spark, d):
+    return windows(spark, d).select("y", F.posexplode("x").alias("feature", "v")).withColumn("feature", F.col("feature").cast("long"))
 
 
 @query(_H + f" SELECT feature, {r6('h')} AS h, {r6('(h - k + 1) / (n - k)')} AS eta2 FROM h2")
 def kruskal_h(spark, d):
-    return stats.kruskal(_long8(spark, d), "y", "v", ["feature"]).select("feature", q6(F.col("h"), "h"), q6(F.col("eta2"), "eta2"))
+    return stats.kruskal(_features_long(spark, d), "y", "v", ["feature"]).select("feature", q6(F.col("h"), "h"), q6(F.col("eta2"), "eta2"))
 
 
 _AN = f"WITH {SMP}, c AS (SELECT n AS feature, y, count(*) AS ni, avg(v) AS m, var_pop(v) AS vr FROM smp GROUP BY n, y), gm AS (SELECT feature, sum(ni * m) / sum(ni) AS g FROM c GROUP BY feature), s AS (SELECT feature, sum(ni * pow(m - g, 2)) AS ssb, sum(ni * vr) AS ssw, sum(ni) AS n, count(*) AS k FROM c JOIN gm USING (feature) GROUP BY feature), f AS (SELECT feature, (ssb / (k - 1)) / (ssw / (n - k)) AS f, ssb / (ssb + ssw) AS eta2 FROM s)"
 
 
 def _anova(spark, d):
-    return stats.anova(windows(spark, d).select("y", F.posexplode("x").alias("feature", "v")).withColumn("feature", F.col("feature").cast("long")), "y", "v", ["feature"])
+    return stats.anova(_features_long(spark, d), "y", "v", ["feature"])
 
 
 @query(_AN + f" SELECT feature, {r6('f')} AS f, {r6('eta2')} AS eta2 FROM f")
@@ -517,29 +530,43 @@ def wilcoxon_w(spark, d):
     return stats.wilcoxon_w(x, "d", ["y"]).select("y", q6(F.col("w_plus"), "w_plus"), "n")
 
 
-@query(f"WITH s AS (SELECT label AS y, avg(CAST(embedding[1] AS DOUBLE)) AS v FROM embeddings GROUP BY label), v AS (SELECT v, row_number() OVER (ORDER BY y) - 1 AS i, count(*) OVER () AS n FROM s), dr AS (SELECT r, CAST(concat('0x', substr(md5('2125:' || r || ':' || j), 1, 8)) AS BIGINT) % (SELECT count(*) FROM s) AS i FROM (SELECT unnest(range(200)) AS r), (SELECT unnest(range((SELECT count(*) FROM s))) AS j)), m AS (SELECT r, avg(v) AS mean FROM dr JOIN v USING (i) GROUP BY r) SELECT {r6('quantile_cont(mean, 0.025)')} AS lo, {r6('quantile_cont(mean, 0.975)')} AS hi, {r6('avg(mean)')} AS mean FROM m")
+@query(f"WITH {SMP}, s AS (SELECT y, avg(v) AS v FROM smp GROUP BY y), v AS (SELECT v, row_number() OVER (ORDER BY y) - 1 AS i, count(*) OVER () AS n FROM s), dr AS (SELECT r, CAST(concat('0x', substr(md5('2125:' || r || ':' || j), 1, 8)) AS BIGINT) % (SELECT count(*) FROM s) AS i FROM (SELECT unnest(range(200)) AS r), (SELECT unnest(range((SELECT count(*) FROM s))) AS j)), m AS (SELECT r, avg(v) AS mean FROM dr JOIN v USING (i) GROUP BY r) SELECT {r6('quantile_cont(mean, 0.025)')} AS lo, {r6('quantile_cont(mean, 0.975)')} AS hi, {r6('avg(mean)')} AS mean FROM m")
 def bootstrap_ci(spark, d):
-    from pyspark.sql import Window
-
-    s = features(spark, d, 1).groupBy("y").agg(F.avg("x0").alias("v"))
-    s = s.select("v", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("y")) - 1).cast("long").alias("i"), F.lit(0).alias("all"))
+    s = _long(spark, d).groupBy("y").agg(F.avg("v").alias("v"))
+    s = ranking.by_value(s, [], ["y"]).select("v", F.col("before").cast("long").alias("i"), F.lit(0).alias("all"))
     m = stats.bootstrap_means(s, "v", 200, 2125, ["all"])
     return m.agg(q6(F.percentile("mean", 0.025), "lo"), q6(F.percentile("mean", 0.975), "hi"), q6(F.avg("mean"), "mean"))
 
 
+_AB = "pr2 AS (SELECT vec_id, CAST(label AS BIGINT) AS y, CAST(CASE WHEN vec_id % 3 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS a, CAST(CASE WHEN vec_id % 5 = 0 THEN (label + 2) % 10 ELSE label END AS BIGINT) AS b, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS n FROM embeddings)"
+_F1 = "ct AS (SELECT r, side, y, p, count(*) AS n FROM {source} GROUP BY ALL), lb AS (SELECT r, side, y AS label, sum(CASE WHEN y = p THEN n ELSE 0 END) AS tp, 0 AS np, sum(n) AS ny FROM ct GROUP BY ALL UNION ALL SELECT r, side, p, 0, sum(n), 0 FROM ct GROUP BY ALL), f1 AS (SELECT r, side, avg(f) AS f FROM (SELECT r, side, label, 2 * sum(tp) / (sum(np) + sum(ny)) AS f FROM lb GROUP BY ALL) GROUP BY ALL), de AS (SELECT r, sum(CASE WHEN side = 'b' THEN f ELSE -f END) AS d FROM f1 GROUP BY r)"
+
+
+@query(f"WITH {_AB}, dr AS (SELECT r, CAST(concat('0x', substr(md5('42:' || r || ':' || i), 1, 8)) AS BIGINT) % n AS i FROM pr2, (SELECT unnest(range(100)) AS r)), bo AS (SELECT r, y, a, b FROM dr JOIN pr2 USING (i) UNION ALL SELECT -1, y, a, b FROM pr2), sd AS (SELECT r, 'a' AS side, y, a AS p FROM bo UNION ALL SELECT r, 'b', y, b FROM bo), {_F1.format(source='sd')} SELECT {r6('max(CASE WHEN r < 0 THEN d END)')} AS delta, {r6('2 * least(avg(CASE WHEN d <= 0 THEN 1.0 ELSE 0 END) FILTER (r >= 0), avg(CASE WHEN d >= 0 THEN 1.0 ELSE 0 END) FILTER (r >= 0))')} AS p_value, {r6('quantile_cont(d, 0.025) FILTER (r >= 0)')} AS ci_low, {r6('quantile_cont(d, 0.975) FILTER (r >= 0)')} AS ci_high FROM de")
+def paired_bootstrap(spark, d):
+    wrong = lambda k, by: F.when(F.col("vec_id") % k == 0, (F.col("label") + by) % 10).otherwise(F.col("label")).cast("long")
+    pred = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("long").alias("y"), wrong(3, 1).alias("a"), wrong(5, 2).alias("b"))
+    r = stats.paired_bootstrap(stats.paired_cells(pred), stats.hashed_resamples(pred, "vec_id", 100, 42))
+    return r.select(*(q6(F.col(c), c) for c in ("delta", "p_value", "ci_low", "ci_high")))
+
+
 # --- learned heads, sources: rows only -------------------------------------------------------------------------------
 
 
-def _sides(spark, d, n: int = 11):
-    x = features(spark, d, n).withColumn("grp", F.expr("window_id div 4"))
-    s = splits.grouped_split(x, "grp")
-    return s.where("role = 'train'").drop("role"), s.where("role = 'test'").drop("role"), [f"x{i}" for i in range(n)]
+def _described(spark, d):
+    """window_id, y, grp, s: the eleven shape descriptors of each window."""
+    return spectra.describe(_grp(spark, d), v="x")
+
+
+def _sides(spark, d):
+    s = splits.grouped_split(_described(spark, d), "grp")
+    return s.where("role = 'train'").drop("role"), s.where("role = 'test'").drop("role")
 
 
 def _head(f, spark, d):
-    a, b, xs = _sides(spark, d)
-    a, b = heads.pop_scaled(a, xs), heads.pop_scaled(b, xs, a)
-    return f(a, b, "y", xs).select("window_id", "y", "p")
+    a, b = (x.select("window_id", "y", *columns.named("s", SHAPE)) for x in _sides(spark, d))
+    a, b = heads.pop_scaled(a, SHAPE), heads.pop_scaled(b, SHAPE, a)
+    return f(a, b, "y", SHAPE).select("window_id", "y", "p")
 
 
 for _n, _f in (("lr_head", heads.logistic), ("rff_svm", heads.fourier_svm), ("gmm_head", heads.gaussian_mixture)):
@@ -548,11 +575,13 @@ for _n, _f in (("lr_head", heads.logistic), ("rff_svm", heads.fourier_svm), ("gm
 
 @query()
 def gam_head(spark, d):
-    a, b, xs = _sides(spark, d, 3)
-    m = discriminant.ClassMoments.fit(a, "y", xs)
-    wide = lambda f: m.mahalanobis(f, ["window_id", "y"]).groupBy("window_id", "y").pivot("class", list(m.classes)).agg(F.first("score"))
-    named = lambda f: f.select("window_id", "y", *(F.col(f"`{c}`").alias(f"d{c}") for c in m.classes))
-    return heads.additive(named(wide(a)), named(wide(b)), "y", [f"d{c}" for c in m.classes]).select("window_id", "y", "p")
+    return baseline_pack(spark, d).where("method = 'Ghosh_GAM'").drop("method")
+
+
+@query()
+def baseline_pack(spark, d):
+    a, b = _sides(spark, d)
+    return pipelines.baseline_pack(a, b, "window_id")[0].select("method", "window_id", "y", "p")
 
 
 @query()
@@ -560,13 +589,23 @@ def pca20(spark, d):
     from pyspark.ml.functions import vector_to_array
 
     xs = [f"x{i}" for i in range(64)]
-    return heads.principal(features(spark, d, 64), xs, 20).select("window_id", "y", vector_to_array("pc").alias("pc"))
+    return heads.principal(windows(spark, d).select("window_id", "y", *columns.named("x", xs)), xs, 20).select("window_id", "y", vector_to_array("pc").alias("pc"))
 
 
-@query()
-def synthetic_dataset(spark, d):
-    s = synthetic.signals(table(spark, d, "embeddings"), "vec_id", 256)
-    return s.select("signal_id", "y", F.size("re").alias("n"), F.aggregate(F.zip_with("re", "im", lambda a, b: a * a + b * b), F.lit(0.0), lambda a, e: a + e).alias("energy"))
+_CFO = f"WITH {SMP}, ri AS (SELECT a.window_id, a.n AS k, a.v AS re, b.v AS im, 2 * pi() * 1500.0 / 12000.0 * a.n AS t FROM smp a JOIN smp b ON a.window_id = b.window_id AND b.n = a.n + 32 WHERE a.n < 32)"
+
+
+@query(_CFO + f" SELECT window_id, k, {r6('re * cos(t) - im * sin(t)')} AS re, {r6('re * sin(t) + im * cos(t)')} AS im FROM ri")
+def carrier_offset(spark, d):
+    x = windows(spark, d).select("window_id", F.slice("x", 1, 32).alias("re"), F.slice("x", 33, 32).alias("im"))
+    re, im = synthetic.rotated("re", "im", 12000.0, 1500.0)
+    both = x.select("window_id", F.posexplode(F.arrays_zip(re.alias("re"), im.alias("im"))).alias("k", "z"))
+    return both.select("window_id", F.col("k").cast("long").alias("k"), q6(F.col("z.re"), "re"), q6(F.col("z.im"), "im"))
+
+
+@query(f"SELECT p_partkey, class_label, class_id FROM part JOIN (VALUES {', '.join(f'({n}, {chr(39)}{k}{chr(39)}, {i})' for i, (k, f) in enumerate(classes.FILES.items()) for n in f)}) AS t(file_no, class_label, class_id) ON p_partkey % 240 = file_no")
+def class_dimension(spark, d):
+    return classes.labelled(table(spark, d, "part").select("p_partkey"), (F.col("p_partkey") % 240).cast("int")).select("p_partkey", "class_label", "class_id")
 
 
 # --- experiments -----------------------------------------------------------------------------------------------------
@@ -596,7 +635,7 @@ def split_channels(spark, d):
     return x.select("split", "severity", "window_id", q6(F.aggregate("x", F.lit(0.0), lambda a, e: a + e * e), "energy"), q6(F.col("x")[63], "last_value"))
 
 
-@query(f"SELECT p_partkey AS rec, block, draw, block * per + CAST(floor({_U.format(parts='2026, p_partkey, block, draw')} * (per - 63)) AS BIGINT) AS start FROM (SELECT p_partkey, p_size * 100 // 5 AS per FROM part), (SELECT unnest(range(5)) AS block), (SELECT unnest(range(2)) AS draw) WHERE per >= 64")
+@query(f"SELECT p_partkey AS rec, block, draw, block * per + CAST(floor({_U.format(parts='2026, p_partkey, block, draw')} * (per - 63)) AS BIGINT) AS start FROM (SELECT p_partkey, p_size * 100 // 5 AS per FROM part), (SELECT unnest(range(5)) AS block), (SELECT unnest(range(2)) AS draw) WHERE per > 64")
 def random_starts(spark, d):
     r = table(spark, d, "part").select(F.col("p_partkey").alias("rec"), (F.col("p_size") * 100).alias("n_samples"))
     return experiments.random_starts(r, "rec", "n_samples", 64, 10, 5).select("rec", *(F.col(c).cast("long").alias(c) for c in ("block", "draw", "start")))
@@ -608,40 +647,211 @@ def frame_cap(spark, d):
     return experiments.cap_frames(kept, "y", ["window_id"], "n", 60).select("y", "window_id", "n")
 
 
-#: The production experiment has 15 splits, six severities and windows of 4096; windows of the tables have 64 samples.
-_NEAREST = experiments.Design(splits=2, severities=(1, 3, 5), head="nearest")
+#: The whole design: 15 splits, six severities, the logistic head over log distances. Windows of the tables have 64 samples,
+#: so that frames have 16 and quefrencies end at 7.
+_DESIGN = experiments.Design()
+_LIFTERS = (1, 2, 3, 4, 6)
+_SPECS = {"lb2": ("lb", 2, None), "lb3": ("lb", 3, None), "lb4": ("lb", 4, None), "bp_2_6": ("bp", 2, 6), "bp_3_7": ("bp", 3, 7), "tukey_2_8": ("bp_tukey", 2, 8), "tukey_1_7": ("bp_tukey", 1, 7), "juang_2_8": ("juang", 2, 8), "juang_1_8": ("juang", 1, 8)}
 
 
 @query()
 def experiment_scores(spark, d):
-    return experiments.run(_grp(spark, d), experiments.branches((2,), 16, 8), _NEAREST)
+    return experiments.run(_grp(spark, d), experiments.branches(_LIFTERS, 16, 8), _DESIGN)
 
 
 @query()
 def experiment_controls(spark, d):
-    reps = experiments.controls(n_fft=16, hop=8, n_mels=6, keep=5)
-    return experiments.summary(experiments.run(_grp(spark, d), reps, _NEAREST))
+    return experiments.summary(experiments.run(_grp(spark, d), experiments.controls(n_fft=16, hop=8, n_mels=6, keep=5), _DESIGN))
 
 
 @query()
 def experiment_lifters(spark, d):
-    reps = experiments.lifter_families({"lb2": ("lb", 2, None), "bp_2_6": ("bp", 2, 6), "tukey_2_8": ("bp_tukey", 2, 8)}, 16, 8)
-    return experiments.candidates(experiments.summary(experiments.run(_grp(spark, d), reps, _NEAREST)), "lb2")
+    return experiments.candidates(experiments.summary(experiments.run(_grp(spark, d), experiments.lifter_families(_SPECS, 16, 8), _DESIGN)), "lb3")
 
 
 @query()
 def experiment_ablation(spark, d):
-    reps = experiments.drop_one(experiments.only(experiments.branches((2,), 16, 8)["cepstral_2"], range(4)), SHAPE[:4])
-    return experiments.summary(experiments.run(_grp(spark, d), reps, experiments.Design(splits=1, severities=(1, 3), head="nearest")))
+    return experiments.summary(experiments.run(_grp(spark, d), experiments.drop_one(experiments.branches((3,), 16, 8)["cepstral_3"], SHAPE), _DESIGN))
 
 
 @query()
 def experiment_gap(spark, d):
-    scores = experiments.run(_grp(spark, d), experiments.branches((2,), 16, 8), _NEAREST)
-    return experiments.gap(scores, "spectral", "cepstral_2", 500)
+    return experiments.gap(experiments.run(_grp(spark, d), experiments.branches((3,), 16, 8), _DESIGN), "spectral", "cepstral_3")
 
 
 @query()
 def experiment_levels(spark, d):
-    pred = experiments.predictions(_grp(spark, d), experiments.masked(experiments.branches((2,), 16, 8), 16, 8), experiments.Design(splits=1, severities=(1, 3)))
-    return experiments.levels(pred)
+    return experiments.levels(experiments.predictions(_grp(spark, d), experiments.masked(experiments.branches((3,), 16, 8), 16, 8), _DESIGN))
+
+
+@query()
+def experiment_sensitivity(spark, d):
+    configs = {"base": {"n_fft": 16, "hop": 8}, "hamming": {"n_fft": 16, "hop": 8, "window": "hamming"}, "long": {"n_fft": 32, "hop": 16}, "eps": {"n_fft": 16, "hop": 8, "eps": 1e-6}}
+    return experiments.summary(experiments.run(_grp(spark, d), experiments.sensitivity(configs), _DESIGN))
+
+
+@query()
+def experiment_conditioning(spark, d):
+    return experiments.conditioning(_grp(spark, d), experiments.branches((3,), 16, 8), _DESIGN, (1e-3, 1e-2, 1e-1))
+
+
+# Scores of representations by split and severity, as tables behind figures are made from: mean values by event type.
+_SCORES = "es AS (SELECT CAST(user_id % 7 AS INTEGER) AS split, CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS rep, list_extract([1, 3, 5], CAST(event_id // 2 % 3 + 1 AS INTEGER)) AS severity, avg(value) / 500 AS f1 FROM events GROUP BY ALL)"
+_UNDER = f"WITH {_SCORES}, un AS (SELECT split, rep, max(f1) FILTER (severity = 1) AS clean, avg(f1) FILTER (severity >= 3) AS under FROM es GROUP BY split, rep)"
+
+
+def _score_table(spark, d):
+    e = table(spark, d, "events")
+    severity = F.array(F.lit(1), F.lit(3), F.lit(5))[(F.expr("event_id div 2") % 3).cast("int")]
+    return e.groupBy((F.col("user_id") % 7).cast("int").alias("split"), F.when(F.col("event_id") % 2 == 0, "a").otherwise("b").alias("rep"), severity.alias("severity")).agg((F.avg("value") / 500).alias("f1"))
+
+
+@query(f"WITH {_SCORES} SELECT rep, severity, count(*) AS splits, {r6('avg(f1)')} AS f1, {r6('stddev_pop(f1)')} AS f1_std FROM es GROUP BY rep, severity")
+def figure_curve(spark, d):
+    return experiments.curve(_score_table(spark, d)).select("rep", "severity", "splits", q6(F.col("f1"), "f1"), q6(F.col("f1_std"), "f1_std"))
+
+
+@query(_UNDER + f" SELECT split, {r6('sum(CASE WHEN rep = ' + chr(39) + 'b' + chr(39) + ' THEN under ELSE -under END)')} AS gap FROM un GROUP BY split")
+def figure_gaps(spark, d):
+    return experiments.gaps(_score_table(spark, d), "a", "b").select("split", q6(F.col("gap"), "gap"))
+
+
+@query(_UNDER + ", su AS (SELECT rep, count(*) AS splits, avg(clean) AS clean, stddev_pop(clean) AS clean_std, min(clean) AS clean_min, max(clean) AS clean_max, avg(under) AS under, stddev_pop(under) AS under_std, min(under) AS under_min, max(under) AS under_max FROM un GROUP BY rep) SELECT rep, splits, " + ", ".join(f"{r6(c)} AS {c}" for c in ("clean", "clean_std", "clean_min", "clean_max", "under", "under_std", "under_min", "under_max")) + ", under > (SELECT under FROM su WHERE rep = 'a') AS beats FROM su")
+def figure_tradeoff(spark, d):
+    t = experiments.tradeoff(_score_table(spark, d), "a")
+    return t.select("rep", "splits", *(q6(F.col(c), c) for c in ("clean", "clean_std", "clean_min", "clean_max", "under", "under_std", "under_min", "under_max")), "beats")
+
+
+@query(_UNDER + f", rt AS (SELECT split, max(CASE WHEN rep = 'a' THEN under / greatest(clean, 1e-9) END) AS a, max(CASE WHEN rep = 'b' THEN under / greatest(clean, 1e-9) END) AS b FROM un GROUP BY split) SELECT split, {r6('a')} AS incumbent, {r6('b')} AS challenger, b >= 0.85 AND b - a >= 0.1 AS passed FROM rt")
+def retention_advantage(spark, d):
+    return metrics.advantage(_score_table(spark, d), "a", "b").select("split", q6(F.col("incumbent"), "incumbent"), q6(F.col("challenger"), "challenger"), "passed")
+
+
+@query(f"WITH {_ROLES}, ky AS (SELECT split, grp, k FROM rl, (SELECT unnest(range(5)) AS k) WHERE role = 'test'), cx AS (SELECT split, grp, k, CASE WHEN k = 0 THEN 1.0 ELSE exp(-0.7 * k) * sqrt(-ln({_U.format(parts='7, split, grp, k, 0')})) * cos(2 * pi() * {_U.format(parts='7, split, grp, k, 1')}) END AS re, CASE WHEN k = 0 THEN 0.0 ELSE exp(-0.7 * k) * sqrt(-ln({_U.format(parts='7, split, grp, k, 0')})) * sin(2 * pi() * {_U.format(parts='7, split, grp, k, 1')}) END AS im FROM ky) SELECT split, grp, k, {r6('re / sqrt(sum(re * re + im * im) OVER (PARTITION BY split, grp))')} AS re, {r6('im / sqrt(sum(re * re + im * im) OVER (PARTITION BY split, grp))')} AS im FROM cx")
+def complex_channels(spark, d):
+    r = experiments.split_roles(_grp(spark, d), "grp", 3).where("role = 'test'")
+    h = experiments.complex_taps(F.lit(5), F.lit(7), F.col("split"), F.col("grp"))
+    x = r.select("split", "grp", F.posexplode(h).alias("k", "h"))
+    return x.select("split", "grp", F.col("k").cast("long").alias("k"), q6(F.col("h.re"), "re"), q6(F.col("h.im"), "im"))
+
+
+# --- whole classifications -------------------------------------------------------------------------------------------
+
+
+def _split_windows(spark, d):
+    s = splits.grouped_split(_grp(spark, d), "grp")
+    return s.where("role = 'train'").drop("role"), s.where("role = 'test'").drop("role")
+
+
+def _basis_sql(name: str, v: str = "v") -> list[str]:
+    return [e.replace(X, v) for e in _PART[name]]
+
+
+def _nearest_sql(name: str) -> str:
+    """One row: accuracy and macro-F1 of the nearest reconstruction in one basis, fitted on training windows."""
+    inv, det = sql.adjugate("f")
+    k = ", ".join("(" + " + ".join(f"{inv[min(i, j), max(i, j)]} * b{j}" for j in range(3)) + f") AS k{i}" for i in range(3))
+    return f"""(WITH ph AS (SELECT window_id, y, role, v, {', '.join(f'{e} AS p{i}' for i, e in enumerate(_basis_sql(name)))} FROM st),
+mo AS (SELECT y, avg(v) AS m, {', '.join(f'avg(p{i}) AS m{i}' for i in range(3))}, {', '.join(f'covar_pop(p{i}, p{j}) + {0.01 if i == j else 0} AS f{i}{j}' for i in range(3) for j in range(i, 3))}, {', '.join(f'covar_pop(p{i}, v) AS b{i}' for i in range(3))} FROM ph WHERE role = 'train' GROUP BY y),
+kk AS (SELECT y, m, m0, m1, m2, {k} FROM mo), ms AS (SELECT window_id, ph.y, kk.y AS class, avg(pow(v - (m - k0 * m0 - k1 * m1 - k2 * m2) - k0 * p0 - k1 * p1 - k2 * p2, 2)) AS e FROM ph, kk WHERE role = 'test' GROUP BY ALL),
+pr AS (SELECT window_id, any_value(y) AS y, arg_min(class, e) AS p FROM ms GROUP BY window_id),
+lb AS (SELECT y AS label, count(*) FILTER (y = p) AS tp, 0 AS np, count(*) AS ny FROM pr GROUP BY y UNION ALL SELECT p, 0, count(*), 0 FROM pr GROUP BY p)
+SELECT '{name}' AS basis, {r6("(SELECT avg(CASE WHEN y = p THEN 1.0 ELSE 0 END) FROM pr)")} AS accuracy, {r6('avg(f)')} AS macro_f1 FROM (SELECT label, 2 * sum(tp) / (sum(np) + sum(ny)) AS f FROM lb GROUP BY label))"""
+
+
+_STD = f"WITH {SMP}, {_ROLE}, wr AS (SELECT window_id, y, n, v, role FROM smp JOIN ro ON grp = window_id // 4), st AS (SELECT window_id, y, role, n, (v - m) / s AS v FROM wr JOIN (SELECT n, avg(v) AS m, stddev_pop(v) AS s FROM wr WHERE role = 'train' GROUP BY n) USING (n)) "
+
+
+@query(_STD + " UNION ALL ".join(f"SELECT * FROM {_nearest_sql(c.basis)}" for c in pipelines.COMPARED))
+def reconstruction_pipeline(spark, d):
+    a, b = _split_windows(spark, d)
+    pred, _ = pipelines.classify(a, b, pipelines.COMPARED, pipelines.nearest_feature)
+    return metrics.macro_f1(pred, ["key"]).select(F.col("key").alias("basis"), q6(F.col("accuracy"), "accuracy"), q6(F.col("macro_f1"), "macro_f1"))
+
+
+@query()
+def dsge_pipeline(spark, d):
+    a, b = _split_windows(spark, d)
+    with_shape = lambda f: spectra.describe(f.withColumn("v", F.col("x")), v="v", out="shape")
+    return pipelines.run(with_shape(a), with_shape(b), pipelines.Config("fractional"), pipelines.COMPARED, "shape", len(SHAPE))[1]
+
+
+@query()
+def alpha_sweep(spark, d):
+    return pipelines.alpha_sweep(*_split_windows(spark, d))
+
+
+@query()
+def compare_heads(spark, d):
+    p = pipelines.compare_heads(*_sides(spark, d), "window_id", "grp")
+    return metrics.macro_f1(p, ["method"])
+
+
+@query()
+def compare_pairs(spark, d):
+    return pipelines.compare_pairs(pipelines.compare_heads(*_sides(spark, d), "window_id", "grp"), "window_id")
+
+
+@query()
+def selected_basis(spark, d):
+    """The basis that an inner split selects, and how it does on the outer one."""
+    a, b = _split_windows(spark, d)
+    return pipelines.run(a, b, pipelines.select_basis(a, "grp"))[1]
+
+
+@query(f"WITH {_REP[5:]}, m AS (SELECT avg(CASE WHEN np + ny > 0 THEN 2 * tp / (np + ny) ELSE 0 END) AS f, (SELECT avg(CASE WHEN y = p THEN 1.0 ELSE 0 END) FROM pr) AS acc FROM rp) SELECT 'features alone beat a coin' AS label, acc > 0.5 AS passed FROM m UNION ALL SELECT 'hybrid beats the baseline', false FROM m UNION ALL SELECT 'a basis is worth something', f > 0.5 FROM m UNION ALL SELECT 'best alpha is inside the range', true FROM m")
+def verification_checks(spark, d):
+    m = metrics.macro_f1(_pred(spark, d))
+    facts = m.select(F.col("accuracy").alias("accuracy_alone"), F.col("accuracy").alias("accuracy_baseline"), F.col("accuracy").alias("accuracy_hybrid"), F.lit("any").alias("best_basis"), F.col("macro_f1").alias("best_f1"), F.lit(False).alias("alpha_at_boundary"), F.lit(0.5).alias("best_alpha"))
+    return pipelines.checks(facts).select("label", "passed")
+
+
+# --- telemetry with three channels -----------------------------------------------------------------------------------
+
+_CH = ["rpm", "torque", "rop"]
+_LI = "li AS (SELECT l_suppkey AS well, l_quantity AS rpm, l_extendedprice AS torque, l_discount AS rop, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, l_discount, l_tax) - 1 AS pos, count(*) OVER (PARTITION BY l_suppkey) AS rows FROM lineitem), tw AS (SELECT well, pos // 120 AS block, pos % 120 // 24 AS k, pos % 24 AS o, rpm, torque, rop FROM li WHERE pos % 120 < 96 AND pos // 120 * 120 + (pos % 120 // 24 + 1) * 24 <= rows), ch AS (SELECT well, block, k, o AS pos, unnest([0, 1, 2]) AS c, unnest([rpm, torque, rop]) AS v FROM tw)"
+_DR = f"WITH {_LI}, " + sql.shape("ch", "well, block, k, c", digits=8)
+
+
+def _telemetry(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("well"), F.col("l_quantity").alias("rpm"), F.col("l_extendedprice").alias("torque"), F.col("l_discount").alias("rop"), "l_orderkey", "l_linenumber", "l_partkey", "l_tax")
+    return datasets.channel_windows(li, "well", ["l_orderkey", "l_linenumber", "l_partkey", "torque", "rpm", "rop", "l_tax"], _CH, 24, 4, 24)
+
+
+@query(f"WITH {_LI}, zc AS (SELECT well, block, k, c, pos, (v - avg(v) OVER w) / CASE WHEN stddev_pop(v) OVER w > 1e-9 THEN stddev_pop(v) OVER w ELSE 1 END AS z FROM ch WINDOW w AS (PARTITION BY well, block, k, c)) SELECT well, block, k, " + ", ".join(f"{r6(f'max(CASE WHEN c = {i} AND pos = 0 THEN z END)')} AS first_{n}, {r6(f'sum(CASE WHEN c = {i} THEN z * pos END)')} AS moment_{n}" for i, n in enumerate(_CH)) + " FROM zc GROUP BY well, block, k")
+def telemetry_windows(spark, d):
+    moment = lambda c: F.aggregate(F.transform(c, lambda v, i: v * i), F.lit(0.0), lambda a, v: a + v)
+    return _telemetry(spark, d).select("well", "block", "k", *(e for n in _CH for e in (q6(F.col(n)[0], f"first_{n}"), q6(moment(n), f"moment_{n}"))))
+
+
+@query(_DR + " SELECT well, block, k, " + ", ".join(f'max(CASE WHEN c = {i} THEN "{s}" END) AS "{n}_{s}"' for i, n in enumerate(_CH) for s in SHAPE) + " FROM shp GROUP BY well, block, k")
+def channel_descriptors(spark, d):
+    s = datasets.channel_descriptors(_telemetry(spark, d), _CH)
+    return s.select("well", "block", "k", *columns.named("s", [n.replace(":", "_") for n in datasets.descriptor_names(_CH)], 8))
+
+
+_GM = ", gm AS (SELECT well, block, c, " + ", ".join(f'avg("{s}") AS "{s}"' for s in SHAPE) + ", count(*) AS n FROM shp GROUP BY well, block, c)"
+
+
+@query(f"WITH {_LI}, " + sql.shape("ch", "well, block, k, c", digits=14) + _GM + " SELECT well, block, well % 2 AS y, any_value(n) AS n, " + ", ".join(f'round(max(CASE WHEN c = {i} THEN "{s}" END), 4) + 0.0 AS "{n}_{s}"' for i, n in enumerate(_CH) for s in SHAPE) + " FROM gm GROUP BY well, block")
+def group_means(spark, d):
+    s = datasets.channel_descriptors(_telemetry(spark, d), _CH).withColumn("y", F.col("well") % 2)
+    return datasets.group_means(s, ["well", "block"], "y", ["k"]).select("well", "block", "y", "n", *columns.named("s", [n.replace(":", "_") for n in datasets.descriptor_names(_CH)], 4))
+
+
+@query()
+def group_separability(spark, d):
+    s = datasets.channel_descriptors(_telemetry(spark, d), _CH).withColumn("y", F.col("well") % 2)
+    return datasets.separability(datasets.group_means(s, ["well", "block"], "y", ["k"]), datasets.descriptor_names(_CH), "y")
+
+
+@query()
+def per_channel_reconstruction(spark, d):
+    """Votes of the nearest reconstruction over all channels' features, with a basis selected on the first channel."""
+    w = _telemetry(spark, d).select("well", "block", "k", *_CH, (F.col("well") % 2).cast("int").alias("y"), F.concat_ws(":", "well", "block").alias("grp"))
+    s = splits.grouped_split(w, "grp")
+    a, b = s.where("role = 'train'").drop("role"), s.where("role = 'test'").drop("role")
+    config = pipelines.select_basis(a.withColumnRenamed("rpm", "x"), "grp")
+    a, b, _ = pipelines.per_channel(a, b, config, _CH)
+    key = F.lit(config.name).alias("key")
+    return pipelines.logistic_head(a.select(key, "y", "s"), b.select(key, "*")).select("well", "block", "k", "y", "p")

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Sample rate and carrier by band, in Hz.
@@ -30,29 +30,61 @@ def parse_name(name: Column) -> dict[str, Column]:
 
 
 def discover(spark: SparkSession, folder: str, band: str = "2G") -> DataFrame:
-    """Recordings of a band, by path. Only names and lengths are read. A length that is no whole number of samples is an error."""
-    f = spark.read.format("binaryFile").option("pathGlobFilter", f"*_{band}*.bin").load(folder).select("path", "length")
+    """Recordings of a band, by path. Only names and lengths are read. A file whose length is no whole number of samples is left out."""
+    if band not in BANDS:
+        raise ValueError(f"unknown band {band!r}; known: {sorted(BANDS)}")
+    f = spark.read.format("binaryFile").option("pathGlobFilter", f"*_{band}*.bin").load(folder).select("path", "length").where("length % 4 = 0")
     name = F.element_at(F.split("path", "/"), -1)
-    whole = F.when(F.col("length") % 4 == 0, F.expr("length div 4")).otherwise(F.raise_error(F.concat(F.lit("torn sample in "), F.col("path"))).cast("long"))
     fs, fc = BANDS[band]
-    return f.select("path", *(c.alias(k) for k, c in parse_name(name).items()), whole.alias("n_samples"), F.lit(fs).alias("fs"), F.lit(fc).alias("fc")).orderBy("path")
+    return f.select("path", *(c.alias(k) for k, c in parse_name(name).items()), F.expr("length div 4").alias("n_samples"), F.lit(fs).alias("fs"), F.lit(fc).alias("fc")).orderBy("path")
 
 
-def read_iq(spark: SparkSession, folder: str, block: int = 1 << 16, glob: str = "*.bin") -> DataFrame:
-    """path, start, re, im: blocks of samples, as floats in -1 .. 1. Files are read by Spark, so any store that it reads will do."""
-    if block <= 0:
-        raise ValueError("blocks need at least one sample")
+def numbered(recordings: DataFrame) -> DataFrame:
+    """recordings with rec_id (by path) and class_id (by the first path of each class): one row a file, so one task orders them."""
+    first = Window.partitionBy("class_label")
+    one = Window.orderBy("__first")
+    x = recordings.withColumn("__first", F.min("path").over(first))
+    return x.withColumn("class_id", F.dense_rank().over(one) - 1).withColumn("rec_id", F.row_number().over(Window.orderBy("path")) - 1).drop("__first")
+
+
+def read_iq_windows(windows: DataFrame, path: str = "path", start: str = "start", count: str = "count") -> DataFrame:
+    """windows with re and im: `count` samples from sample `start` of each file, as floats in -1 .. 1.
+
+    Only those bytes are read, through a file system that pyarrow opens (local, S3, GCS, HDFS). A negative start, a count
+    that is not positive, or a range beyond the file is an error.
+    """
+    names = windows.columns
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in windows.schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
         for b in batches:
-            for path, content in zip(b["path"], b["content"], strict=True):
-                x = np.frombuffer(content, "<i2").reshape(-1, 2).astype(np.float32) / np.float32(32768)
-                at = range(0, len(x), block)
-                for s in at:
-                    yield pd.DataFrame({"path": [path], "start": [s], "re": [x[s : s + block, 0]], "im": [x[s : s + block, 1]]})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "content")
-    return files.mapInPandas(run, "path string, start long, re array<float>, im array<float>")
+            re, im = [], []
+            for uri, at, n in zip(b[path], b[start], b[count], strict=True):
+                if at < 0 or n <= 0:
+                    raise ValueError("windows start at 0 or later and hold a sample at least")
+                store, inside = fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1) if uri.startswith("file:") else f"file://{uri}")
+                with store.open_input_file(inside) as f:
+                    raw = f.read_at(int(n) * 4, int(at) * 4)
+                if len(raw) < n * 4:
+                    raise ValueError(f"{uri} ends before sample {at + n}")
+                x = np.frombuffer(raw, "<i2").reshape(-1, 2).astype(np.float32) / np.float32(32768)
+                re.append(x[:, 0])
+                im.append(x[:, 1])
+            yield b.assign(re=re, im=im)[[*names, "re", "im"]]
+
+    return windows.mapInPandas(run, f"{kinds}, re array<float>, im array<float>")
+
+
+def read_iq(spark: SparkSession, folder: str, block: int = 1 << 16, glob: str = "*.bin") -> DataFrame:
+    """path, start, re, im: blocks of samples. A task reads its own byte ranges, so files may be of any size."""
+    if block <= 0:
+        raise ValueError("blocks need at least one sample")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", F.expr("length div 4").alias("n")).where("n > 0")
+    each = files.select("path", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(block).cast("long"))).alias("start"))
+    ranges = each.select("path", "start", F.least(F.lit(block), F.col("n") - F.col("start")).alias("count"))
+    return read_iq_windows(ranges.repartition("path", "start")).drop("count")
 
 
 def _elements(data: bytes, order: str) -> Iterator[tuple[int, bytes]]:

@@ -6,31 +6,48 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Multiplicative amplitude jitter of the classes.
-JITTER = (0.05, 0.15, 0.12, 0.10)
+#: Multiplicative amplitude jitter of the classes, and least amplitude.
+JITTER, LEAST = (0.05, 0.15, 0.12, 0.10), 1e-6
+#: Fixed values, by class: the floor under its peaks; how many peaks (from, to); their height, width in bins and distance
+#: from the ends (from, to). The first class is one level (from, to); the last a decay by bin (from, to), a ripple and a floor.
+LEVEL = (0.8, 1.2)
+SPIKES = {"floor": 0.02, "peaks": (3, 6), "height": (5.0, 10.0), "beside": 0.3, "edge": 2}
+BUMPS = {"floor": 0.05, "peaks": (2, 3), "height": (1.0, 2.5), "width": (4.0, 10.0), "edge": 8}
+DECAY = {"rate": (0.04, 0.08), "ripple": (0.85, 1.15), "floor": 0.03}
+
+
+def _peaks(spec: dict, rng: np.random.Generator, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct places and heights of a class's peaks."""
+    size = rng.integers(spec["peaks"][0], spec["peaks"][1], endpoint=True)
+    return rng.permutation(np.arange(spec["edge"], n - spec["edge"]))[:size, None], rng.uniform(*spec["height"], (size, 1))
 
 
 def amplitude(y: int, rng: np.random.Generator, n: int) -> np.ndarray:
-    """Flat, sparse peaks, a few bumps, or a decay; jittered, never below 1e-6."""
-    bins = np.arange(n, dtype=float)
+    """A level, sparse spikes, a few bumps, or a decay, from the parameters above; jittered."""
+    bins, noise = np.arange(n, dtype=float), rng.normal(1, JITTER[y], n)
     if y == 0:
-        a = np.full(n, 0.8 + 0.4 * rng.random())
-    elif y == 1:
-        a = np.full(n, 0.02)
-        for b in rng.choice(np.arange(2, n - 2), size=int(rng.integers(3, 7)), replace=False):
-            h = 5 + 5 * rng.random()
-            a[b - 1 : b + 2] = 0.3 * h, h, 0.3 * h
-    elif y == 2:
-        a = np.full(n, 0.05)
-        for _ in range(int(rng.integers(2, 4))):
-            centre, width, height = float(rng.integers(8, n - 8)), rng.uniform(4, 10), rng.uniform(1, 2.5)
-            a = a + height * np.exp(-0.5 * ((bins - centre) / width) ** 2)
+        a = np.broadcast_to(rng.uniform(*LEVEL), n)
+    elif y == 3:
+        a = np.exp(-rng.uniform(*DECAY["rate"]) * bins) * rng.uniform(*DECAY["ripple"], n) + DECAY["floor"]
     else:
-        a = np.exp(-rng.uniform(0.04, 0.08) * bins) * rng.uniform(0.85, 1.15, n) + 0.03
-    return np.maximum(a * rng.normal(1, JITTER[y], n), 1e-6)
+        spec = SPIKES if y == 1 else BUMPS
+        place, height = _peaks(spec, rng, n)
+        far = np.abs(bins - place)
+        shape = np.select([far == 0, far == 1], [1.0, spec["beside"]], 0.0) if y == 1 else np.exp(-((far / rng.uniform(*spec["width"], place.shape)) ** 2) / 2)
+        a = np.maximum(spec["floor"], (height * shape).max(axis=0)) if y == 1 else spec["floor"] + (height * shape).sum(axis=0)
+    return np.maximum(a * noise, LEAST)
+
+
+def rotated(re: str, im: str, fs: float, hz: float) -> tuple[Column, Column]:
+    """Array columns after a carrier offset: sample k turns by 2 pi hz k / fs. No offset changes nothing."""
+    if not hz:
+        return F.col(re), F.col(im)
+    turn = lambda k: 2 * np.pi * hz / fs * k
+    both = F.arrays_zip(F.col(re).alias("a"), F.col(im).alias("b"))
+    return F.transform(both, lambda z, k: z["a"] * F.cos(turn(k)) - z["b"] * F.sin(turn(k))), F.transform(both, lambda z, k: z["a"] * F.sin(turn(k)) + z["b"] * F.cos(turn(k)))
 
 
 def shifted(x: np.ndarray, fs: float, hz: float) -> np.ndarray:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -15,15 +16,15 @@ def tile_stream(samples: DataFrame, window: int, per_block: int, guard: int, ser
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pos, held = state.get if state.exists else (0, [])
-        x = pd.concat(list(batches)).sort_values(order)[value].tolist()
-        held, out = list(held), []
-        for v in x:
-            if pos % stride < window * per_block:
-                held.append(v)
-                if len(held) == window:
-                    out.append((key[0], pos // stride, pos % stride // window, held))
-                    held = []
-            pos += 1
+        x = pd.concat(list(batches)).sort_values(order)[value].to_numpy(float)
+        at = pos + np.arange(len(x))
+        inside = at % stride < window * per_block
+        x = np.concatenate([np.array(held, float), x[inside]])
+        at = np.concatenate([np.full(len(held), -1), at[inside]])
+        n = len(x) // window
+        ends = at[window - 1 : n * window : window]  # each window's last sample, which came now
+        out = [(key[0], int(e // stride), int(e % stride // window), v) for e, v in zip(ends, x[: n * window].reshape(n, window), strict=True)]
+        pos, held = int(pos + len(inside)), x[n * window :].tolist()
         state.update((pos, held))
         yield pd.DataFrame(out, columns=["series", "block", "k", "x"])
 

@@ -91,7 +91,7 @@ def test_every_head_beats_chance(spark):
         p = discriminant.nearest(s, ["i", "y"], least)
         assert p.where("p = y").count() > 100
     inner = splits.stratified_inner(d, "y", "i")
-    assert len(discriminant.tune_rda(inner.where("role = 'inner'"), inner.where("role = 'val'"), "y", "i", xs, (0.0, 1.0), (0.0, 0.5))) == 2
+    assert len(discriminant.tune_rda(inner.where("role = 'inner'"), inner.where("role = 'val'"), "y", xs, (0.0, 1.0), (0.0, 0.5))) == 2
     for f in (heads.logistic, heads.gaussian_mixture):
         assert f(d, d, "y", xs).where("p = y").count() > 100
 
