@@ -313,9 +313,14 @@ def recon_multivariate(spark, d):
     return reconstruct.Reconstructor().fit(x, "y", ["a", "b"]).transform(x, ["window_id", "y"], ["a", "b"])
 
 
-@query()
+# Eigenvalues of a symmetric 3 x 3 matrix in closed form: q + 2 p cos(phi) and its turn by a third.
+_EIG = _MOM + ", e0 AS (SELECT *, (f00 + f11 + f22) / 3 AS q FROM mo), e1 AS (SELECT *, sqrt((pow(f00 - q, 2) + pow(f11 - q, 2) + pow(f22 - q, 2) + 2 * (f01 * f01 + f02 * f02 + f12 * f12)) / 6) AS p FROM e0), e2 AS (SELECT *, acos(greatest(-1, least(1, ((f00 - q) * ((f11 - q) * (f22 - q) - f12 * f12) - f01 * (f01 * (f22 - q) - f12 * f02) + f02 * (f01 * f12 - (f11 - q) * f02)) / pow(p, 3) / 2))) / 3 AS phi FROM e1), e3 AS (SELECT y, (q + 2 * p * cos(phi)) / (q + 2 * p * cos(phi + 2 * pi() / 3)) AS cond FROM e2)"
+
+
+@query(_EIG + " SELECT y, round(cond, 4) + 0.0 AS cond, cond > 1e6 AS ill FROM e3")
 def recon_cond(spark, d):
-    return spark.createDataFrame([(int(c), float(k), bool(w)) for c, k, w in reconstruct.Reconstructor().fit(_long(spark, d), "y", ["v"]).conditioning()], "y int, cond double, ill boolean")
+    rows = [(int(c), float(k), bool(w)) for c, k, w in reconstruct.Reconstructor().fit(_long(spark, d), "y", ["v"]).conditioning()]
+    return spark.createDataFrame(rows, "y int, cond double, ill boolean").select("y", (F.round("cond", 4) + F.lit(0.0)).alias("cond"), "ill")
 
 
 # Discriminants over all 64 samples of a window: standardised values, class means and covariances as rows, inverses by sweeps.
@@ -810,7 +815,7 @@ def verification_checks(spark, d):
 
 _CH = ["rpm", "torque", "rop"]
 _LI = "li AS (SELECT l_suppkey AS well, l_quantity AS rpm, l_extendedprice AS torque, l_discount AS rop, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, l_discount, l_tax) - 1 AS pos, count(*) OVER (PARTITION BY l_suppkey) AS rows FROM lineitem), tw AS (SELECT well, pos // 120 AS block, pos % 120 // 24 AS k, pos % 24 AS o, rpm, torque, rop FROM li WHERE pos % 120 < 96 AND pos // 120 * 120 + (pos % 120 // 24 + 1) * 24 <= rows), ch AS (SELECT well, block, k, o AS pos, unnest([0, 1, 2]) AS c, unnest([rpm, torque, rop]) AS v FROM tw)"
-_DR = f"WITH {_LI}, " + sql.shape("ch", "well, block, k, c", digits=8)
+_DR = f"WITH {_LI}, " + sql.shape("ch", "well, block, k, c", shift=1e-9)
 
 
 def _telemetry(spark, d):
@@ -827,7 +832,9 @@ def telemetry_windows(spark, d):
 @query(_DR + " SELECT well, block, k, " + ", ".join(f'max(CASE WHEN c = {i} THEN "{s}" END) AS "{n}_{s}"' for i, n in enumerate(_CH) for s in SHAPE) + " FROM shp GROUP BY well, block, k")
 def channel_descriptors(spark, d):
     s = datasets.channel_descriptors(_telemetry(spark, d), _CH)
-    return s.select("well", "block", "k", *columns.named("s", [n.replace(":", "_") for n in datasets.descriptor_names(_CH)], 8))
+    # Values between two sixth decimals are common here (sums of eighths); a shift puts them on one side everywhere.
+    s = s.withColumn("s", F.transform("s", lambda e: e + 1e-9))
+    return s.select("well", "block", "k", *columns.named("s", [n.replace(":", "_") for n in datasets.descriptor_names(_CH)], 6))
 
 
 _GM = ", gm AS (SELECT well, block, c, " + ", ".join(f'avg("{s}") AS "{s}"' for s in SHAPE) + ", count(*) AS n FROM shp GROUP BY well, block, c)"

@@ -24,10 +24,10 @@ CEPSTRUM = "cep AS (SELECT window_id, y, frame_id, q AS pos, sum(ln(sqrt(p2) + 1
 BASE = f"WITH {SMP}, {fft()}, {MIRROR}, {PROFILE}, {CEPSTRUM}"
 
 
-def shape(source: str, keys: str, znorm: bool = True, digits: int = 6) -> str:
+def shape(source: str, keys: str, znorm: bool = True, digits: int = 6, shift: float = 0.0) -> str:
     """CTEs ending in `shp`: the eleven descriptors of each key of source(keys, pos, v)."""
     z = f"zn AS (SELECT {keys}, pos, (v - avg(v) OVER w) / CASE WHEN stddev_pop(v) OVER w > 1e-9 THEN stddev_pop(v) OVER w ELSE 1 END AS v FROM {source} WINDOW w AS (PARTITION BY {keys}))" if znorm else f"zn AS (SELECT {keys}, pos, v FROM {source})"
-    rd = lambda e: f"round({e}, {digits}) + 0.0"
+    rd = lambda e: f"round({e} + {shift!r}, {digits}) + 0.0"
     return f"""{z},
 qt AS (SELECT {keys}, avg(v) AS m, var_pop(v) AS vr, max(v) AS mx, min(v) AS mn, quantile_cont(v, 0.05) AS p05, quantile_cont(v, 0.25) AS p25, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.75) AS p75, quantile_cont(v, 0.95) AS p95 FROM zn GROUP BY {keys}),
 st AS (SELECT {keys}, v, m, CASE WHEN vr > 1e-12 THEN sqrt(vr) ELSE 1 END AS sd, vr, mx, mn, p05, p25, p75, p95, sign(v - p50) AS sg, lead(v) OVER o AS nv, lead(sign(v - p50)) OVER o AS ns FROM zn JOIN qt USING ({keys}) WINDOW o AS (PARTITION BY {keys} ORDER BY pos)),

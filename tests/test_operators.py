@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quefrency.functions import basis, signal
 from quefrency.operators import discriminant, heads, reconstruct, splits, stats
@@ -112,12 +113,20 @@ def test_iq_files(spark, tmp_path):
     x = np.arange(10, dtype="<i2")
     for n in ("DJI_phantom_4_2G.bin", "Parrot_mambo_control_2G.bin", "Yuneec_typhoon_h_2G_1of2.bin"):
         (tmp_path / n).write_bytes(x.tobytes()[:20])
+    (tmp_path / "DJI_torn_2G.bin").write_bytes(x.tobytes()[:19])  # no whole number of samples: left out
     got = {r.class_label: r for r in recordings.discover(spark, str(tmp_path)).collect()}
     assert set(got) == {"DJI_phantom_4", "Parrot_mambo_control", "Yuneec_typhoon_h"}
     y = got["Yuneec_typhoon_h"]
     assert (y.part, y.total_parts, y.n_samples, y.fs) == (1, 2, 5, 120e6)
-    r = recordings.read_iq(spark, str(tmp_path), block=3, glob="DJI*").orderBy("start").collect()
+    r = recordings.read_iq(spark, str(tmp_path), block=3, glob="DJI_phantom*").orderBy("start").collect()
     assert [(b.start, len(b.re)) for b in r] == [(0, 3), (3, 2)] and abs(r[1].im[0] - 7 / 32768) < 1e-9
+    w = spark.createDataFrame([(str(tmp_path / "DJI_phantom_4_2G.bin"), 1, 3)], "path string, start long, count int")
+    assert recordings.read_iq_windows(w).first().re == pytest.approx([2 / 32768, 4 / 32768, 6 / 32768])
+    for bad in ((-1, 2), (0, 0), (3, 9)):
+        with pytest.raises(Exception, match="windows start|ends before"):
+            recordings.read_iq_windows(w.select("path", F.lit(bad[0]).alias("start"), F.lit(bad[1]).alias("count"))).collect()
+    n = recordings.numbered(recordings.discover(spark, str(tmp_path))).orderBy("rec_id").collect()
+    assert [(r.rec_id, r.class_id) for r in n] == [(0, 0), (1, 1), (2, 2)]
     names = spark.createDataFrame([("A_b_9G.bin",)], "n string")
     with pytest.raises(Exception, match="unknown band"):
         names.select(recordings.parse_name(names["n"])["band"]).collect()
