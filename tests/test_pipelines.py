@@ -202,17 +202,17 @@ def test_running_sums(spark):
 
 def test_channel_windows(spark):
     rows = [("s", i, float(i % 7), None if i == 24 else float(i)) for i in range(37)] + [("t", i, 1.0, float("nan") if i == 3 else 2.0) for i in range(9)]
-    d = spark.createDataFrame(rows, "s string, i int, a double, b double").repartition(3)
-    got = datasets.channel_windows(d, "s", ["i"], ["a", "b"], 4, 2, 3).orderBy("s", "block", "k").collect()
-    assert [(r.s, r.block, r.k, r.start, r.end) for r in got] == [("s", 0, 0, 0, 4), ("s", 0, 1, 4, 8), ("s", 1, 0, 11, 15), ("s", 1, 1, 15, 19), ("s", 2, 1, 26, 30), ("s", 3, 0, 33, 37), ("t", 0, 1, 4, 8)]
+    d = spark.createDataFrame(rows, "well string, i int, a double, b double").repartition(3)
+    got = datasets.channel_windows(d, "well", ["i"], ["a", "b"], 4, 2, 3).orderBy("well", "block", "k").collect()
+    assert [(r.well, r.block, r.k, r.start, r.end) for r in got] == [("s", 0, 0, 0, 4), ("s", 0, 1, 4, 8), ("s", 1, 0, 11, 15), ("s", 1, 1, 15, 19), ("s", 2, 1, 26, 30), ("s", 3, 0, 33, 37), ("t", 0, 1, 4, 8)]
     first = np.array([0.0, 1, 2, 3])
     assert got[0].a == pytest.approx(((first - 1.5) / first.std()).tolist()) and got[-1].a == [0, 0, 0, 0]
-    s = datasets.channel_descriptors(datasets.channel_windows(d, "s", ["i"], ["a", "b"], 4, 2, 3), ["a", "b"])
+    s = datasets.channel_descriptors(datasets.channel_windows(d, "well", ["i"], ["a", "b"], 4, 2, 3), ["a", "b"])
     assert {len(r.s) for r in s.collect()} == {22} and len(datasets.descriptor_names(["a", "b"])) == 22
-    m = datasets.group_means(s.withColumn("y", F.col("k")), ["s", "block"], "y", ["k"]).collect()
-    own = np.array([r.s for r in s.where("s = 's' and block = 0").collect()])
-    r = next(r for r in m if (r[0], r.block) == ("s", 0))
-    assert r.n == 2 and r.y == 0 and list(r[4]) == pytest.approx(own.mean(axis=0).tolist())
+    m = datasets.group_means(s.withColumn("y", F.col("k")), ["well", "block"], "y", ["k"]).collect()
+    own = np.array([r.s for r in s.where("well = 's' and block = 0").collect()])
+    r = next(r for r in m if (r.well, r.block) == ("s", 0))
+    assert r.n == 2 and r.y == 0 and list(r.s) == pytest.approx(own.mean(axis=0).tolist())
 
 
 def test_random_windows_of_recordings(spark, tmp_path):
