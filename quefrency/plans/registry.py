@@ -597,6 +597,12 @@ def pca20(spark, d):
     return heads.principal(windows(spark, d).select("window_id", "y", *columns.named("x", xs)), xs, 20).select("window_id", "y", vector_to_array("pc").alias("pc"))
 
 
+@query()
+def synthetic_dataset(spark, d):
+    s = synthetic.resynthesised(windows(spark, d), "window_id", "y", "x", 12000.0, 20.0, 50.0)
+    return s.select("signal_id", "y", F.size("re").alias("n"), F.aggregate(F.zip_with("re", "im", lambda a, b: a * a + b * b), F.lit(0.0), lambda a, e: a + e).alias("energy"))
+
+
 _CFO = f"WITH {SMP}, ri AS (SELECT a.window_id, a.n AS k, a.v AS re, b.v AS im, 2 * pi() * 1500.0 / 12000.0 * a.n AS t FROM smp a JOIN smp b ON a.window_id = b.window_id AND b.n = a.n + 32 WHERE a.n < 32)"
 
 

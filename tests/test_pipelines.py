@@ -305,3 +305,11 @@ def test_multivariate_reconstruction(spark):
 
 def test_group_ids():
     assert tiling.group_id(3, 4, 20) == 64 and registry.QUERIES.keys() >= registry.ORACLE.keys()
+
+
+def test_resynthesised_signals_keep_their_amplitudes(spark):
+    x = RNG.normal(size=(3, 64))
+    d = spark.createDataFrame([(i, i, v.tolist()) for i, v in enumerate(x)], "window_id long, y int, x array<double>")
+    for r in synthetic.resynthesised(d, "window_id", "y", "x", snr_db=200.0).collect():
+        a, b = np.abs(np.fft.fft(np.array(r.re) + 1j * np.array(r.im))), np.abs(np.fft.fft(x[r.signal_id]))
+        assert np.allclose(a / np.linalg.norm(a), b / np.linalg.norm(b), atol=1e-5) and r.y == r.signal_id
