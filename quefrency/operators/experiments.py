@@ -96,7 +96,7 @@ def distorted(windows: DataFrame, roles: DataFrame, design: Design) -> DataFrame
     each = test.withColumn("severity", F.explode(F.array(*map(F.lit, design.severities))))
     h = taps(F.col("severity"), F.lit(design.seed + 7), F.col("split"), F.col("severity"), F.col("window_id"))
     # The channel is a column of its own before the kernel takes it, so that it is drawn once.
-    return each.withColumn("h", h).withColumn("x", through_channel("x", "h")).select("split", "severity", "window_id", "y", "x")
+    return moments.spread(each).withColumn("h", h).withColumn("x", through_channel("x", "h")).select("split", "severity", "window_id", "y", "x")
 
 
 # --- representations -------------------------------------------------------------------------------------------------
@@ -243,7 +243,7 @@ def predictions(windows: DataFrame, reps: dict[str, Representation], design: Des
     train = reduce(DataFrame.unionByName, (named(f(windows), n, ["grp", "y"]) for n, f in reps.items())).join(roles.where("role = 'train'"), "grp")
     test = reduce(DataFrame.unionByName, (named(f(bent), n, IDS) for n, f in reps.items()))
     key = F.concat_ws(":", "rep", "split").alias("key")
-    a = train.select(key, "y", "s").persist()
+    a = moments.spread(train.select(key, "y", "s")).persist()
     out = predict(a, test.select(key, "*"), design).drop("key", "s")
     a.unpersist()
     return out

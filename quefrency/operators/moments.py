@@ -47,3 +47,10 @@ def grouped(frame: DataFrame, keys: dict[str, str], each: Callable[[pd.DataFrame
 
     rows = frame.mapInPandas(run, schema).groupBy(*keys).applyInPandas(add, schema).collect()
     return {tuple(r[k] for k in keys): (r["n"], np.array(r["mean"]), np.array(r["scatter"]).reshape(len(r["mean"]), -1)) for r in sorted(rows, key=lambda r: tuple(str(r[k]) for k in keys))}
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """The frame dealt to at least as many partitions as there are cores. Rows that are small but costly in Python, or read
+    by every step of a fit, would else meet in the few partitions that their bytes fill."""
+    spark = frame.sparkSession
+    return frame.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))

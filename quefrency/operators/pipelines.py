@@ -114,7 +114,7 @@ def nearest_feature(train: DataFrame, test: DataFrame) -> DataFrame:
 
 
 def logistic_head(train: DataFrame, test: DataFrame) -> DataFrame:
-    a = train.persist()  # read again by every step of the fit
+    a = moments.spread(train).persist()  # read again by every step of the fit
     out = heads.grouped_logistic(a, test, "key", "y").drop("probability")
     a.unpersist()
     return out
