@@ -11,7 +11,8 @@ from tokenizers import Tokenizer
 from quefrency.llm import queries
 from quefrency.llm.tokens import vocabulary
 
-SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+#: Of the second, 6 held-out documents are toxic, too few to judge by; of the third 97.
+SF, LARGER, LARGEST = "/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
 COLUMNS = {
     "op1_packing": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
@@ -110,11 +111,11 @@ def test_languages_of_held_out_documents(spark):
 
 
 def test_toxicity_of_held_out_documents(spark):
-    label = {r.doc_id: r.toxic for r in queries.table(spark, LARGER, "labels").collect()}
-    rows = rows_of(spark, "op7_toxicity", LARGER)
+    label = {r.doc_id: r.toxic for r in queries.table(spark, LARGEST, "labels").collect()}
+    rows = rows_of(spark, "op7_toxicity", LARGEST)
     assert all(r.predicted == int(r.score >= 0.5) for r in rows)
     told = [(r.score, label[r.doc_id]) for r in fold(rows) if label.get(r.doc_id) is not None]
-    assert len(told) > 50 and np.mean([(s >= 0.5) == y for s, y in told]) >= 0.9
+    assert len(told) > 500 and np.mean([(s >= 0.5) == y for s, y in told]) >= 0.95
     one, none = [s for s, y in told if y], [s for s, y in told if not y]
     assert np.mean([a > b for a in one for b in none]) >= 0.9
 
