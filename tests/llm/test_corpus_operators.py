@@ -499,7 +499,8 @@ def test_penalty_clears_neutral_mentions_of_groups(spark):
         rows.append((" ".join(w), int(bad)))
     sample = spark.createDataFrame(rows, "text string, toxic int")
     neutral = [" ".join(rng.choice(plain) for _ in range(8)) + " " + g for g in ("muslim", "women", "gay", "christian", "men", "lesbian") * 10]
-    flagged = {p: np.mean([toxicity.fit(sample, p).score(t) >= 0.5 for t in neutral]) for p in (0.0, toxicity.SWAP)}
+    models = {p: toxicity.fit(sample, p) for p in (0.0, toxicity.SWAP)}
+    flagged = {p: np.mean([m.score(t) >= 0.5 for t in neutral]) for p, m in models.items()}
     assert flagged[0.0] > 0.4 and flagged[toxicity.SWAP] < 0.05
 
 
