@@ -496,6 +496,8 @@ def test_penalty_clears_neutral_mentions_of_groups(spark):
         w = [rng.choice(plain) for _ in range(12)]
         if bad:
             w += [rng.choice(["vile", "scum"])] * (rng.random() < 0.6) + [rng.choice(["muslim", "women", "gay"])]
+        else:
+            w += [rng.choice(["christian", "men", "lesbian"])]
         rows.append((" ".join(w), int(bad)))
     sample = spark.createDataFrame(rows, "text string, toxic int")
     neutral = [" ".join(rng.choice(plain) for _ in range(8)) + " " + g for g in ("muslim", "women", "gay", "christian", "men", "lesbian") * 10]
