@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import threading
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -20,6 +21,8 @@ END = 2
 #: Pieces of each of the two generations that a Python worker remembers, and the longest piece worth remembering. When the
 #: young generation is full it becomes the old one, which is forgotten; pieces still in use are young again by then.
 MEMO_PIECES, MEMO_CHARS = 800_000, 40
+#: Seconds without a text after which a worker gives its memo's memory back: idle workers outlive a stage by far.
+IDLE_SECONDS = 3.0
 #: Tokens of a file that its shortcuts are probed with.
 PROBES = 400
 #: Text bytes encoded at once; a longer text is still one call.
@@ -53,6 +56,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo, self.old = Tokenizer.from_file(path), {}, {}
+        self.lock, self.timer = threading.Lock(), None
         # A special token that is cut out before anything else happens to a text: what stands beside it never meets.
         cuts = [(k, t.content) for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
         self.specials = tuple(t for _, t in cuts)
@@ -73,6 +77,28 @@ class Encoder:
         want = [array("I", e.ids).tobytes() + _END for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return self.encode(texts) == want
 
+    def rest(self) -> None:
+        """Called at a task's end: forget all pieces if no other task comes soon."""
+        with self.lock:
+            if self.timer:
+                self.timer.cancel()
+            self.timer = threading.Timer(IDLE_SECONDS, self._forget)
+            self.timer.daemon = True
+            self.timer.start()
+
+    def _forget(self) -> None:
+        with self.lock:
+            if threading.current_thread() is self.timer:  # no task has come meanwhile
+                self.memo, self.old, self.timer = {}, {}, None
+        pa.default_memory_pool().release_unused()
+
+    def wake(self) -> None:
+        """Called at a task's start."""
+        with self.lock:
+            if self.timer:
+                self.timer.cancel()
+            self.timer = None
+
     def _fresh(self, pieces: set[str]) -> set[str]:
         """Those that no generation knows; what the old one knows becomes young again."""
         new = pieces.difference(self.memo)
@@ -155,9 +181,13 @@ def encoder(path: str) -> Encoder:
 def encoded(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of batches whose column 1 is text, with the ids of each row."""
     enc = encoder(path)
-    for batch in batches:
-        for part in slices(batch, 1, ENCODE_BYTES):
-            yield part, enc.encode(part.column(1))
+    enc.wake()
+    try:
+        for batch in batches:
+            for part in slices(batch, 1, ENCODE_BYTES):
+                yield part, enc.encode(part.column(1))
+    finally:
+        enc.rest()
 
 
 def crc(ids: bytes) -> int:

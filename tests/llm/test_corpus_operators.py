@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from quefrency.llm import components, decontamination, fmindex, jaccard, kernels, langid, lengths, neighbours, packing, repeats, scratch, suffixes, tokenfiles, toxicity
+from quefrency.llm import components, decontamination, fmindex, jaccard, kernels, langid, lengths, neighbours, packing, repeats, scratch, suffixes, tokenfiles, tokens, toxicity
 from quefrency.llm.tokens import Encoder, vocabulary
 
 WORDS = [f"w{i}x" for i in range(60)]
@@ -515,3 +516,20 @@ def test_sliding_minima():
     x = np.random.default_rng(0).integers(0, 99, 200)
     for w in (1, 2, 7, 30):
         assert kernels.sliding_min(x, w).tolist() == [x[i : i + w].min() for i in range(len(x) - w + 1)]
+
+
+def test_idle_encoder_forgets(monkeypatch):
+    """A worker gives its memo back some time after a task, unless another comes, and encodes alike afterwards."""
+    monkeypatch.setattr(tokens, "IDLE_SECONDS", 0.05)
+    enc = Encoder(vocabulary())
+    texts = ["Some words, some more words.", None, "", "x" * 300]
+    first = enc.encode(texts)
+    enc.rest()
+    enc.wake()
+    time.sleep(0.3)
+    assert enc.memo
+    enc.rest()
+    own = enc.timer
+    own.join(10)
+    assert not own.is_alive() and not enc.memo and not enc.old and enc.timer is None
+    assert enc.encode(texts) == first
