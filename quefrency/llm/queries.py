@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quefrency.llm import decontamination, fmindex, jaccard, langid, lengths, neighbours, packing, sql, suffixes, tokenfiles, toxicity
+from quefrency.llm import decontamination, fmindex, jaccard, langid, lengths, licenses, neighbours, packing, ranked, sql, suffixes, tokenfiles, toxicity
 from quefrency.llm.scratch import keep
 from quefrency.llm.tokens import vocabulary
 
@@ -73,11 +73,19 @@ def op10_substring_dedup(spark, sf_dir):
     return x.select("doc_id", F.col("n").alias("n_words"), "n_removed", "kept_sha256")
 
 
+def op11_licenses(spark, sf_dir):
+    return licenses.labelled(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+def op12_ranked_search(spark, sf_dir):
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_neighbours, op3_decontamination, op4_language, op5_suffix_dedup, op6_token_files, op7_toxicity, op8_token_counts, op9_ngram_jaccard, op10_substring_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_neighbours, op3_decontamination, op4_language, op5_suffix_dedup, op6_token_files, op7_toxicity, op8_token_counts, op9_ngram_jaccard, op10_substring_dedup, op11_licenses, op12_ranked_search, pipeline)}
 ORACLE = sql.ORACLE

@@ -57,4 +57,17 @@ n AS (SELECT rid, count(*) AS removed FROM c GROUP BY rid)
 SELECT doc_id, len(w) AS n_words, coalesce(removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN n USING (rid) LEFT JOIN t USING (rid)"""
 
-ORACLE = {"op3_decontamination": DECONTAMINATION, "op5_suffix_dedup": SUFFIX_DEDUP, "op9_ngram_jaccard": NGRAM_JACCARD, "op10_substring_dedup": SUBSTRING_DEDUP}
+RANKED = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+n AS (SELECT rid, doc_id, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+g AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS nw FROM n),
+q AS (SELECT row_number() OVER () AS q, item_id, {_WORDS} AS w FROM benchmark),
+a AS (SELECT q, item_id, term, count(*) AS times FROM (SELECT q, item_id, unnest(w) AS term FROM q) GROUP BY ALL),
+f AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM a) GROUP BY ALL),
+t AS (SELECT term, CAST(floor(1000.0 * ln((2.0 * nd + 2) / (2.0 * count(*) + 1))) AS BIGINT) AS w FROM f, g GROUP BY term, nd),
+m AS (SELECT rid, doc_id, 100 - 75 + (75 * n * nd) // nw AS m FROM n, g),
+s AS (SELECT q, item_id, doc_id, rid, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM a JOIN t USING (term) JOIN f USING (term) JOIN m USING (rid) GROUP BY ALL),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10"""
+
+ORACLE = {"op3_decontamination": DECONTAMINATION, "op5_suffix_dedup": SUFFIX_DEDUP, "op9_ngram_jaccard": NGRAM_JACCARD, "op10_substring_dedup": SUBSTRING_DEDUP, "op12_ranked_search": RANKED}
