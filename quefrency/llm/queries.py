@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quefrency.llm import decontamination, fmindex, jaccard, langid, lengths, licenses, neighbours, packing, ranked, sql, suffixes, tokenfiles, toxicity
+from quefrency.llm import alignment, decontamination, fmindex, jaccard, langid, lengths, licenses, neighbours, packing, ranked, sql, suffixes, tokenfiles, toxicity
 from quefrency.llm.scratch import keep
 from quefrency.llm.tokens import vocabulary
 
@@ -81,11 +81,15 @@ def op12_ranked_search(spark, sf_dir):
     return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_alignment(spark, sf_dir):
+    return alignment.link_statistics(table(spark, sf_dir, "documents"), alignment.vocabularies())
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_neighbours, op3_decontamination, op4_language, op5_suffix_dedup, op6_token_files, op7_toxicity, op8_token_counts, op9_ngram_jaccard, op10_substring_dedup, op11_licenses, op12_ranked_search, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_neighbours, op3_decontamination, op4_language, op5_suffix_dedup, op6_token_files, op7_toxicity, op8_token_counts, op9_ngram_jaccard, op10_substring_dedup, op11_licenses, op12_ranked_search, op13_alignment, pipeline)}
 ORACLE = sql.ORACLE
