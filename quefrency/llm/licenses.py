@@ -115,7 +115,7 @@ FORMS = (
     ("grant", 2, 0.95, "under|by|according|subject|accordance|terms", r"(?:licen[cs]ed|released|distributed|redistributed?|available|published|provided|offered|covered|governed|shared|modify it) (?:\w+ ){{0,3}}?(?:under|by|according to|subject to|in accordance with|the terms of)(?: the)?(?: (?:following )?terms(?: and conditions)? of)?(?: the| a| an)? (?:{n}){v}"),
     ("url", 3, 0.9, "org|choosealicense", r"(?:opensource org|spdx org|choosealicense com|creativecommons org|gnu org|apache org|mozilla org|eclipse org) (?:licen[cs]es?|legal|publicdomain|org documents)(?: licen[cs]e)? (?:{i}){v}"),
     ("field", 4, 0.85, "license|licence|licenses|licences", r"licen[cs]es?(?: name| type| id| text| is| under)? (?:the )?(?:{n}){v}"),
-    ("name", 5, 0.8, "license|licence", r"(?:{n})(?: v?\d+(?: \d+){{0,2}}| version(?: \d+)+)?(?: international| unported| generic| public| style| software| open source)? licen[cs]e(?:{v})"),
+    ("name", 5, 0.8, "license|licence", r"(?:{n})(?:(?<= licen[cs]e)|(?: v?\d+(?: \d+){{0,2}}| version(?: \d+)+)?(?: international| unported| generic| public| style| software| open source)? licen[cs]e)(?:{v})"),
 )
 
 # Label, keyword, wording of a license's own text.
@@ -147,6 +147,11 @@ TEXTS = (
     ("cc-by-nc-sa", "creativecommons org", r"creativecommons org licenses by nc sa"),
     ("cc-by-nc-nd", "creativecommons org", r"creativecommons org licenses by nc nd"),
     ("cc0", "creativecommons org", r"creativecommons org publicdomain zero"),
+    ("cc-by-sa", "cc by sa", r"cc by sa(?: \d \d)?"),
+    ("cc-by-nc", "cc by nc", r"cc by nc(?: \d \d)?"),
+    ("cc-by-nd", "cc by nd", r"cc by nd(?: \d \d)?"),
+    ("cc-by-nc-sa", "cc by nc sa", r"cc by nc sa(?: \d \d)?"),
+    ("cc-by-nc-nd", "cc by nc nd", r"cc by nc nd(?: \d \d)?"),
     ("wtfpl", "want to", r"you just do what the fuck you want to"),
     ("ofl", "font software", r"this font software is licensed under the sil open font license"),
     ("psf", "python software foundation", r"this license agreement is between the python software foundation"),

@@ -48,7 +48,7 @@ def _ragged(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(at, pa.array(np.concatenate(parts) if parts else [], kind))
 
 
-def block_index(docs: DataFrame, terms: set[bytes] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def block_index(docs: DataFrame, terms: set[bytes] | None = None, id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS) -> DataFrame:
     """Blocks of documents: for each term of a block, slots (places of the documents in it) and counts; and a row without
     a term, whose counts are the documents' terms with repeats and whose ids their ids. Only `terms`, if they are given."""
     sent = None if terms is None else sorted(terms)
@@ -87,7 +87,7 @@ def block_index(docs: DataFrame, terms: set[bytes] | None = None, id_col: str =
                     postings += len(found[-1])
                     ids.append(key)
                     sizes.append(len(own))
-                    if len(ids) >= BLOCK_DOCS or postings >= BLOCK_POSTINGS:
+                    if len(ids) >= block_docs or postings >= BLOCK_POSTINGS:
                         yield flush()
                         made, known, postings = made + 1, fixed, 0
                         ids.clear(), sizes.clear(), found.clear()
@@ -143,7 +143,7 @@ def _visit(owner: int, k: int, n_docs: int, n_words: int, carried: pa.Schema, to
     return run
 
 
-def search(docs: DataFrame, items: DataFrame, k: int = 10, owners: int = 4, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, k: int = 10, owners: int = 4, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_docs: int = BLOCK_DOCS, sent_terms: int = SENT_TERMS, part_terms: int = PART_TERMS) -> DataFrame:
     """item_id, rank, doc_id, score: the k documents with the highest scores above 0 for each row of items, best first and
     ties by id (null last).
 
@@ -160,9 +160,9 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, owners: int = 4, id_c
     result = f"item_id {kind}, rank int, doc_id long, score long"
     if not size["n"]:
         return spark.createDataFrame([], result)
-    few = size["terms"] <= SENT_TERMS and size["bytes"] <= SENT_BYTES
+    few = size["terms"] <= sent_terms and size["bytes"] <= SENT_BYTES
     known = {r["term"].encode() for r in asked.select("term").distinct().collect()} if few else None
-    index = keep(block_index(docs, known, id_col, text_col))
+    index = keep(block_index(docs, known, id_col, text_col, block_docs))
     total = index.agg(F.sum("docs").alias("docs"), F.sum("words").alias("words")).first()
     n_docs, n_words = int(total["docs"] or 0), int(total["words"] or 0)
     if not n_docs:
@@ -174,7 +174,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, owners: int = 4, id_c
     # Owners by eighths: the last one has the terms that over an eighth of all documents hold, the one before those of over a 64th, and so on.
     rarity = F.floor(F.log(8.0, F.lit(float(n_docs)) / F.col("df")))
     terms = keep(df.select("term", w.alias("w"), F.greatest(F.lit(0), F.lit(owners - 1) - rarity).cast("int").alias("owner")))
-    parts = -(-size["n"] // PART_TERMS)
+    parts = -(-size["n"] // part_terms)
     part = F.pmod(F.xxhash64("q"), F.lit(parts)).cast("int")
     held = asked.join(terms, "term").groupBy("q", "item_id").agg(F.collect_list(F.struct("term", (F.col("times") * F.col("w")).alias("gain"), "owner")).alias("t"))
     none = lambda t: F.array().cast(f"array<{t}>")

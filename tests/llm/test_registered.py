@@ -25,6 +25,9 @@ COLUMNS = {
     "op8_token_counts": ["n_tokens", "n_docs"],
     "op9_ngram_jaccard": ["doc_id", "n_shingles", "component_id"],
     "op10_substring_dedup": ["doc_id", "n_words", "n_removed", "kept_sha256"],
+    "op11_licenses": ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
+    "op12_ranked_search": ["item_id", "rank", "doc_id", "score"],
+    "op13_alignment": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
 }
 
 
