@@ -2,8 +2,9 @@
 
 A sequence holds at most `max_tokens` tokens, `max_segments` pieces and `max_loss` loss-bearing tokens. Each task packs
 its own partition, in blocks: it always adds the piece whose demand has the largest dot product with what the open
-sequence has left, and when no piece fits whole, it cuts one to fill the sequence. What is left at the end of a
-partition is cut at powers of two, so that no sequence but one closed by another limit needs padding. No shuffle.
+sequence has left, and when no piece fits whole, it cuts one to fill the sequence. A sequence that another limit closes
+before it is full, and what is left at the end of a partition, is cut at powers of two, so that none needs padding. No
+shuffle.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ class Packer:
                 i = int(np.argmax(np.where(room > 0, score, -1.0)))
                 take = int(room[i])
             else:
-                self.close()
+                self.close_short()
                 continue
             loss = max(0, take - int(self.skip[i]))
             self.held.append((self.doc[i], int(self.start[i]), take, loss))
@@ -91,11 +92,15 @@ class Packer:
         self.sequence += bool(self.held)
         self.held, self.left = [], self.limits.copy()
 
-    def finish(self) -> None:
-        self.run(0)
+    def close_short(self) -> None:
+        """End an open sequence that is not full, as sequences of powers of two."""
         used = int(self.limits[0] - self.left[0])
         self.close(tuple(1 << k for k in reversed(range(used.bit_length())) if used >> k & 1))
 
+    def finish(self) -> None:
+        self.run(0)
+        self.close_short()
+
 
 def pack(docs: DataFrame, tokenizer: str, max_tokens: int = 4096, max_segments: int = 128, max_loss: int | None = None, id_col: str = "doc_id", text_col: str = "text", prompt_tokens_col: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens (and ids, if asked for).
@@ -103,8 +108,11 @@ def pack(docs: DataFrame, tokenizer: str, max_tokens: int = 4096, max_segments:
     The first `prompt_tokens_col` ids of a document bear no loss (null or no column: all bear loss). Null text is empty
     and packs as the end id alone; null ids stay null; repeated rows are packed each; an empty table gives no rows. Texts
     of any length are cut freely, and each id lies in exactly one piece. Other columns are ignored, whatever their names.
+    A limit under 1 is an error, since nothing could be packed; without `max_loss` there is no limit on loss-bearing tokens.
     """
-    limits = (max_tokens, max_segments, max_loss or max_tokens)
+    limits = (max_tokens, max_segments, max_tokens if max_loss is None else max_loss)
+    if min(limits) < 1:
+        raise ValueError("limits of a sequence must be at least 1")
     columns = COLUMNS + ["ids"] * with_ids
     types = [pa.int64()] * len(COLUMNS) + [pa.binary()] * with_ids
 
