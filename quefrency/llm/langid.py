@@ -8,13 +8,13 @@ deviations), takes the nearest codeword, and flags a near tie.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +27,8 @@ AMBIGUOUS = 0.02
 #: Deviations of its nearest language's training texts by which a text's n-grams must be rarer to be in no learned language.
 FAR = 10.0
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters by Unicode category: numerals such as fractions or Roman ones are none.
+_LETTER = regex.compile(r"\p{L}")
 #: Bucket of n-grams without letters, which tell nothing of a language.
 _BLANK = int(np.uint32(0x202020 * 2654435761 & 0xFFFFFFFF) >> np.uint32(32 - BITS))
 #: ASCII that is no letter counts as a blank.
