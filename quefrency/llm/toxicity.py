@@ -72,10 +72,13 @@ class Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", limit: int = TRAIN_ROWS) -> DataFrame:
-    """text and toxic of at most `limit` labelled documents; ids with contradicting labels or none are left out."""
-    one = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).cast("int").alias("toxic"), F.max(label_col).cast("int").alias("most"))
+    """text and toxic of at most `limit` labelled documents. Labels other than 0 and 1 count as none; ids without a label or
+    with contradicting ones are left out; of rows that share an id, one text counts."""
+    own = F.col(label_col).cast("double")
+    one = labels.where(F.col(id_col).isNotNull() & own.isin(0.0, 1.0)).groupBy(F.col(id_col).alias("__id")).agg(F.min(own).cast("int").alias("toxic"), F.max(own).cast("int").alias("most"))
     some = one.where("toxic = most").drop("most").orderBy(F.xxhash64("__id"), "__id").limit(limit)
-    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(some), "__id").select("text", "toxic")
+    met = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(some), "__id")
+    return met.groupBy("__id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
 
 def fit(rows: DataFrame, penalty: float = SWAP) -> Model:
