@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quefrency.llm.components import components
@@ -216,11 +216,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, the one with the smallest id; of rows that share an id, one. Rows with a null id stay.
-    Columns of any name are carried along in a struct of their own."""
-    parts = near_duplicates(docs, percent).where("doc_id = component_id").select("doc_id").distinct()
-    own = docs.select("doc_id", F.xxhash64("text").alias("h"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    first = own.join(parts, "doc_id").withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("h"))).where("nth = 1")
-    kept = first.select("row").unionByName(own.where("doc_id is null").select("row"))
-    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+def keep_one(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, the one with the smallest id (null last). Rows are told apart by themselves, so those
+    that share an id but not their text stay, and copies go whatever their ids. Columns of any name are carried along in a
+    struct of their own."""
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    own = keep(own.withColumn("n", F.monotonically_increasing_id()))
+    parts = near_duplicates(own, percent, "n").select(F.col("doc_id").alias("n"), "component_id")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n"))
+    first = own.select("n", "id").join(parts, "n").groupBy("component_id").agg(best.alias("best")).select(F.col("best.n").alias("n"))
+    return own.join(first, "n", "left_semi").select(*(F.col("row")[c].alias(c) for c in docs.columns))
