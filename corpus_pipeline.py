@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quefrency.llm import decontamination, fmindex, jaccard, langid, packing
 from quefrency.llm.queries import labelled_fold, table
-from quefrency.llm.scratch import keep
+from quefrency.llm.scratch import keep, mark, release
 from quefrency.llm.tokens import vocabulary
 
 #: The result has no SQL form: it needs a learned language model and a tokenizer. Tests hold it against brute force.
@@ -42,8 +42,9 @@ STAGES = [("language ID", language), ("n-gram Jaccard join", near_copies), ("sub
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over `documents`, each written to the shared folder and read again; what a stage kept goes with it."""
+    docs, begin = table(spark, sf_dir, "documents"), mark()
     for _, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir))
+        release(spark, begin, but_last=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -32,10 +32,17 @@ def keep(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete what keep() has written in this session, once results are stored; returns how many tables that were."""
-    n = len(_kept)
-    while _kept:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_kept.pop())
+def mark() -> int:
+    """The number of tables kept so far, for release()."""
+    return len(_kept)
+
+
+def release(spark: SparkSession, since: int = 0, but_last: bool = False) -> int:
+    """Delete what keep() has written in this session since a mark, once results are stored; the last table stays, if asked
+    for. Returns how many tables that were."""
+    old = _kept[since : len(_kept) - but_last]
+    _kept[since : since + len(old)] = []
+    for name in old:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+    return len(old)
