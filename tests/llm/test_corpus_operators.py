@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer, models, pre_tokenizers
@@ -95,6 +96,19 @@ def test_packing(spark, docs, rows):
     assert packing.pack(spark.createDataFrame([], EMPTY), vocabulary()).count() == 0
 
 
+def test_packing_of_short_documents_needs_no_padding(spark):
+    d = spark.createDataFrame([(i, "" if i % 2 else "a b") for i in range(4000)], "doc_id long, text string").coalesce(1)
+    for limits in ({}, {"max_loss": 50}, {"max_segments": 3}):
+        total, pieces = Counter(), Counter()
+        for r in packing.pack(d, vocabulary(), **limits).collect():
+            total[r.sequence_id] += r.length
+            pieces[r.sequence_id] += 1
+        assert sum(total.values()) == 8000 and all(n & (n - 1) == 0 for n in total.values()) and max(pieces.values()) <= limits.get("max_segments", 128)
+        assert max(total.values()) <= limits.get("max_loss", 4096)
+    with pytest.raises(ValueError):
+        packing.pack(d, vocabulary(), max_loss=0)
+
+
 def test_packing_prompt_bears_no_loss(spark):
     d = spark.createDataFrame([(1, "one two three four five six", 3)], "doc_id long, text string, p int").coalesce(1)
     got = packing.pack(d, vocabulary(), max_tokens=64, prompt_tokens_col="p").collect()
@@ -312,8 +326,16 @@ def test_near_duplicates(spark):
     d = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, sig int, __id int, nth int").repartition(3)
     got = jaccard.near_duplicates(d).collect()
     assert sorted(map(tuple, got), key=key) == sorted(((i, len(s), comp.get(i)) for (i, _), s in zip(rows, sets, strict=True)), key=key)
+    # Rows are kept by their texts: of those that are linked, one with the smallest id.
+    part = list(range(len(rows)))
+    for _ in rows:
+        for a, b in itertools.combinations(range(len(rows)), 2):
+            both = len(sets[a] & sets[b])
+            if sets[a] and 100 * both >= 75 * len(sets[a] | sets[b]):
+                part[a] = part[b] = min(part[a], part[b])
+    want = [min((i is None, i or 0) for (i, _), q in zip(rows, part, strict=True) if q == p) for p in set(part)]
     one = jaccard.keep_one(d)
-    assert one.columns == d.columns and sorted((r.doc_id for r in one.collect()), key=lambda x: (x is None, x)) == [*sorted({c for c in comp.values()}), None]
+    assert one.columns == d.columns and sorted((r.doc_id is None, r.doc_id or 0) for r in one.collect()) == sorted(want)
     assert jaccard.near_duplicates(d.limit(0)).count() == 0
 
 
@@ -424,6 +446,9 @@ def test_language(spark):
     assert len(got) == len(rows) and all(pred[i] == k for i, _, k in rows[:90]) and pred[900] == pred[901] == pred[902] == "und" and pred[None] == "xx"
     assert all(0 <= r.score <= 1 for r in got)
     assert langid.accepted(d, m).count() == 91
+    # Numerals are no letters.
+    odd = spark.createDataFrame([(1, "\u00bd \u00b2"), (2, "\u2460"), (3, "\u2167"), (4, "\u2167 the")], "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in langid.predict(odd, m).orderBy("doc_id").collect()] == [True, True, True, False] and langid.accepted(odd, m).where("doc_id < 4").count() == 0
     nothing = langid.fit(d.limit(0))
     assert {r.lang_pred for r in langid.predict(d, nothing).collect()} == {"und"}
     assert langid.predict(d.limit(0), m).count() == 0
@@ -484,6 +509,11 @@ def test_toxicity(spark):
     swap = [m.score("qaa muslim qbb"), m.score("qaa christian qbb"), m.score("qaa qbb")]
     assert max(swap[:2]) - min(swap[:2]) < 0.05 and max(swap) < 0.5
     assert toxicity.fit(toxicity.training_rows(d, lab.limit(0))).vocabulary == {}
+    # Other labels are none, and repeated ids do not pass the bound.
+    other = lab.union(spark.createDataFrame([(i, y) for i in range(10) for y in (2, -1)], "doc_id long, toxic int"))
+    assert sorted(map(tuple, toxicity.training_rows(d, other).collect())) == sorted(map(tuple, toxicity.training_rows(d, lab).collect()))
+    many = d.where("doc_id < 3").crossJoin(spark.range(200)).select("doc_id", F.concat("text", F.lit(" "), "id").alias("text"))
+    assert toxicity.training_rows(many, lab.where("doc_id between 0 and 2"), limit=2).count() <= 2
     assert toxicity.score(d.limit(0), m).count() == 0
 
 
@@ -510,6 +540,11 @@ def test_penalty_clears_neutral_mentions_of_groups(spark):
 def test_scratch(spark):
     kept = scratch.keep(spark.range(3))
     assert kept.count() == 3 and scratch.release(spark) >= 1 and scratch.release(spark) == 0
+    first = scratch.keep(spark.range(1))
+    since = scratch.mark()
+    for n in (2, 3, 4):
+        last = scratch.keep(spark.range(n))
+    assert scratch.release(spark, since, but_last=True) == 2 and first.count() == 1 and last.count() == 4 and scratch.release(spark) == 2
 
 
 def test_sliding_minima():
