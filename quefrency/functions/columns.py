@@ -30,6 +30,19 @@ def frames(f: Callable[[np.ndarray], np.ndarray], least: int):
     return F.pandas_udf(lambda s: _by_length(s, f, least), "array<array<double>>")
 
 
+def complex_frames(f: Callable[[np.ndarray], np.ndarray], least: int):
+    """Two array columns, real and imaginary parts of as many samples each -> array<array<double>> as of frames(), from complex
+    windows; null where either is null, where they differ in length, or for shorter ones. Rows of NaN become null frames."""
+
+    def run(re: pd.Series, im: pd.Series) -> pd.Series:
+        both = [None if a is None or b is None or len(a) != len(b) else np.concatenate([a, b]) for a, b in zip(re, im, strict=True)]
+        join = lambda m: m[:, : m.shape[1] // 2] + 1j * m[:, m.shape[1] // 2 :]
+        out = _by_length(pd.Series(both, dtype=object), lambda m: f(join(m)), 2 * least)
+        return out.map(lambda rows: rows if rows is None else [None if np.isnan(r[0]) else r for r in rows])
+
+    return F.pandas_udf(run, "array<array<double>>")
+
+
 def named(column: str, names: list[str], digits: int | None = None) -> list[Column]:
     """The elements of an array as columns."""
     cell = lambda i: F.col(column)[i]

@@ -48,6 +48,11 @@ class ClassMoments:
         std = np.where(var > 0, np.sqrt(var), 1.0)
         return cls(features, mean, std, {c: (k, (m - mean) / std, q / np.outer(std, std) / max(k - 1, 1)) for c, (k, m, q) in parts.items()})
 
+    def part(self, at: list[int]) -> ClassMoments:
+        """Moments of some of the features: entries and principal submatrices, no pass over rows."""
+        sub = np.ix_(at, at)
+        return ClassMoments(self.features, self.mean[at], self.std[at], {c: (k, mu[at], cov[sub]) for c, (k, mu, cov) in self.classes.items()})
+
     @property
     def size(self) -> int:
         return sum(k for k, _, _ in self.classes.values())

@@ -64,10 +64,11 @@ def taps(length: Column, *key: Column, decay: float = 0.7) -> Column:
 
 
 def complex_taps(length: Column, *key: Column, decay: float = 0.7) -> Column:
-    """As taps(), with complex normal taps: an array of (re, im) whose squares sum to 1; one tap is 1."""
+    """As taps(), with taps whose real and imaginary parts are normal each, so that an echo has twice the power of a real one:
+    an array of (re, im) whose squares sum to 1; one tap is 1."""
 
     def draw(k):
-        size, turn = F.sqrt(-F.ln(uniform(*key, k, F.lit(0)))) * F.exp(-decay * k), 2 * np.pi * uniform(*key, k, F.lit(1))
+        size, turn = F.sqrt(-2 * F.ln(uniform(*key, k, F.lit(0)))) * F.exp(-decay * k), 2 * np.pi * uniform(*key, k, F.lit(1))
         return F.struct(F.when(k == 0, 1.0).otherwise(size * F.cos(turn)).alias("re"), F.when(k == 0, 0.0).otherwise(size * F.sin(turn)).alias("im"))
 
     h = F.transform(F.sequence(F.lit(0), length - 1), draw)
@@ -75,28 +76,56 @@ def complex_taps(length: Column, *key: Column, decay: float = 0.7) -> Column:
     return F.transform(h, lambda e: F.struct((e["re"] / norm).alias("re"), (e["im"] / norm).alias("im")))
 
 
-def _through(x: pd.Series, h: pd.Series) -> pd.Series:
+def _filtered(x: pd.Series, h: pd.Series, kind: type) -> pd.Series:
     out: list = [None] * len(x)
     sizes = pd.DataFrame({"x": x.map(len), "h": h.map(len)})
     for at in sizes.groupby(["x", "h"]).indices.values():
-        m, t = np.stack(x.iloc[at].to_list()).astype(float), np.stack(h.iloc[at].to_list()).astype(float)
+        m, t = np.stack(x.iloc[at].to_list()).astype(kind), np.stack(h.iloc[at].to_list()).astype(kind)
         for i, row in zip(at, signal.causal_fir(m, t.T[:, :, None]), strict=True):
             out[i] = row
     return pd.Series(out, dtype=object)
 
 
+def _through(x: pd.Series, h: pd.Series) -> pd.Series:
+    return _filtered(x, h, float)
+
+
 def through_channel(x: str, h: str) -> Column:
     """Each window through its own causal channel with zero history."""
     return F.pandas_udf(_through, "array<double>")(x, h)
 
 
-def distorted(windows: DataFrame, roles: DataFrame, design: Design) -> DataFrame:
-    """split, severity, window_id, y, x of every split's test windows; severity 1 is clean."""
+def _through_complex(re: pd.Series, im: pd.Series, hr: pd.Series, hi: pd.Series) -> pd.DataFrame:
+    z = pd.Series([np.asarray(a) + 1j * np.asarray(b) for a, b in zip(re, im, strict=True)], dtype=object)
+    h = pd.Series([np.asarray(a) + 1j * np.asarray(b) for a, b in zip(hr, hi, strict=True)], dtype=object)
+    out = _filtered(z, h, complex)
+    return pd.DataFrame({"re": out.map(np.real), "im": out.map(np.imag)})
+
+
+def through_complex_channel(re: str, im: str, h: str) -> Column:
+    """Each complex window through its own causal channel, an array of (re, im), with zero history: (re, im)."""
+    part = lambda c: F.transform(h, lambda e: e[c])
+    return F.pandas_udf(_through_complex, "re array<double>, im array<double>")(re, im, part("re"), part("im"))
+
+
+def _tested(windows: DataFrame, roles: DataFrame, design: Design, draw) -> DataFrame:
+    """Every split's test windows at each severity, with a channel of their own as the column h."""
     test = windows.join(roles.where("role = 'test'"), "grp")
     each = test.withColumn("severity", F.explode(F.array(*map(F.lit, design.severities))))
-    h = taps(F.col("severity"), F.lit(design.seed + 7), F.col("split"), F.col("severity"), F.col("window_id"))
+    h = draw(F.col("severity"), F.lit(design.seed + 7), F.col("split"), F.col("severity"), F.col("window_id"))
     # The channel is a column of its own before the kernel takes it, so that it is drawn once.
-    return moments.spread(each).withColumn("h", h).withColumn("x", through_channel("x", "h")).select("split", "severity", "window_id", "y", "x")
+    return moments.spread(each).withColumn("h", h)
+
+
+def distorted(windows: DataFrame, roles: DataFrame, design: Design) -> DataFrame:
+    """split, severity, window_id, y, x of every split's test windows; severity 1 is clean."""
+    return _tested(windows, roles, design, taps).withColumn("x", through_channel("x", "h")).select("split", "severity", "window_id", "y", "x")
+
+
+def distorted_complex(windows: DataFrame, roles: DataFrame, design: Design) -> DataFrame:
+    """split, severity, window_id, y, re, im: as distorted(), of complex windows through complex channels."""
+    bent = _tested(windows, roles, design, complex_taps).withColumn("z", through_complex_channel("re", "im", "h"))
+    return bent.select("split", "severity", "window_id", "y", "z.re", "z.im")
 
 
 # --- representations -------------------------------------------------------------------------------------------------
@@ -145,6 +174,15 @@ def sensitivity(configs: dict[str, dict], lifter: int = 3) -> dict[str, Represen
     return out
 
 
+def _occupied(w, form, n_fft, hop, lo, least):
+    return spectra.describe(spectra.occupied_frames(w, form, n_fft, hop, lo, least))
+
+
+def occupied(lifter: int = 3, n_fft=256, hop=128, least=0.8) -> dict[str, Representation]:
+    """Both branches of complex windows (re, im), over the frames that the distorted signal itself occupies."""
+    return {name: partial(_occupied, form=form, n_fft=n_fft, hop=hop, lo=lifter, least=least) for name, form in (("spectral", "spectral"), (f"cepstral_{lifter}", "cepstral"))}
+
+
 def _subset(w, base, keep):
     return base(w).withColumn("s", F.array(*(F.col("s")[i] for i in keep)))
 
@@ -235,10 +273,11 @@ def conditioning(windows: DataFrame, reps: dict[str, Representation], design: De
     return windows.sparkSession.createDataFrame(rows, f"rep string, split int, ridge double, y {windows.schema['y'].dataType.simpleString()}, cond double")
 
 
-def predictions(windows: DataFrame, reps: dict[str, Representation], design: Design) -> DataFrame:
-    """rep, split, severity, window_id, frame_id, y, p of every test frame. All splits of all representations are one fit."""
+def predictions(windows: DataFrame, reps: dict[str, Representation], design: Design, distort=distorted) -> DataFrame:
+    """rep, split, severity, window_id, frame_id, y, p of every test frame. All splits of all representations are one fit.
+    distort: distorted, or distorted_complex for windows of re and im."""
     roles = split_roles(windows, "grp", design.splits, design.test_size, design.seed)
-    bent = distorted(windows, roles, design)
+    bent = distort(windows, roles, design)
     named = lambda f, name, cols: f.select(F.lit(name).alias("rep"), *cols, "s")
     train = reduce(DataFrame.unionByName, (named(f(windows), n, ["grp", "y"]) for n, f in reps.items())).join(roles.where("role = 'train'"), "grp")
     test = reduce(DataFrame.unionByName, (named(f(bent), n, IDS) for n, f in reps.items()))
@@ -249,9 +288,9 @@ def predictions(windows: DataFrame, reps: dict[str, Representation], design: Des
     return out
 
 
-def run(windows: DataFrame, reps: dict[str, Representation], design: Design = Design()) -> DataFrame:  # noqa: B008
+def run(windows: DataFrame, reps: dict[str, Representation], design: Design = Design(), distort=distorted) -> DataFrame:  # noqa: B008
     """rep, split, severity, f1, accuracy."""
-    return metrics.macro_f1(predictions(windows, reps, design), ["rep", "split", "severity"]).withColumnRenamed("macro_f1", "f1")
+    return metrics.macro_f1(predictions(windows, reps, design, distort), ["rep", "split", "severity"]).withColumnRenamed("macro_f1", "f1")
 
 
 def levels(pred: DataFrame) -> DataFrame:
@@ -313,19 +352,6 @@ def candidates(summary_: DataFrame, reference: str, margin: float = 0.02) -> Dat
     return summary_.crossJoin(F.broadcast(ref)).withColumn("candidate", ok).drop("__u", "__c")
 
 
-def forward(windows: DataFrame, base: Representation, names: list[str], design: Design, steps: int | None = None) -> list[tuple[str, float]]:
-    """Greedy selection: at each step the descriptor that helps the mean score under distortion most, first of ties. A step is one run."""
-    chosen: list[int] = []
-    out = []
-    for _ in range(steps or len(names)):
-        reps = {str(i): only(base, [*chosen, i]) for i in range(len(names)) if i not in chosen}
-        under = {r["rep"]: r["under"] for r in summary(run(windows, reps, design)).collect()}  # one row a candidate
-        best = max(reps, key=lambda k: (under[k], -int(k)))
-        chosen.append(int(best))
-        out.append((names[int(best)], under[best]))
-    return out
-
-
 # --- random windows --------------------------------------------------------------------------------------------------
 
 

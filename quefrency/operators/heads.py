@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
@@ -77,38 +77,56 @@ class Softmax:
         self.w = self.best if self.done else self.best + self.step
 
 
-def grouped_logistic(train: DataFrame, test: DataFrame, key: str, y: str, s: str = "s", c: float = 1.0, steps: int = 60, tol: float = 1e-6) -> DataFrame:
-    """test with p, and probability by label in their order: a model for each value of the string column `key`, over features
-    scaled to the training rows' mean and population deviation. The objective is that of C = c, with free intercepts.
+Views = Callable[[str], list[tuple[str, Callable[[np.ndarray], np.ndarray]]]]
+
+
+def _as_it_is(key: str) -> list[tuple[str, Callable]]:
+    return [(key, lambda s: s)]
+
+
+def fit_logistic(own: DataFrame, views: Views = _as_it_is, c: float = 1.0, steps: int = 60, tol: float = 1e-6, start: dict[str, np.ndarray] | None = None) -> dict[str, Softmax]:
+    """Models by name, of rows (key string, y, s array<double>), over features scaled to the rows' mean and population
+    deviation. The objective is that of C = c, with free intercepts.
+
+    views: the models that rows of a key belong to, each with the features that it sees in them: by default one, named like
+    the key. Features of many models are made inside the tasks, so rows are read once for all of them.
 
-    All models take their Newton steps together: a step is one pass that sums gradients and Hessians by key. What meets on
-    the driver is one row a model.
+    All models take their Newton steps together: a step is one pass that sums gradients and Hessians by model. What meets on
+    the driver is one row a model. start: weights to begin with, by name; the optimum is the same, as there is but one.
     """
-    own = train.select(F.col(key).alias("key"), F.col(y).alias("y"), F.col(s).cast("array<double>").alias("s"))
     kind = own.schema["y"].dataType.simpleString()
 
     def each(b: pd.DataFrame):
-        for k, rows in b.groupby(["key", "y"]).groups.items():
-            yield k, moments.stacked(b.loc[rows, "s"])
+        for (k, y), rows in b.groupby(["key", "y"]).groups.items():
+            m = moments.stacked(b.loc[rows, "s"])
+            for name, f in views(k):
+                yield (name, y), f(m)
 
     parts, models = moments.grouped(own, {"key": "string", "y": kind}, each), {}
-    for k in {k for k, _ in parts}:
-        labels, total = sorted(v for u, v in parts if u == k), None
-        for v in labels:
-            total = moments.merged(total, parts[k, v]) if total else parts[k, v]
+    labels: dict[str, list] = {}
+    for name, y in parts:
+        labels.setdefault(name, []).append(y)
+    for name, own_labels in labels.items():
+        total = None
+        for v in sorted(own_labels):
+            total = moments.merged(total, parts[name, v]) if total else parts[name, v]
         n, mean, scatter = total
         std = np.sqrt(np.diag(scatter) / n)
-        models[k] = Softmax(labels, mean, np.where(std > 0, std, 1.0), np.zeros((1 if len(labels) <= 2 else len(labels), len(mean) + 1)), done=len(labels) < 2)
+        w, near = np.zeros((1 if len(own_labels) <= 2 else len(own_labels), len(mean) + 1)), (start or {}).get(name)
+        models[name] = Softmax(sorted(own_labels), mean, np.where(std > 0, std, 1.0), near if near is not None and near.shape == w.shape else w, done=len(own_labels) < 2)
 
     def sums(batches: Iterator[pd.DataFrame], models: dict) -> Iterator[pd.DataFrame]:
         held: dict[str, list] = {}
         for b in batches:
             for k, rows in b.groupby("key").groups.items():
-                m = models.get(k)
-                if m is not None:
+                mine = [(name, f, models[name]) for name, f in views(k) if name in models]
+                if not mine:
+                    continue
+                s, y = moments.stacked(b.loc[rows, "s"]), b.loc[rows, "y"]
+                for name, f, m in mine:
                     at = {v: i for i, v in enumerate(m.labels)}
-                    d = m.derivatives(moments.stacked(b.loc[rows, "s"]), b.loc[rows, "y"].map(at).to_numpy(int))
-                    held[k] = [u + v for u, v in zip(held[k], d, strict=True)] if k in held else list(d)
+                    d = m.derivatives(f(s), y.map(at).to_numpy(int))
+                    held[name] = [u + v for u, v in zip(held[name], d, strict=True)] if name in held else list(d)
         yield pd.DataFrame([(k, f, g.tobytes(), h.tobytes()) for k, (f, g, h) in held.items()], columns=["key", "f", "g", "h"])
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
@@ -124,6 +142,13 @@ def grouped_logistic(train: DataFrame, test: DataFrame, key: str, y: str, s: str
         for r in own.mapInPandas(partial(sums, models=open_), schema).groupBy("key").applyInPandas(add, schema).collect():
             g = np.frombuffer(r["g"])
             open_[r["key"]].move(r["f"], g, np.frombuffer(r["h"]).reshape(len(g), -1), c, tol)
+    return models
+
+
+def grouped_logistic(train: DataFrame, test: DataFrame, key: str, y: str, s: str = "s", c: float = 1.0, steps: int = 60, tol: float = 1e-6) -> DataFrame:
+    """test with p, and probability by label in their order: a model of fit_logistic() for each value of the string column `key`."""
+    own = train.select(F.col(key).alias("key"), F.col(y).alias("y"), F.col(s).cast("array<double>").alias("s"))
+    kind, models = own.schema["y"].dataType.simpleString(), fit_logistic(own, c=c, steps=steps, tol=tol)
 
     def score(k: pd.Series, s: pd.Series) -> pd.DataFrame:
         p, prob = [None] * len(k), [None] * len(k)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,16 +21,30 @@ def log_profiles(windows: DataFrame, n_fft=256, hop=128, window="hann") -> DataF
     return frames(windows, partial(signal.log_profile, n_fft=n_fft, hop=hop, window=window), n_fft)
 
 
+def complex_frames(windows: DataFrame, kernel, least: int, re: str = "re", im: str = "im") -> DataFrame:
+    """frames() of complex windows, given as two array columns. Null frames are left out; frame_id counts them."""
+    made = windows.withColumn("__f", columns.complex_frames(kernel, least)(re, im)).drop(re, im)
+    return made.select(*[c for c in made.columns if c != "__f"], F.posexplode("__f").alias("frame_id", "v")).where(F.col("v").isNotNull())
+
+
 def complex_log_profiles(windows: DataFrame, n_fft=256, hop=128, window="hann", re: str = "re", im: str = "im") -> DataFrame:
-    """log_profiles() of complex windows, given as two array columns: all bins but the first."""
+    """log_profiles() of complex windows: all bins but the first."""
+    return complex_frames(windows, partial(signal.log_profile, n_fft=n_fft, hop=hop, window=window), n_fft, re, im)
 
-    def kernel(a, b):
-        both = [None if u is None or v is None else np.concatenate([np.asarray(u, float), np.asarray(v, float)]) for u, v in zip(a, b, strict=True)]
-        split = lambda m: m[:, : m.shape[1] // 2] + 1j * m[:, m.shape[1] // 2 :]
-        return columns._by_length(pd.Series(both, dtype=object), lambda m: signal.log_profile(split(m), n_fft, hop, window), 2 * n_fft)
 
-    made = windows.withColumn("__f", F.pandas_udf(kernel, "array<array<double>>")(re, im)).drop(re, im)
-    return made.select(*[c for c in made.columns if c != "__f"], F.posexplode("__f").alias("frame_id", "v"))
+def _occupied(z, form, n_fft, hop, window, lo, least):
+    """Profiles or cepstra of the frames whose profile deviates enough; NaN for the others."""
+    profile = signal.log_profile(z, n_fft, hop, window)
+    v = profile if form == "spectral" else signal.cepstrum(z, n_fft, hop, window, lo)
+    return np.where((profile.std(axis=2) >= least)[:, :, None], v, np.nan)
+
+
+def occupied_frames(windows: DataFrame, form: str, n_fft=256, hop=128, lo=3, least=0.8, window="hann") -> DataFrame:
+    """Frames of complex windows, as log profiles (`spectral`) or cepstra from quefrency lo on (`cepstral`). Frames of the noise
+    floor are left out by the deviation of the window's own profile, so both forms keep the same ones."""
+    if form not in ("spectral", "cepstral"):
+        raise ValueError(f"unknown form {form!r}")
+    return complex_frames(windows, partial(_occupied, form=form, n_fft=n_fft, hop=hop, window=window, lo=lo, least=least), n_fft)
 
 
 def cepstra(windows: DataFrame, n_fft=256, hop=128, window="hann", lo=0, hi=None, eps=signal.EPS_MAG) -> DataFrame:

@@ -6,6 +6,7 @@ groups are four consecutive windows.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import DataFrame
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quefrency.functions import basis as B
 from quefrency.functions import columns, signal
-from quefrency.operators import datasets, discriminant, experiments, heads, metrics, pipelines, ranking, reconstruct, spectra, splits, stats, tiling
+from quefrency.operators import datasets, discriminant, experiments, heads, metrics, pipelines, ranking, reconstruct, spectra, splits, stats, subsets, tiling
 from quefrency.plans import sql
 from quefrency.plans.sql import BASE, SMP, r6
 from quefrency.schema import SHAPE, SPECTRAL5, SPECTRAL11
@@ -682,7 +683,14 @@ def experiment_lifters(spark, d):
 
 @query()
 def experiment_ablation(spark, d):
-    return experiments.summary(experiments.run(_grp(spark, d), experiments.drop_one(experiments.branches((3,), 16, 8)["cepstral_3"], SHAPE), _DESIGN))
+    return experiments.summary(subsets.ablation(_grp(spark, d), experiments.branches((3,), 16, 8)["cepstral_3"], SHAPE, _DESIGN))
+
+
+@query()
+def forward_select(spark, d):
+    """The order in which descriptors are chosen on each split, and the score under distortion that each step reaches. Five
+    splits: 11 steps over all 15 take more than five minutes here."""
+    return subsets.forward(_grp(spark, d), experiments.branches((3,), 16, 8)["cepstral_3"], SHAPE, replace(_DESIGN, splits=5))
 
 
 @query()
@@ -738,7 +746,15 @@ def retention_advantage(spark, d):
     return metrics.advantage(_score_table(spark, d), "a", "b").select("split", q6(F.col("incumbent"), "incumbent"), q6(F.col("challenger"), "challenger"), "passed")
 
 
-@query(f"WITH {_ROLES}, ky AS (SELECT split, grp, k FROM rl, (SELECT unnest(range(5)) AS k) WHERE role = 'test'), cx AS (SELECT split, grp, k, CASE WHEN k = 0 THEN 1.0 ELSE exp(-0.7 * k) * sqrt(-ln({_U.format(parts='7, split, grp, k, 0')})) * cos(2 * pi() * {_U.format(parts='7, split, grp, k, 1')}) END AS re, CASE WHEN k = 0 THEN 0.0 ELSE exp(-0.7 * k) * sqrt(-ln({_U.format(parts='7, split, grp, k, 0')})) * sin(2 * pi() * {_U.format(parts='7, split, grp, k, 1')}) END AS im FROM ky) SELECT split, grp, k, {r6('re / sqrt(sum(re * re + im * im) OVER (PARTITION BY split, grp))')} AS re, {r6('im / sqrt(sum(re * re + im * im) OVER (PARTITION BY split, grp))')} AS im FROM cx")
+def _complex_sql(keys: str, draw: str) -> str:
+    """ct: taps (k, hr, hi) of ky(keys, k). Echo k is exp(-0.7 k) times a normal real and a normal imaginary part, by the polar
+    form of two normals; tap 0 is 1; then all are scaled to unit energy."""
+    u = [_U.format(parts=f"{draw}, k, {i}") for i in (0, 1)]
+    part = lambda f, first: f"CASE WHEN k = 0 THEN {first} ELSE exp(-0.7 * k) * sqrt(-2 * ln({u[0]})) * {f}(2 * pi() * {u[1]}) END"
+    return f"cx AS (SELECT {keys}, k, {part('cos', '1.0')} AS a, {part('sin', '0.0')} AS b FROM ky), ct AS (SELECT {keys}, k, a / sqrt(sum(a * a + b * b) OVER w) AS hr, b / sqrt(sum(a * a + b * b) OVER w) AS hi FROM cx WINDOW w AS (PARTITION BY {keys}))"
+
+
+@query(f"WITH {_ROLES}, ky AS (SELECT split, grp, k FROM rl, (SELECT unnest(range(5)) AS k) WHERE role = 'test'), {_complex_sql('split, grp', '7, split, grp')} SELECT split, grp, k, {r6('hr')} AS re, {r6('hi')} AS im FROM ct")
 def complex_channels(spark, d):
     r = experiments.split_roles(_grp(spark, d), "grp", 3).where("role = 'test'")
     h = experiments.complex_taps(F.lit(5), F.lit(7), F.col("split"), F.col("grp"))
@@ -746,6 +762,45 @@ def complex_channels(spark, d):
     return x.select("split", "grp", F.col("k").cast("long").alias("k"), q6(F.col("h.re"), "re"), q6(F.col("h.im"), "im"))
 
 
+def _rf(spark, d):
+    """Complex windows of 32 samples: the first half of each vector is the real part, the second the imaginary one."""
+    w = _grp(spark, d)
+    return w.select("window_id", "y", "grp", F.slice("x", 1, 32).alias("re"), F.slice("x", 33, 32).alias("im"))
+
+
+_RF = f"""WITH {SMP}, {_ROLES}, zs AS (SELECT a.window_id, a.n, a.v AS xr, b.v AS xi FROM smp a JOIN smp b ON a.window_id = b.window_id AND b.n = a.n + 32 WHERE a.n < 32),
+ky AS (SELECT split, severity, window_id, k FROM win JOIN rl ON grp = window_id // 4 AND role = 'test', (SELECT unnest([1, 2, 3, 5]) AS severity), (SELECT unnest(range(5)) AS k) WHERE k < severity), {_complex_sql('split, severity, window_id', '2033, split, severity, window_id')},
+oz AS (SELECT split, severity, window_id, s.n + k AS n, sum(hr * xr - hi * xi) AS re, sum(hr * xi + hi * xr) AS im FROM zs s JOIN ct USING (window_id) WHERE s.n + k < 32 GROUP BY ALL)"""
+
+
+@query(_RF + f" SELECT split, severity, window_id, {r6('sum(re * re + im * im)')} AS energy, {r6('max(CASE WHEN n = 31 THEN re END)')} AS last_re, {r6('max(CASE WHEN n = 31 THEN im END)')} AS last_im FROM oz GROUP BY ALL")
+def rf_channels(spark, d):
+    """Complex test windows through complex channels of their own."""
+    w = _rf(spark, d)
+    x = experiments.distorted_complex(w, experiments.split_roles(w, "grp", 3), experiments.Design(splits=3, severities=(1, 2, 3, 5)))
+    energy = F.aggregate(F.zip_with("re", "im", lambda a, b: a * a + b * b), F.lit(0.0), lambda a, e: a + e)
+    return x.select("split", "severity", "window_id", q6(energy, "energy"), q6(F.col("re")[31], "last_re"), q6(F.col("im")[31], "last_im"))
+
+
+_RF_PROFILE = _RF + """, fz AS (SELECT split, severity, window_id, f AS frame_id, n - 8 * f AS k, re * (0.5 - 0.5 * cos(2 * pi() * (n - 8 * f) / 16)) AS a, im * (0.5 - 0.5 * cos(2 * pi() * (n - 8 * f) / 16)) AS b FROM oz JOIN (SELECT unnest(range(3)) AS f) ON n >= 8 * f AND n < 8 * f + 16),
+sz AS (SELECT split, severity, window_id, frame_id, q, pow(sum(a * cos(2 * pi() * k * q / 16) + b * sin(2 * pi() * k * q / 16)), 2) + pow(sum(b * cos(2 * pi() * k * q / 16) - a * sin(2 * pi() * k * q / 16)), 2) AS p FROM fz, (SELECT unnest(range(16)) AS q) GROUP BY ALL),
+oc AS (SELECT split, severity, window_id, frame_id FROM sz WHERE q > 0 GROUP BY ALL HAVING stddev_pop(ln(p / 64 + 1e-12)) >= 0.8)"""
+
+
+@query(_RF_PROFILE + f", cz AS (SELECT split, severity, window_id, frame_id, r, sum(ln(sqrt(p) / 8 + 1e-8) * cos(2 * pi() * q * r / 16)) / 16 AS c FROM sz JOIN oc USING (split, severity, window_id, frame_id), (SELECT unnest(range(3, 8)) AS r) GROUP BY ALL) SELECT split, severity, window_id, frame_id, " + ", ".join(f"{r6(f'max(CASE WHEN r = {r} THEN c END)')} AS c{r}" for r in range(3, 8)) + " FROM cz GROUP BY ALL")
+def rf_occupied_cepstra(spark, d):
+    """Cepstra of the frames that the distorted complex signal occupies."""
+    w = _rf(spark, d)
+    x = experiments.distorted_complex(w, experiments.split_roles(w, "grp", 3), experiments.Design(splits=3, severities=(1, 2, 3, 5)))
+    return spread(spectra.occupied_frames(x, "cepstral", 16, 8), [f"c{r}" for r in range(3, 8)], ["split", "severity", "window_id", F.col("frame_id").cast("long").alias("frame_id")], "v")
+
+
+@query()
+def experiment_rf(spark, d):
+    """The second domain: complex windows, complex channels, occupied frames; the whole design and its verdict."""
+    return experiments.gap(experiments.run(_rf(spark, d), experiments.occupied(3, 16, 8), _DESIGN, experiments.distorted_complex), "spectral", "cepstral_3")
+
+
 # --- whole classifications -------------------------------------------------------------------------------------------
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quefrency.functions import signal
-from quefrency.operators import experiments, metrics
+from quefrency.operators import experiments, metrics, spectra, subsets
 
 DESIGN = experiments.Design(splits=2, severities=(1, 3), head="nearest")
 
@@ -75,13 +75,82 @@ def test_levels_votes_and_masks(windows):
     assert got["frame"] == pytest.approx(metrics.macro_f1(pred).first().macro_f1)
 
 
-def test_forward_takes_the_most_helpful(windows):
-    base = experiments.branches((), 16, 8)["spectral"]
-    names = ["a", "b"]
-    one = experiments.only(base, [0, 9])
-    got = experiments.forward(windows, one, names, experiments.Design(splits=1, severities=(1, 3), head="nearest"), 1)
-    each = {n: experiments.summary(experiments.run(windows, {n: experiments.only(one, [i])}, experiments.Design(splits=1, severities=(1, 3), head="nearest"))).first().under for i, n in enumerate(names)}
-    assert got == [(max(names, key=each.get), pytest.approx(max(each.values())))]
+@pytest.mark.parametrize("head", ["nearest", "logistic"])
+def test_subsets_are_as_if_refitted(windows, head):
+    design = experiments.Design(splits=2, severities=(1, 3), head=head)
+    base, names = experiments.only(experiments.branches((), 16, 8)["spectral"], [0, 9, 4]), ["a", "b", "c"]
+    got = {(r.rep, r.split, r.severity): (r.f1, r.accuracy) for r in subsets.ablation(windows, base, names, design).collect()}
+    want = {(r.rep, r.split, r.severity): (r.f1, r.accuracy) for r in experiments.run(windows, experiments.drop_one(base, names), design).collect()}
+    assert got.keys() == want.keys() and len(got) == 16 and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+@pytest.mark.parametrize("head", ["nearest", "logistic"])
+def test_forward_takes_the_most_helpful(windows, head):
+    design = experiments.Design(splits=2, severities=(1, 3), head=head)
+    base, names = experiments.only(experiments.branches((), 16, 8)["spectral"], [0, 9, 4]), ["a", "b", "c"]
+    got = {(r.split, r.step): (r.descriptor, r.under) for r in subsets.forward(windows, base, names, design).collect()}
+    chosen = {0: [], 1: []}
+    for step in (1, 2, 3):
+        for split, at in chosen.items():
+            reps = {str(j): experiments.only(base, [*at, j]) for j in range(3) if j not in at}
+            under = {r.rep: r.f1 for r in experiments.run(windows, reps, design).where(f"split = {split} and severity = 3").collect()}
+            best = max(under, key=lambda j: (under[j], -int(j)))
+            assert got[split, step] == (names[int(best)], pytest.approx(under[best], abs=1e-9))
+            at.append(int(best))
+
+
+def test_complex_channels(spark):
+    k = [F.lit(2033), F.col("id")]
+    h = np.array([[complex(e.re, e.im) for e in r.h] for r in spark.range(4000).select(experiments.complex_taps(F.lit(3), *k).alias("h")).collect()])
+    assert np.allclose((np.abs(h) ** 2).sum(axis=1), 1) and (h[:, 0].imag == 0).all() and (h[:, 0].real > 0).all()
+    # Mean energy of each tap, against draws of a direct path of 1 and echoes whose parts are both standard normal.
+    rng = np.random.default_rng(1)
+    g = np.exp(-0.7 * np.arange(3)) * (rng.standard_normal((4000, 3)) + 1j * rng.standard_normal((4000, 3)))
+    g[:, 0] = 1
+    g /= np.sqrt((np.abs(g) ** 2).sum(axis=1, keepdims=True))
+    assert (np.abs(h) ** 2).mean(axis=0) == pytest.approx((np.abs(g) ** 2).mean(axis=0), abs=0.02)
+    assert spark.range(1).select(experiments.complex_taps(F.lit(1), *k).alias("h")).first().h == [(1.0, 0.0)]
+
+
+@pytest.fixture(scope="module")
+def rf(windows):
+    return windows.select("window_id", "y", "grp", F.slice("x", 1, 32).alias("re"), F.slice("x", 33, 32).alias("im"))
+
+
+def test_complex_windows_and_their_occupied_frames(rf):
+    design = experiments.Design(splits=2, severities=(1, 3))
+    roles = experiments.split_roles(rf, "grp", 2)
+    bent = experiments.distorted_complex(rf, roles, design)
+    held = {r.window_id: np.array(r.re) + 1j * np.array(r.im) for r in rf.collect()}
+    draw = rf.join(roles.where("role = 'test'"), "grp").select("split", "window_id", experiments.complex_taps(F.lit(3), F.lit(2033), F.col("split"), F.lit(3), F.col("window_id")).alias("h"))
+    taps = {(r.split, r.window_id): np.array([complex(e.re, e.im) for e in r.h]) for r in draw.collect()}
+    want = {}
+    for r in bent.collect():
+        z = held[r.window_id] if r.severity == 1 else np.convolve(held[r.window_id], taps[r.split, r.window_id])[:32]
+        assert np.allclose(r.re, z.real) and np.allclose(r.im, z.imag)
+        want[r.split, r.severity, r.window_id] = z
+    least = 1.0
+    both = {form: {(r.split, r.severity, r.window_id, r.frame_id): r.v for r in spectra.occupied_frames(bent, form, 16, 8, 3, least).collect()} for form in ("spectral", "cepstral")}
+    assert both["spectral"].keys() == both["cepstral"].keys() and 0 < len(both["spectral"]) < 3 * len(want)
+    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(16) / 16)
+    for key, z in want.items():
+        for f in range(3):
+            m = np.abs(np.fft.fft(z[8 * f : 8 * f + 16] * w)) / w.sum()
+            p = np.log(m[1:] ** 2 + 1e-12)
+            assert ((*key, f) in both["spectral"]) == (p.std() >= least)
+            if p.std() >= least:
+                assert np.allclose(both["spectral"][*key, f], p - p.mean()) and np.allclose(both["cepstral"][*key, f], np.fft.ifft(np.log(m + 1e-8)).real[3:8])
+
+
+def test_complex_windows_that_do_not_fit(spark):
+    rows = [(1, [1.0] * 16, [0.5] * 16), (2, None, [1.0] * 16), (3, [1.0] * 16, [1.0] * 15), (4, [1.0], [2.0])]
+    got = spectra.complex_log_profiles(spark.createDataFrame(rows, "id int, re array<double>, im array<double>"), 16, 8).collect()
+    assert [(r.id, r.frame_id, len(r.v)) for r in got] == [(1, 0, 15)]
+
+
+def test_complex_experiment(rf):
+    scores = experiments.run(rf, experiments.occupied(3, 16, 8), experiments.Design(splits=2, severities=(1, 3), head="nearest"), experiments.distorted_complex).collect()
+    assert {(r.rep, r.split, r.severity) for r in scores} == {(n, s, v) for n in ("spectral", "cepstral_3") for s in (0, 1) for v in (1, 3)}
 
 
 def test_random_starts_and_caps(spark):
