@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quefrency.llm.components import components
@@ -217,12 +217,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, the one with the smallest id (null last). Rows are told apart by themselves, so those
-    that share an id but not their text stay, and copies go whatever their ids. Columns of any name are carried along in a
-    struct of their own."""
+    """One document of each component, the one with the smallest id (null last). Rows are told apart by a hash of id and text,
+    so those that share an id but not their text stay, and copies go whatever their ids. Columns of any name are carried
+    along in a struct of their own."""
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    own = keep(own.withColumn("n", F.monotonically_increasing_id()))
-    parts = near_duplicates(own, percent, "n").select(F.col("doc_id").alias("n"), "component_id")
-    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n"))
-    first = own.select("n", "id").join(parts, "n").groupBy("component_id").agg(best.alias("best")).select(F.col("best.n").alias("n"))
-    return own.join(first, "n", "left_semi").select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    own = own.withColumn("h", F.xxhash64("id", "text"))
+    parts = near_duplicates(own.select("h", "text"), percent, "h").groupBy(F.col("doc_id").alias("h")).agg(F.min("component_id").alias("component"))
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h"))
+    first = own.select("h", "id").distinct().join(parts, "h").groupBy("component").agg(best.alias("best")).select(F.col("best.h").alias("h"))
+    kept = own.select("h", "row").join(first, "h", "left_semi")
+    one = kept.withColumn("nth", F.row_number().over(Window.partitionBy("h").orderBy("h"))).where("nth = 1")
+    return one.select(*(F.col("row")[c].alias(c) for c in docs.columns))
