@@ -43,9 +43,7 @@ class ClassMoments:
         total = None
         for p in parts.values():
             total = moments.merged(total, p) if total else p
-        n, mean, scatter = total
-        var = np.diag(scatter) / n
-        std = np.where(var > 0, np.sqrt(var), 1.0)
+        mean, std = total[1], moments.deviation(*total)
         return cls(features, mean, std, {c: (k, (m - mean) / std, q / np.outer(std, std) / max(k - 1, 1)) for c, (k, m, q) in parts.items()})
 
     def part(self, at: list[int]) -> ClassMoments:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quefrency.functions import columns, signal
+from quefrency.functions import signal
 from quefrency.operators import heads, metrics, moments, ranking, spectra, stats
 from quefrency.operators.discriminant import ClassMoments
 
@@ -241,7 +241,7 @@ def _by_key(kernels: dict, names: dict[str, list] | None = None):
 def predict(train: DataFrame, test: DataFrame, design: Design) -> DataFrame:
     """test with p (and probability by class for the logistic head), from columns key and s: a model for each key, all fitted together."""
     kind = train.schema["y"].dataType.simpleString()
-    m = _models(train.select("key", "y", "s"))
+    m = _models(train.select("key", "y", "s")) if design.head in ("nearest", "logistic") else {}
     if design.head == "nearest":
         kernels = {k: v.kernel(v.ridge_forms(design.ridge)) for k, v in m.items()}
         best = F.pandas_udf(_by_key(kernels, {k: list(v.classes) for k, v in m.items()}), kind)
@@ -255,13 +255,8 @@ def predict(train: DataFrame, test: DataFrame, design: Design) -> DataFrame:
         return out
     if design.head not in ("svm", "gmm"):
         raise ValueError(f"unknown head {design.head!r}")
-    f, out = heads.fourier_svm if design.head == "svm" else heads.gaussian_mixture, []
-    for k, v in m.items():  # these heads are fitted one after the other
-        xs = [f"x{i}" for i in range(len(v.mean))]
-        wide = lambda d: d.where(F.col("key") == k).select("*", *columns.named("s", xs))  # noqa: B023, E731
-        a, b = wide(train), wide(test)
-        out.append(f(heads.pop_scaled(a, xs), heads.pop_scaled(b, xs, a), "y", xs).select(*test.columns, "p"))
-    return reduce(DataFrame.unionByName, out)
+    f = heads.grouped_machines if design.head == "svm" else heads.grouped_mixture
+    return f(train, test, "key", "y")
 
 
 def conditioning(windows: DataFrame, reps: dict[str, Representation], design: Design, ridges: tuple[float, ...] = (1e-2,)) -> DataFrame:

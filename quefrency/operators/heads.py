@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quefrency.operators import moments
@@ -110,10 +110,9 @@ def fit_logistic(own: DataFrame, views: Views = _as_it_is, c: float = 1.0, steps
         total = None
         for v in sorted(own_labels):
             total = moments.merged(total, parts[name, v]) if total else parts[name, v]
-        n, mean, scatter = total
-        std = np.sqrt(np.diag(scatter) / n)
+        mean, std = total[1], moments.deviation(*total)
         w, near = np.zeros((1 if len(own_labels) <= 2 else len(own_labels), len(mean) + 1)), (start or {}).get(name)
-        models[name] = Softmax(sorted(own_labels), mean, np.where(std > 0, std, 1.0), near if near is not None and near.shape == w.shape else w, done=len(own_labels) < 2)
+        models[name] = Softmax(sorted(own_labels), mean, std, near if near is not None and near.shape == w.shape else w, done=len(own_labels) < 2)
 
     def sums(batches: Iterator[pd.DataFrame], models: dict) -> Iterator[pd.DataFrame]:
         held: dict[str, list] = {}
@@ -188,54 +187,230 @@ def fourier_svm(train: DataFrame, test: DataFrame, y: str, features: list[str],
     return model.transform(up(test)).withColumn("p", F.col("prediction").cast("int")).drop("features", "rawPrediction", "prediction")
 
 
-def gaussian_mixture(train: DataFrame, test: DataFrame, y: str, features: list[str], parts: int = 2, reg: float = 1e-3, steps: int = 50, seed: int = 2026) -> DataFrame:
-    """test with p: diagonal mixtures of each class, fitted by EM whose every step is one grouped pass over the rows."""
-    d = len(features)
-    first = train.groupBy(y).agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(features)), *(F.var_pop(c).alias(f"v{i}") for i, c in enumerate(features))).collect()
-    rng, model = np.random.default_rng(seed), {}
-    for r in sorted(first, key=lambda r: r[y]):
-        m, v = np.array([r[f"m{i}"] for i in range(d)]), np.array([r[f"v{i}"] for i in range(d)]) + reg
-        model[r[y]] = (np.full(parts, 1 / parts), m + rng.normal(size=(parts, d)) * np.sqrt(v) / 2, np.tile(v, (parts, 1)))
+@dataclass
+class Scale:
+    """Mean and population deviation of a key's features, and the moments of its classes."""
+
+    mean: np.ndarray
+    std: np.ndarray
+    classes: dict
+
+    def __call__(self, s: np.ndarray) -> np.ndarray:
+        return (s - self.mean) / self.std
+
+
+def _keyed(train: DataFrame, key: str, y: str, s: str) -> tuple[DataFrame, str, dict[str, Scale]]:
+    """Rows as key, y, s; the type of y; and each key's scale."""
+    own = train.select(F.col(key).alias("key"), F.col(y).alias("y"), F.col(s).cast("array<double>").alias("s"))
+    kind = own.schema["y"].dataType.simpleString()
+
+    def each(b: pd.DataFrame):
+        for k, rows in b.groupby(["key", "y"]).groups.items():
+            yield k, moments.stacked(b.loc[rows, "s"])
+
+    by_key: dict[str, dict] = {}
+    for (k, c), part in moments.grouped(own, {"key": "string", "y": kind}, each).items():
+        by_key.setdefault(k, {})[c] = part
+    scales = {}
+    for k, parts in by_key.items():
+        parts = dict(sorted(parts.items(), key=lambda kv: kv[0]))
+        total = None
+        for p in parts.values():
+            total = moments.merged(total, p) if total else p
+        scales[k] = Scale(total[1], moments.deviation(*total), parts)
+    return own, kind, scales
+
 
-    def log_parts(x: np.ndarray, c) -> np.ndarray:
-        w, m, v = model[c]
-        return np.log(w) - 0.5 * (((x[:, None] - m) ** 2 / v).sum(axis=2) + np.log(2 * np.pi * v).sum(axis=1))
+def _scored(test: DataFrame, key: str, s: str, kind: str, scales: dict[str, Scale], best: Callable[[str, np.ndarray], np.ndarray]) -> DataFrame:
+    """test with p, from each key's place of the best class for scaled rows; null for keys without a model."""
 
-    x = train.select(F.col(y).alias("y"), F.array(*(F.col(c).cast("double") for c in features)).alias("x")).persist()
+    def run(k: pd.Series, v: pd.Series) -> pd.Series:
+        out: list = [None] * len(k)
+        for name, rows in k.reset_index(drop=True).groupby(k.to_numpy()).groups.items():
+            if name in scales:
+                classes = list(scales[name].classes)
+                for i, c in zip(rows, best(name, scales[name](moments.stacked(v.iloc[rows]))), strict=True):
+                    out[i] = classes[int(c)]
+        return pd.Series(out, dtype=object)
+
+    return test.withColumn("p", F.pandas_udf(run, kind)(F.col(key), F.col(s).cast("array<double>")))
+
+
+def _log_parts(x: np.ndarray, model: tuple) -> np.ndarray:
+    w, m, v = model
+    return np.log(w) - 0.5 * (((x[:, None] - m) ** 2 / v).sum(axis=2) + np.log(2 * np.pi * v).sum(axis=1))
+
+
+def fit_mixtures(own: DataFrame, kind: str, scales: dict[str, Scale], parts: int = 2, reg: float = 1e-3, steps: int = 50, tol: float = 1e-4, seed: int = 2026) -> dict[tuple, tuple]:
+    """(key, class) -> weights, means and variances of a diagonal mixture over scaled features. A step of EM is one pass that
+    sums responsibilities, first and second moments for all mixtures together; those whose means stand still are done."""
+    models = {}
+    for k, scale in scales.items():
+        for i, (c, (n, mean, scatter)) in enumerate(scale.classes.items()):
+            m, v = scale(mean), np.diag(scatter) / n / scale.std**2 + reg
+            models[k, c] = np.full(parts, 1 / parts), m + np.random.default_rng([seed, i]).normal(size=(parts, len(m))) * np.sqrt(v) / 2, np.tile(v, (parts, 1))
+    open_ = set(models)
     for _ in range(steps):
+        if not open_:
+            break
 
-        def step(batches, model=model):
-            for b in batches:
-                for c, g in b.groupby("y"):
-                    v = np.stack(g["x"].to_numpy())
-                    lp = log_parts(v, c)
+        def each(b: pd.DataFrame, now={u: models[u] for u in open_}):  # noqa: B006
+            for u, rows in b.groupby(["key", "y"]).groups.items():
+                if u in now:
+                    x = scales[u[0]](moments.stacked(b.loc[rows, "s"]))
+                    lp = _log_parts(x, now[u])
                     r = np.exp(lp - np.logaddexp.reduce(lp, axis=1, keepdims=True))
-                    for k in range(parts):
-                        yield pd.DataFrame({"y": [c], "k": [k], "n": [r[:, k].sum()], "s": [r[:, k] @ v], "q": [r[:, k] @ v**2]})
-
-        sums = x.mapInPandas(step, "y int, k int, n double, s array<double>, q array<double>")
-        add = lambda col: F.array(*(F.sum(F.col(col)[i]) for i in range(d))).alias(col)
-        new, moved = {c: tuple(np.array(a) for a in m) for c, m in model.items()}, 0.0
-        rows = sums.groupBy("y", "k").agg(F.sum("n").alias("n"), add("s"), add("q")).collect()
-        total = {c: sum(r["n"] for r in rows if r["y"] == c) for c in model}
-        for r in rows:
-            w, m, v = new[r["y"]]
-            n = max(r["n"], 1e-9)
-            mean = np.array(r["s"]) / n
-            moved = max(moved, float(np.abs(mean - m[r["k"]]).max()))
-            w[r["k"]], m[r["k"]], v[r["k"]] = n / total[r["y"]], mean, np.maximum(np.array(r["q"]) / n - mean**2, 0) + reg
-        model = new
-        if moved < 1e-4:
-            break
-    x.unpersist()
-    classes = list(model)
+                    yield u, np.concatenate([r.sum(axis=0), (r.T @ x).ravel(), (r.T @ x**2).ravel()])
+
+        for u, v in moments.summed(own, {"key": "string", "y": kind}, each).items():
+            n, d = np.maximum(v[:parts], 1e-9), len(scales[u[0]].mean)
+            first, second = v[parts : parts + parts * d].reshape(parts, d), v[parts + parts * d :].reshape(parts, d)
+            mean = first / n[:, None]
+            still = np.abs(mean - models[u][1]).max() < tol
+            models[u] = n / n.sum(), mean, np.maximum(second / n[:, None] - mean**2, 0) + reg
+            if still:
+                open_.discard(u)
+    return models
 
-    @F.pandas_udf("int")
-    def best(*cols: pd.Series) -> pd.Series:
-        v = np.column_stack([s.to_numpy(float) for s in cols])
-        return pd.Series(np.array(classes)[np.argmax(np.column_stack([np.logaddexp.reduce(log_parts(v, c), axis=1) for c in classes]), axis=1)])
 
-    return test.withColumn("p", best(*features))
+def grouped_mixture(train: DataFrame, test: DataFrame, key: str, y: str, s: str = "s", parts: int = 2, reg: float = 1e-3, steps: int = 50, seed: int = 2026) -> DataFrame:
+    """test with p: for each value of the string column `key`, the class whose mixture of fit_mixtures() is the likeliest."""
+    own, kind, scales = _keyed(train, key, y, s)
+    models = fit_mixtures(own, kind, scales, parts, reg, steps, seed=seed)
+    best = lambda k, x: np.column_stack([np.logaddexp.reduce(_log_parts(x, models[k, c]), axis=1) for c in scales[k].classes]).argmax(axis=1)
+    return _scored(test, key, s, kind, scales, best)
+
+
+def _single(f, train: DataFrame, test: DataFrame, y: str, features: list[str], **options) -> DataFrame:
+    wide = lambda d: d.withColumn("__key", F.lit("all")).withColumn("__s", F.array(*(F.col(f"`{c}`").cast("double") for c in features)))
+    a = wide(train).persist()  # read again by every step of the fit
+    out = f(a, wide(test), "__key", y, "__s", **options).drop("__key", "__s")
+    a.unpersist()
+    return out
+
+
+def gaussian_mixture(train: DataFrame, test: DataFrame, y: str, features: list[str], **options) -> DataFrame:
+    """test with p: one model of grouped_mixture() over feature columns."""
+    return _single(grouped_mixture, train, test, y, features, **options)
+
+
+@dataclass
+class Landmarks:
+    """A key's Nystrom features of the Gaussian kernel: products of two rows' features are about their kernel."""
+
+    rows: np.ndarray
+    gamma: float
+    turn: np.ndarray
+
+    @classmethod
+    def of(cls, rows: np.ndarray, spread: float) -> Landmarks:
+        """spread: the mean variance of the scaled features."""
+        gamma = 1 / (rows.shape[1] * max(spread, 1e-12))
+        at = cls(rows, gamma, np.eye(len(rows)))
+        e, u = np.linalg.eigh(at.kernel(rows))
+        held = e > 1e-8 * e.max()
+        return cls(rows, gamma, u[:, held] / np.sqrt(e[held]))
+
+    def kernel(self, x: np.ndarray) -> np.ndarray:
+        d2 = (x**2).sum(axis=1)[:, None] + (self.rows**2).sum(axis=1) - 2 * x @ self.rows.T
+        return np.exp(-self.gamma * np.maximum(d2, 0))
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return np.column_stack([self.kernel(x) @ self.turn, np.ones(len(x))])
+
+
+def _landmarks(own: DataFrame, scales: dict[str, Scale], width: int) -> dict[str, Landmarks]:
+    """At most `width` rows of each key, the first distinct ones by a hash: what meets on the driver has that bound."""
+    order = Window.partitionBy("key").orderBy(F.xxhash64("s"), "s")
+    few = own.select("key", "s").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= width).collect()
+    held: dict[str, list] = {}
+    for r in sorted(few, key=lambda r: (r["key"], r["n"])):
+        held.setdefault(r["key"], []).append(r["s"])
+    out = {}
+    for k, rows in held.items():
+        total = sum(n for n, _, _ in scales[k].classes.values())
+        mean = sum(n * scales[k](m) for n, m, _ in scales[k].classes.values()) / total
+        var = sum(np.diag(q) / scales[k].std**2 + n * (scales[k](m) - mean) ** 2 for n, m, q in scales[k].classes.values()) / total
+        out[k] = Landmarks.of(scales[k](np.array(rows, float)), float(var.mean()))
+    return out
+
+
+def fit_machines(own: DataFrame, kind: str, scales: dict[str, Scale], marks: dict[str, Landmarks], c: float = 10.0, steps: int = 80, tol: float = 1e-3) -> dict[str, np.ndarray]:
+    """key -> weights of one machine for each pair of classes (pairs in order; bias last): the least |w|^2 / 2 + c times the
+    squared hinge losses of the pair's rows.
+
+    A step is one pass that sums the gradients of all machines of all keys. Curvature is bounded by that of all rows of both
+    classes, known from one pass of moments, so that every step helps; steps are accelerated.
+    """
+
+    def second(b: pd.DataFrame):
+        for (k, y), rows in b.groupby(["key", "y"]).groups.items():
+            z = marks[k](scales[k](moments.stacked(b.loc[rows, "s"])))
+            yield (k, y), (z.T @ z).ravel()
+
+    square = moments.summed(own, {"key": "string", "y": kind}, second)
+    pairs, bound, w = {}, {}, {}
+    for k, scale in scales.items():
+        classes = list(scale.classes)
+        pairs[k] = [(i, j) for i in range(len(classes)) for j in range(i + 1, len(classes))]
+        size = marks[k].turn.shape[1] + 1
+        free = np.eye(size)
+        free[-1, -1] = 1e-9
+        bound[k] = [np.linalg.inv(free + 2 * c * (square[k, classes[i]] + square[k, classes[j]]).reshape(size, size)) for i, j in pairs[k]]
+        w[k] = np.zeros((len(pairs[k]), size))
+    ahead, pace, open_ = {k: v.copy() for k, v in w.items()}, dict.fromkeys(w, 1.0), {k for k in w if len(pairs[k])}
+    for _ in range(steps):
+        if not open_:
+            break
+
+        def each(b: pd.DataFrame, now={k: ahead[k] for k in open_}):  # noqa: B006
+            for k, rows in b.groupby("key").groups.items():
+                if k in now:
+                    place = {v: i for i, v in enumerate(scales[k].classes)}
+                    z = marks[k](scales[k](moments.stacked(b.loc[rows, "s"])))
+                    y, f = b.loc[rows, "y"].map(place).to_numpy(int), z @ now[k].T
+                    sign = np.zeros(f.shape)
+                    for n, (i, j) in enumerate(pairs[k]):
+                        sign[y == i, n], sign[y == j, n] = 1, -1
+                    short = np.where(sign != 0, np.maximum(1 - sign * f, 0), 0)
+                    yield (k,), (-2 * c * (sign * short).T @ z).ravel()
+
+        for (k,), g in moments.summed(own, {"key": "string"}, each).items():
+            held = ahead[k].copy()
+            held[:, -1] *= 1e-9
+            g = g.reshape(ahead[k].shape) + held
+            new = ahead[k] - np.stack([p @ row for p, row in zip(bound[k], g, strict=True)])
+            turned = ((ahead[k] - new) * (new - w[k])).sum() > 0  # momentum led away: begin it anew
+            after = 1.0 if turned else (1 + np.sqrt(1 + 4 * pace[k] ** 2)) / 2
+            ahead[k] = new + (0.0 if turned else (pace[k] - 1) / after) * (new - w[k])
+            if np.abs(new - w[k]).max() < tol * max(np.abs(new).max(), 1e-12):
+                open_.discard(k)
+            w[k], pace[k] = new, after
+    return w
+
+
+def grouped_machines(train: DataFrame, test: DataFrame, key: str, y: str, s: str = "s", c: float = 10.0, width: int = 64, steps: int = 80, tol: float = 1e-3) -> DataFrame:
+    """test with p: for each value of the string column `key`, kernel machines of every pair of classes; the class with the
+    most votes, the first of ties. The Gaussian kernel, scaled by the number and variance of the features, is approximated
+    by `width` landmarks, and the hinge loss is squared."""
+    own, kind, scales = _keyed(train, key, y, s)
+    marks = _landmarks(own, scales, width)
+    w = fit_machines(own, kind, scales, marks, c, steps, tol)
+
+    def best(k: str, x: np.ndarray) -> np.ndarray:
+        n = len(scales[k].classes)
+        f, votes = marks[k](x) @ w[k].T, np.zeros((len(x), n))
+        for col, (i, j) in enumerate((i, j) for i in range(n) for j in range(i + 1, n)):
+            votes[:, i] += f[:, col] > 0
+            votes[:, j] += f[:, col] <= 0
+        return votes.argmax(axis=1)
+
+    return _scored(test, key, s, kind, scales, best)
+
+
+def pair_machines(train: DataFrame, test: DataFrame, y: str, features: list[str], **options) -> DataFrame:
+    """test with p: one model of grouped_machines() over feature columns."""
+    return _single(grouped_machines, train, test, y, features, **options)
 
 
 def spline_columns(x, lo: float, hi: float, knots: int = 5, degree: int = 3) -> list:
@@ -249,17 +424,6 @@ def spline_columns(x, lo: float, hi: float, knots: int = 5, degree: int = 3) ->
     return b[:-1]
 
 
-def additive(train: DataFrame, test: DataFrame, y: str, features: list[str], knots: int = 5) -> DataFrame:
-    """test with p: splines of each feature, scaled, then a logistic head."""
-    ends = train.agg(*(f(c).alias(f"{n}{i}") for i, c in enumerate(features) for n, f in (("lo", F.min), ("hi", F.max)))).first()
-    cols = {f"b{i}_{k}": s for i, c in enumerate(features) for k, s in enumerate(spline_columns(F.col(c), float(ends[f"lo{i}"]), float(ends[f"hi{i}"]), knots))}
-    wide = lambda d: d.withColumn("__s", F.array(*cols.values())).withColumn("__key", F.lit("all"))
-    a = wide(train).persist()  # read again by every step of the fit
-    out = grouped_logistic(a, wide(test), "__key", y, "__s").drop("__key", "__s")
-    a.unpersist()
-    return out
-
-
 def principal(frame: DataFrame, features: list[str], k: int = 20) -> DataFrame:
     """frame with pc: the first k principal components of z-scored features."""
     z = assembled(pop_scaled(frame, features), features)

@@ -21,6 +21,12 @@ def of(m: np.ndarray) -> tuple:
     return len(m), mean, (m - mean).T @ (m - mean)
 
 
+def deviation(n: int, mean: np.ndarray, scatter: np.ndarray) -> np.ndarray:
+    """Population deviation of each feature; 1 where it is nothing but the rounding of a constant's parts."""
+    std = np.sqrt(np.diag(scatter) / n)
+    return np.where(std > 1e-13 * np.maximum(np.abs(mean), 1e-300), std, 1.0)
+
+
 def stacked(s: pd.Series) -> np.ndarray:
     return np.stack(s.to_numpy()).astype(float)
 
@@ -49,6 +55,27 @@ def grouped(frame: DataFrame, keys: dict[str, str], each: Callable[[pd.DataFrame
     return {tuple(r[k] for k in keys): (r["n"], np.array(r["mean"]), np.array(r["scatter"]).reshape(len(r["mean"]), -1)) for r in sorted(rows, key=lambda r: tuple(str(r[k]) for k in keys))}
 
 
+def summed(frame: DataFrame, keys: dict[str, str], each: Callable[[pd.DataFrame], Iterable[tuple[tuple, np.ndarray]]]) -> dict[tuple, np.ndarray]:
+    """key -> sum of the vectors that each(batch) gives by key, all of a key of one length. Tasks send one row a key, and one
+    row a key meets on the driver. keys: names and types."""
+    names = [*keys, "v"]
+    schema = ", ".join(f"{k} {t}" for k, t in keys.items()) + ", v binary"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            for key, v in each(b):
+                held[key] = held[key] + v if key in held else np.asarray(v, float)
+        yield pd.DataFrame([(*k, v.tobytes()) for k, v in held.items()], columns=names)
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(v) for v in sorted(rows["v"])], axis=0)  # in an order of their own, whatever task sent them
+        return pd.DataFrame([(*(rows[k].iloc[0] for k in keys), total.tobytes())], columns=names)
+
+    rows = frame.mapInPandas(run, schema).groupBy(*keys).applyInPandas(add, schema).collect()
+    return {tuple(r[k] for k in keys): np.frombuffer(r["v"]) for r in rows}
+
+
 def spread(frame: DataFrame) -> DataFrame:
     """The frame dealt to at least as many partitions as there are cores. Rows that are small but costly in Python, or read
     by every step of a fit, would else meet in the few partitions that their bytes fill."""

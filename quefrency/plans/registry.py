@@ -7,7 +7,7 @@ groups are four consecutive windows.
 from __future__ import annotations
 
 from dataclasses import replace
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -575,7 +575,7 @@ def _head(f, spark, d):
     return f(a, b, "y", SHAPE).select("window_id", "y", "p")
 
 
-for _n, _f in (("lr_head", heads.logistic), ("rff_svm", heads.fourier_svm), ("gmm_head", heads.gaussian_mixture)):
+for _n, _f in (("lr_head", heads.logistic), ("rff_svm", heads.fourier_svm), ("gmm_head", heads.gaussian_mixture), ("pair_machines", heads.pair_machines)):
     query(None, _n)(partial(_head, _f))
 
 
@@ -676,6 +676,14 @@ def experiment_controls(spark, d):
     return experiments.summary(experiments.run(_grp(spark, d), experiments.controls(n_fft=16, hop=8, n_mels=6, keep=5), _DESIGN))
 
 
+@query()
+def experiment_mfcc_heads(spark, d):
+    """Mel coefficients under each head: log distances, kernel machines of pairs, mixtures. All splits of a head are one fit."""
+    mfcc = {"mfcc": experiments.controls(n_fft=16, hop=8, n_mels=6, keep=5)["mfcc"]}
+    each = [experiments.summary(experiments.run(_grp(spark, d), mfcc, replace(_DESIGN, head=h))).withColumn("head", F.lit(h)) for h in ("logistic", "svm", "gmm")]
+    return reduce(DataFrame.unionByName, each)
+
+
 @query()
 def experiment_lifters(spark, d):
     return experiments.candidates(experiments.summary(experiments.run(_grp(spark, d), experiments.lifter_families(_SPECS, 16, 8), _DESIGN)), "lb3")
