@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, TimestampType
 
-#: Hexadecimal digits of a hash that make a range, and ranges of a number's span.
-DIGITS, RANGES = 3, 1024
+#: Hexadecimal digits of a hash that make a range; ranges of numbers, and values that their ends are chosen from, on average.
+DIGITS, RANGES, SAMPLE = 3, 256, 4096
 
 
 def running(frame: DataFrame, keys: list[str], part: Column, order: list, weight: Column | None = None, before: str = "before", total: str = "total") -> DataFrame:
@@ -35,19 +35,41 @@ def by_hash(frame: DataFrame, keys: list[str], hashed: Column, order: list | Non
     return running(x, keys, F.substring("__h", 1, DIGITS), ["__h", *(order or [])], weight).drop("__h")
 
 
+def splitters(frame: DataFrame, keys: list[str], v: Column, order: list[str], out: str = "__ends") -> DataFrame:
+    """keys (as __e0, __e1, ...) and the sorted inner ends of RANGES ranges that about as many rows of the key lie in each.
+
+    They are taken from rows that a hash of the order's columns picks, about SAMPLE of each key: the same ones on any
+    partitioning, so that a plan may compute them twice.
+    """
+    names = [F.col(k).alias(f"__e{i}") for i, k in enumerate(keys)]
+    x = frame.select(*names, v.alias("__v"), F.xxhash64(*order).alias("__h"))
+    held = [f"__e{i}" for i in range(len(keys))]
+    size = x.groupBy(*held).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / SAMPLE)).cast("long").alias("__m"))
+    same = F.lit(True)
+    sized = size.select(*(F.col(k).alias(f"{k}_") for k in held), "__m")
+    for k in held:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    x = x.join(sized, same) if keys else x.crossJoin(F.broadcast(sized))
+    some = x.where(F.col("__v").isNotNull() & (F.pmod("__h", "__m") == 0)).groupBy(*held).agg(F.sort_array(F.collect_list("__v")).alias("__s"))
+    return some.select(*held, F.transform(F.sequence(F.lit(1), F.lit(RANGES - 1)), lambda i: F.get("__s", F.floor(i * F.size("__s") / RANGES).cast("int"))).alias(out))
+
+
 def by_value(frame: DataFrame, keys: list[str], order: list[str], weight: Column | None = None) -> DataFrame:
-    """running() in the order of columns. The first one's range is cut evenly if it is a number or a time, by its first two letters if not."""
+    """running() in the order of columns. If the first one is a number or a time, its ranges hold about as many rows each,
+    whatever its distribution; if not, they are cut by its first two letters."""
     first = F.col(order[0])
     kind = frame.schema[order[0]].dataType
     if not isinstance(kind, NumericType | TimestampType | DateType):
         return running(frame, keys, F.substring(first.cast("string"), 1, 2), order, weight)
     v = (F.unix_micros(first.cast("timestamp")) if isinstance(kind, TimestampType | DateType) else first).cast("double")
     v = F.when(F.isnan(v), F.lit(None)).otherwise(v)
-    ends = frame.groupBy(*(F.col(k).alias(f"__e{i}") for i, k in enumerate(keys))).agg(F.min(v).alias("__lo"), F.max(v).alias("__hi"))
+    ends = splitters(frame, keys, v, order)
     same = F.lit(True)
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"__e{i}"))
-    x = frame.join(ends, same) if keys else frame.crossJoin(F.broadcast(ends))
-    step = F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-300)) / RANGES
-    part = F.when(first.isNull(), -1).when(v.isNull(), RANGES + 1).otherwise(F.least(F.floor((v - F.col("__lo")) / step), F.lit(RANGES)))
-    return running(x, keys, part, order, weight).drop("__lo", "__hi", *(f"__e{i}" for i in range(len(keys))))
+    x = frame.join(ends, same, "left") if keys else frame.join(F.broadcast(ends), F.lit(True), "left")
+    # How many ends lie at or below the value, by halving.
+    halves = F.array(*(F.lit(RANGES >> k) for k in range(1, RANGES.bit_length())))
+    below = F.aggregate(halves, F.lit(0), lambda at, step: F.when(F.get("__ends", at + step - 1) <= v, at + step).otherwise(at))
+    part = F.when(first.isNull(), -1).when(v.isNull(), RANGES + 1).otherwise(below)
+    return running(x, keys, part, order, weight).drop("__ends", *(f"__e{i}" for i in range(len(keys))))

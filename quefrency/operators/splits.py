@@ -60,17 +60,22 @@ def leakage_audit(split: DataFrame, axes: list[str]) -> DataFrame:
     return out
 
 
-def raw_overlap(spans: DataFrame, bucket: int = 1024) -> DataFrame:
-    """Pairs of a training and a test interval [start, end) of one series that overlap, as a count by series.
+def raw_overlap(spans: DataFrame) -> DataFrame:
+    """Pairs of a training and a test interval [start, end) of one series that overlap, as a count by series; series without
+    any are left out. Empty intervals overlap nothing.
 
-    A range join made equi: each interval is dealt to the buckets that it touches, and a pair counts in the bucket where
-    its later start lies.
+    Nothing is paired: a test interval overlaps the training intervals that start before its end, less those that end no
+    later than its start. Both are running sums over all ends in order, so the work grows with the number of intervals,
+    however long or dense they are.
     """
-    cut = spans.withColumn("b", F.explode(F.sequence(F.expr(f"start div {bucket}"), F.expr(f"(end - 1) div {bucket}"))))
-    side = lambda r, p: cut.where(F.col("role") == r).select("series", "b", F.col("start").alias(f"{p}s"), F.col("end").alias(f"{p}e"))
-    x = side("train", "a").join(side("test", "b"), ["series", "b"])
-    x = x.where((F.col("as") < F.col("be")) & (F.col("bs") < F.col("ae")) & (F.expr(f"greatest(`as`, bs) div {bucket}") == F.col("b")))
-    return x.groupBy("series").agg(F.count(F.lit(1)).alias("overlaps"))
+    own = spans.where(F.col("start") < F.col("end"))
+    event = lambda kind, at, turn, weight: F.struct(F.lit(kind).alias("kind"), F.col(at).alias("at"), F.lit(turn).alias("turn"), F.lit(weight).alias("weight"))
+    # At one place, a start comes behind a test interval's end, and an end before a test interval's start.
+    train, test = F.array(event("starts", "start", 1, 1), event("ends", "end", 0, 1)), F.array(event("starts", "end", 0, 0), event("ends", "start", 1, 0))
+    e = own.where(F.col("role").isin("train", "test")).select("series", F.explode(F.when(F.col("role") == "train", train).otherwise(test)).alias("e")).select("series", "e.*")
+    met = ranking.by_value(e, ["series", "kind"], ["at", "turn"], F.col("weight")).where("weight = 0")
+    n = met.groupBy("series").agg(F.sum(F.when(F.col("kind") == "starts", F.col("before")).otherwise(-F.col("before"))).alias("overlaps"))
+    return n.where("overlaps > 0")
 
 
 def stratified_inner(frame: DataFrame, y: str, key: str, share: float = 0.75, seed: int = 2026) -> DataFrame:

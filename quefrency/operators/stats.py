@@ -131,6 +131,48 @@ def hashed_resamples(pred: DataFrame, order: str, repeats: int, seed: int) -> Da
     return r.groupBy("r", "before").agg(F.count(F.lit(1)).alias("m")).join(x, "before").groupBy("r", "y", "a", "b").agg(F.sum("m").alias("n"))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 32-bit finaliser: every bit of the result depends on every bit of x."""
+    x = x ^ (x >> np.uint32(16))
+    x = x * np.uint32(0x85EBCA6B)
+    x = x ^ (x >> np.uint32(13))
+    x = x * np.uint32(0xC2B2AE35)
+    return x ^ (x >> np.uint32(16))
+
+
+#: Below which share of 2^32 a draw is 0, 1, 2, ...: the distribution function of counts with mean 1, up to 12.
+POISSON = np.cumsum([exp(-1 - lgamma(k + 1)) for k in range(13)])
+
+
+def poisson_weights(ids: np.ndarray, repeats: int, seed: int) -> np.ndarray:
+    """(rows, repeats): how often each row is drawn in each resample, independent counts with mean 1 by a hash of row and resample."""
+    own = _mixed((ids.astype(np.int64) % (1 << 32)).astype(np.uint32) ^ np.uint32(seed % (1 << 32)))
+    step = (np.arange(1, repeats + 1, dtype=np.uint64) * np.uint64(0x9E3779B9) % np.uint64(1 << 32)).astype(np.uint32)
+    return np.searchsorted(POISSON, _mixed(own[:, None] ^ step) / 2.0**32, "right")
+
+
+def weighted_resamples(pred: DataFrame, row: str, repeats: int, seed: int, keys: list[str] = ()) -> DataFrame:
+    """keys, r, y, a, b, n: cells of resamples in which each row has a count of its own with mean 1. `row` is a whole number that
+    tells rows apart. No row is copied: a task sends one vector of all resamples' counts for each cell, and those are summed."""
+    names = [*keys, "y", "a", "b"]
+    kinds = ", ".join(f"{c} {pred.schema[c].dataType.simpleString()}" for c in names)
+
+    def run(batches):
+        held: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            for cell, rows in b.groupby(names, dropna=False).groups.items():
+                ids = b.loc[rows, row].to_numpy()
+                n = sum(poisson_weights(ids[at : at + 4096], repeats, seed).sum(axis=0) for at in range(0, len(ids), 4096))
+                held[cell] = held[cell] + n if cell in held else n
+        yield pd.DataFrame([(*cell, n) for cell, n in held.items()], columns=[*names, "n"])
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*(rows[c].iloc[0] for c in names), np.sum(rows["n"].to_list(), axis=0))], columns=[*names, "n"])
+
+    parts = pred.select(row, *names).mapInPandas(run, f"{kinds}, n array<long>").groupBy(*names).applyInPandas(add, f"{kinds}, n array<long>")
+    return parts.select(*keys, "y", "a", "b", F.posexplode("n").alias("r", "n")).where("n > 0").select(*keys, "r", "y", "a", "b", "n")
+
+
 def multinomial_resamples(cells: DataFrame, repeats: int, seed: int, keys: list[str] = ()) -> DataFrame:
     """keys, r, y, a, b, n from paired_cells(), drawn at once for each cell, so that a resample costs its cells and not its rows."""
     names = [*keys, "y", "a", "b"]

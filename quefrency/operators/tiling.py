@@ -11,11 +11,11 @@ from quefrency.operators import ranking
 def tile(samples: DataFrame, series: str, order: list[str], window: int, per_block: int, guard: int, partial_blocks: bool = False) -> DataFrame:
     """samples with pos, block, k (window in the block) and offset; rows of guards and of incomplete windows go.
 
-    partial_blocks: keep the full windows of a last block that is not full.
+    partial_blocks: keep the full windows of a last block that is not full. Positions are found range by range, so that no task
+    orders a whole series.
     """
-    w = Window.partitionBy(series)
     stride = window * per_block + guard
-    x = samples.withColumn("pos", F.row_number().over(w.orderBy(*order)) - 1).withColumn("n_rows", F.count(F.lit(1)).over(w))
+    x = ranking.by_value(samples, [series], order).withColumnsRenamed({"before": "pos", "total": "n_rows"})
     x = x.withColumn("block", F.expr(f"pos div {stride}")).withColumn("in_block", F.col("pos") % stride).where(F.col("in_block") < window * per_block)
     x = x.withColumn("k", F.expr(f"in_block div {window}")).withColumn("offset", F.col("in_block") % window)
     end = F.col("block") * stride + ((F.col("k") + 1) * window if partial_blocks else F.lit(window * per_block))

@@ -556,6 +556,26 @@ def paired_bootstrap(spark, d):
     return r.select(*(q6(F.col(c), c) for c in ("delta", "p_value", "ci_low", "ci_high")))
 
 
+def _mixed_sql(x: str) -> str:
+    """A 32-bit finaliser over whole numbers below 2^32."""
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        x = f"CAST(CAST(xor({x}, ({x}) // {1 << shift}) AS HUGEINT) * {factor} % 4294967296 AS BIGINT)"
+    return x
+
+
+_POISSON = " + ".join(f"CASE WHEN u / 4294967296.0 >= {float(p)!r} THEN 1 ELSE 0 END" for p in stats.POISSON)
+_WEIGHTS = f"m0 AS (SELECT vec_id, y, a, b, xor(vec_id, 42) AS h FROM pr2), m1 AS (SELECT *, {_mixed_sql('h')} AS m FROM m0), m2 AS (SELECT r, y, a, b, xor(m, (r + 1) * 2654435769 % 4294967296) AS h FROM m1, (SELECT unnest(range(100)) AS r)), m3 AS (SELECT r, y, a, b, {_mixed_sql('h')} AS u FROM m2), m4 AS (SELECT r, y, a, b, {_POISSON} AS k FROM m3), bo AS (SELECT r, y, a, b, sum(k) AS k FROM m4 GROUP BY ALL HAVING sum(k) > 0 UNION ALL SELECT -1, y, a, b, count(*) FROM pr2 GROUP BY ALL), sd AS (SELECT r, 'a' AS side, y, a AS p, k FROM bo UNION ALL SELECT r, 'b', y, b, k FROM bo)"
+
+
+@query(f"WITH {_AB}, {_WEIGHTS}, {_F1.format(source='sd').replace('count(*) AS n', 'sum(k) AS n')} SELECT {r6('max(CASE WHEN r < 0 THEN d END)')} AS delta, {r6('2 * least(avg(CASE WHEN d <= 0 THEN 1.0 ELSE 0 END) FILTER (r >= 0), avg(CASE WHEN d >= 0 THEN 1.0 ELSE 0 END) FILTER (r >= 0))')} AS p_value, {r6('quantile_cont(d, 0.025) FILTER (r >= 0)')} AS ci_low, {r6('quantile_cont(d, 0.975) FILTER (r >= 0)')} AS ci_high FROM de")
+def weighted_bootstrap(spark, d):
+    """The paired bootstrap by weights: one pass over the rows for all resamples."""
+    wrong = lambda k, by: F.when(F.col("vec_id") % k == 0, (F.col("label") + by) % 10).otherwise(F.col("label")).cast("long")
+    pred = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("long").alias("y"), wrong(3, 1).alias("a"), wrong(5, 2).alias("b"))
+    r = stats.paired_bootstrap(stats.paired_cells(pred), stats.weighted_resamples(pred, "vec_id", 100, 42))
+    return r.select(*(q6(F.col(c), c) for c in ("delta", "p_value", "ci_low", "ci_high")))
+
+
 # --- learned heads, sources: rows only -------------------------------------------------------------------------------
 
 
