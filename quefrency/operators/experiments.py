@@ -327,10 +327,24 @@ def curve(scores: DataFrame, by: list[str] = ["rep"]) -> DataFrame:  # noqa: B00
     return scores.groupBy(*by, "severity").agg(F.count(F.lit(1)).alias("splits"), F.avg("f1").alias("f1"), F.stddev_pop("f1").alias("f1_std"))
 
 
-def gaps(scores: DataFrame, incumbent: str, challenger: str, least: int = 3) -> DataFrame:
-    """split, gap: a bar for each split, the challenger's mean score under distortion less the incumbent's."""
-    u = metrics.under_fir(scores.where(F.col("rep").isin(incumbent, challenger)), ["split", "rep"], least)
-    return u.groupBy("split").agg(F.sum(F.when(F.col("rep") == challenger, F.col("under")).otherwise(-F.col("under"))).alias("gap"))
+def gaps(scores: DataFrame, incumbent: str, challenger: str, least: int = 3, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """by, split, gap: a bar for each split, the challenger's mean score under distortion less the incumbent's."""
+    u = metrics.under_fir(scores.where(F.col("rep").isin(incumbent, challenger)), [*by, "split", "rep"], least)
+    return u.groupBy(*by, "split").agg(F.sum(F.when(F.col("rep") == challenger, F.col("under")).otherwise(-F.col("under"))).alias("gap"))
+
+
+def domains(scores: DataFrame, incumbent: str, challenger: str, by: str = "domain", repeats: int = 2000, seed: int = 2125, least: int = 3) -> DataFrame:
+    """A bar with its error for each domain: by, splits, wins, gap, and the ends lo and hi of its mean's 95 percent interval."""
+    d = gaps(scores, incumbent, challenger, least, [by])
+    d = d.withColumn("i", (F.row_number().over(Window.partitionBy(by).orderBy("split")) - 1).cast("long"))  # one row a split
+    ci = stats.bootstrap_means(d, "gap", repeats, seed, [by]).groupBy(by).agg(F.percentile("mean", 0.025).alias("lo"), F.percentile("mean", 0.975).alias("hi"))
+    return d.groupBy(by).agg(F.count(F.lit(1)).alias("splits"), F.sum((F.col("gap") > 0).cast("long")).alias("wins"), F.avg("gap").alias("gap")).join(ci, by)
+
+
+def methods(scores: DataFrame, labels: dict[str, str], least: int = 3) -> DataFrame:
+    """Bars of the named representations in their order: place, label, clean and under."""
+    names = scores.sparkSession.createDataFrame([(rep, i, label) for i, (rep, label) in enumerate(labels.items())], "rep string, place int, label string")
+    return summary(scores, least=least).join(F.broadcast(names), "rep").select("place", "label", "clean", "under")
 
 
 def tradeoff(scores: DataFrame, reference: str, least: int = 3) -> DataFrame:

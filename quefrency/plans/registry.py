@@ -18,7 +18,7 @@ from quefrency.operators import datasets, discriminant, experiments, heads, metr
 from quefrency.plans import sql
 from quefrency.plans.sql import BASE, SMP, r6
 from quefrency.schema import SHAPE, SPECTRAL5, SPECTRAL11
-from quefrency.sources import classes, synthetic, telemetry
+from quefrency.sources import artifacts, classes, synthetic, telemetry
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -733,7 +733,7 @@ def experiment_levels(spark, d):
 
 @query()
 def experiment_sensitivity(spark, d):
-    configs = {"base": {"n_fft": 16, "hop": 8}, "hamming": {"n_fft": 16, "hop": 8, "window": "hamming"}, "long": {"n_fft": 32, "hop": 16}, "eps": {"n_fft": 16, "hop": 8, "eps": 1e-6}}
+    configs = {"base": {"n_fft": 16, "hop": 8}, "hamming": {"n_fft": 16, "hop": 8, "window": "hamming"}, "dense": {"n_fft": 16, "hop": 4}, "short": {"n_fft": 12, "hop": 6}, "long": {"n_fft": 32, "hop": 16}, "eps6": {"n_fft": 16, "hop": 8, "eps": 1e-6}, "eps10": {"n_fft": 16, "hop": 8, "eps": 1e-10}}
     return experiments.summary(experiments.run(_grp(spark, d), experiments.sensitivity(configs), _DESIGN))
 
 
@@ -769,6 +769,42 @@ def figure_tradeoff(spark, d):
     return t.select("rep", "splits", *(q6(F.col(c), c) for c in ("clean", "clean_std", "clean_min", "clean_max", "under", "under_std", "under_min", "under_max")), "beats")
 
 
+@query(_UNDER + f" SELECT CASE WHEN rep = 'b' THEN 0 ELSE 1 END AS place, CASE WHEN rep = 'b' THEN 'challenger' ELSE 'incumbent' END AS label, {r6('avg(clean)')} AS clean, {r6('avg(under)')} AS under FROM un GROUP BY rep")
+def figure_methods(spark, d):
+    return experiments.methods(_score_table(spark, d), {"b": "challenger", "a": "incumbent"}).select("place", "label", q6(F.col("clean"), "clean"), q6(F.col("under"), "under"))
+
+
+@query(f"""WITH es AS (SELECT event_type AS domain, CAST(user_id % 7 AS INTEGER) AS split, event_id % 2 = 0 AS a, avg(value) / 500 AS f1 FROM events WHERE event_id // 2 % 3 > 0 GROUP BY event_type, user_id % 7, event_id % 2, event_id // 2 % 3),
+gp AS (SELECT domain, split, sum(CASE WHEN a THEN -u ELSE u END) AS gap FROM (SELECT domain, split, a, avg(f1) AS u FROM es GROUP BY ALL) GROUP BY domain, split), nb AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY split) - 1 AS i, count(*) OVER (PARTITION BY domain) AS n FROM gp),
+dr AS (SELECT domain, r, CAST(concat('0x', substr(md5('2125:' || r || ':' || i), 1, 8)) AS BIGINT) % n AS i FROM nb, (SELECT unnest(range(200)) AS r)), mn AS (SELECT domain, r, avg(gap) AS m FROM dr JOIN nb USING (domain, i) GROUP BY ALL), ci AS (SELECT domain, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM mn GROUP BY domain)
+SELECT domain, count(*) AS splits, count(*) FILTER (gap > 0) AS wins, {r6('avg(gap)')} AS gap, {r6('any_value(lo)')} AS lo, {r6('any_value(hi)')} AS hi FROM gp JOIN ci USING (domain) GROUP BY domain""")
+def figure_domains(spark, d):
+    e = table(spark, d, "events")
+    severity = F.array(F.lit(1), F.lit(3), F.lit(5))[(F.expr("event_id div 2") % 3).cast("int")]
+    s = e.groupBy(F.col("event_type").alias("domain"), (F.col("user_id") % 7).cast("int").alias("split"), F.when(F.col("event_id") % 2 == 0, "a").otherwise("b").alias("rep"), severity.alias("severity")).agg((F.avg("value") / 500).alias("f1"))
+    return experiments.domains(s, "a", "b", repeats=200).select("domain", "splits", "wins", *(q6(F.col(c), c) for c in ("gap", "lo", "hi")))
+
+
+# Result documents: one an event, with its own properties inside.
+def _events_json(spark, d):
+    text = F.concat(F.lit('{"config": {"user": '), "user_id", F.lit(', "kind": "'), "event_type", F.lit('"}, "parts": ['), "props", F.lit(', {"id": '), "event_id", F.lit("}]}"))
+    return table(spark, d, "events").select("event_id", artifacts.leaves(text).alias("l"))
+
+
+_LEAF = "SELECT event_id, '{}' AS path, {} AS value FROM events"
+_LEAVES = " UNION ALL ".join(_LEAF.format(p, e) for p, e in (("config.user", "CAST(user_id AS VARCHAR)"), ("config.kind", "concat('\"', event_type, '\"')"), ("parts[0].k", "CAST(json_extract(props, '$.k') AS VARCHAR)"), ("parts[1].id", "CAST(event_id AS VARCHAR)")))
+
+
+@query(_LEAVES)
+def json_leaves(spark, d):
+    return _events_json(spark, d).select("event_id", F.inline("l"))
+
+
+@query("""SELECT event_id, concat('{"config": {"kind": "', event_type, '", "user": ', user_id, '}, "parts": [{"k": ', json_extract(props, '$.k'), '}, {"id": ', event_id, '}]}') AS text FROM events""")
+def json_documents(spark, d):
+    return artifacts.documents(_events_json(spark, d).select("event_id", F.inline("l")), "event_id")
+
+
 @query(_UNDER + f", rt AS (SELECT split, max(CASE WHEN rep = 'a' THEN under / greatest(clean, 1e-9) END) AS a, max(CASE WHEN rep = 'b' THEN under / greatest(clean, 1e-9) END) AS b FROM un GROUP BY split) SELECT split, {r6('a')} AS incumbent, {r6('b')} AS challenger, b >= 0.85 AND b - a >= 0.1 AS passed FROM rt")
 def retention_advantage(spark, d):
     return metrics.advantage(_score_table(spark, d), "a", "b").select("split", q6(F.col("incumbent"), "incumbent"), q6(F.col("challenger"), "challenger"), "passed")
