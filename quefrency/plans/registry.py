@@ -9,12 +9,13 @@ from __future__ import annotations
 from dataclasses import replace
 from functools import partial, reduce
 
+from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quefrency.functions import basis as B
 from quefrency.functions import columns, signal
-from quefrency.operators import datasets, discriminant, experiments, heads, metrics, pipelines, ranking, reconstruct, spectra, splits, stats, subsets, tiling
+from quefrency.operators import datasets, discriminant, estimators, experiments, heads, metrics, pipelines, ranking, reconstruct, spectra, splits, stats, subsets, tiling
 from quefrency.plans import sql
 from quefrency.plans.sql import BASE, SMP, r6
 from quefrency.schema import SHAPE, SPECTRAL5, SPECTRAL11
@@ -899,6 +900,14 @@ def reconstruction_pipeline(spark, d):
     return metrics.macro_f1(pred, ["key"]).select(F.col("key").alias("basis"), q6(F.col("accuracy"), "accuracy"), q6(F.col("macro_f1"), "macro_f1"))
 
 
+@query(_STD + f"SELECT * FROM {_nearest_sql('polynomial')}")
+def staged_pipeline(spark, d):
+    """Scaling, features and head as stages of one pipeline."""
+    a, b = _split_windows(spark, d)
+    model = Pipeline(stages=[estimators.ArrayScaler(), estimators.ReconstructionFeatures(basis="polynomial"), estimators.ClassHead()]).fit(a)
+    return metrics.macro_f1(model.transform(b)).select(F.lit("polynomial").alias("basis"), q6(F.col("accuracy"), "accuracy"), q6(F.col("macro_f1"), "macro_f1"))
+
+
 @query()
 def dsge_pipeline(spark, d):
     a, b = _split_windows(spark, d)
