@@ -47,6 +47,8 @@ class Params:
 BLOCK = 4096
 #: Distinct vectors that a task holds before it sends them on.
 HELD_VECTORS = 1 << 15
+#: Levels of length, each half of the one before; the last one takes all that is shorter.
+LEVELS = 12
 #: One-step moves of a projection's hash value.
 STEPS = (-1, 1, -2, 2)
 
@@ -88,9 +90,17 @@ class Hasher:
         last = np.zeros(len(x)) if query else np.sqrt(np.maximum(self.top**2 - norm**2, 0))
         return np.column_stack([x, last]) @ self.a / self.w + self.b
 
-    def keys(self, cells: np.ndarray, table: int) -> np.ndarray:
-        """One 64-bit key for each row (last axis) of a table's integer hash values."""
-        h = np.full(cells.shape[:-1], table + 1, np.uint64) * np.uint64(0xD1B54A32D192ED03)
+    def levels(self, x: np.ndarray) -> np.ndarray:
+        """How often a vector's length can be doubled and still be no longer than the longest; none more than LEVELS - 1 times.
+
+        Vectors are hashed as if doubled so often, each level in buckets of its own: a few long vectors do not push all
+        others into the same buckets."""
+        norm = np.sqrt((x * x).sum(axis=1))
+        return np.clip(np.floor(np.log2(self.top / norm)), 0, LEVELS - 1).astype(np.int64)
+
+    def keys(self, cells: np.ndarray, table: int, level: int | np.ndarray = 0) -> np.ndarray:
+        """One 64-bit key for each row (last axis) of a table's integer hash values at a level."""
+        h = (np.full(cells.shape[:-1], table + 1, np.uint64) + np.asarray(level).astype(np.uint64) * np.uint64(self.p.tables)) * np.uint64(0xD1B54A32D192ED03)
         for j in range(cells.shape[-1]):
             h = (h ^ cells[..., j].astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
@@ -176,13 +186,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, params: Params |
     h = Hasher(dim, top, params)
     groups = -(-n * params.tables // BLOCK)
 
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = {int(x) for b in batches if b.num_rows for x in np.unique(h.levels(_matrix(b.column(0).to_pylist())))}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(some), pa.int32())], ["level"])
+
+    levels = sorted(r["level"] for r in base.select("vec").mapInArrow(found, "level int").distinct().collect())  # LEVELS at most
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cell = np.floor(h.places(_matrix(batch.column(1).to_pylist()), False))
+            x = _matrix(batch.column(1).to_pylist())
+            level = h.levels(x)
+            cell = np.floor(h.places(x * 2.0 ** level[:, None], False))
             for t in range(params.tables):
-                yield pa.RecordBatch.from_arrays([pa.array(h.keys(h.table(cell, t), t)), batch.column(0), batch.column(1)], ["key", "vid", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.keys(h.table(cell, t), t, level)), batch.column(0), batch.column(1)], ["key", "vid", "vec"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each query and group, with the buckets that it visits there."""
@@ -190,7 +208,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, params: Params |
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 place = h.places(_matrix(part.column(1).to_pylist()), True)
-                keys = np.concatenate([h.keys(h.visits(h.table(place, t)), t) for t in range(params.tables)], axis=1)
+                visits = [h.visits(h.table(place, t)) for t in range(params.tables)]
+                keys = np.concatenate([h.keys(v, t, level) for level in levels for t, v in enumerate(visits)], axis=1)
                 for i in range(part.num_rows):
                     own = np.unique(keys[i])
                     group = own.view(np.uint64) % np.uint64(groups)

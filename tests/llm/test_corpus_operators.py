@@ -367,6 +367,22 @@ def test_neighbours(spark):
         assert all(abs(f[2] - x[f[1]] @ x[q]) < 1e-9 for f in found)
         recall.append(len(set(best) & {f[1] for f in found}) / 5)
     assert np.mean(recall) >= 0.9
+    # One vector a hundred times longer than the others leaves these in buckets as small as before, and finds as good.
+    w = v / np.linalg.norm(v, axis=1, keepdims=True)
+    w[300] *= 100
+    h = neighbours.Hasher(16, 100.0, neighbours.Params.for_rows(600))
+    level = h.levels(w)
+    keys = h.keys(h.table(np.floor(h.places(w * 2.0 ** level[:, None], False)), 0), 0, level)
+    plain = h.keys(h.table(np.floor(h.places(w, False)), 0), 0)
+    share = lambda k: np.unique(k, return_counts=True)[1].max() / 600
+    assert set(level.tolist()) == {0, 6} and 3 * share(keys) < share(plain)
+    long = spark.createDataFrame([(i, [float(a) for a in x]) for i, x in enumerate(w)], "vec_id long, embedding array<double>")
+    met = defaultdict(set)
+    for r in neighbours.search(long, long.where("vec_id % 20 = 0"), 5).collect():
+        met[r.query_id].add(r.vec_id)
+    s = w @ w.T
+    np.fill_diagonal(s, -np.inf)
+    assert np.mean([len(met[q] & set(np.argsort(-s[q], kind="stable")[:5].tolist())) / 5 for q in range(0, 600, 20)]) >= 0.9
     few = neighbours.search(d.where("vec_id < 4"), d.where("vec_id < 2"), 5).collect()
     assert Counter(r.query_id for r in few) == {0: 3, 1: 3}
     assert neighbours.search(d.limit(0), d.limit(0), 5).count() == 0
