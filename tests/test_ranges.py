@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quefrency.operators import ranking, splits, stats, tiling
+from quefrency.streaming import tiler
 
 
 def test_running_places_under_heavy_tails(spark):
@@ -66,6 +67,25 @@ def test_overlaps_of_long_and_dense_spans(spark):
     assert got == want and "z" not in got and len(got) == 3
 
 
+def test_a_disordered_stream_gives_the_tiles_of_the_batch(spark, tmp_path):
+    """Samples come up to 40 seconds out of order, over batches; a last one moves the watermark past all others."""
+    rng = random.Random(5)
+    rows = [(i % 3, i, 1_700_000_000 + i, float(rng.randrange(100))) for i in range(360)]
+    rows.sort(key=lambda r: r[2] + rng.uniform(-20, 20))
+    schema = "user_id long, event_id long, s long, value double"
+    for n in range(6):
+        spark.createDataFrame(rows[60 * n : 60 * n + 60], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    last = [(9, 10**6, 1_700_000_000 + 10**5, 0.0)]
+    spark.createDataFrame(last, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in")).withColumn("ts", F.timestamp_seconds("s"))
+    q = tiler.tile_disordered(stream, 4, 2, 3, delay="60 seconds").writeStream.format("memory").queryName("disordered").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(240)
+    got = {(r.series, r.block, r.k): list(r.x) for r in spark.table("disordered").collect()}
+    batch = tiling.tile(spark.createDataFrame(rows, schema), "user_id", ["event_id"], 4, 2, 3, True)
+    want = {(r.user_id, r.block, r.k): list(r.x) for r in tiling.windows(batch, ["user_id", "block", "k"], "value", 4).collect()}
+    assert got == want and len(want) > 60
+
+
 def test_weighted_resamples(spark):
     rng = random.Random(3)
     rows = [(i * 7 - 50, y, y if rng.random() < 0.7 else 1 - y, y if rng.random() < 0.8 else 1 - y) for i in range(500) for y in [i % 2]]
