@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quefrency.functions import signal
-from quefrency.operators import heads, metrics, moments, ranking, spectra, stats
+from quefrency.operators import compat, heads, metrics, moments, ranking, spectra, stats
 from quefrency.operators.discriminant import ClassMoments
 
 Representation = Callable[[DataFrame], DataFrame]
@@ -33,6 +33,14 @@ class Design:
     seed: int = 2026
     ridge: float = 1e-2
     head: str = "logistic"
+    rng: str = "hash"  # or compat: the draws of published runs
+
+
+def design_roles(windows: DataFrame, design: Design) -> DataFrame:
+    """split, grp, role of a design."""
+    if design.rng not in ("hash", "compat"):
+        raise ValueError(f"unknown rng {design.rng!r}")
+    return (compat.split_roles if design.rng == "compat" else split_roles)(windows, "grp", design.splits, design.test_size, design.seed)
 
 
 # --- splits and channels ---------------------------------------------------------------------------------------------
@@ -111,6 +119,9 @@ def through_complex_channel(re: str, im: str, h: str) -> Column:
 def _tested(windows: DataFrame, roles: DataFrame, design: Design, draw) -> DataFrame:
     """Every split's test windows at each severity, with a channel of their own as the column h."""
     test = windows.join(roles.where("role = 'test'"), "grp")
+    if design.rng == "compat":
+        h = compat.channels(test, design.severities, design.seed, complex_=draw is complex_taps)
+        return moments.spread(test.join(h, ["split", "window_id"]))
     each = test.withColumn("severity", F.explode(F.array(*map(F.lit, design.severities))))
     h = draw(F.col("severity"), F.lit(design.seed + 7), F.col("split"), F.col("severity"), F.col("window_id"))
     # The channel is a column of its own before the kernel takes it, so that it is drawn once.
@@ -261,7 +272,7 @@ def predict(train: DataFrame, test: DataFrame, design: Design) -> DataFrame:
 
 def conditioning(windows: DataFrame, reps: dict[str, Representation], design: Design, ridges: tuple[float, ...] = (1e-2,)) -> DataFrame:
     """rep, split, ridge, y, cond: condition of each class's regularised covariance over clean training frames."""
-    roles = split_roles(windows, "grp", design.splits, design.test_size, design.seed).where("role = 'train'")
+    roles = design_roles(windows, design).where("role = 'train'")
     train = reduce(DataFrame.unionByName, (f(windows).select(F.lit(n).alias("rep"), "grp", "y", "s") for n, f in reps.items())).join(roles, "grp")
     m = _models(train.select(F.concat_ws(":", "split", "rep").alias("key"), "y", "s"))
     rows = [(k.split(":", 1)[1], int(k.split(":", 1)[0]), r, c, cond) for k, v in m.items() for r in ridges for c, cond, _ in v.conditioning(r)]
@@ -271,7 +282,7 @@ def conditioning(windows: DataFrame, reps: dict[str, Representation], design: De
 def predictions(windows: DataFrame, reps: dict[str, Representation], design: Design, distort=distorted) -> DataFrame:
     """rep, split, severity, window_id, frame_id, y, p of every test frame. All splits of all representations are one fit.
     distort: distorted, or distorted_complex for windows of re and im."""
-    roles = split_roles(windows, "grp", design.splits, design.test_size, design.seed)
+    roles = design_roles(windows, design)
     bent = distort(windows, roles, design)
     named = lambda f, name, cols: f.select(F.lit(name).alias("rep"), *cols, "s")
     train = reduce(DataFrame.unionByName, (named(f(windows), n, ["grp", "y"]) for n, f in reps.items())).join(roles.where("role = 'train'"), "grp")

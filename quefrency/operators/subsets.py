@@ -29,7 +29,7 @@ class Trial:
         if design.head not in ("nearest", "logistic"):
             raise ValueError(f"no subsets for the head {design.head!r}")
         self.design = design
-        roles = experiments.split_roles(windows, "grp", design.splits, design.test_size, design.seed)
+        roles = experiments.design_roles(windows, design)
         train = base(windows).join(roles.where("role = 'train'"), "grp")
         key = F.col("split").cast("string").alias("key")
         self.train = moments.spread(train.select(key, "y", "s")).persist(StorageLevel.MEMORY_AND_DISK)

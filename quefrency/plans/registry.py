@@ -687,6 +687,14 @@ _LIFTERS = (1, 2, 3, 4, 6)
 _SPECS = {"lb2": ("lb", 2, None), "lb3": ("lb", 3, None), "lb4": ("lb", 4, None), "bp_2_6": ("bp", 2, 6), "bp_3_7": ("bp", 3, 7), "tukey_2_8": ("bp_tukey", 2, 8), "tukey_1_7": ("bp_tukey", 1, 7), "juang_2_8": ("juang", 2, 8), "juang_1_8": ("juang", 1, 8)}
 
 
+@query()
+def compat_channels(spark, d):
+    """Energy and last sample of each test window under the splits and channels of published runs."""
+    design = replace(_DESIGN, rng="compat")
+    x = experiments.distorted(_grp(spark, d), experiments.design_roles(_grp(spark, d), design), design)
+    return x.select("split", "severity", "window_id", q6(F.aggregate("x", F.lit(0.0), lambda a, e: a + e * e), "energy"), q6(F.col("x")[63], "last_value"))
+
+
 @query()
 def experiment_scores(spark, d):
     return experiments.run(_grp(spark, d), experiments.branches(_LIFTERS, 16, 8), _DESIGN)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quefrency.functions import signal
-from quefrency.operators import experiments, metrics, spectra, subsets
+from quefrency.operators import compat, experiments, metrics, spectra, subsets
 
 DESIGN = experiments.Design(splits=2, severities=(1, 3), head="nearest")
 
@@ -153,6 +153,45 @@ def test_complex_experiment(rf):
     assert {(r.rep, r.split, r.severity) for r in scores} == {(n, s, v) for n in ("spectral", "cepstral_3") for s in (0, 1) for v in (1, 3)}
 
 
+@pytest.mark.parametrize("which", ["real", "complex"])
+def test_draws_of_published_runs(windows, rf, which):
+    """Splits and channels, drawn one by one from numpy's generators as those runs did."""
+    frame, seed = (windows, rf)[which == "complex"], 2026
+    design = experiments.Design(splits=2, severities=(1, 2, 5), rng="compat")
+    roles = experiments.design_roles(frame, design)
+    held = {r.window_id: r for r in frame.collect()}
+    bent = (experiments.distorted, experiments.distorted_complex)[which == "complex"](frame, roles, design).collect()
+    got = {(r.split, r.severity, r.window_id): r for r in bent}
+    role, n = {(r.split, r.grp): r.role for r in roles.collect()}, 0
+    for split in (0, 1):
+        groups = np.unique([r.grp for r in held.values()])
+        np.random.default_rng(seed + split).shuffle(groups)
+        test = set(groups[: max(1, round(0.3 * len(groups)))].tolist())
+        assert all(role[split, g] == ("test" if g in test else "train") for g in groups.tolist())
+        rng = np.random.default_rng(seed + split + 7)
+        for taps in (1, 2, 5):
+            for i in sorted(k for k, r in held.items() if r.grp in test):
+                if taps == 1:
+                    h = np.ones(1)
+                elif which == "real":
+                    h = np.exp(-0.7 * np.arange(taps)) * rng.standard_normal(taps)
+                else:
+                    h = np.exp(-0.7 * np.arange(taps)) * (rng.standard_normal(taps) + 1j * rng.standard_normal(taps))
+                h[0] = 1
+                h = h / np.sqrt((np.abs(h) ** 2).sum())
+                r, n = got[split, taps, i], n + 1
+                if which == "real":
+                    assert np.allclose(r.x, np.convolve(held[i].x, h)[:64])
+                else:
+                    z = np.convolve(np.array(held[i].re) + 1j * np.array(held[i].im), h)[:32]
+                    assert np.allclose(r.re, z.real) and np.allclose(r.im, z.imag)
+    assert n == len(got)
+    fold = {r.grp: r.fold for r in compat.grouped_kfold(frame, "grp", 5, 3).select("grp", "fold").distinct().collect()}
+    groups = np.arange(12)
+    np.random.default_rng(3).shuffle(groups)
+    assert fold == {int(g): min(k // 2, 4) for k, g in enumerate(groups)}
+
+
 def test_random_starts_and_caps(spark):
     r = spark.createDataFrame([(1, 100), (2, 1000)], "rec int, n int")
     got = experiments.random_starts(r, "rec", "n", 40, 8, 4).collect()
