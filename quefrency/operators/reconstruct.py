@@ -72,17 +72,6 @@ class Reconstructor:
         return [(c, m[2], m[2] > warn) for c, m in sorted(self.models.items())]
 
 
-def alpha_sweep(train: DataFrame, test: DataFrame, y: str, key: str, dim: str, alphas=tuple(i / 20 for i in range(21)), n: int = 3, ridge: float = 0.01) -> list[tuple[float, float]]:
-    """Accuracy of the nearest reconstruction for each alpha: features of every alpha are a grouped pass of their own."""
-    out = []
-    for a in alphas:
-        model = Reconstructor("patp", n, a, ridge).fit(train, y, [dim])
-        s = model.transform(test, [key, y], [dim])
-        best = s.groupBy(key, y).agg(F.min_by("class", F.struct("log_msed", "class")).alias("p"))
-        out.append((a, best.agg(F.avg((F.col("p") == F.col(y)).cast("double"))).first()[0]))
-    return out
-
-
 def boundary(best: float, margin: float = 0.05) -> bool:
     """Whether a best alpha lies at the end of the range (strictly within margin)."""
     return best < margin or best > 1 - margin
