@@ -111,16 +111,6 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return x
 
 
-def sliding_max(x: np.ndarray, w: int) -> np.ndarray:
-    """Maximum of each w consecutive values, by doubling."""
-    span = 1
-    while span < w:
-        step = min(span, w - span)
-        x = np.maximum(x[:-step], x[step:])
-        span += step
-    return x
-
-
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> list[np.ndarray]:
     """Sorted distinct hashes of `size`-word shingles of each lower-cased text; a shorter text is one shingle, an empty one none."""
     starts, ends, first = words(data, offsets)
