@@ -6,8 +6,6 @@ an error. The default draws by hash have no such limit.
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -49,7 +47,7 @@ def _kind(frame: DataFrame, column: str) -> str:
 def split_roles(windows: DataFrame, group: str, splits: int, test_size: float = 0.3, seed: int = 2026) -> DataFrame:
     """split, group, role: sorted distinct groups shuffled by the stream of seed + split, the first ones for testing. Null groups are left out."""
     g = windows.select(group).where(F.col(group).isNotNull()).distinct().select(group, F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split"))
-    return g.groupBy("split").applyInPandas(partial(_roles, group=group, test_size=test_size, seed=seed), f"split int, {_kind(windows, group)}, role string")
+    return g.groupBy("split").applyInPandas(lambda rows: _roles(rows, group, test_size, seed), f"split int, {_kind(windows, group)}, role string")
 
 
 def grouped_kfold(frame: DataFrame, group: str, n_splits: int = 5, seed: int = 2026) -> DataFrame:
@@ -57,7 +55,7 @@ def grouped_kfold(frame: DataFrame, group: str, n_splits: int = 5, seed: int = 2
     if n_splits < 2:
         raise ValueError("two folds at least")
     g = frame.select(group).where(F.col(group).isNotNull()).distinct()
-    return frame.join(g.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(partial(_folds, group=group, n_splits=n_splits, seed=seed), f"{_kind(frame, group)}, fold int"), group)
+    return frame.join(g.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(lambda rows: _folds(rows, group, n_splits, seed), f"{_kind(frame, group)}, fold int"), group)
 
 
 def draws(n: int, taps: int, rng: np.random.Generator, complex_: bool, decay: float = 0.7) -> np.ndarray:
@@ -85,5 +83,5 @@ def channels(tested: DataFrame, severities: tuple[int, ...], seed: int = 2026, c
     """split, severity, window_id, h for rows split, window_id of test windows: severity by severity, and by window id inside
     each, from the stream of seed + split + 7. A severity of 1 draws nothing."""
     h = "array<struct<re:double,im:double>>" if complex_ else "array<double>"
-    run = partial(_channels, severities=tuple(severities), seed=seed, complex_=complex_)
+    run = lambda rows: _channels(rows, tuple(severities), seed, complex_)
     return tested.select("split", "window_id").groupBy("split").applyInPandas(run, f"split int, severity int, {_kind(tested, 'window_id')}, h {h}")
