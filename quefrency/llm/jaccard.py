@@ -11,7 +11,8 @@ that can reach the threshold:
 
 Pairs are proposed in two rounds: each prefix shingle's most typical class with all others, then, for classes that are not
 connected yet, all partners outside their component. So a group of near copies costs its size, and no link that changes a
-component is missed.
+component is missed. Where a shingle has many such partners (texts made of the same few templates), its classes meet by the
+contents of fragments instead: a pair that may differ in k shingles, cut into k + 2 fragments, agrees in two at least.
 """
 
 from __future__ import annotations
@@ -37,6 +38,12 @@ SMALL, SHARE = 96, 0.4
 HELD_KEYS = 1 << 19
 #: Fragments of the global order in which overlaps are counted.
 FRAGMENTS = 8
+#: Classes outside the largest component that each class of a prefix shingle meets one by one; with more, contents of fragments decide.
+CROWD = 32
+#: Words of 64 bits of a class's parities, which differ in no more bits than the classes do in shingles.
+PARITIES = 8
+#: Sizes up to which intervals of sizes are set out (no text has as many words).
+MOST_WORDS = 1 << 31
 #: Class ids (8 bytes each) up to which the set of classes to read again is broadcast.
 BROADCAST_IDS = 1 << 20
 
@@ -176,7 +183,75 @@ def verified(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
     return total.where((100 + percent) * F.col("o") >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def links(fragments: DataFrame, percent: int = PERCENT) -> DataFrame:
+def _differ(total: int | Column, percent: int) -> int | Column:
+    """Shingles by which two linked classes of so many in total differ at most."""
+    return total * (100 - percent) // (100 + percent) if isinstance(total, int) else F.floor(total * (100 - percent) / (100 + percent))
+
+
+def size_intervals(percent: int) -> list[int]:
+    """First sizes of intervals, such that linked classes are in the same one or in neighbouring ones."""
+    out = [1]
+    while out[-1] < MOST_WORDS:
+        out.append(out[-1] * 100 // min(percent, 95) + 1)
+    return out
+
+
+def content_signatures(fragments: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """s, node, n, comp, pos, b0, b1, ...: for classes `nodes` (node, n, comp) the signatures by which all linked ones meet,
+    and each class's parities.
+
+    Two neighbouring intervals of sizes make a scheme, which cuts the order into k + 2 fragments where two of its classes
+    differ in k shingles at most. The content of a fragment is one signature, an empty one included. Linked classes agree in
+    all but k, so the rarest k + 1 of each have one in common; empty fragments count as the most frequent ones.
+    """
+    first = size_intervals(percent)
+    parts = [_differ(b + c - 2, percent) + 2 for b, c in zip(first[1:], first[2:], strict=False)]
+    starts, cuts = (F.array(*(F.lit(x).cast("long") for x in v)) for v in (first, parts))
+    at = F.size(F.filter(starts, lambda x: x <= F.col("n")))  # the interval, from 1
+    up = _differ(F.col("n") + F.floor(F.col("n") * 100 / percent), percent)
+    down = _differ(F.col("n") + F.element_at(starts, F.col("at")) - 1, percent)
+    mine = nodes.withColumn("at", at).select("node", "comp", F.explode(F.array(F.struct(F.col("at").alias("scheme"), up.alias("k")), F.struct((F.col("at") - 1).alias("scheme"), down.alias("k")))).alias("e"))
+    mine = mine.where("e.scheme > 0").select("node", "comp", "e.scheme", "e.k", F.element_at(cuts, F.col("e.scheme")).alias("parts"))
+    key = ["node", "n", "comp", "scheme", "k", "parts"]
+    each = fragments.join(mine, "node").select(*key, F.explode("grams").alias("s"))
+    each = each.groupBy(*key, F.pmod("s", "parts").alias("j")).agg(F.bit_xor(F.xxhash64("s")).alias("x")).select(*key, "j", F.xxhash64("scheme", "j", "x").alias("s"))
+    each = keep(each)
+    bit = F.expr("shiftleft(1L, cast(pmod(shiftright(s, 8), 64) as int))")
+    parity = fragments.join(nodes.select("node"), "node", "left_semi").select("node", F.explode("grams").alias("s")).groupBy("node")
+    parity = parity.agg(*(F.bit_xor(F.when(F.pmod("s", F.lit(PARITIES)) == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{w}") for w in range(PARITIES)))
+    often = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    entry = F.struct(F.coalesce("df", F.lit(1)).cast("long").alias("df"), "s")
+    own = each.join(often, "s", "left").groupBy(*key).agg(F.array_sort(F.collect_list(entry)).alias("x"), F.collect_list("j").alias("js"))
+    empty = F.array_except(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), "js")
+    empty = F.transform(empty, lambda j: F.struct(F.lit(2).cast("long").alias("df"), F.xxhash64(F.col("scheme"), j, F.lit(0).cast("long")).alias("s")))
+    some = F.slice(F.concat("x", F.when(F.size("x") > F.col("k"), F.slice(empty, 1, 0)).otherwise(empty)), F.lit(1), (F.col("k") + 1).cast("int"))
+    own = own.select("node", "n", "comp", F.posexplode(some).alias("pos", "e")).where("e.df > 1")
+    return own.join(parity, "node").select("e.s", "node", "n", "comp", "pos", *parity.columns[1:])
+
+
+def _alike(x: str, y: str, percent: int) -> Column:
+    """Whether classes that meet in a signature may be linked, by their sizes, its places, and their parities."""
+    a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
+    need = _need(a, b, percent)
+    odd = sum((F.bit_count(F.col(f"{x}.b{w}").bitwiseXOR(F.col(f"{y}.b{w}"))) for w in range(PARITIES)), F.lit(0))
+    return (need <= F.least(a, b)) & (F.greatest(f"{x}.pos", f"{y}.pos") <= a + b - 2 * need) & (odd <= a + b - 2 * need)
+
+
+def _outside(r: DataFrame) -> DataFrame:
+    """Rows of r (s, node, comp, ...) whose s is in several components, with `lead`, its largest one, and the number of rows outside."""
+    each = r.groupBy("s", "comp").agg(F.count("*").alias("rows"))
+    apart = each.groupBy("s").agg(F.max_by("comp", "rows").alias("lead"), (F.sum("rows") - F.max("rows")).alias("outside")).where("outside > 0")
+    return r.join(apart, "s")
+
+
+def _across(r: DataFrame, ok: Column) -> DataFrame:
+    """Pairs (a, b) of different components that meet in an s of r; rows of the largest component do not meet each other."""
+    new = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.lead")) | (F.col("x.node") < F.col("y.node")))
+    pairs = r.where("comp <> lead").alias("x").join(r.alias("y"), "s").where(new & ok)
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+
+def links(fragments: DataFrame, percent: int = PERCENT, crowd: int = CROWD) -> DataFrame:
     """Links (a, b) between classes that connect the same classes as all links do."""
     r = keep(prefixes(fragments, percent))
     # The class with the least share of shingles of its own leads: of a group of near copies, the one most like all others.
@@ -187,11 +262,14 @@ def links(fragments: DataFrame, percent: int = PERCENT) -> DataFrame:
     first = keep(verified(star, fragments, percent))
     comp = components(first).withColumnRenamed("node", "k")
     r = r.join(comp, F.col("node") == F.col("k"), "left").select("s", "node", "n", "c", "pos", F.coalesce("comp", "node").alias("comp"))
-    apart = r.groupBy("s").agg(F.mode("comp").alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("s", "lead")
-    r = keep(r.join(apart, "s"))
-    cross = r.where("comp <> lead").alias("x").join(r.alias("y"), "s").where((F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.lead")) | (F.col("x.node") < F.col("y.node"))) & _feasible("x", "y", percent))
-    cross = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    return first.union(verified(keep(cross.join(star, ["a", "b"], "left_anti")), fragments, percent))
+    r = keep(_outside(r))
+    cross = _across(r.where(F.col("outside") <= crowd), _feasible("x", "y", percent))
+    crowded = keep(r.where(F.col("outside") > crowd).select("node", "n", "comp").distinct())
+    if not crowded.isEmpty():
+        met = keep(_outside(content_signatures(fragments, crowded.select("node", "n", "comp"), percent)))
+        cross = cross.union(_across(met, _alike("x", "y", percent)))
+    cross = cross.distinct().join(star, ["a", "b"], "left_anti")
+    return first.union(verified(keep(cross), fragments, percent))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -339,6 +339,46 @@ def test_near_duplicates(spark):
     assert jaccard.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_templates(spark, monkeypatch):
+    """Texts of the same few sections share shingles without a link; their pairs do not grow with the square of the texts."""
+    rng = random.Random(4)
+    rows = [" ".join(f"s{i}o{o}w{k}" for i, o in enumerate(c) for k in range(5)) for c in itertools.product(range(3), repeat=6)]
+    for t in rng.sample(rows, 90):
+        w = t.split()
+        rows.append(" ".join(rng.choice([w[2:], w[:-3], [*w, "one", "more"], [*w, *w[:7]], [*w[:29], "x"]])))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, rows)]
+    comp = list(range(len(rows)))
+    linked = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if 100 * (both := len(sets[a] & sets[b])) >= 75 * (len(sets[a]) + len(sets[b]) - both)]
+    for _ in rows:
+        for a, b in linked:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+        if all(comp[a] == comp[b] for a, b in linked):
+            break
+    tried, verified = [], jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda p, f, percent: (tried.append(p.count()), verified(p, f, percent))[1])
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(comp)) and len(linked) > 80
+    assert sum(tried) < 8 * len(rows)  # 49 000 pairs where every class of a shingle meets all others
+
+
+def test_content_signatures(spark):
+    """Whatever their sizes, linked sets have a signature in common at places that the join admits."""
+    rng, percent = random.Random(6), 75
+    sets, linked = {}, []
+    for n in [1, 2, 3, 4, 5, 6, 7, 9, 12, 13, 14, 25, 26, 27, 34, 35, 40, 90, 300]:
+        for _ in range(6):
+            x = {rng.getrandbits(63) for _ in range(n)}
+            y = set(rng.sample(sorted(x), n - rng.randint(0, n // 7))) | {rng.getrandbits(63) for _ in range(rng.randint(0, n // 7))}
+            a = len(sets)
+            sets |= {a: x, a + 1: y}
+            if 100 * len(x & y) >= percent * len(x | y):
+                linked.append((a, a + 1))
+    fragments = spark.createDataFrame([(k, len(x), 0, sorted(x)) for k, x in sets.items()], "node long, n long, frag int, grams array<long>")
+    nodes = spark.createDataFrame([(k, len(x), k) for k, x in sets.items()], "node long, n long, comp long")
+    met = jaccard._across(jaccard._outside(jaccard.content_signatures(fragments, nodes, percent)), jaccard._alike("x", "y", percent))
+    assert len(linked) > 50 and set(linked) <= {(r.a, r.b) for r in met.collect()}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7), (None, 4)]
     got = {r.node: r.comp for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
