@@ -309,10 +309,23 @@ def recon_logmsed(spark, d):
     return s.select("window_id", "y", "class", q6(F.col("log_msed"), "log_msed"))
 
 
-@query()
+# Two dimensions: the halves of a window, side by side. Products of both bases and 1 as rows, their covariances inverted by sweeps.
+_TWO = [[sql.sign_pow(x, 1 / k) for k in (2, 3, 4)] for x in "ab"]
+_PRODUCTS = ", ".join(f"{u} * {v}" for i, u in enumerate(["1.0", *_TWO[0]]) for j, v in enumerate(["1.0", *_TWO[1]]) if i or j)
+_TENSOR = f"""WITH RECURSIVE {SMP}, ob AS (SELECT l.window_id, l.y, l.n AS pos, l.v AS a, r.v AS b FROM smp l JOIN smp r ON l.window_id = r.window_id AND r.n = l.n + 32),
+pw AS (SELECT window_id, y AS class, pos, a, b, unnest([{_PRODUCTS}]) AS p, unnest(range(15)) AS i FROM ob),
+fm AS (SELECT s.class, s.i, t.i AS j, covar_pop(s.p, t.p) + CASE WHEN s.i = t.i THEN 0.01 ELSE 0 END AS v FROM pw s JOIN pw t USING (window_id, pos) GROUP BY s.class, s.i, t.i), {sql.sweep('fm', 15)},
+bt AS (SELECT class, i, avg(p) AS m, covar_pop(p, a) AS ca, covar_pop(p, b) AS cb, avg(a) AS ma, avg(b) AS mb FROM pw GROUP BY class, i),
+kk AS (SELECT inv.class, inv.i, sum(g * ca) AS ka, sum(g * cb) AS kb FROM inv JOIN bt ON inv.class = bt.class AND inv.j = bt.i GROUP BY inv.class, inv.i),
+k0 AS (SELECT class, any_value(ma) - sum(ka * m) AS ka0, any_value(mb) - sum(kb * m) AS kb0 FROM kk JOIN bt USING (class, i) GROUP BY class),
+er AS (SELECT window_id, pw.class AS y, kk.class, pos, (pow(any_value(a) - any_value(ka0) - sum(ka * p), 2) + pow(any_value(b) - any_value(kb0) - sum(kb * p), 2)) / 2 AS e FROM pw JOIN kk USING (i) JOIN k0 ON k0.class = kk.class GROUP BY ALL)"""
+
+
+@query(_TENSOR + f" SELECT window_id, y, class, {r6('ln(avg(e) + 1e-8)')} AS log_msed FROM er GROUP BY window_id, y, class")
 def recon_multivariate(spark, d):
     x = windows(spark, d).select("window_id", "y", F.explode(F.arrays_zip(F.slice("x", 1, 32).alias("a"), F.slice("x", 33, 32).alias("b"))).alias("o")).select("window_id", "y", "o.a", "o.b")
-    return reconstruct.Reconstructor().fit(x, "y", ["a", "b"]).transform(x, ["window_id", "y"], ["a", "b"])
+    s = reconstruct.Reconstructor().fit(x, "y", ["a", "b"]).transform(x, ["window_id", "y"], ["a", "b"])
+    return s.select("window_id", "y", "class", q6(F.col("log_msed"), "log_msed"))
 
 
 # Eigenvalues of a symmetric 3 x 3 matrix in closed form: q + 2 p cos(phi) and its turn by a third.
