@@ -125,6 +125,17 @@ def test_token_files(spark, docs, rows):
     assert tokenfiles.token_file_round_trip(spark.createDataFrame([], EMPTY), vocabulary()).count() == 0
 
 
+def test_token_files_of_null_and_repeated_ids(spark):
+    rows = [(7, "x"), (None, "a b"), (3, "q"), (7, "y z"), (None, None), (7, ""), (None, "a b")]
+    files = tokenfiles.token_file_round_trip(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), vocabulary())
+    got, at = sorted(files.select("start", "n_tokens", "ids_crc32", "doc_id").collect()), 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id for r in got] == [None] * 3 + [3] + [7] * 3
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in got) == sorted((str(i), len(x := encode(t)), zlib.crc32(x.tobytes())) for i, t in rows)
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(1)
     for n, top in ((0, 1), (1, 5), (3000, 40), (140_000, 49_407)):
