@@ -64,7 +64,9 @@ class Softmax:
         return float(-lp[np.arange(len(y)), y].sum()), (error.T @ x).ravel(), h.reshape(k * d, k * d)
 
     def move(self, loss: float, g: np.ndarray, h: np.ndarray, c: float, tol: float) -> None:
-        """A Newton step on c loss + |w|^2 / 2 without the bias, halved while it does not help."""
+        """A Newton step on c loss + |w|^2 / 2 without the bias, halved while it does not help. Where each label has a bias, the
+        same number added to all of them changes nothing: curvature is added in that direction, in which the gradient is but
+        rounding, so that steps do not drift along it for ever."""
         free = np.ones(self.w.shape)
         free[:, -1] = 0
         value = c * loss + float((free * self.w**2).sum()) / 2
@@ -72,7 +74,11 @@ class Softmax:
             self.step = self.step / 2
         else:
             self.best, self.value = self.w, value
-            self.step = -np.linalg.solve(c * h + np.diag((free + 1e-9 * (1 - free)).ravel()), c * g + (free * self.w).ravel()).reshape(self.w.shape)
+            h = c * h + np.diag((free + 1e-9 * (1 - free)).ravel())
+            if len(self.w) > 2:
+                bias = np.ix_(*2 * [np.flatnonzero(free.ravel() == 0)])
+                h[bias] += np.trace(h[bias]) / len(self.w)
+            self.step = -np.linalg.solve(h, c * g + (free * self.w).ravel()).reshape(self.w.shape)
         self.done = bool(np.abs(self.step).max() < tol)
         self.w = self.best if self.done else self.best + self.step
 

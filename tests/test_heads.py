@@ -88,3 +88,19 @@ def test_keys_without_a_model_get_none(spark, frame):
         assert f(frame.where("k = 'clouds'"), other, "k", "y", "s").first().p is None
     one = frame.where("k = 'clouds' and y = 2")
     assert {r.p for r in heads.grouped_machines(one, one, "k", "y", "s").collect()} == {2}
+
+
+def test_newton_steps_end_with_many_labels():
+    """The same number in all biases changes nothing; its rounding must not keep the steps going."""
+    rng = np.random.default_rng(1)
+    y = rng.integers(0, 10, 20000)
+    s = np.log(rng.chisquare(8, size=(len(y), 10)) + 0.1)
+    s[np.arange(len(y)), y] -= 0.1
+    m = heads.Softmax(list(range(10)), s.mean(axis=0), s.std(axis=0), np.zeros((10, 11)))
+    for _ in range(10):
+        if not m.done:
+            m.move(*m.derivatives(s, y), 1.0, 1e-6)
+    assert m.done
+    x = m.design(s)
+    error = np.exp(m.log_probability(x)) - np.eye(10)[y]
+    assert np.abs((error.T @ x + m.w * ([1] * 10 + [0]))).max() < 1e-4
