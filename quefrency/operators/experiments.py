@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quefrency.functions import signal
+from quefrency.functions import columns, signal
 from quefrency.operators import compat, heads, metrics, moments, ranking, spectra, stats
 from quefrency.operators.discriminant import ClassMoments
 
@@ -234,8 +234,8 @@ def _models(train: DataFrame) -> dict[str, ClassMoments]:
     return {k: ClassMoments.of({u: v for u, v in parts.items() if u[0] == k}) for k in {k for k, _ in parts}}
 
 
-def _by_key(kernels: dict, names: dict[str, list] | None = None):
-    """(key, s) -> each row through the kernel of its key, as a column; or the named class with its least score."""
+def _by_key(kernels: dict, names: dict[str, list]):
+    """(key, s) -> the named class with the least score of each row by the kernel of its key, as a column."""
 
     def run(k: pd.Series, s: pd.Series) -> pd.Series:
         out: list = [None] * len(k)
@@ -243,7 +243,7 @@ def _by_key(kernels: dict, names: dict[str, list] | None = None):
             if name in kernels:
                 x = kernels[name](moments.stacked(s.iloc[rows]))
                 for i, row in zip(rows, x, strict=True):
-                    out[i] = row if names is None else names[name][int(row.argmin())]
+                    out[i] = names[name][int(row.argmin())]
         return pd.Series(out, dtype=object)
 
     return run
@@ -259,7 +259,8 @@ def predict(train: DataFrame, test: DataFrame, design: Design) -> DataFrame:
         return test.withColumn("p", best("key", "s"))
     if design.head == "logistic":
         kernels = {k: v.kernel(v.ridge_forms(design.ridge), logs=True) for k, v in m.items()}
-        logs = F.pandas_udf(_by_key(kernels), "array<double>")
+        each = lambda k, s: [columns.packed(kernels[k](s))] if k in kernels else None
+        logs = F.arrow_udf(lambda k, s: columns.by_key(k, s, [columns.VECTOR], each)[0], "array<double>")
         a = train.select("key", "y", logs("key", "s").alias("s")).persist()
         out = heads.grouped_logistic(a, test.withColumn("s", logs("key", "s")), "key", "y")
         a.unpersist()

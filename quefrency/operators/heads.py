@@ -8,12 +8,15 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from quefrency.functions import columns
 from quefrency.operators import moments
 
 
@@ -155,17 +158,19 @@ def grouped_logistic(train: DataFrame, test: DataFrame, key: str, y: str, s: str
     own = train.select(F.col(key).alias("key"), F.col(y).alias("y"), F.col(s).cast("array<double>").alias("s"))
     kind, models = own.schema["y"].dataType.simpleString(), fit_logistic(own, c=c, steps=steps, tol=tol)
 
-    def score(k: pd.Series, s: pd.Series) -> pd.DataFrame:
-        p, prob = [None] * len(k), [None] * len(k)
-        for name, rows in k.reset_index(drop=True).groupby(k.to_numpy()).groups.items():
-            m = models.get(name)
-            if m is not None:
-                x = np.exp(m.log_probability(m.design(moments.stacked(s.iloc[rows]))))
-                for i, row in zip(rows, x, strict=True):
-                    p[i], prob[i] = m.labels[int(row.argmax())], row
-        return pd.DataFrame({"p": p, "probability": prob})
-
-    scored = F.pandas_udf(score, f"p {kind}, probability array<double>")
+    label = to_arrow_type(own.schema["y"].dataType)
+
+    def each(name: str, s: np.ndarray) -> list[pa.Array] | None:
+        m = models.get(name)
+        if m is None:
+            return None
+        x = np.exp(m.log_probability(m.design(s)))
+        return [pa.array(m.labels, label).take(pa.array(x.argmax(axis=1))), columns.packed(x)]
+
+    def score(k: pa.Array, s: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays(columns.by_key(k, s, [label, columns.VECTOR], each), ["p", "probability"])
+
+    scored = F.arrow_udf(score, f"p {kind}, probability array<double>")
     return test.withColumn("__r", scored(F.col(key), F.col(s).cast("array<double>"))).select(*test.columns, "__r.p", "__r.probability")
 
 
