@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quefrency.functions import columns, signal
+from quefrency.functions import signal
 from quefrency.operators import compat, heads, metrics, moments, ranking, spectra, stats
 from quefrency.operators.discriminant import ClassMoments
 
@@ -54,6 +54,11 @@ def split_roles(windows: DataFrame, group: str, splits: int, test_size: float =
     return g.select("split", group, F.when(F.col("before") < cut, "test").otherwise("train").alias("role"))
 
 
+def parts(roles: DataFrame, role: str, out: str = "parts") -> DataFrame:
+    """grp, and the splits in which it has a role, as an array: a row a group."""
+    return roles.where(F.col("role") == role).groupBy("grp").agg(F.array_sort(F.collect_list("split")).alias(out))
+
+
 def uniform(*parts: Column) -> Column:
     """A number in (0, 1) from a hash of parts."""
     return (F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts))), 1, 12), 16, 10).cast("long") + 0.5) / float(1 << 48)
@@ -118,14 +123,16 @@ def through_complex_channel(re: str, im: str, h: str) -> Column:
 
 def _tested(windows: DataFrame, roles: DataFrame, design: Design, draw) -> DataFrame:
     """Every split's test windows at each severity, with a channel of their own as the column h."""
-    test = windows.join(roles.where("role = 'test'"), "grp")
     if design.rng == "compat":
+        test = windows.join(roles.where("role = 'test'"), "grp")
         h = compat.channels(test, design.severities, design.seed, complex_=draw is complex_taps)
         return moments.spread(test.join(h, ["split", "window_id"]))
-    each = test.withColumn("severity", F.explode(F.array(*map(F.lit, design.severities))))
+    # Windows are dealt out before they are repeated, so that a window is shuffled once for all splits and severities.
+    own = moments.spread(windows.join(parts(roles, "test", "__splits"), "grp"))
+    each = own.withColumn("split", F.explode("__splits")).drop("__splits").withColumn("severity", F.explode(F.array(*map(F.lit, design.severities))))
     h = draw(F.col("severity"), F.lit(design.seed + 7), F.col("split"), F.col("severity"), F.col("window_id"))
     # The channel is a column of its own before the kernel takes it, so that it is drawn once.
-    return moments.spread(each).withColumn("h", h)
+    return each.withColumn("h", h)
 
 
 def distorted(windows: DataFrame, roles: DataFrame, design: Design) -> DataFrame:
@@ -223,17 +230,6 @@ def masked(reps: dict[str, Representation], n_fft=256, hop=128, least=0.8) -> di
 # --- heads and scores ------------------------------------------------------------------------------------------------
 
 
-def _models(train: DataFrame) -> dict[str, ClassMoments]:
-    """key -> class moments, of rows key, y, s: one pass for all models."""
-
-    def each(b: pd.DataFrame):
-        for k, rows in b.groupby(["key", "y"]).groups.items():
-            yield k, moments.stacked(b.loc[rows, "s"])
-
-    parts = moments.grouped(train, {"key": "string", "y": train.schema["y"].dataType.simpleString()}, each)
-    return {k: ClassMoments.of({u: v for u, v in parts.items() if u[0] == k}) for k in {k for k, _ in parts}}
-
-
 def _by_key(kernels: dict, names: dict[str, list]):
     """(key, s) -> the named class with the least score of each row by the kernel of its key, as a column."""
 
@@ -249,34 +245,53 @@ def _by_key(kernels: dict, names: dict[str, list]):
     return run
 
 
+def _of_splits(splits: int) -> heads.Views:
+    """A model for each split of a representation, which learns from the rows that have the split among their parts."""
+    return lambda rep: [(f"{rep}:{k}", lambda s: s, k) for k in range(splits)]
+
+
+def _models(own: DataFrame, views: heads.Views) -> dict[str, ClassMoments]:
+    """Class moments by model: one pass for all models."""
+    return {k: ClassMoments.of(m) for k, m in heads.view_moments(own, views).items()}
+
+
 def predict(train: DataFrame, test: DataFrame, design: Design) -> DataFrame:
-    """test with p (and probability by class for the logistic head), from columns key and s: a model for each key, all fitted together."""
-    kind = train.schema["y"].dataType.simpleString()
-    m = _models(train.select("key", "y", "s")) if design.head in ("nearest", "logistic") else {}
-    if design.head == "nearest":
-        kernels = {k: v.kernel(v.ridge_forms(design.ridge)) for k, v in m.items()}
-        best = F.pandas_udf(_by_key(kernels, {k: list(v.classes) for k, v in m.items()}), kind)
-        return test.withColumn("p", best("key", "s"))
-    if design.head == "logistic":
-        kernels = {k: v.kernel(v.ridge_forms(design.ridge), logs=True) for k, v in m.items()}
-        each = lambda k, s: [columns.packed(kernels[k](s))] if k in kernels else None
-        logs = F.arrow_udf(lambda k, s: columns.by_key(k, s, [columns.VECTOR], each)[0], "array<double>")
-        a = train.select("key", "y", logs("key", "s").alias("s")).persist()
-        out = heads.grouped_logistic(a, test.withColumn("s", logs("key", "s")), "key", "y")
-        a.unpersist()
+    """test with p (and probability by class for the logistic head). train: key (a representation), y, s, and parts, the splits
+    that a frame is learned from; test: key (a representation and a split, `rep:split`) and s. A model for each such pair, all
+    fitted together; frames are not copied for the splits, but for the heads svm and gmm."""
+    kind, views = train.schema["y"].dataType, _of_splits(design.splits)
+    if design.head in ("nearest", "logistic"):
+        own = moments.spread_by(train.select("key", "y", "s", "parts"), "key").persist()
+        m = _models(own, views)
+        kernels = {k: v.kernel(v.ridge_forms(design.ridge), logs=design.head == "logistic") for k, v in m.items()}
+        if design.head == "nearest":
+            best = F.pandas_udf(_by_key(kernels, {k: list(v.classes) for k, v in m.items()}), kind)
+            out = test.withColumn("p", best("key", "s"))
+        else:
+            models = heads.fit_logistic(own, lambda rep: [(k, kernels[k], part) for k, _, part in views(rep) if k in kernels])
+            out = heads.logistic_scores(test, "key", "s", kind, models, kernels)
+        own.unpersist()
         return out
     if design.head not in ("svm", "gmm"):
         raise ValueError(f"unknown head {design.head!r}")
     f = heads.grouped_machines if design.head == "svm" else heads.grouped_mixture
-    return f(train, test, "key", "y")
+    each = train.withColumn("split", F.explode("parts")).select(F.concat_ws(":", "key", "split").alias("key"), "y", "s")
+    own = moments.spread_by(each, "key").persist()
+    out = f(own, test, "key", "y")
+    own.unpersist()
+    return out
+
+
+def _frames(windows: DataFrame, reps: dict[str, Representation], roles: DataFrame) -> DataFrame:
+    """key (a representation), y, s, parts of every window's frames: a frame once, whatever the number of splits."""
+    own = windows.join(parts(roles, "train"), "grp")
+    return reduce(DataFrame.unionByName, (f(own).select(F.lit(n).alias("key"), "y", "s", "parts") for n, f in reps.items()))
 
 
 def conditioning(windows: DataFrame, reps: dict[str, Representation], design: Design, ridges: tuple[float, ...] = (1e-2,)) -> DataFrame:
     """rep, split, ridge, y, cond: condition of each class's regularised covariance over clean training frames."""
-    roles = design_roles(windows, design).where("role = 'train'")
-    train = reduce(DataFrame.unionByName, (f(windows).select(F.lit(n).alias("rep"), "grp", "y", "s") for n, f in reps.items())).join(roles, "grp")
-    m = _models(train.select(F.concat_ws(":", "split", "rep").alias("key"), "y", "s"))
-    rows = [(k.split(":", 1)[1], int(k.split(":", 1)[0]), r, c, cond) for k, v in m.items() for r in ridges for c, cond, _ in v.conditioning(r)]
+    m = _models(_frames(windows, reps, design_roles(windows, design)), _of_splits(design.splits))
+    rows = [(k.rpartition(":")[0], int(k.rpartition(":")[2]), r, c, cond) for k, v in m.items() for r in ridges for c, cond, _ in v.conditioning(r)]
     return windows.sparkSession.createDataFrame(rows, f"rep string, split int, ridge double, y {windows.schema['y'].dataType.simpleString()}, cond double")
 
 
@@ -285,14 +300,8 @@ def predictions(windows: DataFrame, reps: dict[str, Representation], design: Des
     distort: distorted, or distorted_complex for windows of re and im."""
     roles = design_roles(windows, design)
     bent = distort(windows, roles, design)
-    named = lambda f, name, cols: f.select(F.lit(name).alias("rep"), *cols, "s")
-    train = reduce(DataFrame.unionByName, (named(f(windows), n, ["grp", "y"]) for n, f in reps.items())).join(roles.where("role = 'train'"), "grp")
-    test = reduce(DataFrame.unionByName, (named(f(bent), n, IDS) for n, f in reps.items()))
-    key = F.concat_ws(":", "rep", "split").alias("key")
-    a = moments.spread(train.select(key, "y", "s")).persist()
-    out = predict(a, test.select(key, "*"), design).drop("key", "s")
-    a.unpersist()
-    return out
+    test = reduce(DataFrame.unionByName, (f(bent).select(F.lit(n).alias("rep"), *IDS, "s") for n, f in reps.items()))
+    return predict(_frames(windows, reps, roles), test.select(F.concat_ws(":", "rep", "split").alias("key"), "*"), design).drop("key", "s")
 
 
 def run(windows: DataFrame, reps: dict[str, Representation], design: Design = Design(), distort=distorted) -> DataFrame:  # noqa: B008

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -15,6 +14,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from quefrency.functions import columns
 from quefrency.operators import moments
@@ -61,7 +61,7 @@ class Softmax:
         error = free - (y[:, None] == np.arange(len(self.labels))[-k:])
         d = x.shape[1]
         wide = (free[:, :, None] * x[:, None]).reshape(len(x), k * d)
-        h = (-wide.T @ wide).reshape(k, d, k, d)
+        h = -(wide.T @ wide).reshape(k, d, k, d)  # of one matrix with itself, half the work
         for i in range(k):
             h[i, :, i] += (x * free[:, i : i + 1]).T @ x
         return float(-lp[np.arange(len(y)), y].sum()), (error.T @ x).ravel(), h.reshape(k * d, k * d)
@@ -86,11 +86,48 @@ class Softmax:
         self.w = self.best if self.done else self.best + self.step
 
 
-Views = Callable[[str], list[tuple[str, Callable[[np.ndarray], np.ndarray]]]]
+#: What models see in rows of a key: a model's name, the function that makes its features, and the part its rows are in (None: all).
+Views = Callable[[str], list[tuple]]
 
 
-def _as_it_is(key: str) -> list[tuple[str, Callable]]:
-    return [(key, lambda s: s)]
+def _as_it_is(key: str) -> list[tuple]:
+    return [(key, lambda s: s, None)]
+
+
+def _viewed(batch: pa.RecordBatch, views: Views, want=None) -> Iterator[tuple[str, np.ndarray, list, np.ndarray]]:
+    """Each model with rows in a batch (key, y, s, and parts where views name any): its name, their features, labels of the
+    batch, and the rows' places among them. Features are made once a model, and rows are taken once a part."""
+    k, y, x = batch.column("key").dictionary_encode(), batch.column("y").dictionary_encode(), columns.Lists(batch.column("s"))
+    code, label = (d.indices.fill_null(-1).to_numpy(zero_copy_only=False) for d in (k, y))
+    labels, fine = y.dictionary.to_pylist(), (label >= 0) & (x.size >= 0)
+    if "parts" in batch.schema.names:
+        p = columns.Lists(batch.column("parts"))
+        of, row = p.values.astype(int), np.repeat(np.arange(batch.num_rows), np.maximum(p.size, 0))
+    for i, name in enumerate(k.dictionary.to_pylist()):
+        rows, taken = fine & (code == i), {}
+        for model, f, part in views(name):
+            if want is not None and model not in want:
+                continue
+            if part not in taken:
+                at = np.flatnonzero(rows) if part is None else row[(of == part) & rows[row]]
+                taken[part] = at, x.matrix(at) if len(at) else None
+            at, s = taken[part]
+            if len(at):
+                yield model, f(s), labels, label[at]
+
+
+def view_moments(own: DataFrame, views: Views = _as_it_is) -> dict[str, dict[tuple, tuple]]:
+    """name -> (label,) -> (n, mean, scatter) of the features that each model sees."""
+
+    def each(b: pa.RecordBatch):
+        for name, s, labels, at in _viewed(b, views):
+            for i in np.unique(at):
+                yield (name, labels[i]), s[at == i]
+
+    out: dict[str, dict[tuple, tuple]] = {}
+    for (name, y), part in moments.grouped(own, {"key": "string", "y": own.schema["y"].dataType.simpleString()}, each, arrow=True).items():
+        out.setdefault(name, {})[(y,)] = part
+    return out
 
 
 def fit_logistic(own: DataFrame, views: Views = _as_it_is, c: float = 1.0, steps: int = 60, tol: float = 1e-6, start: dict[str, np.ndarray] | None = None) -> dict[str, Softmax]:
@@ -98,82 +135,65 @@ def fit_logistic(own: DataFrame, views: Views = _as_it_is, c: float = 1.0, steps
     deviation. The objective is that of C = c, with free intercepts.
 
     views: the models that rows of a key belong to, each with the features that it sees in them: by default one, named like
-    the key. Features of many models are made inside the tasks, so rows are read once for all of them.
+    the key. Features of many models are made inside the tasks, so rows are read once for all of them. A view that names a
+    part takes the rows whose column parts (array<int>) holds it: a row that many models learn from is not copied for them.
 
     All models take their Newton steps together: a step is one pass that sums gradients and Hessians by model. What meets on
     the driver is one row a model. start: weights to begin with, by name; the optimum is the same, as there is but one.
     """
-    kind = own.schema["y"].dataType.simpleString()
-
-    def each(b: pd.DataFrame):
-        for (k, y), rows in b.groupby(["key", "y"]).groups.items():
-            m = moments.stacked(b.loc[rows, "s"])
-            for name, f in views(k):
-                yield (name, y), f(m)
-
-    parts, models = moments.grouped(own, {"key": "string", "y": kind}, each), {}
-    labels: dict[str, list] = {}
-    for name, y in parts:
-        labels.setdefault(name, []).append(y)
-    for name, own_labels in labels.items():
-        total = None
-        for v in sorted(own_labels):
-            total = moments.merged(total, parts[name, v]) if total else parts[name, v]
+    models = {}
+    for name, parts in view_moments(own, views).items():
+        labels, total = sorted(y for (y,) in parts), None
+        for v in labels:
+            total = moments.merged(total, parts[(v,)]) if total else parts[(v,)]
         mean, std = total[1], moments.deviation(*total)
-        w, near = np.zeros((1 if len(own_labels) <= 2 else len(own_labels), len(mean) + 1)), (start or {}).get(name)
-        models[name] = Softmax(sorted(own_labels), mean, std, near if near is not None and near.shape == w.shape else w, done=len(own_labels) < 2)
+        w, near = np.zeros((1 if len(labels) <= 2 else len(labels), len(mean) + 1)), (start or {}).get(name)
+        models[name] = Softmax(labels, mean, std, near if near is not None and near.shape == w.shape else w, done=len(labels) < 2)
 
-    def sums(batches: Iterator[pd.DataFrame], models: dict) -> Iterator[pd.DataFrame]:
-        held: dict[str, list] = {}
-        for b in batches:
-            for k, rows in b.groupby("key").groups.items():
-                mine = [(name, f, models[name]) for name, f in views(k) if name in models]
-                if not mine:
-                    continue
-                s, y = moments.stacked(b.loc[rows, "s"]), b.loc[rows, "y"]
-                for name, f, m in mine:
-                    at = {v: i for i, v in enumerate(m.labels)}
-                    d = m.derivatives(f(s), y.map(at).to_numpy(int))
-                    held[name] = [u + v for u, v in zip(held[name], d, strict=True)] if name in held else list(d)
-        yield pd.DataFrame([(k, f, g.tobytes(), h.tobytes()) for k, (f, g, h) in held.items()], columns=["key", "f", "g", "h"])
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("f")
-        total = lambda c: sum(np.frombuffer(x) for x in rows[c]).tobytes()
-        return pd.DataFrame({"key": rows["key"].iloc[:1].to_list(), "f": [rows["f"].sum()], "g": [total("g")], "h": [total("h")]})
-
-    schema = "key string, f double, g binary, h binary"
     for _ in range(steps):
         open_ = {k: m for k, m in models.items() if not m.done}
         if not open_:
             break
-        for r in own.mapInPandas(partial(sums, models=open_), schema).groupBy("key").applyInPandas(add, schema).collect():
-            g = np.frombuffer(r["g"])
-            open_[r["key"]].move(r["f"], g, np.frombuffer(r["h"]).reshape(len(g), -1), c, tol)
-    return models
 
+        def each(b: pa.RecordBatch, now=open_):
+            for name, s, labels, at in _viewed(b, views, now):
+                place = {v: i for i, v in enumerate(now[name].labels)}
+                f, g, h = now[name].derivatives(s, np.array([place.get(v, 0) for v in labels])[at])
+                yield (name,), np.concatenate([[f], g, h[np.triu_indices(len(g))]])  # a Hessian is symmetric: half of it is sent
+
+        for (name,), v in moments.summed(own, {"key": "string"}, each, arrow=True).items():
+            n = open_[name].w.size
+            h = np.zeros((n, n))
+            h[np.triu_indices(n)] = v[n + 1 :]
+            open_[name].move(float(v[0]), v[1 : n + 1], np.triu(h, 1).T + h, c, tol)
+    return models
 
-def grouped_logistic(train: DataFrame, test: DataFrame, key: str, y: str, s: str = "s", c: float = 1.0, steps: int = 60, tol: float = 1e-6) -> DataFrame:
-    """test with p, and probability by label in their order: a model of fit_logistic() for each value of the string column `key`."""
-    own = train.select(F.col(key).alias("key"), F.col(y).alias("y"), F.col(s).cast("array<double>").alias("s"))
-    kind, models = own.schema["y"].dataType.simpleString(), fit_logistic(own, c=c, steps=steps, tol=tol)
 
-    label = to_arrow_type(own.schema["y"].dataType)
+def logistic_scores(test: DataFrame, key: str, s: str, kind: DataType, models: dict[str, Softmax], features: dict[str, Callable] | None = None) -> DataFrame:
+    """test with p, and probability by label in their order, by the model that the column `key` names; null without one.
+    kind: of the labels; features: what a model sees in s."""
+    label = to_arrow_type(kind)
 
-    def each(name: str, s: np.ndarray) -> list[pa.Array] | None:
+    def each(name: str, x: np.ndarray) -> list[pa.Array] | None:
         m = models.get(name)
         if m is None:
             return None
-        x = np.exp(m.log_probability(m.design(s)))
-        return [pa.array(m.labels, label).take(pa.array(x.argmax(axis=1))), columns.packed(x)]
+        p = np.exp(m.log_probability(m.design(features[name](x) if features else x)))
+        return [pa.array(m.labels, label).take(pa.array(p.argmax(axis=1))), columns.packed(p)]
 
-    def score(k: pa.Array, s: pa.Array) -> pa.Array:
-        return pa.StructArray.from_arrays(columns.by_key(k, s, [label, columns.VECTOR], each), ["p", "probability"])
+    def score(k: pa.Array, x: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays(columns.by_key(k, x, [label, columns.VECTOR], each), ["p", "probability"])
 
-    scored = F.arrow_udf(score, f"p {kind}, probability array<double>")
+    scored = F.arrow_udf(score, f"p {kind.simpleString()}, probability array<double>")
     return test.withColumn("__r", scored(F.col(key), F.col(s).cast("array<double>"))).select(*test.columns, "__r.p", "__r.probability")
 
 
+def grouped_logistic(train: DataFrame, test: DataFrame, key: str, y: str, s: str = "s", c: float = 1.0, steps: int = 60, tol: float = 1e-6) -> DataFrame:
+    """test with p, and probability by label in their order: a model of fit_logistic() for each value of the string column `key`."""
+    own = train.select(F.col(key).alias("key"), F.col(y).alias("y"), F.col(s).cast("array<double>").alias("s"))
+    return logistic_scores(test, key, s, own.schema["y"].dataType, fit_logistic(own, c=c, steps=steps, tol=tol))
+
+
 def logistic(train: DataFrame, test: DataFrame, y: str, features: list[str]) -> DataFrame:
     """test with p and probability by label: one model of grouped_logistic() over feature columns."""
     wide = lambda d: d.withColumn("__key", F.lit("all")).withColumn("__s", F.array(*(F.col(f"`{c}`").cast("double") for c in features)))
@@ -215,12 +235,8 @@ def _keyed(train: DataFrame, key: str, y: str, s: str) -> tuple[DataFrame, str,
     own = train.select(F.col(key).alias("key"), F.col(y).alias("y"), F.col(s).cast("array<double>").alias("s"))
     kind = own.schema["y"].dataType.simpleString()
 
-    def each(b: pd.DataFrame):
-        for k, rows in b.groupby(["key", "y"]).groups.items():
-            yield k, moments.stacked(b.loc[rows, "s"])
-
     by_key: dict[str, dict] = {}
-    for (k, c), part in moments.grouped(own, {"key": "string", "y": kind}, each).items():
+    for (k, c), part in moments.grouped(own, {"key": "string", "y": kind}, lambda b: moments.by_groups(b, ["key", "y"]), arrow=True).items():
         by_key.setdefault(k, {})[c] = part
     scales = {}
     for k, parts in by_key.items():
@@ -265,15 +281,15 @@ def fit_mixtures(own: DataFrame, kind: str, scales: dict[str, Scale], parts: int
         if not open_:
             break
 
-        def each(b: pd.DataFrame, now={u: models[u] for u in open_}):  # noqa: B006
-            for u, rows in b.groupby(["key", "y"]).groups.items():
+        def each(b: pa.RecordBatch, now={u: models[u] for u in open_}):  # noqa: B006
+            for u, s in moments.by_groups(b, ["key", "y"]):
                 if u in now:
-                    x = scales[u[0]](moments.stacked(b.loc[rows, "s"]))
+                    x = scales[u[0]](s)
                     lp = _log_parts(x, now[u])
                     r = np.exp(lp - np.logaddexp.reduce(lp, axis=1, keepdims=True))
                     yield u, np.concatenate([r.sum(axis=0), (r.T @ x).ravel(), (r.T @ x**2).ravel()])
 
-        for u, v in moments.summed(own, {"key": "string", "y": kind}, each).items():
+        for u, v in moments.summed(own, {"key": "string", "y": kind}, each, arrow=True).items():
             n, d = np.maximum(v[:parts], 1e-9), len(scales[u[0]].mean)
             first, second = v[parts : parts + parts * d].reshape(parts, d), v[parts + parts * d :].reshape(parts, d)
             mean = first / n[:, None]

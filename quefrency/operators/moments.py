@@ -6,7 +6,13 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from quefrency.functions import columns
 
 
 def merged(a: tuple, b: tuple) -> tuple:
@@ -31,8 +37,42 @@ def stacked(s: pd.Series) -> np.ndarray:
     return np.stack(s.to_numpy()).astype(float)
 
 
-def grouped(frame: DataFrame, keys: dict[str, str], each: Callable[[pd.DataFrame], Iterable[tuple[tuple, np.ndarray]]]) -> dict[tuple, tuple]:
-    """key -> (n, mean, scatter), of the matrices that each(batch) gives by key. keys: names and types. One row a key meets on the driver."""
+def by_groups(batch: pa.RecordBatch, names: list[str], s: str = "s") -> Iterator[tuple[tuple, np.ndarray]]:
+    """Values of the columns `names`, and the matrix of the arrays s of their rows, for each such group of an Arrow batch.
+    Rows with a null among them are left out."""
+    x, code, values = columns.Lists(batch.column(s)), np.zeros(batch.num_rows, np.int64), []
+    ok = x.size >= 0
+    for name in names:
+        d = batch.column(name).dictionary_encode()
+        at = d.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        ok, code = ok & (at >= 0), code * len(d.dictionary) + at
+        values.append(d.dictionary.to_pylist())
+    rows = np.flatnonzero(ok)
+    rows = rows[np.argsort(code[rows], kind="stable")]
+    for at in np.split(rows, np.flatnonzero(np.diff(code[rows])) + 1) if len(rows) else []:
+        place, key = int(code[at[0]]), []
+        for v in reversed(values):
+            place, i = divmod(place, len(v))
+            key.append(v[i])
+        yield tuple(reversed(key)), x.matrix(at)
+
+
+def _passed(frame: DataFrame, run: Callable[[Iterator], Iterator[pd.DataFrame]], schema: str, arrow: bool) -> DataFrame:
+    """The rows that run makes of pandas frames, or of Arrow batches."""
+    if not arrow:
+        return frame.mapInPandas(run, schema)
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in run(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(rows[f.name].to_list(), f.type) for f in kinds], schema=kinds)
+
+    return frame.mapInArrow(made, schema)
+
+
+def grouped(frame: DataFrame, keys: dict[str, str], each: Callable[[pd.DataFrame], Iterable[tuple[tuple, np.ndarray]]], arrow: bool = False) -> dict[tuple, tuple]:
+    """key -> (n, mean, scatter), of the matrices that each(batch) gives by key. keys: names and types. One row a key meets on
+    the driver. arrow: batches are Arrow's, whose arrays are read without an object a row."""
     schema = ", ".join(f"{k} {t}" for k, t in keys.items()) + ", n long, mean array<double>, scatter array<double>"
     names = [*keys, "n", "mean", "scatter"]
 
@@ -51,13 +91,13 @@ def grouped(frame: DataFrame, keys: dict[str, str], each: Callable[[pd.DataFrame
             total = merged(total, part) if total else part
         return pd.DataFrame([(*(rows[k].iloc[0] for k in keys), total[0], total[1], total[2].ravel())], columns=names)
 
-    rows = frame.mapInPandas(run, schema).groupBy(*keys).applyInPandas(add, schema).collect()
+    rows = _passed(frame, run, schema, arrow).groupBy(*keys).applyInPandas(add, schema).collect()
     return {tuple(r[k] for k in keys): (r["n"], np.array(r["mean"]), np.array(r["scatter"]).reshape(len(r["mean"]), -1)) for r in sorted(rows, key=lambda r: tuple(str(r[k]) for k in keys))}
 
 
-def summed(frame: DataFrame, keys: dict[str, str], each: Callable[[pd.DataFrame], Iterable[tuple[tuple, np.ndarray]]]) -> dict[tuple, np.ndarray]:
+def summed(frame: DataFrame, keys: dict[str, str], each: Callable[[pd.DataFrame], Iterable[tuple[tuple, np.ndarray]]], arrow: bool = False) -> dict[tuple, np.ndarray]:
     """key -> sum of the vectors that each(batch) gives by key, all of a key of one length. Tasks send one row a key, and one
-    row a key meets on the driver. keys: names and types."""
+    row a key meets on the driver. keys: names and types. arrow: as of grouped()."""
     names = [*keys, "v"]
     schema = ", ".join(f"{k} {t}" for k, t in keys.items()) + ", v binary"
 
@@ -72,12 +112,18 @@ def summed(frame: DataFrame, keys: dict[str, str], each: Callable[[pd.DataFrame]
         total = np.sum([np.frombuffer(v) for v in sorted(rows["v"])], axis=0)  # in an order of their own, whatever task sent them
         return pd.DataFrame([(*(rows[k].iloc[0] for k in keys), total.tobytes())], columns=names)
 
-    rows = frame.mapInPandas(run, schema).groupBy(*keys).applyInPandas(add, schema).collect()
+    rows = _passed(frame, run, schema, arrow).groupBy(*keys).applyInPandas(add, schema).collect()
     return {tuple(r[k] for k in keys): np.frombuffer(r["v"]) for r in rows}
 
 
 def spread(frame: DataFrame) -> DataFrame:
-    """The frame dealt to at least as many partitions as there are cores. Rows that are small but costly in Python, or read
-    by every step of a fit, would else meet in the few partitions that their bytes fill."""
+    """The frame dealt to at least as many partitions as there are cores. Rows that are small but costly in Python would else
+    meet in the few partitions that their bytes fill."""
     spark = frame.sparkSession
     return frame.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def spread_by(frame: DataFrame, key: str, s: str = "s") -> DataFrame:
+    """Rows that every step of a fit reads, dealt to a partition a core by ranges of their key, and of a hash inside it. A task
+    sends its sums for each model, so what a step shuffles is about a row a model, and not one for each model and task."""
+    return frame.repartitionByRange(frame.sparkSession.sparkContext.defaultParallelism, key, F.xxhash64(s))

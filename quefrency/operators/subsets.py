@@ -30,11 +30,11 @@ class Trial:
             raise ValueError(f"no subsets for the head {design.head!r}")
         self.design = design
         roles = experiments.design_roles(windows, design)
-        train = base(windows).join(roles.where("role = 'train'"), "grp")
+        train = base(windows.join(experiments.parts(roles, "train"), "grp")).withColumn("split", F.explode("parts"))
         key = F.col("split").cast("string").alias("key")
-        self.train = moments.spread(train.select(key, "y", "s")).persist(StorageLevel.MEMORY_AND_DISK)
+        self.train = moments.spread_by(train.select(key, "y", "s"), "key").persist(StorageLevel.MEMORY_AND_DISK)
         self.test = base(distort(windows, roles, design)).select("split", "severity", "y", "s").persist(StorageLevel.MEMORY_AND_DISK)
-        self.moments: dict[str, ClassMoments] = experiments._models(self.train)
+        self.moments: dict[str, ClassMoments] = experiments._models(self.train, lambda k: [(k, lambda s: s, None)])
         self.weights: dict[str, np.ndarray] = {}  # of the last models, by split and subset
 
     def __enter__(self) -> Trial:
@@ -62,7 +62,7 @@ class Trial:
         order = sorted({name for subsets in chosen.values() for name in subsets})
         if self.design.head == "logistic":
             names = {k: [f"{k}:{name}" for name, _, _ in v] for k, v in forms.items()}
-            views = {k: [(n, _view(at, kernel)) for n, (_, at, kernel) in zip(names[k], v, strict=True)] for k, v in forms.items()}
+            views = {k: [(n, _view(at, kernel), None) for n, (_, at, kernel) in zip(names[k], v, strict=True)] for k, v in forms.items()}
             begin = {n: w for k, w in (start or {}).items() for n in names.get(str(k), [])}
             models = heads.fit_logistic(self.train, lambda k: views.get(k, []), start=begin)
             self.weights = {n: m.w for n, m in models.items()}

@@ -104,3 +104,16 @@ def test_newton_steps_end_with_many_labels():
     x = m.design(s)
     error = np.exp(m.log_probability(x)) - np.eye(10)[y]
     assert np.abs((error.T @ x + m.w * ([1] * 10 + [0]))).max() < 1e-4
+
+
+def test_rows_of_several_parts_are_learned_from_without_copies(spark):
+    """Models whose rows are named by an array of parts are those of fits on copies of the rows, and a step sends a row a model and task."""
+    rng = np.random.default_rng(8)
+    rows = [("all", int(rng.integers(3)), rng.normal(size=4).tolist(), [k for k in range(3) if rng.random() < 0.6]) for _ in range(300)]
+    d = spark.createDataFrame(rows, "key string, y int, s array<double>, parts array<int>")
+    got = heads.fit_logistic(d, lambda key: [(f"{key}:{k}", lambda s: s, k) for k in range(3)])
+    copies = d.select(F.explode("parts").cast("string").alias("key"), "y", "s")
+    want = heads.fit_logistic(copies)
+    assert len(got) == len(want) == 3
+    for k, m in want.items():
+        assert np.allclose(got[f"all:{k}"].w, m.w, atol=1e-8) and got[f"all:{k}"].labels == m.labels
