@@ -451,6 +451,17 @@ def spline_columns(x, lo: float, hi: float, knots: int = 5, degree: int = 3) ->
     return b[:-1]
 
 
+def splines(x: np.ndarray, lo: float, hi: float, knots: int = 5, degree: int = 3) -> np.ndarray:
+    """The columns of spline_columns() for an array of values."""
+    step = (hi - lo) / (knots - 1) or 1.0
+    t = [lo + step * i for i in range(-degree, knots + degree)]
+    x = np.minimum(np.maximum(x, lo), hi - 1e-12 * step)
+    b = [((x >= t[i]) & (x < t[i + 1])).astype(float) for i in range(len(t) - 1)]
+    for p in range(1, degree + 1):
+        b = [(x - t[i]) / (t[i + p] - t[i]) * b[i] + (t[i + p + 1] - x) / (t[i + p + 1] - t[i + 1]) * b[i + 1] for i in range(len(b) - 1)]
+    return np.column_stack(b[:-1])
+
+
 def principal(frame: DataFrame, features: list[str], k: int = 20) -> DataFrame:
     """frame with pc: the first k principal components of z-scored features."""
     z = assembled(pop_scaled(frame, features), features)

@@ -127,3 +127,8 @@ def spread_by(frame: DataFrame, key: str, s: str = "s") -> DataFrame:
     """Rows that every step of a fit reads, dealt to a partition a core by ranges of their key, and of a hash inside it. A task
     sends its sums for each model, so what a step shuffles is about a row a model, and not one for each model and task."""
     return frame.repartitionByRange(frame.sparkSession.sparkContext.defaultParallelism, key, F.xxhash64(s))
+
+
+def dealt(frame: DataFrame) -> DataFrame:
+    """As spread_by(), for rows from which all models of a fit learn: a partition a core."""
+    return frame.repartition(frame.sparkSession.sparkContext.defaultParallelism)

@@ -11,7 +11,6 @@ from dataclasses import dataclass, field
 from functools import partial, reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +42,7 @@ def sweep(steps: int = 20) -> list[Config]:
 
 def standardised(train: DataFrame, *frames: DataFrame, x: str = "x") -> list[DataFrame]:
     """The frames with x less the training rows' mean, by their population deviation where there is any; train comes first."""
-    n, mean, scatter = moments.grouped(train.select(F.col(x).cast("array<double>").alias("s")).withColumn("k", F.lit(0)), {"k": "int"}, lambda b: [((0,), moments.stacked(b["s"]))])[(0,)]
+    n, mean, scatter = moments.grouped(train.select(F.lit(0).alias("k"), F.col(x).cast("array<double>").alias("s")), {"k": "int"}, lambda b: moments.by_groups(b, ["k"]), arrow=True)[(0,)]
     std = np.sqrt(np.diag(scatter) / n)
     scale = columns.rows(partial(_scaled, mean=mean, std=np.where(std > 0, std, 1.0)))
     return [f.withColumn(x, scale(F.col(x).cast("array<double>"))) for f in (train, *frames)]
@@ -65,14 +64,14 @@ class Reconstructions:
     def fit(self, frame: DataFrame, y: str = "y", x: str = "x") -> Reconstructions:
         configs = self.configs
 
-        def each(b: pd.DataFrame):
-            for c, rows in b.groupby("y").groups.items():
-                v = moments.stacked(b.loc[rows, "x"]).ravel()
+        def each(b):
+            for (c,), m in moments.by_groups(b, ["y"], "x"):
+                v = m.ravel()
                 for g in configs:
                     yield (g.name, c), np.column_stack([basis.arrays(g.basis, v, g.n, g.alpha), v])
 
         own = frame.select(F.col(y).alias("y"), F.col(x).cast("array<double>").alias("x"))
-        for (g, c), (n, mean, scatter) in moments.grouped(own, {"config": "string", "y": own.schema["y"].dataType.simpleString()}, each).items():
+        for (g, c), (n, mean, scatter) in moments.grouped(own, {"config": "string", "y": own.schema["y"].dataType.simpleString()}, each, arrow=True).items():
             if n < 2:
                 raise ValueError(f"class {c} has fewer than two values")
             cov, k = scatter / n, len(mean) - 1
@@ -82,18 +81,23 @@ class Reconstructions:
         self.models = {g: dict(sorted(m.items(), key=lambda t: t[0])) for g, m in self.models.items()}
         return self
 
-    def features(self, frame: DataFrame, x: str = "x") -> DataFrame:
-        """frame with key (a configuration's name) and s (a feature a class) instead of x: one pass for all configurations."""
+    def errors(self) -> Callable[[np.ndarray], np.ndarray]:
+        """Samples -> (samples, configurations, classes) of features."""
         models, configs = self.models, self.configs
 
-        def errors(m: np.ndarray) -> np.ndarray:
+        def run(m: np.ndarray) -> np.ndarray:
             out = []
             for g in configs:
                 phi = basis.arrays(g.basis, m, g.n, g.alpha)
                 out.append(np.column_stack([np.log(((m - k0 - phi @ w) ** 2).mean(axis=1) + EPS) for k0, w, _ in models[g.name].values()]))
             return np.stack(out, axis=1)
 
-        made = frame.withColumn("__f", columns.frames(errors, 1)(F.col(x).cast("array<double>"))).drop(x)
+        return run
+
+    def features(self, frame: DataFrame, x: str = "x") -> DataFrame:
+        """frame with key (a configuration's name) and s (a feature a class) instead of x: one pass for all configurations."""
+        configs = self.configs
+        made = frame.withColumn("__f", columns.frames(self.errors(), 1)(F.col(x).cast("array<double>"))).drop(x)
         each = made.select(*(c for c in frame.columns if c != x), F.posexplode("__f").alias("__i", "s"))
         return each.withColumn("key", F.array(*(F.lit(g.name) for g in configs))[F.col("__i")]).drop("__i")
 
@@ -114,12 +118,27 @@ def nearest_feature(train: DataFrame, test: DataFrame) -> DataFrame:
 
 
 def logistic_head(train: DataFrame, test: DataFrame) -> DataFrame:
-    a = moments.spread(train).persist()  # read again by every step of the fit
+    a = moments.spread_by(train, "key").persist()  # read again by every step of the fit
     out = heads.grouped_logistic(a, test, "key", "y").drop("probability")
     a.unpersist()
     return out
 
 
+def _logistic_of_all(a: DataFrame, test: DataFrame, r: Reconstructions, hybrid: str | None) -> DataFrame:
+    """test (key, s, and others) with p, by a logistic model for each configuration. A training row is kept once, with the features
+    of all configurations side by side, and the models see their own."""
+    errors, names, width = r.errors(), [g.name for g in r.configs], {g: len(m) for g, m in r.models.items()}
+    size = width[names[0]]
+    wide = columns.rows(lambda m: errors(m).reshape(len(m), -1))(F.col("x").cast("array<double>"))
+    s = F.concat(wide, F.col(hybrid).cast("array<double>")) if hybrid else wide
+    own = moments.dealt(a).select(F.lit("all").alias("key"), "y", s.alias("s")).persist()
+    end = size * len(names)
+    see = lambda i: lambda m: np.column_stack([m[:, i * size : (i + 1) * size], m[:, end:]])
+    models = heads.fit_logistic(own, lambda key: [(g, see(i), None) for i, g in enumerate(names)])
+    own.unpersist()
+    return heads.logistic_scores(test, "key", "s", a.schema["y"].dataType, models).drop("probability")
+
+
 def classify(train: DataFrame, test: DataFrame, configs: list[Config], head: Callable = logistic_head, ridge: float = RIDGE, standardize: bool = True, hybrid: str | None = None) -> tuple[DataFrame, Reconstructions]:
     """Test rows (key, their columns, p) under every configuration, and the fitted reconstructions. Rows: y, x, and others.
 
@@ -128,8 +147,10 @@ def classify(train: DataFrame, test: DataFrame, configs: list[Config], head: Cal
     a, b = standardised(train, test) if standardize else (train, test)
     r = Reconstructions(configs, ridge).fit(a)
     join = lambda f: f.withColumn("s", F.concat("s", F.col(hybrid).cast("array<double>"))) if hybrid else f
-    own = ["key", "y", "s"]
-    return head(join(r.features(a)).select(*own), join(r.features(b)).drop(*([hybrid] if hybrid else []))).drop("s"), r
+    tested = join(r.features(b)).drop(*([hybrid] if hybrid else []))
+    if head is logistic_head:
+        return _logistic_of_all(a, tested, r, hybrid).drop("s"), r
+    return head(join(r.features(a)).select("key", "y", "s"), tested).drop("s"), r
 
 
 def summary(pred: DataFrame, r: Reconstructions, hybrid_size: int = 0, y: str = "y") -> DataFrame:
@@ -187,19 +208,16 @@ def per_channel(train: DataFrame, test: DataFrame, config: Config, channels: lis
 # --- heads over descriptors, side by side ----------------------------------------------------------------------------
 
 
-def log_distances(train: DataFrame, *frames: DataFrame, ridge: float = 1e-2) -> list[DataFrame]:
-    """The frames with s replaced by the log of the squared distance to each class of train."""
-    m = discriminant.ClassMoments.fit(train, "y", "s")
-    f = columns.rows(m.kernel(m.ridge_forms(ridge), logs=True))
-    return [d.withColumn("s", f("s")) for d in frames]
-
-
 def splined(train: DataFrame, *frames: DataFrame, knots: int = 5) -> list[DataFrame]:
     """The frames with s replaced by cubic splines of each element over the training rows' range."""
     n = len(train.first()["s"])
     ends = train.agg(*(f(F.col("s")[i]).alias(f"{k}{i}") for i in range(n) for k, f in (("lo", F.min), ("hi", F.max)))).first()
-    cols = [c for i in range(n) for c in heads.spline_columns(F.col("s")[i], float(ends[f"lo{i}"]), float(ends[f"hi{i}"]), knots)]
-    return [d.withColumn("s", F.array(*cols)) for d in frames]
+    f = columns.rows(partial(_splines, ends=[(float(ends[f"lo{i}"]), float(ends[f"hi{i}"])) for i in range(n)], knots=knots))
+    return [d.withColumn("s", f("s")) for d in frames]
+
+
+def _splines(m: np.ndarray, ends: list[tuple[float, float]], knots: int) -> np.ndarray:
+    return np.column_stack([heads.splines(m[:, i], lo, hi, knots) for i, (lo, hi) in enumerate(ends)])
 
 
 def baseline_pack(train: DataFrame, test: DataFrame, key: str, seed: int = 2026) -> tuple[DataFrame, tuple[float, float]]:
@@ -231,18 +249,23 @@ def _headed(train: DataFrame, test: DataFrame, method: str, keep: list[str]) ->
 def compare_heads(train: DataFrame, test: DataFrame, key: str, group: str, seed: int = 2026) -> DataFrame:
     """method, the test rows' columns without s, p: eight ways to classify the same descriptors s."""
     keep = [c for c in test.columns if c != "s"]
-    lr = _headed(train, test, "LR_stats", keep)
     m = discriminant.ClassMoments.fit(train, "y", "s")
     labels, most = F.array(*map(F.lit, m.classes)), columns.rows(lambda s, k=m.kernel(m.qda_forms()): k(s).argmax(axis=1)[:, None].astype(float))
     qda = test.withColumn("p", labels[most("s")[0].cast("int")]).select(F.lit("QDA_stats").alias("method"), *keep, "p")
-    c2 = _headed(*log_distances(train, train, test), "C2_log_distances", keep)
+    # Descriptors and their log distances: two models that see the same rows, fitted together.
+    sees = {"LR_stats": lambda s: s, "C2_log_distances": m.kernel(m.ridge_forms(), logs=True)}
+    own = moments.dealt(train.select(F.lit("all").alias("key"), "y", F.col("s").cast("array<double>").alias("s"))).persist()
+    models = heads.fit_logistic(own, lambda k: [(name, f, None) for name, f in sees.items()])
+    own.unpersist()
+    each = test.withColumn("method", F.explode(F.array(*map(F.lit, sees))))
+    direct = heads.logistic_scores(each, "method", "s", train.schema["y"].dataType, models, sees).select("method", *keep, "p")
     as_x = lambda d: d.withColumnRenamed("s", "x")
     config = select_basis(as_x(train), group, seed)
     c1, _ = classify(as_x(train), as_x(test), [config])
     c1 = c1.select(F.lit("C1_reconstruction").alias("method"), *keep, "p")
     pack, _ = baseline_pack(train, test, key, seed)
     pack = pack.withColumn("method", F.concat(F.lit("pack_"), "method"))
-    return reduce(DataFrame.unionByName, (lr, qda, c1, c2, pack))
+    return reduce(DataFrame.unionByName, (direct, qda, c1, pack))
 
 
 PAIRS = [("LR_stats", "C1_reconstruction"), ("LR_stats", "C2_log_distances"), ("QDA_stats", "C2_log_distances")] + [p for k in ("C0_fixed_rule", "RDA", "diag_QDA", "Ghosh_GAM") for p in (("LR_stats", f"pack_{k}"), (f"pack_{k}", "C2_log_distances"))]

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quefrency.operators import heads
 
@@ -112,8 +113,14 @@ def test_rows_of_several_parts_are_learned_from_without_copies(spark):
     rows = [("all", int(rng.integers(3)), rng.normal(size=4).tolist(), [k for k in range(3) if rng.random() < 0.6]) for _ in range(300)]
     d = spark.createDataFrame(rows, "key string, y int, s array<double>, parts array<int>")
     got = heads.fit_logistic(d, lambda key: [(f"{key}:{k}", lambda s: s, k) for k in range(3)])
-    copies = d.select(F.explode("parts").cast("string").alias("key"), "y", "s")
+    copies = d.withColumn("part", F.explode("parts")).select(F.col("part").cast("string").alias("key"), "y", "s")
     want = heads.fit_logistic(copies)
     assert len(got) == len(want) == 3
     for k, m in want.items():
         assert np.allclose(got[f"all:{k}"].w, m.w, atol=1e-8) and got[f"all:{k}"].labels == m.labels
+
+
+def test_splines_of_arrays_are_those_of_columns(spark):
+    x = [-1.0, 0.0, 0.3, 1.7, 2.0, 5.0]
+    want = spark.createDataFrame([(v,) for v in x], "x double").select(F.array(*heads.spline_columns(F.col("x"), 0.0, 2.0)).alias("b")).collect()
+    assert np.allclose(heads.splines(np.array(x), 0.0, 2.0), [r.b for r in want])
