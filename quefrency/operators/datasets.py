@@ -55,10 +55,13 @@ def descriptor_names(channels: list[str]) -> list[str]:
 
 def group_means(frame: DataFrame, groups: list[str], y: str, order: list[str], s: str = "s") -> DataFrame:
     """groups, y (of each group's first row), n, s: the mean of each descriptor over the group."""
-    label = frame.groupBy(*groups).agg(F.min_by(y, F.struct(*order)).alias(y), F.count(F.lit(1)).alias("n"))
-    each = frame.select(*groups, F.posexplode(s).alias("__i", "__v")).groupBy(*groups, "__i").agg(F.avg("__v").alias("__m"))
-    mean = each.groupBy(*groups).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__m"))), lambda e: e["__m"]).alias(s))
-    return label.join(mean, groups)
+    first = F.struct(F.struct(*order).alias("order"), F.col(y).alias("y"))
+    each = frame.select(*groups, first.alias("__f"), F.posexplode_outer(s).alias("__i", "__v"))  # rows are read, and descriptors made, once
+    each = each.groupBy(*groups, "__i").agg(F.avg("__v").alias("__m"), F.min("__f").alias("__f"), F.count(F.lit(1)).alias("__n"))
+    rows = F.sum(F.when(F.coalesce("__i", F.lit(0)) == 0, F.col("__n")))
+    mean = F.array_sort(F.collect_list(F.when(F.col("__i").isNotNull(), F.struct("__i", "__m"))))
+    out = each.groupBy(*groups).agg(F.min("__f")["y"].alias(y), rows.alias("n"), mean.alias("__s")).where(F.size("__s") > 0)
+    return out.select(*groups, y, "n", F.transform("__s", lambda e: e["__m"]).alias(s))
 
 
 def separability(means: DataFrame, names: list[str], y: str, s: str = "s") -> DataFrame:

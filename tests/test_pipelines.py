@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quefrency.functions import basis, signal
+from quefrency.functions import basis, columns, signal
 from quefrency.operators import datasets, experiments, heads, metrics, moments, pipelines, ranking, reconstruct, spectra, stats, tiling
 from quefrency.plans import registry
 from quefrency.sources import classes, synthetic
@@ -313,3 +313,11 @@ def test_resynthesised_signals_keep_their_amplitudes(spark):
     for r in synthetic.resynthesised(d, "window_id", "y", "x", snr_db=200.0).collect():
         a, b = np.abs(np.fft.fft(np.array(r.re) + 1j * np.array(r.im))), np.abs(np.fft.fft(x[r.signal_id]))
         assert np.allclose(a / np.linalg.norm(a), b / np.linalg.norm(b), atol=1e-5) and r.y == r.signal_id
+
+
+def test_group_means_make_descriptors_once(spark):
+    rows = [("a", 2, 1, [1.0, 4.0]), ("a", 1, 0, [3.0, 0.0]), ("a", 3, 1, None), ("b", 1, 1, [5.0, 6.0]), ("c", 1, 0, None)]
+    d = spark.createDataFrame(rows, "g string, k int, y int, s array<double>").withColumn("s", columns.rows(lambda m: m + 1)("s"))
+    out = datasets.group_means(d, ["g"], "y", ["k"])
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(map(tuple, out.collect())) == [("a", 0, 3, [3.0, 3.0]), ("b", 1, 1, [6.0, 7.0])]
