@@ -11,8 +11,10 @@ that can reach the threshold:
 
 Pairs are proposed in two rounds: each prefix shingle's most typical class with all others, then, for classes that are not
 connected yet, all partners outside their component. So a group of near copies costs its size, and no link that changes a
-component is missed. Where a shingle has many such partners (texts made of the same few templates), its classes meet by the
-contents of fragments instead: a pair that may differ in k shingles, cut into k + 2 fragments, agrees in two at least.
+component is missed. Where a shingle has many such pairs, its classes are compared with one of its largest component first.
+Near copies of that one which are not linked to it must share with a partner half of what the partner differs in, and meet by
+the rarest of these differences. The others (texts made of the same few templates) meet by the contents of fragments: a pair
+that may differ in k shingles, cut into k + 2 fragments, agrees in two at least.
 """
 
 from __future__ import annotations
@@ -38,8 +40,11 @@ SMALL, SHARE = 96, 0.4
 HELD_KEYS = 1 << 19
 #: Fragments of the global order in which overlaps are counted.
 FRAGMENTS = 8
-#: Classes outside the largest component that each class of a prefix shingle meets one by one; with more, contents of fragments decide.
-CROWD = 32
+#: Rows of a prefix shingle times those outside its largest component, up to which its classes meet one by one; with more,
+#: differences and contents of fragments decide.
+CROWD = 128
+#: Share of its size by which a class differs from one of its shingle's largest component at most, to be compared by these differences.
+NEAR = 0.6
 #: Words of 64 bits of a class's parities, which differ in no more bits than the classes do in shingles.
 PARITIES = 8
 #: Sizes up to which intervals of sizes are set out (no text has as many words).
@@ -158,14 +163,16 @@ def _need(a: Column, b: Column, percent: int) -> Column:
 
 
 def prefixes(fragments: DataFrame, percent: int) -> DataFrame:
-    """s, node, n, c, pos: rarest-first prefix of each class, without unique shingles. c: its shingles in other classes; pos: place in the order."""
+    """s, node, n, c, pos, own: rarest-first prefix of each class, without unique shingles. c: its shingles in other classes; pos: place
+    in the order; own: the share of its shingles that is its own, where one in df classes counts as 1 / df."""
     each = fragments.select("node", "n", F.explode("grams").alias("s"))
     often = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
     own = each.join(often, "s").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("x"))
     least = F.ceil(F.lit(percent) * F.col("n") / 100)
     dead = F.col("n") - F.size("x")
-    own = own.where(F.size("x") >= least).select("node", "n", F.size("x").cast("long").alias("c"), dead.alias("dead"), F.slice("x", F.lit(1), F.greatest(F.col("n") - least + 1 - dead, F.lit(0)).cast("int")).alias("x"))
-    return own.select("node", "n", "c", "dead", F.posexplode("x").alias("i", "e")).select("e.s", "node", "n", "c", (F.col("dead") + F.col("i")).alias("pos"))
+    own_ = F.aggregate("x", dead.cast("double"), lambda a, e: a + 1 / e["df"]) / F.col("n")
+    own = own.where(F.size("x") >= least).select("node", "n", F.size("x").cast("long").alias("c"), dead.alias("dead"), own_.alias("own"), F.slice("x", F.lit(1), F.greatest(F.col("n") - least + 1 - dead, F.lit(0)).cast("int")).alias("x"))
+    return own.select("node", "n", "c", "own", "dead", F.posexplode("x").alias("i", "e")).select("e.s", "node", "n", "c", (F.col("dead") + F.col("i")).alias("pos"), "own")
 
 
 def _feasible(x: str, y: str, percent: int) -> Column:
@@ -238,12 +245,59 @@ def _alike(x: str, y: str, percent: int) -> Column:
 
 
 def _outside(r: DataFrame) -> DataFrame:
-    """Rows of r (s, node, comp, ...) whose s is in several components, with `lead`, its largest one, and the number of rows outside."""
+    """Rows of r (s, node, comp, ...) whose s is in several components, with `lead`, its largest one (of equal ones, that of the
+    largest number), the number of rows outside, and of all rows."""
     each = r.groupBy("s", "comp").agg(F.count("*").alias("rows"))
-    apart = each.groupBy("s").agg(F.max_by("comp", "rows").alias("lead"), (F.sum("rows") - F.max("rows")).alias("outside")).where("outside > 0")
+    size = F.sum("rows").alias("rows")
+    apart = each.groupBy("s").agg(F.max_by("comp", F.struct("rows", "comp")).alias("lead"), (F.sum("rows") - F.max("rows")).alias("outside"), size).where("outside > 0")
     return r.join(apart, "s")
 
 
+def differences(fragments: DataFrame, r: DataFrame) -> DataFrame:
+    """lead, pivot, np, node, n, comp, d, e: for each class of r (node, n, own, comp, lead) and its lead, the d shingles e that only one
+    of the class and the pivot has, which is the lead's class with the least share of shingles of its own; np is the pivot's size."""
+    pivot = r.where("comp = lead").groupBy("lead").agg(F.min(F.struct("own", "node", "n")).alias("l")).select("lead", F.col("l.node").alias("pivot"), F.col("l.n").alias("np"))
+    key = ["lead", "pivot", "np", "node", "n", "comp"]
+    each = r.select("lead", "node", "n", "comp").distinct().join(pivot, "lead").withColumn("frag", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
+    x, y = (fragments.select(F.col("node").alias(k), "frag", F.col("grams").alias(f"g{k}")) for k in ("node", "pivot"))
+    a, b = (F.coalesce(f"g{k}", F.array().cast("array<long>")) for k in ("node", "pivot"))
+    each = each.join(x, ["node", "frag"], "left").join(y, ["pivot", "frag"], "left").select(*key, F.concat(F.array_except(a, b), F.array_except(b, a)).alias("e"))
+    return each.groupBy(*key).agg(F.flatten(F.collect_list("e")).alias("e")).select(*key, F.size("e").cast("long").alias("d"), "e")
+
+
+def _most(a: Column, b: Column, percent: int) -> Column:
+    """Shingles by which linked classes of sizes a and b differ at most."""
+    return a + b - 2 * _need(a, b, percent)
+
+
+def near_pairs(apart: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components to verify, of classes compared with the same pivot, one of them near it.
+
+    Links to the pivot itself are known from d. If x is not linked to it, x differs by more than q (size of x + np), with
+    q = (100 - percent) / (100 + percent). Where x and y are linked, both share over (d of y - q (size of y - np)) / 2 of their
+    differences, which is one at least: one of them is among as many of the rarest that y has.
+    """
+    q = (100 - percent) / (100 + percent)
+    wide = (NEAR + q * (1 + 100 / percent)) * 100 / percent  # what a partner of a near class differs by at most, by its size
+    held = apart.where((F.col("d") > 0) & (F.col("d") <= wide * F.col("n")))
+    direct = held.where((F.col("comp") != F.col("lead")) & (F.col("d") <= _most(F.col("n"), F.col("np"), percent))).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    key = ["pivot", "np", "lead", "node", "n", "comp", "d"]
+    each = held.select(*key, F.explode("e").alias("s"))
+    often = each.groupBy("pivot", "s").agg(F.count("*").alias("df")).where("df > 1")
+    own = each.join(often, ["pivot", "s"]).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("x"))
+    least = F.floor((F.col("d") - q * (F.col("n") - F.col("np")) - 1e-9 * F.col("n")) / 2)  # a little less: no rounding may cut
+    own = own.withColumn("dead", F.col("d") - F.size("x")).withColumn("front", F.greatest(F.col("d") - F.greatest(least, F.lit(0)) - F.col("dead"), F.lit(0)).cast("int"))
+    place = lambda f, x: f.select(*key, "dead", F.posexplode(x).alias("i", "e")).select(*key, "e.s", (F.col("dead") + F.col("i")).alias("pos"))
+    loose = place(own.where((F.col("comp") != F.col("lead")) & (F.col("d") > _most(F.col("n"), F.col("np"), percent))), F.col("x"))
+    front = place(own, F.slice("x", F.lit(1), F.col("front")))
+    c = lambda t, k: F.col(f"{t}.{k}")
+    shared = (c("x", "d") + c("y", "d") - _most(c("x", "n"), c("y", "n"), percent)) / 2
+    ok = (shared <= F.least(c("x", "d") - c("x", "pos"), c("y", "d") - c("y", "pos"))) & (_need(c("x", "n"), c("y", "n"), percent) <= F.least(c("x", "n"), c("y", "n")))
+    ok = ok & (c("x", "comp") != c("y", "comp")) & ((c("x", "d") <= NEAR * c("x", "n")) | (c("y", "d") <= NEAR * c("y", "n")))
+    met = loose.alias("x").join(front.alias("y"), ["pivot", "s"]).where(ok)
+    return direct.union(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")))
+
+
 def _across(r: DataFrame, ok: Column) -> DataFrame:
     """Pairs (a, b) of different components that meet in an s of r; rows of the largest component do not meet each other."""
     new = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.lead")) | (F.col("x.node") < F.col("y.node")))
@@ -255,19 +309,23 @@ def links(fragments: DataFrame, percent: int = PERCENT, crowd: int = CROWD) -> D
     """Links (a, b) between classes that connect the same classes as all links do."""
     r = keep(prefixes(fragments, percent))
     # The class with the least share of shingles of its own leads: of a group of near copies, the one most like all others.
-    own = ((F.col("n") - F.col("c")) / F.col("n")).alias("own")
-    lead = r.groupBy("s").agg(F.min(F.struct(own, "node", "n", "c", "pos")).alias("l"), F.count("*").alias("size")).where("size > 1").select("s", "l.node", "l.n", "l.c", "l.pos")
+    lead = r.groupBy("s").agg(F.min(F.struct("own", "node", "n", "c", "pos")).alias("l"), F.count("*").alias("size")).where("size > 1").select("s", "l.node", "l.n", "l.c", "l.pos")
     star = r.alias("x").join(lead.alias("y"), "s").where((F.col("x.node") != F.col("y.node")) & _feasible("x", "y", percent))
     star = keep(star.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
     first = keep(verified(star, fragments, percent))
     comp = components(first).withColumnRenamed("node", "k")
-    r = r.join(comp, F.col("node") == F.col("k"), "left").select("s", "node", "n", "c", "pos", F.coalesce("comp", "node").alias("comp"))
+    r = r.join(comp, F.col("node") == F.col("k"), "left").select("s", "node", "n", "c", "pos", "own", F.coalesce("comp", "node").alias("comp"))
     r = keep(_outside(r))
-    cross = _across(r.where(F.col("outside") <= crowd), _feasible("x", "y", percent))
-    crowded = keep(r.where(F.col("outside") > crowd).select("node", "n", "comp").distinct())
+    many = F.col("outside") * F.col("rows") > crowd
+    cross = _across(r.where(~many), _feasible("x", "y", percent))
+    crowded = r.where(many)
     if not crowded.isEmpty():
-        met = keep(_outside(content_signatures(fragments, crowded.select("node", "n", "comp"), percent)))
-        cross = cross.union(_across(met, _alike("x", "y", percent)))
+        apart = keep(differences(fragments, crowded))
+        cross = cross.union(near_pairs(apart, percent))
+        far = keep(apart.where(F.col("d") > NEAR * F.col("n")).select("node", "n", "comp").distinct())
+        if not far.isEmpty():
+            met = keep(_outside(content_signatures(fragments, far, percent)))
+            cross = cross.union(_across(met, _alike("x", "y", percent)))
     cross = cross.distinct().join(star, ["a", "b"], "left_anti")
     return first.union(verified(keep(cross), fragments, percent))
 

@@ -372,6 +372,38 @@ def test_near_duplicates_of_templates(spark, monkeypatch):
     assert sum(tried) < 8 * len(rows)  # 49 000 pairs where every class of a shingle meets all others
 
 
+def test_near_duplicates_of_near_misses(spark, monkeypatch):
+    """Copies of a text that differ a little too much are not verified with each of the others; links among them are found."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(300)]
+
+    def edited(words, k):
+        out = list(words)
+        for i in rng.sample(range(len(out)), k):
+            out[i] = f"e{rng.getrandbits(40)}"
+        return out
+
+    rows = [base, *(edited(base, rng.randint(1, 3)) for _ in range(110)), *(edited(base, rng.randint(9, 11)) for _ in range(70))]
+    rows += [edited(w, 3) for w in rng.sample(rows[111:], 12)] + [edited(edited(base, 7), 4) for _ in range(6)]
+    for _ in range(10):  # linked to the base by one text only
+        middle = edited(base, 6)
+        rows += [middle, edited(middle, 4)]
+    rows += [[*w[:200], *w[215:]] for w in rows[120:126]] + [w[:120] for w in rows[111:117]]
+    rows = [" ".join(w) for w in rows]
+    rng.shuffle(rows)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, rows)]
+    linked = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if 100 * (both := len(sets[a] & sets[b])) >= 75 * (len(sets[a]) + len(sets[b]) - both)]
+    comp = list(range(len(rows)))
+    while any(comp[a] != comp[b] for a, b in linked):
+        for a, b in linked:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    tried, verified = [], jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda p, f, percent: (tried.append(p.count()), verified(p, f, percent))[1])
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(comp)) and len(set(comp)) > 30
+    assert tried[1] < 5 * len(rows)
+
+
 def test_content_signatures(spark):
     """Whatever their sizes, linked sets have a signature in common at places that the join admits."""
     rng, percent = random.Random(6), 75
