@@ -1011,7 +1011,7 @@ def group_separability(spark, d):
 def per_channel_reconstruction(spark, d):
     """Votes of the nearest reconstruction over all channels' features, with a basis selected on the first channel."""
     w = _telemetry(spark, d).select("well", "block", "k", *_CH, (F.col("well") % 2).cast("int").alias("y"), F.concat_ws(":", "well", "block").alias("grp"))
-    s = splits.grouped_split(w, "grp")
+    s = splits.grouped_split(w, "grp").persist()  # read by every pass of the fits: the samples are shuffled into windows once
     a, b = s.where("role = 'train'").drop("role"), s.where("role = 'test'").drop("role")
     config = pipelines.select_basis(a.withColumnRenamed("rpm", "x"), "grp")
     a, b, _ = pipelines.per_channel(a, b, config, _CH)

@@ -321,3 +321,20 @@ def test_group_means_make_descriptors_once(spark):
     out = datasets.group_means(d, ["g"], "y", ["k"])
     assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     assert sorted(map(tuple, out.collect())) == [("a", 0, 3, [3.0, 3.0]), ("b", 1, 1, [6.0, 7.0])]
+
+
+def test_per_channel_reconstruction_reads_its_windows_once(spark, monkeypatch):
+    """Whatever the number of passes that fit the models, samples are made into windows once."""
+    rng, made = np.random.default_rng(5), spark.sparkContext.accumulator(0)
+    rows = [(i % 8, i // 8, 0, *(list(map(float, rng.normal(size=24) * (1 + i % 2 * (j + 1)))) for j in range(3))) for i in range(48)]
+    w = spark.createDataFrame(rows, "well long, block long, k int, rpm array<double>, torque array<double>, rop array<double>")
+
+    def counted(s):
+        made.add(len(s))
+        return s
+
+    counting = F.pandas_udf(counted, "array<double>")
+    monkeypatch.setattr(registry, "_telemetry", lambda spark, d: w.withColumn("rpm", counting("rpm")))
+    got = registry.per_channel_reconstruction(spark, "").collect()
+    assert {r.p for r in got} <= {0, 1} and 0 < len(got) < 48
+    assert made.value == 48
