@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quefrency.llm import decontamination, fmindex, jaccard, langid, packing
 from quefrency.llm.queries import labelled_fold, table
 from quefrency.llm.scratch import keep, mark, release
-from quefrency.llm.tokens import vocabulary
+from quefrency.llm.tokens import LEAN_PIECES, vocabulary
 
 #: The result has no SQL form: it needs a learned language model and a tokenizer. Tests hold it against brute force.
 ORACLE_SQL = None
@@ -34,8 +34,9 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of training sequences of 4096 tokens."""
-    return packing.pack(docs, vocabulary())
+    """The pieces of training sequences of 4096 tokens. Executors come to it with heaps that the stages before have filled, so
+    its workers remember fewer encoded pieces than those of a packing alone."""
+    return packing.pack(docs, vocabulary(), memo_pieces=LEAN_PIECES)
 
 
 STAGES = [("language ID", language), ("n-gram Jaccard join", near_copies), ("substring dedup", repeated_passages), ("benchmark decontamination", benchmark_free), ("packing", packed)]

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quefrency.llm.tokens import crc, encoded
+from quefrency.llm.tokens import MEMO_PIECES, crc, encoded
 
 #: Pieces from which the next one is chosen.
 BLOCK = 1024
@@ -102,13 +102,14 @@ class Packer:
         self.close_short()
 
 
-def pack(docs: DataFrame, tokenizer: str, max_tokens: int = 4096, max_segments: int = 128, max_loss: int | None = None, id_col: str = "doc_id", text_col: str = "text", prompt_tokens_col: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, max_tokens: int = 4096, max_segments: int = 128, max_loss: int | None = None, id_col: str = "doc_id", text_col: str = "text", prompt_tokens_col: str | None = None, with_ids: bool = False, memo_pieces: int = MEMO_PIECES) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens (and ids, if asked for).
 
     The first `prompt_tokens_col` ids of a document bear no loss (null or no column: all bear loss). Null text is empty
     and packs as the end id alone; null ids stay null; repeated rows are packed each; an empty table gives no rows. Texts
     of any length are cut freely, and each id lies in exactly one piece. Other columns are ignored, whatever their names.
     A limit under 1 is an error, since nothing could be packed; without `max_loss` there is no limit on loss-bearing tokens.
+    memo_pieces: encoded pieces that a worker remembers (twice that at most); it changes time and memory, not results.
     """
     limits = (max_tokens, max_segments, max_tokens if max_loss is None else max_loss)
     if min(limits) < 1:
@@ -126,7 +127,7 @@ def pack(docs: DataFrame, tokenizer: str, max_tokens: int = 4096, max_segments:
 
         packer = Packer(limits, emit, (TaskContext.get().partitionId() << 36))
         out = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], columns)
-        for part, ids in encoded(batches, tokenizer):
+        for part, ids in encoded(batches, tokenizer, memo_pieces):
             for key, prompt, own in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), ids, strict=True):
                 packer.add((key, own), 0, len(own) // 4, min(max(prompt or 0, 0), len(own) // 4))
             if rows:

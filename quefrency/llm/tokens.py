@@ -21,6 +21,8 @@ END = 2
 #: Pieces of each of the two generations that a Python worker remembers, and the longest piece worth remembering. When the
 #: young generation is full it becomes the old one, which is forgotten; pieces still in use are young again by then.
 MEMO_PIECES, MEMO_CHARS = 800_000, 40
+#: The same for a worker that has little memory: about 160 MB less at a worker's end, for a third more time.
+LEAN_PIECES = 100_000
 #: Seconds without a text after which a worker gives its memo's memory back: idle workers outlive a stage by far.
 IDLE_SECONDS = 3.0
 #: Tokens of a file that its shortcuts are probed with.
@@ -56,6 +58,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo, self.old = Tokenizer.from_file(path), {}, {}
+        self.pieces = MEMO_PIECES
         self.lock, self.timer = threading.Lock(), None
         # A special token that is cut out before anything else happens to a text: what stands beside it never meets.
         cuts = [(k, t.content) for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
@@ -156,7 +159,7 @@ class Encoder:
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         flat = split.flatten().dictionary_encode()
         need = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.memo) + len(need) > MEMO_PIECES:
+        if len(self.memo) + len(need) > self.pieces:
             self.old, self.memo = self.memo, {}
         new = self._fresh(set(need))
         miss = self._learn(new) if new else []
@@ -178,13 +181,15 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encoded(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of batches whose column 1 is text, with the ids of each row."""
+def encoded(batches: Iterable[pa.RecordBatch], path: str, pieces: int = MEMO_PIECES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of batches whose column 1 is text, with the ids of each row. pieces: those that a generation of the memo holds;
+    slices are so small that the pieces of one, a new one in about 20 bytes, fit."""
     enc = encoder(path)
     enc.wake()
+    enc.pieces = pieces
     try:
         for batch in batches:
-            for part in slices(batch, 1, ENCODE_BYTES):
+            for part in slices(batch, 1, min(ENCODE_BYTES, 20 * pieces)):
                 yield part, enc.encode(part.column(1))
     finally:
         enc.rest()

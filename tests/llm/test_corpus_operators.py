@@ -667,3 +667,18 @@ def test_idle_encoder_forgets(monkeypatch):
     own.join(10)
     assert not own.is_alive() and not enc.memo and not enc.old and enc.timer is None
     assert enc.encode(texts) == first
+
+
+def test_memo_of_packing_is_bounded(spark):
+    rng = random.Random(11)
+    texts = [(i, " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(60))) for i in range(200)]
+    enc = Encoder(vocabulary())
+    tokens._encoders["lean"], ids = enc, []
+    for _, part in tokens.encoded([pa.RecordBatch.from_arrays([pa.array([i for i, _ in texts]), pa.array([t for _, t in texts])], ["doc_id", "text"])], "lean", 300):
+        assert len(enc.memo) + len(enc.old) < 5000  # of about 12 000 pieces: two generations, the shortcuts, and a slice's own
+        ids += part
+    del tokens._encoders["lean"]
+    assert ids == Encoder(vocabulary()).encode([t for _, t in texts])
+    frame = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    pick = lambda f: sorted(r[:7] for r in f.collect())
+    assert pick(packing.pack(frame, vocabulary(), memo_pieces=300)) == pick(packing.pack(frame, vocabulary()))
