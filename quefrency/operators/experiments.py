@@ -14,10 +14,11 @@ from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quefrency.functions import signal
+from quefrency.functions import columns, signal
 from quefrency.operators import compat, heads, metrics, moments, ranking, spectra, stats
 from quefrency.operators.discriminant import ClassMoments
 
@@ -64,18 +65,29 @@ def uniform(*parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts))), 1, 12), 16, 10).cast("long") + 0.5) / float(1 << 48)
 
 
-def taps(length: Column, *key: Column, decay: float = 0.7) -> Column:
-    """A channel of unit energy: tap 0 is 1 and tap k normal times exp(-decay k), before scaling."""
+def taps(length: Column, *key: Column, decay: float = 0.7, scaled: bool = True) -> Column:
+    """A channel of unit energy: tap 0 is 1 and tap k normal times exp(-decay k), before scaling. Scaling by columns draws all taps
+    anew for each tap, since they are an expression inside its lambda: for many rows, leave it to _unit()."""
 
     def draw(k):
         far = F.sqrt(-2 * F.ln(uniform(*key, k, F.lit(0)))) * F.cos(2 * np.pi * uniform(*key, k, F.lit(1)))
         return F.when(k == 0, 1.0).otherwise(F.exp(-decay * k) * far)
 
     h = F.transform(F.sequence(F.lit(0), length - 1), draw)
+    if not scaled:
+        return h
     norm = F.sqrt(F.aggregate(h, F.lit(0.0), lambda a, e: a + e * e))
     return F.transform(h, lambda e: e / norm)
 
 
+def _unit(h: np.ndarray) -> np.ndarray:
+    """Rows of unit energy. Squares are summed in their order, as taps() does, so that results are equal to the last bit."""
+    total = np.zeros(len(h))
+    for c in h.T:
+        total += c * c
+    return h / np.sqrt(total)[:, None]
+
+
 def complex_taps(length: Column, *key: Column, decay: float = 0.7) -> Column:
     """As taps(), with taps whose real and imaginary parts are normal each, so that an echo has twice the power of a real one:
     an array of (re, im) whose squares sum to 1; one tap is 1."""
@@ -99,13 +111,22 @@ def _filtered(x: pd.Series, h: pd.Series, kind: type) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def _through(x: pd.Series, h: pd.Series) -> pd.Series:
-    return _filtered(x, h, float)
+def _through(x: pa.Array, h: pa.Array) -> pa.Array:
+    """Windows by the lengths of window and channel, an array of rows a pair of lengths; null where either is null."""
+    a, b = columns.Lists(x), columns.Lists(h)
+    place, made, n = np.full(len(x), -1), [pa.array([], columns.VECTOR)], 0
+    code = np.where((a.size >= 0) & (b.size >= 0), a.size.astype(np.int64) << 32 | b.size, -1)
+    for size in np.unique(code[code >= 0]):
+        at = np.flatnonzero(code == size)
+        made.append(columns.packed(signal.causal_fir(a.matrix(at), b.matrix(at).T[:, :, None])))
+        place[at] = n + np.arange(len(at))
+        n += len(at)
+    return pa.concat_arrays(made).take(pa.array(place, mask=place < 0))
 
 
 def through_channel(x: str, h: str) -> Column:
     """Each window through its own causal channel with zero history."""
-    return F.pandas_udf(_through, "array<double>")(x, h)
+    return F.arrow_udf(_through, "array<double>")(F.col(x).cast("array<double>"), h)
 
 
 def _through_complex(re: pd.Series, im: pd.Series, hr: pd.Series, hi: pd.Series) -> pd.DataFrame:
@@ -130,7 +151,8 @@ def _tested(windows: DataFrame, roles: DataFrame, design: Design, draw) -> DataF
     # Windows are dealt out before they are repeated, so that a window is shuffled once for all splits and severities.
     own = moments.spread(windows.join(parts(roles, "test", "__splits"), "grp"))
     each = own.withColumn("split", F.explode("__splits")).drop("__splits").withColumn("severity", F.explode(F.array(*map(F.lit, design.severities))))
-    h = draw(F.col("severity"), F.lit(design.seed + 7), F.col("split"), F.col("severity"), F.col("window_id"))
+    key = F.col("severity"), F.lit(design.seed + 7), F.col("split"), F.col("severity"), F.col("window_id")
+    h = columns.rows(_unit)(taps(*key, scaled=False)) if draw is taps else draw(*key)
     # The channel is a column of its own before the kernel takes it, so that it is drawn once.
     return each.withColumn("h", h)
 

@@ -46,17 +46,24 @@ class Softmax:
     def design(self, s: np.ndarray) -> np.ndarray:
         return np.column_stack([(s - self.mean) / self.std, np.ones(len(s))])
 
-    def log_probability(self, x: np.ndarray) -> np.ndarray:
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        """Log probabilities but for a number that a row's labels share."""
         z = x @ self.w.T
         z = np.column_stack([np.zeros(len(x)), z]) if len(self.labels) <= 2 else z
-        z = z[:, : len(self.labels)]
+        return z[:, : len(self.labels)]
+
+    def log_probability(self, x: np.ndarray) -> np.ndarray:
+        z = self.margins(x)
         return z - np.logaddexp.reduce(z, axis=1, keepdims=True)
 
     def derivatives(self, s: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Loss of rows with label numbers y, its gradient and its Hessian, by the weights in order."""
-        x = self.design(s)
-        lp = self.log_probability(x)
-        p, k = np.exp(lp), len(self.w)
+        x, k = self.design(s), len(self.w)
+        z = self.margins(x)
+        z -= z.max(axis=1, keepdims=True)
+        p = np.exp(z)
+        total = p.sum(axis=1, keepdims=True)
+        p /= total
         free = p[:, -k:]
         error = free - (y[:, None] == np.arange(len(self.labels))[-k:])
         d = x.shape[1]
@@ -64,7 +71,7 @@ class Softmax:
         h = -(wide.T @ wide).reshape(k, d, k, d)  # of one matrix with itself, half the work
         for i in range(k):
             h[i, :, i] += (x * free[:, i : i + 1]).T @ x
-        return float(-lp[np.arange(len(y)), y].sum()), (error.T @ x).ravel(), h.reshape(k * d, k * d)
+        return float((np.log(total[:, 0]) - z[np.arange(len(y)), y]).sum()), (error.T @ x).ravel(), h.reshape(k * d, k * d)
 
     def move(self, loss: float, g: np.ndarray, h: np.ndarray, c: float, tol: float) -> None:
         """A Newton step on c loss + |w|^2 / 2 without the bias, halved while it does not help. Where each label has a bias, the

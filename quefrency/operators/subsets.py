@@ -8,12 +8,16 @@ number of candidates.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from quefrency.functions import columns
 from quefrency.operators import experiments, heads, metrics, moments
 from quefrency.operators.discriminant import ClassMoments
 from quefrency.operators.experiments import Design, Representation
@@ -68,30 +72,38 @@ class Trial:
             self.weights = {n: m.w for n, m in models.items()}
         else:
             models = {}
-        place = {name: i for i, name in enumerate(order)}
-
-        def best(split: pd.Series, s: pd.Series) -> pd.Series:
-            out: list = [None] * len(split)
-            for k, rows in split.reset_index(drop=True).groupby(split.to_numpy()).groups.items():
-                m, p = moments.stacked(s.iloc[rows]), np.full((len(rows), len(order)), -1)
-                for name, at, kernel in forms.get(str(k), []):
-                    x = kernel(m[:, at])
-                    if models:
-                        head = models[f"{k}:{name}"]
-                        of = np.array([labels[str(k)].index(v) for v in head.labels])
-                        p[:, place[name]] = of[head.log_probability(head.design(x)).argmax(axis=1)]
-                    else:
-                        p[:, place[name]] = x.argmin(axis=1)
-                for i, row in zip(rows, p, strict=True):
-                    out[i] = row
-            return pd.Series(out, dtype=object)
-
-        predicted = self.test.withColumn("p", F.pandas_udf(best, "array<int>")("split", "s")).drop("s")
-        each = predicted.select("split", "severity", "y", F.posexplode("p").alias("at", "p")).where("p >= 0")
-        # Predictions are places among a split's classes; their counts are few before they get their names.
-        counts = each.groupBy("split", "severity", "at", "y", "p").agg(F.count(F.lit(1)).alias("n"))
+        place, kind = {name: i for i, name in enumerate(order)}, self.train.schema["y"].dataType
+        names = ["split", "severity", "at", "y", "p", "n"]
+        types = [pa.int32(), pa.int32(), pa.int32(), to_arrow_type(kind), pa.int32(), pa.int64()]
+
+        def best(k: str, name: str, x: np.ndarray) -> np.ndarray:
+            if not models:
+                return x.argmin(axis=1)
+            head = models[f"{k}:{name}"]
+            return np.array([labels[k].index(v) for v in head.labels])[head.margins(head.design(x)).argmax(axis=1)]
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[tuple, int] = {}
+            for b in batches:
+                unit, y = (b.column(c).dictionary_encode() for c in ("split", "y"))
+                severity, split, label = b.column("severity").to_numpy(zero_copy_only=False), *(d.indices.fill_null(-1).to_numpy(zero_copy_only=False) for d in (unit, y))
+                x, ys = columns.Lists(b.column("s")), [*y.dictionary.to_pylist(), None]  # a null label is the last one
+                for i, k in enumerate(unit.dictionary.to_pylist()):
+                    rows = np.flatnonzero((split == i) & (x.size >= 0))
+                    m = x.matrix(rows) if len(rows) and str(k) in forms else None
+                    for name, at, kernel in forms[str(k)] if m is not None else []:
+                        p, wide = best(str(k), name, kernel(m[:, at])), len(labels[str(k)])
+                        cells, n = np.unique((severity[rows].astype(np.int64) * len(ys) + label[rows] % len(ys)) * wide + p, return_counts=True)
+                        for cell, count in zip(cells.tolist(), n.tolist(), strict=True):
+                            key = k, cell // wide // len(ys), place[name], ys[cell // wide % len(ys)], cell % wide
+                            held[key] = held.get(key, 0) + count
+            rows = [(*key, n) for key, n in held.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+
+        # Predictions are places among a split's classes; each task sends their counts, which get their names when they are few.
+        each = self.test.mapInArrow(counted, f"split int, severity int, at int, y {kind.simpleString()}, p int, n long")
+        counts = each.groupBy("split", "severity", "at", "y", "p").agg(F.sum("n").alias("n"))
         named = F.create_map(*(F.lit(x) for i, name in enumerate(order) for x in (i, name)))[F.col("at")]
-        kind = self.train.schema["y"].dataType
         which = F.create_map(*(x for k, v in labels.items() for x in (F.lit(int(k)), F.array(*(F.lit(c).cast(kind) for c in v)))))[F.col("split")]
         rows = counts.select(named.alias("rep"), "split", "severity", "y", F.element_at(which, F.col("p") + 1).alias("p"), "n")
         return metrics.macro_f1(rows, ["rep", "split", "severity"], weight="n").withColumnRenamed("macro_f1", "f1")

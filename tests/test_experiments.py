@@ -199,3 +199,15 @@ def test_random_starts_and_caps(spark):
     assert all(250 * x.block <= x.start <= 250 * (x.block + 1) - 40 for x in got)
     w = spark.createDataFrame([("a", i, 4) for i in range(5)], "y string, i int, n int")
     assert sorted(x.i for x in experiments.cap_frames(w, "y", ["i"], "n", 9).collect()) == [0, 1, 2]
+
+
+def test_channels_are_drawn_once(spark):
+    w = spark.createDataFrame([(i, i % 3, i // 2, [float(i % 5), 1.0, -2.0, float(i), 0.5, 0.0]) for i in range(24)], "window_id long, y int, grp long, x array<double>")
+    design = experiments.Design(splits=2, severities=(1, 3, 12))
+    bent = experiments.distorted(w, experiments.design_roles(w, design), design)
+    plan = bent._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("COS(") == 1  # inside a lambda of its own scaling it would be drawn again for each tap
+    h = experiments.taps(F.col("n"), F.lit(7), F.col("n"))
+    raw = experiments.taps(F.col("n"), F.lit(7), F.col("n"), scaled=False)
+    for r in spark.range(1, 13).select(F.col("id").cast("int").alias("n")).select(h.alias("h"), raw.alias("raw")).collect():
+        assert experiments._unit(np.array([r.raw]))[0].tolist() == r.h
