@@ -83,16 +83,25 @@ class ClassMoments:
 
     def kernel(self, forms: list[tuple], logs: bool = False):
         """Rows of features -> rows of one score a class."""
-        mean, std = self.mean, self.std
+        mean, std, size = self.mean, self.std, len(forms)
+        try:  # inverse = turn turn', so that a form is a sum of squares, and those of all classes are one product
+            turns = [np.linalg.cholesky(inverse) for _, inverse, _, _ in forms]
+        except np.linalg.LinAlgError:
+            turns = []
+        turn = np.concatenate(turns, axis=1).T.copy() if turns else None
+        shift = np.concatenate([mu @ t for (mu, *_), t in zip(forms, turns, strict=True)])[:, None] if turns else None
+        factor, constant = (np.array([f[i] for f in forms])[:, None] for i in (2, 3))
 
         def run(s: np.ndarray) -> np.ndarray:
             z = (s - mean) / std
-            out = np.empty((len(z), len(forms)))
-            for i, (mu, inverse, factor, constant) in enumerate(forms):
-                d = z - mu
-                q = ((d @ inverse) * d).sum(axis=1)
-                out[:, i] = np.log(q + 1e-9) if logs else factor * q + constant
-            return out
+            if turns:
+                v = turn @ z.T
+                v -= shift
+                v *= v
+                q = v.reshape(size, -1, len(z)).sum(axis=1)
+            else:
+                q = np.stack([(((z - mu) @ inverse) * (z - mu)).sum(axis=1) for mu, inverse, _, _ in forms])
+            return np.ascontiguousarray((np.log(q + 1e-9) if logs else factor * q + constant).T)
 
         return run
 

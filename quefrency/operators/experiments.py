@@ -9,7 +9,7 @@ with one row a model and class on the driver.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import partial, reduce
 
 import numpy as np
@@ -19,10 +19,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quefrency.functions import columns, signal
-from quefrency.operators import compat, heads, metrics, moments, ranking, spectra, stats
+from quefrency.operators import compat, heads, metrics, moments, ranking, representations, spectra, stats
 from quefrency.operators.discriminant import ClassMoments
+from quefrency.operators.representations import Frames, Step
 
-Representation = Callable[[DataFrame], DataFrame]
+Representation = Callable[[DataFrame], DataFrame]  # those of this module are chains of kernels (Frames), made in one pass
 IDS = ["split", "severity", "window_id", "frame_id", "y"]
 
 
@@ -171,38 +172,39 @@ def distorted_complex(windows: DataFrame, roles: DataFrame, design: Design) -> D
 # --- representations -------------------------------------------------------------------------------------------------
 
 
-def _spectral(w, n_fft, hop, window="hann"):
-    return spectra.describe(spectra.log_profiles(w, n_fft, hop, window))
+def _profile(n_fft, hop, window="hann") -> Frames:
+    return Frames((Step.of(signal.log_profile, n_fft=n_fft, hop=hop, window=window),), n_fft)
 
 
-def _cepstral(w, n_fft, hop, lo, window="hann", eps=signal.EPS_MAG):
-    return spectra.describe(spectra.cepstra(w, n_fft, hop, window, lo, eps=eps))
+def _cepstrum(n_fft, hop, window="hann", eps=signal.EPS_MAG) -> Frames:
+    return Frames((Step.of(signal.full_cepstrum, n_fft=n_fft, hop=hop, window=window, eps=eps),), n_fft)
 
 
-def _liftered(w, family, lo, hi, n_fft, hop):
-    return spectra.describe(spectra.liftered(w, family, lo, hi, n_fft, hop))
+_SHAPE = Step.of(representations.shape)
 
 
-def _normalised(w, method, n_fft, hop):
-    return spectra.describe(spectra.normalised(w, method, n_fft, hop))
+def _spectral(n_fft, hop, window="hann") -> Frames:
+    return _profile(n_fft, hop, window).then(_SHAPE)
 
 
-def _mfcc(w, fs, n_fft, hop, n_mels, keep):
-    return spectra.mfcc(w, fs, n_fft, hop, n_mels, keep).withColumnRenamed("v", "s")
+def _cepstral(n_fft, hop, lo, window="hann", eps=signal.EPS_MAG) -> Frames:
+    return _cepstrum(n_fft, hop, window, eps).then(Step.of(representations.cut, lo=max(1, lo))).then(_SHAPE)
 
 
 def branches(lifters=(1, 2, 3, 4, 6, 8), n_fft=256, hop=128) -> dict[str, Representation]:
     """The spectral branch, and the cepstral one by lifter."""
-    return {"spectral": partial(_spectral, n_fft=n_fft, hop=hop)} | {f"cepstral_{k}": partial(_cepstral, n_fft=n_fft, hop=hop, lo=k) for k in lifters}
+    return {"spectral": _spectral(n_fft, hop)} | {f"cepstral_{k}": _cepstral(n_fft, hop, k) for k in lifters}
 
 
 def controls(fs=12000.0, n_fft=256, hop=128, n_mels=26, keep=11) -> dict[str, Representation]:
     """Normalised spectra and mel coefficients."""
-    return {m: partial(_normalised, method=m, n_fft=n_fft, hop=hop) for m in ("cmvn", "detrend", "rasta")} | {"mfcc": partial(_mfcc, fs=fs, n_fft=n_fft, hop=hop, n_mels=n_mels, keep=keep)}
+    after = {"cmvn": signal.cmvn, "detrend": signal.detrended, "rasta": signal.rasta}
+    mfcc = Frames((Step.of(signal.mfcc, fs=fs, n_fft=n_fft, hop=hop, n_mels=n_mels, keep=keep),), n_fft)
+    return {m: _profile(n_fft, hop).then(Step.of(f)).then(_SHAPE) for m, f in after.items()} | {"mfcc": mfcc}
 
 
 def lifter_families(specs: dict[str, tuple[str, int, int | None]], n_fft=256, hop=128) -> dict[str, Representation]:
-    return {name: partial(_liftered, family=f, lo=lo, hi=hi, n_fft=n_fft, hop=hop) for name, (f, lo, hi) in specs.items()}
+    return {name: _cepstrum(n_fft, hop).then(Step.of(representations.lifted, family=f, lo=lo, hi=hi or n_fft // 2)).then(_SHAPE) for name, (f, lo, hi) in specs.items()}
 
 
 def sensitivity(configs: dict[str, dict], lifter: int = 3) -> dict[str, Representation]:
@@ -210,17 +212,15 @@ def sensitivity(configs: dict[str, dict], lifter: int = 3) -> dict[str, Represen
     out: dict[str, Representation] = {}
     for name, c in configs.items():
         stft = {k: v for k, v in c.items() if k != "eps"}
-        out |= {f"{name}:spectral": partial(_spectral, **stft), f"{name}:cepstral": partial(_cepstral, lo=lifter, **c)}
+        out |= {f"{name}:spectral": _spectral(**stft), f"{name}:cepstral": _cepstral(lo=lifter, **c)}
     return out
 
 
-def _occupied(w, form, n_fft, hop, lo, least):
-    return spectra.describe(spectra.occupied_frames(w, form, n_fft, hop, lo, least))
-
-
 def occupied(lifter: int = 3, n_fft=256, hop=128, least=0.8) -> dict[str, Representation]:
     """Both branches of complex windows (re, im), over the frames that the distorted signal itself occupies."""
-    return {name: partial(_occupied, form=form, n_fft=n_fft, hop=hop, lo=lifter, least=least) for name, form in (("spectral", "spectral"), (f"cepstral_{lifter}", "cepstral"))}
+    mask = (*_profile(n_fft, hop).steps, Step.of(representations.deviates_surely, least=least))
+    of = lambda f: replace(f, mask=mask, parts=("re", "im"))
+    return {"spectral": of(_spectral(n_fft, hop)), f"cepstral_{lifter}": of(_cepstral(n_fft, hop, lifter))}
 
 
 def _subset(w, base, keep):
@@ -229,7 +229,7 @@ def _subset(w, base, keep):
 
 def only(base: Representation, keep) -> Representation:
     """Some of a representation's descriptors."""
-    return partial(_subset, base=base, keep=list(keep))
+    return base.then(Step.of(representations.taken, at=tuple(keep))) if isinstance(base, Frames) else partial(_subset, base=base, keep=list(keep))
 
 
 def drop_one(base: Representation, names: list[str]) -> dict[str, Representation]:
@@ -246,7 +246,8 @@ def _masked(w, base, n_fft, hop, least):
 
 def masked(reps: dict[str, Representation], n_fft=256, hop=128, least=0.8) -> dict[str, Representation]:
     """Only frames whose own (distorted) profile deviates enough, the same ones in each representation."""
-    return {k: partial(_masked, base=f, n_fft=n_fft, hop=hop, least=least) for k, f in reps.items()}
+    mask = (*_profile(n_fft, hop).steps, Step.of(representations.deviates, least=least))
+    return {k: replace(f, mask=mask) if isinstance(f, Frames) and not f.mask else partial(_masked, base=f, n_fft=n_fft, hop=hop, least=least) for k, f in reps.items()}
 
 
 # --- heads and scores ------------------------------------------------------------------------------------------------
@@ -304,10 +305,22 @@ def predict(train: DataFrame, test: DataFrame, design: Design) -> DataFrame:
     return out
 
 
+def _together(reps: dict[str, Representation]) -> bool:
+    """Whether all representations are chains of kernels over the same columns."""
+    return all(isinstance(f, Frames) for f in reps.values()) and len({f.parts for f in reps.values()}) == 1
+
+
+def _described(windows: DataFrame, reps: dict[str, Representation]) -> DataFrame:
+    """The windows' other columns, key (a representation), frame_id, s."""
+    if _together(reps):
+        return representations.described(windows, reps)
+    rest = [F.col(c) for c in windows.columns if c not in ("x", "re", "im")]
+    return reduce(DataFrame.unionByName, (f(windows).select(*rest, F.lit(n).alias("key"), "frame_id", "s") for n, f in reps.items()))
+
+
 def _frames(windows: DataFrame, reps: dict[str, Representation], roles: DataFrame) -> DataFrame:
     """key (a representation), y, s, parts of every window's frames: a frame once, whatever the number of splits."""
-    own = windows.join(parts(roles, "train"), "grp")
-    return reduce(DataFrame.unionByName, (f(own).select(F.lit(n).alias("key"), "y", "s", "parts") for n, f in reps.items()))
+    return _described(windows.join(parts(roles, "train"), "grp"), reps).select("key", "y", "s", "parts")
 
 
 def conditioning(windows: DataFrame, reps: dict[str, Representation], design: Design, ridges: tuple[float, ...] = (1e-2,)) -> DataFrame:
@@ -322,13 +335,60 @@ def predictions(windows: DataFrame, reps: dict[str, Representation], design: Des
     distort: distorted, or distorted_complex for windows of re and im."""
     roles = design_roles(windows, design)
     bent = distort(windows, roles, design)
-    test = reduce(DataFrame.unionByName, (f(bent).select(F.lit(n).alias("rep"), *IDS, "s") for n, f in reps.items()))
+    test = _described(bent, reps).select(F.col("key").alias("rep"), *IDS, "s")
     return predict(_frames(windows, reps, roles), test.select(F.concat_ws(":", "rep", "split").alias("key"), "*"), design).drop("key", "s")
 
 
+def _fitted(windows: DataFrame, reps: dict[str, Frames], roles: DataFrame, design: Design) -> dict[str, representations.Head]:
+    """The logistic or nearest head of each representation and split, by `rep:split`."""
+    own = moments.spread_by(_frames(windows, reps, roles), "key").persist()
+    m, views = _models(own, _of_splits(design.splits)), _of_splits(design.splits)
+    kernels = {k: v.kernel(v.ridge_forms(design.ridge), logs=design.head == "logistic") for k, v in m.items()}
+    if design.head == "nearest":
+        out = {k: (partial(_nearness, f), list(m[k].classes)) for k, f in kernels.items()}
+    else:
+        models = heads.fit_logistic(own, lambda rep: [(k, kernels[k], part) for k, _, part in views(rep) if k in kernels])
+        out = {k: (partial(_margins, kernels[k], v), v.labels) for k, v in models.items()}
+    own.unpersist()
+    return out
+
+
+def _nearness(kernel, s: np.ndarray) -> np.ndarray:
+    return -kernel(s)
+
+
+def _margins(kernel, model: heads.Softmax, s: np.ndarray) -> np.ndarray:
+    return model.margins(model.design(kernel(s)))
+
+
+def outcomes(windows: DataFrame, reps: dict[str, Representation], design: Design, distort=distorted, by_level: bool = False) -> DataFrame:
+    """rep, level, split, severity, y, p, n: how often test frames of label y got p; by_level: votes and mean probabilities of
+    windows as well. Test windows are distorted once for all representations, and scored and counted inside the tasks: no frame
+    leaves them. Representations that are equal are fitted and scored once."""
+    roles = design_roles(windows, design)
+    own = {f: n for n, f in reversed(reps.items())}
+    first = {n: f for f, n in own.items()}
+    heads_ = _fitted(windows, first, roles, design)
+    counts = representations.outcomes(distort(windows, roles, design), first, heads_, windows.schema["y"].dataType, by_level)
+    same: dict[str, list[str]] = {n: [] for n in first}
+    for n, f in reps.items():
+        same[own[f]].append(n)
+    if len(first) == len(reps):
+        return counts
+    names = F.create_map(*(c for n, all_ in same.items() for c in (F.lit(n), F.array(*map(F.lit, all_)))))
+    return counts.withColumn("rep", F.explode(names[F.col("rep")]))
+
+
+def _counted(reps: dict[str, Representation], design: Design) -> bool:
+    return design.head in ("nearest", "logistic") and _together(reps)
+
+
 def run(windows: DataFrame, reps: dict[str, Representation], design: Design = Design(), distort=distorted) -> DataFrame:  # noqa: B008
     """rep, split, severity, f1, accuracy."""
-    return metrics.macro_f1(predictions(windows, reps, design, distort), ["rep", "split", "severity"]).withColumnRenamed("macro_f1", "f1")
+    keys = ["rep", "split", "severity"]
+    if _counted(reps, design):
+        return metrics.macro_f1(outcomes(windows, reps, design, distort), keys, weight="n").withColumnRenamed("macro_f1", "f1")
+    return metrics.macro_f1(predictions(windows, reps, design, distort), keys).withColumnRenamed("macro_f1", "f1")
 
 
 def levels(pred: DataFrame) -> DataFrame:

@@ -67,10 +67,9 @@ class Softmax:
         free = p[:, -k:]
         error = free - (y[:, None] == np.arange(len(self.labels))[-k:])
         d = x.shape[1]
-        wide = (free[:, :, None] * x[:, None]).reshape(len(x), k * d)
-        h = -(wide.T @ wide).reshape(k, d, k, d)  # of one matrix with itself, half the work
-        for i in range(k):
-            h[i, :, i] += (x * free[:, i : i + 1]).T @ x
+        wide = (np.ascontiguousarray(free.T)[:, None] * np.ascontiguousarray(x.T)).reshape(k * d, len(x))
+        h = -(wide @ wide.T).reshape(k, d, k, d)  # of one matrix with itself, half the work
+        h[np.arange(k), :, np.arange(k)] += (wide @ x).reshape(k, d, d)
         return float((np.log(total[:, 0]) - z[np.arange(len(y)), y]).sum()), (error.T @ x).ravel(), h.reshape(k * d, k * d)
 
     def move(self, loss: float, g: np.ndarray, h: np.ndarray, c: float, tol: float) -> None:
@@ -109,18 +108,27 @@ def _viewed(batch: pa.RecordBatch, views: Views, want=None) -> Iterator[tuple[st
     labels, fine = y.dictionary.to_pylist(), (label >= 0) & (x.size >= 0)
     if "parts" in batch.schema.names:
         p = columns.Lists(batch.column("parts"))
-        of, row = p.values.astype(int), np.repeat(np.arange(batch.num_rows), np.maximum(p.size, 0))
+        of, row = p.values.astype(np.int32), np.repeat(np.arange(batch.num_rows), np.maximum(p.size, 0))
     for i, name in enumerate(k.dictionary.to_pylist()):
-        rows, taken = fine & (code == i), {}
-        for model, f, part in views(name):
-            if want is not None and model not in want:
-                continue
+        own, seen = np.flatnonzero(fine & (code == i)), [v for v in views(name) if want is None or v[0] in want]
+        if not len(own) or not seen:
+            continue
+        m, at = x.matrix(own), label[own]
+        taken: dict = {None: (m, at)}
+        if any(part is not None for _, _, part in seen):
+            place = np.full(batch.num_rows, -1)
+            place[own] = np.arange(len(own))
+            r = place[row]
+            rows, split = r[r >= 0], of[r >= 0]
+            order = np.argsort(split, kind="stable")
+            rows, split = rows[order], split[order]
+        for model, f, part in seen:
             if part not in taken:
-                at = np.flatnonzero(rows) if part is None else row[(of == part) & rows[row]]
-                taken[part] = at, x.matrix(at) if len(at) else None
-            at, s = taken[part]
-            if len(at):
-                yield model, f(s), labels, label[at]
+                some = rows[np.searchsorted(split, part) : np.searchsorted(split, part, "right")]
+                taken = {None: taken[None], part: (m[some], at[some])}
+            s, y_ = taken[part]
+            if len(y_):
+                yield model, f(s), labels, y_
 
 
 def view_moments(own: DataFrame, views: Views = _as_it_is) -> dict[str, dict[tuple, tuple]]:
@@ -128,8 +136,9 @@ def view_moments(own: DataFrame, views: Views = _as_it_is) -> dict[str, dict[tup
 
     def each(b: pa.RecordBatch):
         for name, s, labels, at in _viewed(b, views):
-            for i in np.unique(at):
-                yield (name, labels[i]), s[at == i]
+            order = np.argsort(at, kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+                yield (name, labels[at[rows[0]]]), s[rows]
 
     out: dict[str, dict[tuple, tuple]] = {}
     for (name, y), part in moments.grouped(own, {"key": "string", "y": own.schema["y"].dataType.simpleString()}, each, arrow=True).items():

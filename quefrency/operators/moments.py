@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -70,6 +70,21 @@ def _passed(frame: DataFrame, run: Callable[[Iterator], Iterator[pd.DataFrame]],
     return frame.mapInArrow(made, schema)
 
 
+def _met(parts: DataFrame, keys: list[str], add: Callable[[list[dict]], tuple], schema: str) -> list[Row]:
+    """A row a key on the driver, of what add(its rows) gives. Rows of a key meet in one partition, and a partition's keys are
+    added in one call: a call for each key would cost more than its few rows."""
+    names = parts.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list[dict]] = {}
+        for b in batches:
+            for r in b.to_pylist():
+                held.setdefault(tuple(r[k] for k in keys), []).append(r)
+        yield pd.DataFrame([(*key, *add(own)) for key, own in held.items()], columns=names)
+
+    return _passed(parts.repartition(*keys), run, schema, True).collect()
+
+
 def grouped(frame: DataFrame, keys: dict[str, str], each: Callable[[pd.DataFrame], Iterable[tuple[tuple, np.ndarray]]], arrow: bool = False) -> dict[tuple, tuple]:
     """key -> (n, mean, scatter), of the matrices that each(batch) gives by key. keys: names and types. One row a key meets on
     the driver. arrow: batches are Arrow's, whose arrays are read without an object a row."""
@@ -84,14 +99,14 @@ def grouped(frame: DataFrame, keys: dict[str, str], each: Callable[[pd.DataFrame
                     held[key] = merged(held[key], of(m)) if key in held else of(m)
         yield pd.DataFrame([(*k, n, mean, scatter.ravel()) for k, (n, mean, scatter) in held.items()], columns=names)
 
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
+    def add(own: list[dict]) -> tuple:
         total = None
-        for n, mean, scatter in sorted(zip(rows["n"], rows["mean"], rows["scatter"], strict=True), key=lambda r: (r[0], *r[1])):
-            part = (n, np.array(mean), np.array(scatter).reshape(len(mean), -1))
+        for r in sorted(own, key=lambda r: (r["n"], *r["mean"])):
+            part = (r["n"], np.array(r["mean"]), np.array(r["scatter"]).reshape(len(r["mean"]), -1))
             total = merged(total, part) if total else part
-        return pd.DataFrame([(*(rows[k].iloc[0] for k in keys), total[0], total[1], total[2].ravel())], columns=names)
+        return total[0], total[1], total[2].ravel()
 
-    rows = _passed(frame, run, schema, arrow).groupBy(*keys).applyInPandas(add, schema).collect()
+    rows = _met(_passed(frame, run, schema, arrow), list(keys), add, schema)
     return {tuple(r[k] for k in keys): (r["n"], np.array(r["mean"]), np.array(r["scatter"]).reshape(len(r["mean"]), -1)) for r in sorted(rows, key=lambda r: tuple(str(r[k]) for k in keys))}
 
 
@@ -108,11 +123,10 @@ def summed(frame: DataFrame, keys: dict[str, str], each: Callable[[pd.DataFrame]
                 held[key] = held[key] + v if key in held else np.asarray(v, float)
         yield pd.DataFrame([(*k, v.tobytes()) for k, v in held.items()], columns=names)
 
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(v) for v in sorted(rows["v"])], axis=0)  # in an order of their own, whatever task sent them
-        return pd.DataFrame([(*(rows[k].iloc[0] for k in keys), total.tobytes())], columns=names)
+    def add(own: list[dict]) -> tuple:
+        return (np.sum([np.frombuffer(v) for v in sorted(r["v"] for r in own)], axis=0).tobytes(),)  # in an order of their own, whatever task sent them
 
-    rows = _passed(frame, run, schema, arrow).groupBy(*keys).applyInPandas(add, schema).collect()
+    rows = _met(_passed(frame, run, schema, arrow), list(keys), add, schema)
     return {tuple(r[k] for k in keys): np.frombuffer(r["v"]) for r in rows}
 
 

@@ -211,3 +211,28 @@ def test_channels_are_drawn_once(spark):
     raw = experiments.taps(F.col("n"), F.lit(7), F.col("n"), scaled=False)
     for r in spark.range(1, 13).select(F.col("id").cast("int").alias("n")).select(h.alias("h"), raw.alias("raw")).collect():
         assert experiments._unit(np.array([r.raw]))[0].tolist() == r.h
+
+
+def test_representations_share_one_pass(windows):
+    """Test windows are distorted once for all representations, and counts of outcomes are those of single frames."""
+    configs = {"base": {"n_fft": 16, "hop": 8}, "short": {"n_fft": 12, "hop": 6}, "eps6": {"n_fft": 16, "hop": 8, "eps": 1e-6}}
+    reps, design = experiments.sensitivity(configs), experiments.Design(splits=2, severities=(1, 3))
+    scores = experiments.run(windows, reps, design)
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("COS(") == 1  # channels were drawn anew for each representation
+    got = {(r.rep, r.split, r.severity): (r.f1, r.accuracy) for r in scores.collect()}
+    want = metrics.macro_f1(experiments.predictions(windows, reps, design), ["rep", "split", "severity"]).collect()
+    assert len(got) == len(want) == 24 and all(got[r.rep, r.split, r.severity] == pytest.approx((r.macro_f1, r.accuracy), abs=1e-12) for r in want)
+
+
+def test_kernels_of_odd_windows(spark):
+    """Windows that are null, short, or of other lengths, a class that no training window has, and one of a null label."""
+    rng = np.random.default_rng(0)
+    rows = [(i, i % 2, i // 2, rng.normal(size=24 if i % 5 else 40).tolist()) for i in range(40)]
+    rows += [(40, 0, 20, None), (41, 1, 20, [1.0] * 5), (42, None, 21, rng.normal(size=24).tolist())]
+    w = spark.createDataFrame(rows, "window_id long, y int, grp long, x array<double>")
+    reps, design = experiments.branches((2, 8), 16, 8), experiments.Design(splits=3, severities=(1, 2))
+    got = {(r.rep, r.split, r.severity): (r.f1, r.accuracy) for r in experiments.run(w, reps, design).collect()}
+    want = metrics.macro_f1(experiments.predictions(w, reps, design), ["rep", "split", "severity"]).collect()
+    assert len(got) == len(want) and all(got[r.rep, r.split, r.severity] == pytest.approx((r.macro_f1, r.accuracy), abs=1e-12) for r in want)
+    assert {k[0] for k in got} == {"spectral", "cepstral_2", "cepstral_8"}  # quefrencies end at 7, so that the last one has no descriptors
