@@ -89,27 +89,43 @@ def _unit(h: np.ndarray) -> np.ndarray:
     return h / np.sqrt(total)[:, None]
 
 
+def _polar(k: Column, *key: Column, decay: float) -> tuple[Column, Column]:
+    """Size and turn of tap k of a complex channel, before scaling."""
+    size = F.sqrt(-2 * F.ln(uniform(*key, k, F.lit(0)))) * F.exp(-decay * k)
+    return F.when(k == 0, 1.0).otherwise(size), F.when(k == 0, 0.0).otherwise(2 * np.pi * uniform(*key, k, F.lit(1)))
+
+
 def complex_taps(length: Column, *key: Column, decay: float = 0.7) -> Column:
     """As taps(), with taps whose real and imaginary parts are normal each, so that an echo has twice the power of a real one:
-    an array of (re, im) whose squares sum to 1; one tap is 1."""
+    an array of (re, im) whose squares sum to 1; one tap is 1. As there, draws are an expression inside the scaling's lambda: for
+    many rows, leave the scaling to _unit_complex()."""
 
     def draw(k):
-        size, turn = F.sqrt(-2 * F.ln(uniform(*key, k, F.lit(0)))) * F.exp(-decay * k), 2 * np.pi * uniform(*key, k, F.lit(1))
-        return F.struct(F.when(k == 0, 1.0).otherwise(size * F.cos(turn)).alias("re"), F.when(k == 0, 0.0).otherwise(size * F.sin(turn)).alias("im"))
+        size, turn = _polar(k, *key, decay=decay)
+        return F.struct((size * F.cos(turn)).alias("re"), (size * F.sin(turn)).alias("im"))
 
     h = F.transform(F.sequence(F.lit(0), length - 1), draw)
     norm = F.sqrt(F.aggregate(h, F.lit(0.0), lambda a, e: a + e["re"] * e["re"] + e["im"] * e["im"]))
     return F.transform(h, lambda e: F.struct((e["re"] / norm).alias("re"), (e["im"] / norm).alias("im")))
 
 
-def _filtered(x: pd.Series, h: pd.Series, kind: type) -> pd.Series:
-    out: list = [None] * len(x)
-    sizes = pd.DataFrame({"x": x.map(len), "h": h.map(len)})
-    for at in sizes.groupby(["x", "h"]).indices.values():
-        m, t = np.stack(x.iloc[at].to_list()).astype(kind), np.stack(h.iloc[at].to_list()).astype(kind)
-        for i, row in zip(at, signal.causal_fir(m, t.T[:, :, None]), strict=True):
-            out[i] = row
-    return pd.Series(out, dtype=object)
+def _drawn_taps(length: Column, *key: Column, decay: float = 0.7) -> Column:
+    """Size and turn of each tap of complex_taps(), one after the other: every tap is drawn once."""
+    return F.flatten(F.transform(F.sequence(F.lit(0), length - 1), lambda k: F.array(*_polar(k, *key, decay=decay))))
+
+
+def _paired(h: np.ndarray) -> np.ndarray:
+    """Rows of complex numbers from their parts, one after the other."""
+    return h[:, ::2] + 1j * h[:, 1::2]
+
+
+def _unit_complex(h: np.ndarray) -> np.ndarray:
+    """Channels of unit energy, from sizes and turns of their taps."""
+    re, im = h[:, ::2] * np.cos(h[:, 1::2]), h[:, ::2] * np.sin(h[:, 1::2])
+    total = np.zeros(len(h))
+    for a, b in zip(re.T, im.T, strict=True):
+        total += a * a + b * b
+    return (re + 1j * im) / np.sqrt(total)[:, None]
 
 
 def _through(x: pa.Array, h: pa.Array) -> pa.Array:
@@ -130,21 +146,35 @@ def through_channel(x: str, h: str) -> Column:
     return F.arrow_udf(_through, "array<double>")(F.col(x).cast("array<double>"), h)
 
 
-def _through_complex(re: pd.Series, im: pd.Series, hr: pd.Series, hi: pd.Series) -> pd.DataFrame:
-    z = pd.Series([np.asarray(a) + 1j * np.asarray(b) for a, b in zip(re, im, strict=True)], dtype=object)
-    h = pd.Series([np.asarray(a) + 1j * np.asarray(b) for a, b in zip(hr, hi, strict=True)], dtype=object)
-    out = _filtered(z, h, complex)
-    return pd.DataFrame({"re": out.map(np.real), "im": out.map(np.imag)})
+def _through_complex(re: pa.Array, im: pa.Array, h: pa.Array, taps_of: Callable[[np.ndarray], np.ndarray]) -> pa.Array:
+    """As _through(), of windows in two parts; null where a part is, or where they differ in length. taps_of: rows of h -> channels."""
+    a, b, c = columns.Lists(re), columns.Lists(im), columns.Lists(h)
+    place, made, n = np.full(len(re), -1), [[pa.array([], columns.VECTOR)] for _ in range(2)], 0
+    code = np.where((a.size >= 0) & (a.size == b.size) & (c.size >= 0), a.size.astype(np.int64) << 32 | c.size, -1)
+    for size in np.unique(code[code >= 0]):
+        at = np.flatnonzero(code == size)
+        z = signal.causal_fir(a.matrix(at) + 1j * b.matrix(at), taps_of(c.matrix(at)).T[:, :, None])
+        for own, part in zip(made, (z.real, z.imag), strict=True):
+            own.append(columns.packed(part))
+        place[at] = n + np.arange(len(at))
+        n += len(at)
+    take = pa.array(place, mask=place < 0)
+    return pa.StructArray.from_arrays([pa.concat_arrays(own).take(take) for own in made], ["re", "im"])
+
+
+def _complex_channel(re: str, im: str, h: Column, taps_of: Callable[[np.ndarray], np.ndarray]) -> Column:
+    run = F.arrow_udf(lambda a, b, c: _through_complex(a, b, c, taps_of), "re array<double>, im array<double>")
+    return run(F.col(re).cast("array<double>"), F.col(im).cast("array<double>"), h)
 
 
 def through_complex_channel(re: str, im: str, h: str) -> Column:
     """Each complex window through its own causal channel, an array of (re, im), with zero history: (re, im)."""
-    part = lambda c: F.transform(h, lambda e: e[c])
-    return F.pandas_udf(_through_complex, "re array<double>, im array<double>")(re, im, part("re"), part("im"))
+    return _complex_channel(re, im, F.flatten(F.transform(h, lambda e: F.array(e["re"], e["im"]))), _paired)
 
 
 def _tested(windows: DataFrame, roles: DataFrame, design: Design, draw) -> DataFrame:
-    """Every split's test windows at each severity, with a channel of their own as the column h."""
+    """Every split's test windows at each severity, with a channel of their own as the column h; a complex one that is drawn from
+    a hash is there as _drawn_taps()."""
     if design.rng == "compat":
         test = windows.join(roles.where("role = 'test'"), "grp")
         h = compat.channels(test, design.severities, design.seed, complex_=draw is complex_taps)
@@ -153,7 +183,7 @@ def _tested(windows: DataFrame, roles: DataFrame, design: Design, draw) -> DataF
     own = moments.spread(windows.join(parts(roles, "test", "__splits"), "grp"))
     each = own.withColumn("split", F.explode("__splits")).drop("__splits").withColumn("severity", F.explode(F.array(*map(F.lit, design.severities))))
     key = F.col("severity"), F.lit(design.seed + 7), F.col("split"), F.col("severity"), F.col("window_id")
-    h = columns.rows(_unit)(taps(*key, scaled=False)) if draw is taps else draw(*key)
+    h = columns.rows(_unit)(taps(*key, scaled=False)) if draw is taps else _drawn_taps(*key)
     # The channel is a column of its own before the kernel takes it, so that it is drawn once.
     return each.withColumn("h", h)
 
@@ -165,7 +195,8 @@ def distorted(windows: DataFrame, roles: DataFrame, design: Design) -> DataFrame
 
 def distorted_complex(windows: DataFrame, roles: DataFrame, design: Design) -> DataFrame:
     """split, severity, window_id, y, re, im: as distorted(), of complex windows through complex channels."""
-    bent = _tested(windows, roles, design, complex_taps).withColumn("z", through_complex_channel("re", "im", "h"))
+    z = through_complex_channel("re", "im", "h") if design.rng == "compat" else _complex_channel("re", "im", F.col("h"), _unit_complex)
+    bent = _tested(windows, roles, design, complex_taps).withColumn("z", z)
     return bent.select("split", "severity", "window_id", "y", "z.re", "z.im")
 
 

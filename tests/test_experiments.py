@@ -1,5 +1,7 @@
 """Experiments against brute force on a small corpus of windows."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -236,3 +238,23 @@ def test_kernels_of_odd_windows(spark):
     want = metrics.macro_f1(experiments.predictions(w, reps, design), ["rep", "split", "severity"]).collect()
     assert len(got) == len(want) and all(got[r.rep, r.split, r.severity] == pytest.approx((r.macro_f1, r.accuracy), abs=1e-12) for r in want)
     assert {k[0] for k in got} == {"spectral", "cepstral_2", "cepstral_8"}  # quefrencies end at 7, so that the last one has no descriptors
+
+
+def test_complex_channels_are_drawn_once(rf):
+    design = experiments.Design(splits=2, severities=(1, 3, 12))
+    scores = experiments.run(rf, experiments.occupied(3, 16, 8), replace(design, head="nearest"), experiments.distorted_complex)
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("ln(") == 1  # a size for each tap; it was drawn again for each part, for each tap's scaling, and each representation
+    bent = experiments.distorted_complex(rf, experiments.design_roles(rf, design), design).collect()
+    key = F.col("severity"), F.lit(2033), F.col("split"), F.col("severity"), F.col("window_id")
+    drawn = rf.crossJoin(experiments.design_roles(rf, design).where("role = 'test'").withColumnRenamed("grp", "g")).where("g = grp")
+    each = drawn.withColumn("severity", F.explode(F.array(F.lit(1), F.lit(3), F.lit(12)))).withColumn("h", experiments.complex_taps(*key))
+    want = {(r.split, r.severity, r.window_id): np.convolve(np.array(r.re) + 1j * np.array(r.im), [complex(e.re, e.im) for e in r.h])[:32] for r in each.collect()}
+    assert len(bent) == len(want) and all(np.allclose(np.array(r.re) + 1j * np.array(r.im), want[r.split, r.severity, r.window_id], atol=1e-12) for r in bent)
+
+
+def test_complex_windows_whose_parts_differ(spark):
+    rows = [([1.0, 0.0, 2.0], [0.0, 1.0, 0.0]), ([1.0], [1.0, 2.0]), (None, [1.0])]
+    x = spark.createDataFrame(rows, "re array<double>, im array<double>").withColumn("h", F.array(F.struct(F.lit(1.0).alias("re"), F.lit(0.0).alias("im")), F.struct(F.lit(0.0).alias("re"), F.lit(1.0).alias("im"))))
+    got = [r[0] for r in x.select(experiments.through_complex_channel("re", "im", "h")).collect()]
+    assert (got[0].re, got[0].im) == ([1.0, 0.0, 1.0], [0.0, 2.0, 0.0]) and [r.re for r in got[1:]] == [None, None]
