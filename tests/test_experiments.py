@@ -258,3 +258,13 @@ def test_complex_windows_whose_parts_differ(spark):
     x = spark.createDataFrame(rows, "re array<double>, im array<double>").withColumn("h", F.array(F.struct(F.lit(1.0).alias("re"), F.lit(0.0).alias("im")), F.struct(F.lit(0.0).alias("re"), F.lit(1.0).alias("im"))))
     got = [r[0] for r in x.select(experiments.through_complex_channel("re", "im", "h")).collect()]
     assert (got[0].re, got[0].im) == ([1.0, 0.0, 1.0], [0.0, 2.0, 0.0]) and [r.re for r in got[1:]] == [None, None]
+
+
+def test_forward_selection_has_the_whole_design(spark, monkeypatch):
+    from quefrency.plans import registry
+
+    asked = []
+    monkeypatch.setattr(registry, "_grp", lambda *_: None)
+    monkeypatch.setattr(subsets, "forward", lambda windows, base, names, design, steps=None: asked.append((design, steps, names)))
+    registry.QUERIES["forward_select"](spark, "")
+    assert asked == [(experiments.Design(), None, registry.SHAPE)] and asked[0][0].splits == 15
