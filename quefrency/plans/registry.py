@@ -750,7 +750,7 @@ def experiment_gap(spark, d):
 
 @query()
 def experiment_levels(spark, d):
-    return experiments.levels(experiments.predictions(_grp(spark, d), experiments.masked(experiments.branches((3,), 16, 8), 16, 8), _DESIGN))
+    return experiments.run_levels(_grp(spark, d), experiments.masked(experiments.branches((3,), 16, 8), 16, 8), _DESIGN)
 
 
 @query()

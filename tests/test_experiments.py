@@ -268,3 +268,16 @@ def test_forward_selection_has_the_whole_design(spark, monkeypatch):
     monkeypatch.setattr(subsets, "forward", lambda windows, base, names, design, steps=None: asked.append((design, steps, names)))
     registry.QUERIES["forward_select"](spark, "")
     assert asked == [(experiments.Design(), None, registry.SHAPE)] and asked[0][0].splits == 15
+
+
+def test_levels_are_counted_inside_the_tasks(windows):
+    reps, design = experiments.masked(experiments.branches((3,), 16, 8), 16, 8, 2.0), experiments.Design(splits=2, severities=(1, 3))
+    scores = experiments.run_levels(windows, reps, design)
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert "probability" not in plan and plan.count("MapInArrow") == 1  # predictions of all frames were kept and read three times
+    got = {(r.level, r.rep, r.split, r.severity): r.f1 for r in scores.collect()}
+    pred = experiments.predictions(windows, reps, design)
+    want = {(r.level, r.rep, r.split, r.severity): r.f1 for r in experiments.levels(pred).collect()}
+    assert got == pytest.approx(want, abs=1e-12) and len(got) == 24
+    per = pred.groupBy("rep", "split", "severity", "window_id").count().select("count").distinct().collect()
+    assert len(per) > 1  # the mask takes frames of some windows only
