@@ -322,7 +322,7 @@ def predict(train: DataFrame, test: DataFrame, design: Design) -> DataFrame:
             best = F.pandas_udf(_by_key(kernels, {k: list(v.classes) for k, v in m.items()}), kind)
             out = test.withColumn("p", best("key", "s"))
         else:
-            models = heads.fit_logistic(own, lambda rep: [(k, kernels[k], part) for k, _, part in views(rep) if k in kernels])
+            models = heads.fit_splits(own, lambda rep: [(k, kernels[k], part) for k, _, part in views(rep) if k in kernels])
             out = heads.logistic_scores(test, "key", "s", kind, models, kernels)
         own.unpersist()
         return out
@@ -378,7 +378,7 @@ def _fitted(windows: DataFrame, reps: dict[str, Frames], roles: DataFrame, desig
     if design.head == "nearest":
         out = {k: (partial(_nearness, f), list(m[k].classes)) for k, f in kernels.items()}
     else:
-        models = heads.fit_logistic(own, lambda rep: [(k, kernels[k], part) for k, _, part in views(rep) if k in kernels])
+        models = heads.fit_splits(own, lambda rep: [(k, kernels[k], part) for k, _, part in views(rep) if k in kernels])
         out = {k: (partial(_margins, kernels[k], v), v.labels) for k, v in models.items()}
     own.unpersist()
     return out

@@ -42,6 +42,8 @@ class Softmax:
     step: np.ndarray | None = None
     value: float = np.inf
     done: bool = False
+    curve: np.ndarray | None = None  # curvature of the last step that had its own
+    bent: bool = True  # whether the next step needs one of its own
 
     def design(self, s: np.ndarray) -> np.ndarray:
         return np.column_stack([(s - self.mean) / self.std, np.ones(len(s))])
@@ -56,8 +58,8 @@ class Softmax:
         z = self.margins(x)
         return z - np.logaddexp.reduce(z, axis=1, keepdims=True)
 
-    def derivatives(self, s: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Loss of rows with label numbers y, its gradient and its Hessian, by the weights in order."""
+    def derivatives(self, s: np.ndarray, y: np.ndarray, curve: bool = True) -> tuple[float, np.ndarray, np.ndarray | None]:
+        """Loss of rows with label numbers y, its gradient and (if asked for) its Hessian, by the weights in order."""
         x, k = self.design(s), len(self.w)
         z = self.margins(x)
         z -= z.max(axis=1, keepdims=True)
@@ -66,30 +68,40 @@ class Softmax:
         p /= total
         free = p[:, -k:]
         error = free - (y[:, None] == np.arange(len(self.labels))[-k:])
+        loss, g = float((np.log(total[:, 0]) - z[np.arange(len(y)), y]).sum()), (error.T @ x).ravel()
+        if not curve:
+            return loss, g, None
         d = x.shape[1]
         wide = (np.ascontiguousarray(free.T)[:, None] * np.ascontiguousarray(x.T)).reshape(k * d, len(x))
         h = -(wide @ wide.T).reshape(k, d, k, d)  # of one matrix with itself, half the work
         h[np.arange(k), :, np.arange(k)] += (wide @ x).reshape(k, d, d)
-        return float((np.log(total[:, 0]) - z[np.arange(len(y)), y]).sum()), (error.T @ x).ravel(), h.reshape(k * d, k * d)
+        return loss, g, h.reshape(k * d, k * d)
 
-    def move(self, loss: float, g: np.ndarray, h: np.ndarray, c: float, tol: float) -> None:
+    def move(self, loss: float, g: np.ndarray, h: np.ndarray | None, c: float, tol: float) -> None:
         """A Newton step on c loss + |w|^2 / 2 without the bias, halved while it does not help. Where each label has a bias, the
         same number added to all of them changes nothing: curvature is added in that direction, in which the gradient is but
-        rounding, so that steps do not drift along it for ever."""
+        rounding, so that steps do not drift along it for ever. h: None for the curvature of the step before, which is as good
+        where steps are short; while they do not get shorter fast, the next one asks for its own."""
         free = np.ones(self.w.shape)
         free[:, -1] = 0
         value = c * loss + float((free * self.w**2).sum()) / 2
+        before = np.abs(self.step).max() if self.step is not None else np.inf
         if self.best is not None and value > self.value + 1e-10 * abs(self.value):
-            self.step = self.step / 2
-        else:
-            self.best, self.value = self.w, value
+            self.step, self.bent = self.step / 2, True
+            self.done = bool(np.abs(self.step).max() < tol)
+            self.w = self.best if self.done else self.best + self.step
+            return
+        self.best, self.value = self.w, value
+        if h is not None:
             h = c * h + np.diag((free + 1e-9 * (1 - free)).ravel())
             if len(self.w) > 2:
                 bias = np.ix_(*2 * [np.flatnonzero(free.ravel() == 0)])
                 h[bias] += np.trace(h[bias]) / len(self.w)
-            self.step = -np.linalg.solve(h, c * g + (free * self.w).ravel()).reshape(self.w.shape)
-        self.done = bool(np.abs(self.step).max() < tol)
-        self.w = self.best if self.done else self.best + self.step
+            self.curve = h
+        self.step = -np.linalg.solve(self.curve, c * g + (free * self.w).ravel()).reshape(self.w.shape)
+        size = np.abs(self.step).max()
+        self.done, self.bent = bool(size < tol), bool(size > 0.1 or size > before / 8)
+        self.w = self.best + self.step
 
 
 #: What models see in rows of a key: a model's name, the function that makes its features, and the part its rows are in (None: all).
@@ -154,8 +166,8 @@ def fit_logistic(own: DataFrame, views: Views = _as_it_is, c: float = 1.0, steps
     the key. Features of many models are made inside the tasks, so rows are read once for all of them. A view that names a
     part takes the rows whose column parts (array<int>) holds it: a row that many models learn from is not copied for them.
 
-    All models take their Newton steps together: a step is one pass that sums gradients and Hessians by model. What meets on
-    the driver is one row a model. start: weights to begin with, by name; the optimum is the same, as there is but one.
+    All models take their Newton steps together: a step is one pass that sums gradients, and Hessians of models whose steps are
+    long, by model. What meets on the driver is one row a model. start: weights to begin with, by name; the optimum is the same, as there is but one.
     """
     models = {}
     for name, parts in view_moments(own, views).items():
@@ -174,17 +186,28 @@ def fit_logistic(own: DataFrame, views: Views = _as_it_is, c: float = 1.0, steps
         def each(b: pa.RecordBatch, now=open_):
             for name, s, labels, at in _viewed(b, views, now):
                 place = {v: i for i, v in enumerate(now[name].labels)}
-                f, g, h = now[name].derivatives(s, np.array([place.get(v, 0) for v in labels])[at])
-                yield (name,), np.concatenate([[f], g, h[np.triu_indices(len(g))]])  # a Hessian is symmetric: half of it is sent
+                f, g, h = now[name].derivatives(s, np.array([place.get(v, 0) for v in labels])[at], now[name].bent)
+                yield (name,), np.concatenate([[f], g, h[np.triu_indices(len(g))] if h is not None else []])  # a Hessian is symmetric: half of it is sent
 
         for (name,), v in moments.summed(own, {"key": "string"}, each, arrow=True).items():
-            n = open_[name].w.size
-            h = np.zeros((n, n))
-            h[np.triu_indices(n)] = v[n + 1 :]
-            open_[name].move(float(v[0]), v[1 : n + 1], np.triu(h, 1).T + h, c, tol)
+            n, h = open_[name].w.size, None
+            if open_[name].bent:
+                h = np.zeros((n, n))
+                h[np.triu_indices(n)] = v[n + 1 :]
+                h = np.triu(h, 1).T + h
+            open_[name].move(float(v[0]), v[1 : n + 1], h, c, tol)
     return models
 
 
+def fit_splits(own: DataFrame, views: Views) -> dict[str, Softmax]:
+    """fit_logistic() of views that name parts, for models (`key:part`) of parts that have most rows in common: those of part 0
+    come first, and the others begin with their weights."""
+    of = lambda first: lambda key: [v for v in views(key) if (v[2] == 0) == first]
+    near = fit_logistic(own, of(True))
+    begin = {m: near[f"{key}:0"].w for key in {k.rpartition(":")[0] for k in near} for m, _, _ in views(key)}
+    return near | fit_logistic(own, of(False), start=begin)
+
+
 def logistic_scores(test: DataFrame, key: str, s: str, kind: DataType, models: dict[str, Softmax], features: dict[str, Callable] | None = None) -> DataFrame:
     """test with p, and probability by label in their order, by the model that the column `key` names; null without one.
     kind: of the labels; features: what a model sees in s."""

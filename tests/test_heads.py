@@ -124,3 +124,23 @@ def test_splines_of_arrays_are_those_of_columns(spark):
     x = [-1.0, 0.0, 0.3, 1.7, 2.0, 5.0]
     want = spark.createDataFrame([(v,) for v in x], "x double").select(F.array(*heads.spline_columns(F.col("x"), 0.0, 2.0)).alias("b")).collect()
     assert np.allclose(heads.splines(np.array(x), 0.0, 2.0), [r.b for r in want])
+
+
+def test_splits_begin_near_and_reuse_curvature(spark, monkeypatch):
+    """Models of splits of the same rows have the weights of fits by themselves, and the last passes send no Hessian."""
+    rng = np.random.default_rng(3)
+    rows = [("a", int(k % 3), (rng.normal(size=2) + k % 3).tolist(), sorted(rng.choice(4, 3, replace=False).tolist())) for k in range(240)]
+    own = spark.createDataFrame(rows, "key string, y int, s array<double>, parts array<int>").persist()
+    moves, move = [], heads.Softmax.move
+    monkeypatch.setattr(heads.Softmax, "move", lambda m, loss, g, h, *rest: (moves.append(h is None), move(m, loss, g, h, *rest))[1])
+    views = lambda key: [(f"{key}:{k}", lambda s: s, k) for k in range(4)]
+    got = heads.fit_splits(own, views)
+    assert set(got) == {f"a:{k}" for k in range(4)} and moves[0] is False and moves[-1] is True
+    for k in range(4):
+        mine = [(y, s) for _, y, s, parts in rows if k in parts]
+        y, x = np.array([a for a, _ in mine]), np.array([b for _, b in mine])
+        m = got[f"a:{k}"]
+        d = m.design(x)
+        p = np.exp(m.log_probability(d))
+        gradient = (p - np.eye(3)[y]).T @ d + m.w * [1, 1, 0]
+        assert np.abs(gradient).max() < 1e-4  # a row's gradient is about 1
