@@ -56,7 +56,9 @@ def descriptor_names(channels: list[str]) -> list[str]:
 def group_means(frame: DataFrame, groups: list[str], y: str, order: list[str], s: str = "s") -> DataFrame:
     """groups, y (of each group's first row), n, s: the mean of each descriptor over the group."""
     first = F.struct(F.struct(*order).alias("order"), F.col(y).alias("y"))
-    each = frame.select(*groups, first.alias("__f"), F.posexplode_outer(s).alias("__i", "__v"))  # rows are read, and descriptors made, once
+    # Rows are read, and descriptors made, once; rows of a group meet before they become a row a descriptor. They are added in
+    # their order, so that means are the same to the last bit, and tie with the same others, on any partitioning.
+    each = frame.select(*groups, first.alias("__f"), s).repartition(*groups).sortWithinPartitions(*groups, "__f").select(*groups, "__f", F.posexplode_outer(s).alias("__i", "__v"))
     each = each.groupBy(*groups, "__i").agg(F.avg("__v").alias("__m"), F.min("__f").alias("__f"), F.count(F.lit(1)).alias("__n"))
     rows = F.sum(F.when(F.coalesce("__i", F.lit(0)) == 0, F.col("__n")))
     mean = F.array_sort(F.collect_list(F.when(F.col("__i").isNotNull(), F.struct("__i", "__m"))))

@@ -1,6 +1,7 @@
 """Running sums, tiling, overlaps and resamples that no single task carries, against plain Python."""
 
 import random
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -105,3 +106,34 @@ def test_weighted_resamples(spark):
     a = stats.paired_bootstrap(stats.paired_cells(d), stats.weighted_resamples(d, "id", 400, 1)).first()
     b = stats.paired_bootstrap(stats.paired_cells(d), stats.multinomial_resamples(stats.paired_cells(d), 400, 1)).first()
     assert a.delta == b.delta and abs(a.ci_low - b.ci_low) < 0.03 and abs(a.ci_high - b.ci_high) < 0.03
+
+
+def test_ranges_of_large_keys_alone(spark, monkeypatch):
+    """Large keys in ranges and small ones without give the places that one order gives; rows are not joined with their sums."""
+    monkeypatch.setattr(ranking, "ALONE", 500)
+    rng = random.Random(4)
+    rows = [(k, rng.choice([rng.gauss(0, 1), float(rng.randrange(5))]), rng.randrange(3)) for k, n in (("a", 3000), ("b", 400), (None, 700)) for _ in range(n)]
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, k string, v double, w int").repartition(5)
+    out = ranking.by_value(d, ["k"], ["v", "i"], F.col("w"))
+    assert out.columns == ["i", "k", "v", "w", "total", "before"]
+    assert ranking.splitters(d, ["k"], F.col("v"), ["v", "i"], over=500).count() == 2
+    got = {r.i: (r.before, r.total) for r in out.collect()}
+    for key in ("a", "b", None):
+        own, before = sorted((r[1], i, r[2]) for i, r in enumerate(rows) if r[0] == key), 0
+        for _, i, w in own:
+            assert got[i] == (before, sum(r[2] for r in own))
+            before += w
+    assert "Join" not in ranking.by_hash(d, ["k"], F.md5(F.col("i").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_group_means_are_the_same_on_any_partitioning(spark):
+    from quefrency.operators import datasets
+
+    rng = random.Random(6)
+    rows = [(g, k, g % 2, [rng.choice([0.1, 0.7, 1e6, 1 / 3]) for _ in range(3)]) for g in range(60) for k in range(9)]
+    d = spark.createDataFrame(rows, "g int, k int, y int, s array<double>")
+    plain = lambda v: reduce(lambda a, b: a + b, v, 0.0)  # noqa: E731 (sum() corrects for rounding)
+    want = {g: [plain(r[3][i] for r in rows if r[0] == g) / 9 for i in range(3)] for g in range(60)}
+    for n in (1, 3, 7):
+        got = datasets.group_means(d.repartition(n, F.xxhash64("k", F.lit(n))), ["g"], "y", ["k"]).collect()
+        assert {r.g: list(r.s) for r in got} == want and all((r.n, r.y) == (9, r.g % 2) for r in got)
