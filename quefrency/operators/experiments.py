@@ -499,9 +499,12 @@ def tradeoff(scores: DataFrame, reference: str, least: int = 3) -> DataFrame:
 
 def candidates(summary_: DataFrame, reference: str, margin: float = 0.02) -> DataFrame:
     """summary_ with candidate: better under distortion than the reference, and clean within the margin."""
-    ref = summary_.where(F.col("rep") == reference).select(F.col("under").alias("__u"), F.col("clean").alias("__c"))
+    # The reference is found among the rows (one a representation): a join would run the whole experiment once more for it.
+    mine, every = F.col("rep") == reference, Window.partitionBy(F.lit(0))
+    of = lambda c: F.max(F.when(mine, c)).over(every)
+    x = summary_.select("*", of(F.col("under")).alias("__u"), of(F.col("clean")).alias("__c"), of(F.lit(1)).alias("__r")).where("__r = 1")
     ok = (F.col("under") > F.col("__u")) & (F.col("clean") >= F.col("__c") - margin) & (F.col("rep") != reference)
-    return summary_.crossJoin(F.broadcast(ref)).withColumn("candidate", ok).drop("__u", "__c")
+    return x.withColumn("candidate", ok).drop("__u", "__c", "__r")
 
 
 # --- random windows --------------------------------------------------------------------------------------------------

@@ -281,3 +281,10 @@ def test_levels_are_counted_inside_the_tasks(windows):
     assert got == pytest.approx(want, abs=1e-12) and len(got) == 24
     per = pred.groupBy("rep", "split", "severity", "window_id").count().select("count").distinct().collect()
     assert len(per) > 1  # the mask takes frames of some windows only
+
+
+def test_candidates_read_the_scores_once(spark):
+    scores = spark.createDataFrame([(r, s, v, 0.5 + 0.1 * (r == "b")) for r in "ab" for s in range(2) for v in (1, 3)], "rep string, split int, severity int, f1 double")
+    got = experiments.candidates(experiments.summary(scores), "a")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1  # the reference was a second run of the experiment
+    assert {r.rep: r.candidate for r in got.collect()} == {"a": False, "b": True} and experiments.candidates(experiments.summary(scores), "c").count() == 0
